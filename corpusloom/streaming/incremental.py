@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -30,9 +31,17 @@ def unprocessed(arrived: DataFrame, done: DataFrame, key: str) -> DataFrame:
     return arrived.join(done.select(key), key, "left_anti")
 
 
-def counted_stream(spark: SparkSession, path: str, schema: StructType, keys: list[str], value: str) -> DataFrame:
-    """Running count, sum and maximum of every key over files that arrive."""
-    return spark.readStream.schema(schema).parquet(path).groupBy(*keys).agg(F.count("*").alias("n"), F.sum(value).alias("total"), F.max(value).alias("most"))
+def counted_stream(spark: SparkSession, path: str, schema: StructType, keys: list[str], value: str, *, pattern: str = "*.parquet") -> DataFrame:
+    """Running count, sum and maximum of every key over files that arrive in a folder."""
+    return spark.readStream.schema(schema).option("pathGlobFilter", pattern).parquet(path).groupBy(*keys).agg(F.count("*").alias("n"), F.sum(value).alias("total"), F.max(value).alias("most"))
+
+
+def to_the_end(stream: DataFrame) -> DataFrame:
+    """The final state of an aggregated stream over all that has arrived, as a table of the session (one row a key)."""
+    name = f"state_{uuid.uuid4().hex}"
+    q = stream.writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return stream.sparkSession.table(name)
 
 
 def write_batches(target: str) -> Callable[[DataFrame, int], None]:
