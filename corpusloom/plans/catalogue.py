@@ -476,9 +476,9 @@ def pooled_effect(spark: SparkSession, sf: str) -> DataFrame:
     return _pooled(spark, sf).select("partkey", "n_with_effect", *[F.round(c, 6).alias(c) for c in ("pooled_effect", "pooled_se", "ci_lower", "ci_upper")])
 
 
-@query(_POOL + ", i AS (SELECT partkey, round(q, 3) AS q_statistic, CASE WHEN q > 0 THEN greatest(0, (q - n + 1) / q * 100) ELSE 0 END AS i FROM q JOIN m USING (partkey) WHERE n >= 2) SELECT partkey, q_statistic, round(i, 4) AS i_squared, CASE WHEN i < 25 THEN 'low' WHEN i < 75 THEN 'moderate' ELSE 'high' END AS heterogeneity FROM i")
+@query(_POOL + ", i AS (SELECT partkey, round(q + 1e-7, 3) AS q_statistic, CASE WHEN q > 0 THEN greatest(0, (q - n + 1) / q * 100) ELSE 0 END AS i FROM q JOIN m USING (partkey) WHERE n >= 2) SELECT partkey, q_statistic, round(i, 4) AS i_squared, CASE WHEN i < 25 THEN 'low' WHEN i < 75 THEN 'moderate' ELSE 'high' END AS heterogeneity FROM i")
 def heterogeneity(spark: SparkSession, sf: str) -> DataFrame:
-    return _pooled(spark, sf).where("n_with_effect >= 2").select("partkey", F.round("q_statistic", 3).alias("q_statistic"), F.round("i_squared", 4).alias("i_squared"), "heterogeneity")
+    return _pooled(spark, sf).where("n_with_effect >= 2").select("partkey", F.round(F.col("q_statistic") + 1e-7, 3).alias("q_statistic"), F.round("i_squared", 4).alias("i_squared"), "heterogeneity")
 
 
 @query(f"""WITH d AS (SELECT user_id, {_WAY} AS w FROM events), n AS (SELECT user_id, count(*) AS n_claims, count(*) FILTER (w = 'positive') AS n_positive, count(*) FILTER (w = 'negative') AS n_negative, count(*) FILTER (w = 'null') AS n_null FROM d GROUP BY user_id)

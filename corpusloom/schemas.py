@@ -1,36 +1,29 @@
-"""Tables of the corpus as Spark schemas, and the vocabularies their columns are held to."""
+"""Tables of the corpus as schemas in DDL, and the vocabularies their columns are held to."""
 
 from __future__ import annotations
 
-from pyspark.sql import types as T
-
-
-def _of(ddl: str) -> T.StructType:
-    return T.StructType.fromDDL(ddl)
-
-
 _CONSTRUCTS = "array<struct<id:string,role:string,direction:string>>"
 
-PAPERS = _of(
+PAPERS = (
     "paper_id string, doi string, title string, authors array<string>, year int, venue string, publisher string, abstract string, url string, source string,"
     "ingest_method string, finder_run_id string, retrieved_at timestamp, pdf_path string, pdf_sha256 string, pdf_bytes bigint, pdf_source string, status string,"
     "triage_score double, triage_decision string, triage_reasons array<string>, ae_job_path string, ae_output_path string, ae_run_id string, ae_profile string,"
     "ae_status string, ae_n_claims int, ae_n_rules int, ae_confidence double, ae_warnings array<string>, topic_score double, topic_decision string, topic_stage string,"
     "topic_category string, off_topic_flag boolean, off_topic_score double, tags array<string>, human_notes string, created_at timestamp, updated_at timestamp"
 )
-FACET_NODES = _of("node_id string, facet_id string, parent_id string, level int, name string, description string, seeds array<string>")
-NODE_CENTROIDS = _of("node_id string, embedding array<float>, model string, exemplar_papers array<string>, computed_at timestamp")
-PAPER_FACET_SCORES = _of("paper_id string, node_id string, score double, method string, classified_at timestamp")
-CITATIONS = _of("source_paper_id string, cited_paper_id string, cited_doi string, cited_title string, cited_authors array<string>, cited_year int, citation_context string, discovered_via string, created_at timestamp")
-EXPANSION_QUEUE = _of("doi string, title string, authors array<string>, year int, discovered_from string, discovery_count int, priority_score double, status string, rejection_reason string")
-CLAIMS = _of(
+FACET_NODES = ("node_id string, facet_id string, parent_id string, level int, name string, description string, seeds array<string>")
+NODE_CENTROIDS = ("node_id string, embedding array<float>, model string, exemplar_papers array<string>, computed_at timestamp")
+PAPER_FACET_SCORES = ("paper_id string, node_id string, score double, method string, classified_at timestamp")
+CITATIONS = ("source_paper_id string, cited_paper_id string, cited_doi string, cited_title string, cited_authors array<string>, cited_year int, citation_context string, discovered_via string, created_at timestamp")
+EXPANSION_QUEUE = ("doi string, title string, authors array<string>, year int, discovered_from string, discovery_count int, priority_score double, status string, rejection_reason string")
+CLAIMS = (
     f"claim_id string, paper_id string, claim_type string, statement string, environment_factors {_CONSTRUCTS}, outcomes {_CONSTRUCTS}, mediators {_CONSTRUCTS}, moderators {_CONSTRUCTS},"
     "design string, sample_n int, population string, setting string, task string, effect_size_type string, effect_size_value double, p_value double, ci95_low double, ci95_high double,"
     "evidence_spans array<struct<kind:string,source:string,start:int,end:int>>, ae_confidence double, ae_run_id string"
 )
-RULES = _of("rule_id string, paper_id string, rule_type string, lhs array<struct<var:string,state:string>>, rhs array<struct<var:string,state:string>>, polarity string, strength_kind string, strength_type string, strength_value double, population string, setting string, boundary_conditions array<string>, evidence_links array<string>, ae_confidence double")
-EXTRACTED_TABLES = _of("table_id string, paper_id string, table_number int, caption string, table_type string, raw_html string, structured_json string, markdown string, page_number int, extraction_method string, extraction_confidence double, has_statistics boolean, has_sample_sizes boolean, needs_review boolean, reviewed_at timestamp")
-QUERY_LOG = _of("query_id string, api string, query_text string, status string, started_at timestamp, ended_at timestamp, duration_ms bigint, results int, new_results int, accepted int, rejected int, duplicates int, cell_id string, gap_id string, error string, context map<string,string>")
+RULES = ("rule_id string, paper_id string, rule_type string, lhs array<struct<var:string,state:string>>, rhs array<struct<var:string,state:string>>, polarity string, strength_kind string, strength_type string, strength_value double, population string, setting string, boundary_conditions array<string>, evidence_links array<string>, ae_confidence double")
+EXTRACTED_TABLES = ("table_id string, paper_id string, table_number int, caption string, table_type string, raw_html string, structured_json string, markdown string, page_number int, extraction_method string, extraction_confidence double, has_statistics boolean, has_sample_sizes boolean, needs_review boolean, reviewed_at timestamp")
+QUERY_LOG = ("query_id string, api string, query_text string, status string, started_at timestamp, ended_at timestamp, duration_ms bigint, results int, new_results int, accepted int, rejected int, duplicates int, cell_id string, gap_id string, error string, context map<string,string>")
 
 # Vocabularies of the data model.
 STATUS_TRANSITIONS = {

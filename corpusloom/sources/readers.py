@@ -8,7 +8,6 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from corpusloom.operators.taxonomy import flatten_tree
 from corpusloom.schemas import FACET_NODES
@@ -41,20 +40,19 @@ def read_taxonomy(spark: SparkSession, tree: dict[str, list[dict]]) -> DataFrame
     return spark.createDataFrame(flatten_tree(tree), FACET_NODES)
 
 
-def read_json(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
+def read_json(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
     r = spark.read.option("multiLine", True)
     return (r.schema(schema) if schema else r).json(path)
 
 
-def read_jsonl(spark: SparkSession, path: str, schema: T.StructType, *, strict: bool = False) -> DataFrame:
+def read_jsonl(spark: SparkSession, path: str, schema: str, *, strict: bool = False) -> DataFrame:
     """One object a line, blank lines skipped. Bad lines stay with ``bad_line`` set, or raise with ``strict``."""
     if strict:
         return spark.read.schema(schema).json(path, mode="FAILFAST")
-    with_bad = T.StructType([*schema.fields, T.StructField("bad_line", T.StringType())])
-    return spark.read.schema(with_bad).json(path, mode="PERMISSIVE", columnNameOfCorruptRecord="bad_line")
+    return spark.read.schema(f"{schema}, bad_line string").json(path, mode="PERMISSIVE", columnNameOfCorruptRecord="bad_line")
 
 
-def read_bundles(spark: SparkSession, glob: str, schema: T.StructType) -> DataFrame:
+def read_bundles(spark: SparkSession, glob: str, schema: str) -> DataFrame:
     """JSON files of a directory pattern, with the bundle (parent directory) and path they came from."""
     df = spark.read.schema(schema).option("multiLine", True).json(glob).withColumn("path", F.col("_metadata.file_path"))
     return df.withColumn("bundle", F.regexp_extract("path", "([^/]+)/[^/]+$", 1))

@@ -13,7 +13,7 @@ from pyspark.sql.types import StructType
 
 def inbox(spark: SparkSession, path: str, *, pattern: str = "*.pdf", archive: str | None = None) -> DataFrame:
     """A stream of files that arrive in a folder: path, length, sha256; read ones move to ``archive``."""
-    r = spark.readStream.format("binaryFile").option("pathGlobFilter", pattern)
+    r = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length bigint, content binary").option("pathGlobFilter", pattern)
     if archive:
         r = r.option("cleanSource", "archive").option("sourceArchiveDir", archive)
     return r.load(path).select("path", "length", F.sha2("content", 256).alias("sha256"))
