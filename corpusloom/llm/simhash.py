@@ -33,21 +33,29 @@ _WORDS = re.compile(rb"[^\x20\x09-\x0D]+").findall
 _BLOCK = 1 << 15
 
 
-def fingerprint(text: str | None, *, shingle: int = 3, seed: int = 42) -> int:
-    """A bit is 1 if it is set in over half of the shingles' XXH64, repeats counted; A-Z are lower-cased."""
+def shingle_hashes(text: str | None, shingle: int, seed: int = 42) -> np.ndarray:
+    """XXH64 of each run of ``shingle`` words (A-Z lower-cased, joined by a space), repeats included; fewer words make one run."""
     words = _WORDS((text or "").encode().lower())
     if not words:
-        return 0
-    n = max(1, len(words) - shingle + 1)
+        return np.zeros(0, np.uint64)
     line, digest = b" ".join(words), xxhash.xxh64_intdigest
-    ends = np.cumsum([len(w) + 1 for w in words])
-    starts = (ends - [len(w) + 1 for w in words])[:n].tolist()
-    stops = (ends[min(shingle, len(words)) - 1 :] - 1).tolist()
+    sizes = np.array([len(w) + 1 for w in words])
+    ends = np.cumsum(sizes)
+    n = max(1, len(words) - shingle + 1)
+    starts, stops = (ends - sizes)[:n].tolist(), (ends[min(shingle, len(words)) - 1 :] - 1).tolist()
+    return np.array([digest(line[a:b], seed) for a, b in zip(starts, stops)], np.uint64)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The fingerprint: a bit is 1 if it is set in over half of the hashes."""
     counts = np.zeros(64, np.int64)
-    for lo in range(0, n, _BLOCK):
-        h = np.array([digest(line[a:b], seed) for a, b in zip(starts[lo : lo + _BLOCK], stops[lo : lo + _BLOCK])], np.uint64)
-        counts += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int.from_bytes(np.packbits(counts * 2 > n, bitorder="little").tobytes(), "little")
+    for lo in range(0, len(hashes), _BLOCK):
+        counts += np.unpackbits(hashes[lo : lo + _BLOCK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int.from_bytes(np.packbits(counts * 2 > len(hashes), bitorder="little").tobytes(), "little") if len(hashes) else 0
+
+
+def fingerprint(text: str | None, *, shingle: int = 3, seed: int = 42) -> int:
+    return majority(shingle_hashes(text, shingle, seed))
 
 
 def fingerprints(docs: DataFrame, keep: list[str], *, text_col: str = "text", shingle: int = 3) -> DataFrame:
@@ -102,15 +110,94 @@ def document_classes(docs: DataFrame) -> DataFrame:
     return near_duplicate_classes(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5) -> DataFrame:
+SKETCH, SIMILARITY = 16, 0.8
+
+
+def sketches(docs: DataFrame, keep: list[str], *, text_col: str = "text", shingle: int = 5) -> DataFrame:
+    """The columns ``keep`` with ``node`` (a hash of the words), ``fp`` and ``sketch`` (the SKETCH smallest distinct shingle hashes)."""
+    schema = ", ".join([*(f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in keep), "node long, fp long, sketch array<long>"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 512):
+                part = batch.slice(lo, 512)
+                node, fp, least = [], [], []
+                for text in part.column(len(keep)).to_pylist():
+                    h = shingle_hashes(text, shingle)
+                    node.append(xxhash.xxh64_intdigest(h.tobytes(), 7))
+                    fp.append(majority(h))
+                    least.append(np.unique(h)[:SKETCH].view(np.int64))
+                signed = lambda x: pa.array(np.array(x, np.uint64).view(np.int64), pa.int64())
+                yield pa.RecordBatch.from_arrays([part.column(k) for k in range(len(keep))] + [signed(node), signed(fp), pa.array(least, pa.list_(pa.int64()))], names=[*keep, "node", "fp", "sketch"])
+
+    return docs.select(*keep, F.col(text_col).alias("text__")).mapInArrow(run, schema)
+
+
+def shared_part(a: str | None, b: str | None, shingle: int) -> float:
+    """Jaccard similarity of the shingle sets of two texts; 1 if neither has a word."""
+    x, y = np.unique(shingle_hashes(a, shingle)), np.unique(shingle_hashes(b, shingle))
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both / (len(x) + len(y) - both) if len(x) or len(y) else 1.0
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) of nodes whose texts have the similarity. ``texts``: node, text__."""
+    met = pairs.join(texts.select(F.col("node").alias("a"), F.col("text__").alias("ta")), "a").join(texts.select(F.col("node").alias("b"), F.col("text__").alias("tb")), "b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 256):
+                part = batch.slice(lo, 256)
+                good = [shared_part(x, y, shingle) >= similarity for x, y in zip(part.column(2).to_pylist(), part.column(3).to_pylist())]
+                yield pa.RecordBatch.from_arrays([part.column(k).filter(pa.array(good)) for k in (0, 1)], names=["a", "b"])
+
+    return met.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
+
+
+def similar_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = SIMILARITY) -> DataFrame:
+    """One row a document: the id, ``node``, ``root`` and ``component_id``, of classes linked by texts of at least ``similarity``.
+
+    Candidates come from the fingerprints within 3 bits, and, as 3 bits reach few of the pairs at 0.8,
+    from sketches: texts that share one of their least shingle hashes meet the first and the last text
+    (by hash) that has it, so a shingle of many texts costs two pairs a text, never all pairs. A pair
+    whose sketches agree by half is verified on whole texts. Equal texts are one node throughout.
+    """
+    rows = materialise(sketches(docs, [id_col], text_col=text_col, shingle=shingle), "sketches")
+    nodes = materialise(rows.groupBy("node").agg(F.min(id_col).alias("first_id"), F.first("fp").alias("fp"), F.first("sketch").alias("sketch")), "nodes")
+    fps = nodes.groupBy("fp").agg(F.min("node").alias("head"))
+    heads = materialise(fps, "heads")
+    bits = links(heads.select("fp"))
+    of = lambda c: heads.select(F.col("fp").alias(c), F.col("head").alias(f"{c}_head"))
+    by_bits = bits.join(of("a"), "a").join(of("b"), "b").select(F.col("a_head").alias("a"), F.col("b_head").alias("b"))
+    by_bits = by_bits.unionAll(nodes.join(heads, "fp").where("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b")))
+
+    least = nodes.select("node", F.explode("sketch").alias("e"))
+    ends = least.groupBy("e").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi")
+    met = least.join(ends, "e").select(F.col("node").alias("a"), F.explode(F.array("lo", "hi")).alias("b")).where("a <> b").distinct()
+    sk = lambda c: nodes.select(F.col("node").alias(c), F.col("sketch").alias(f"{c}_sketch"))
+    union = F.slice(F.array_sort(F.array_union("a_sketch", "b_sketch")), 1, SKETCH)
+    agree = F.size(F.array_intersect(F.array_intersect(union, F.col("a_sketch")), F.col("b_sketch")))
+    by_sketch = met.join(sk("a"), "a").join(sk("b"), "b").where(2 * agree >= F.size(union)).select("a", "b")
+    pairs = materialise(by_bits.unionAll(by_sketch).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+
+    wanted = pairs.select(F.col("a").alias("node")).unionAll(pairs.select("b")).distinct()
+    reps = nodes.join(wanted, "node", "left_semi").select("node", "first_id")
+    texts = docs.select(F.col(id_col).alias("i__"), F.col(text_col).alias("text__")).join(reps, F.col("i__") == F.col("first_id")).groupBy("node").agg(F.first("text__").alias("text__"))
+    classes = connected_components(_verified(pairs, texts, shingle, similarity))
+    rooted = nodes.join(classes, "node", "left").select("node", "first_id", F.coalesce("component", "node").alias("root"))
+    named = rooted.join(rooted.groupBy("root").agg(F.min("first_id").alias("component_id")), "root").select("node", "root", "component_id")
+    return rows.select(id_col, "node").join(named, "node").select(id_col, "node", "root", "component_id")
+
+
+def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = SIMILARITY) -> DataFrame:
     """The columns of ``docs``, one row of each class: that with the smallest id (rows that repeat it are dropped as well).
 
     A class whose ids are all null keeps one row, whichever.
     """
-    classes = materialise(near_duplicate_classes(docs, id_col=id_col, text_col=text_col, shingle=shingle), "classes")
-    kept = classes.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("i__"), F.col("fp").alias("f__"), F.col("root").alias("r__"))
-    if kept.groupBy("i__", "r__").count().where("count > 1").isEmpty():
+    classes = materialise(similar_classes(docs, id_col=id_col, text_col=text_col, shingle=shingle, similarity=similarity), "classes")
+    kept = classes.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("i__"), F.col("node").alias("n__"), F.col("root").alias("r__"))
+    if kept.groupBy("i__").count().where("count > 1").isEmpty():
         return docs.join(kept.select("i__"), F.col(id_col).eqNullSafe(F.col("i__")), "left_semi")
-    own = fingerprints(docs.withColumn("row__", F.struct(*docs.columns)), ["row__"], text_col=text_col, shingle=shingle)
-    named = own.join(kept.distinct(), F.col(f"row__.{id_col}").eqNullSafe(F.col("i__")) & (F.col("fp") == F.col("f__")))
+    own = sketches(docs.withColumn("row__", F.struct(*docs.columns)), ["row__"], text_col=text_col, shingle=shingle)
+    named = own.join(kept.distinct(), F.col(f"row__.{id_col}").eqNullSafe(F.col("i__")) & (F.col("node") == F.col("n__")))
     return named.dropDuplicates(["i__", "r__"]).select("row__.*")
