@@ -159,11 +159,11 @@ def similar_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     Candidates come from the fingerprints within 3 bits, and, as 3 bits reach few of the pairs at 0.8,
     from sketches: texts that share one of their least shingle hashes meet the first and the last text
-    (by hash) that has it, so a shingle of many texts costs two pairs a text, never all pairs. A pair
-    whose sketches agree by half is verified on whole texts. Equal texts are one node throughout.
+    (by hash) that has it, so a shingle of many texts costs two pairs a text, never all pairs. A pair whose sketches agree by half is verified on whole texts. Equal texts are one node throughout.
     """
-    rows = materialise(sketches(docs, [id_col], text_col=text_col, shingle=shingle), "sketches")
-    nodes = materialise(rows.groupBy("node").agg(F.min(id_col).alias("first_id"), F.first("fp").alias("fp"), F.first("sketch").alias("sketch")), "nodes")
+    keyed = docs.select(id_col, text_col).withColumn("t__", F.xxhash64(text_col))  # tells rows with one id apart
+    rows = materialise(sketches(keyed, [id_col, "t__"], text_col=text_col, shingle=shingle), "sketches")
+    nodes = materialise(rows.groupBy("node").agg(F.min(id_col).alias("first_id"), F.min_by("t__", id_col).alias("first_t"), F.first("fp").alias("fp"), F.first("sketch").alias("sketch")), "nodes")
     fps = nodes.groupBy("fp").agg(F.min("node").alias("head"))
     heads = materialise(fps, "heads")
     bits = links(heads.select("fp"))
@@ -181,8 +181,8 @@ def similar_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     pairs = materialise(by_bits.unionAll(by_sketch).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
 
     wanted = pairs.select(F.col("a").alias("node")).unionAll(pairs.select("b")).distinct()
-    reps = nodes.join(wanted, "node", "left_semi").select("node", "first_id")
-    texts = docs.select(F.col(id_col).alias("i__"), F.col(text_col).alias("text__")).join(reps, F.col("i__") == F.col("first_id")).groupBy("node").agg(F.first("text__").alias("text__"))
+    reps = nodes.join(wanted, "node", "left_semi").select("node", "first_id", "first_t")
+    texts = keyed.select(F.col(id_col).alias("i__"), "t__", F.col(text_col).alias("text__")).join(reps, (F.col("i__") == F.col("first_id")) & (F.col("t__") == F.col("first_t"))).groupBy("node").agg(F.first("text__").alias("text__"))
     classes = connected_components(_verified(pairs, texts, shingle, similarity))
     rooted = nodes.join(classes, "node", "left").select("node", "first_id", F.coalesce("component", "node").alias("root"))
     named = rooted.join(rooted.groupBy("root").agg(F.min("first_id").alias("component_id")), "root").select("node", "root", "component_id")
