@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.functions.similarity import cosine, dot, unit
+from corpusloom.functions.similarity import cosine, unit
 
 
 def nearest(df: DataFrame, query: list[float], *, id_col: str, embedding: str = "embedding", k: int = 10, least: float = 0.0, where: Column | None = None) -> DataFrame:
@@ -22,37 +24,35 @@ def similar_to(df: DataFrame, ident, *, id_col: str, embedding: str = "embedding
     return rows.join(F.broadcast(one), how="cross").withColumn("score", cosine(F.col(embedding), F.col("q__"))).drop("q__").where(F.col("score") >= least).orderBy(F.desc("score"), id_col).limit(k)
 
 
-def near_pairs(df: DataFrame, *, id_col: str, embedding: str = "embedding", least: float = 0.92, block: Column | None = None, differ: str | None = None) -> DataFrame:
-    """Pairs (id_a, id_b, score) at ``least`` or more whose ``differ`` columns differ.
+def near_pairs(df: DataFrame, *, id_col: str, embedding: str = "embedding", least: float = 0.92, block: Column | None = None, differ: str | None = None, tile_rows: int = 4096) -> DataFrame:
+    """Pairs (id_a, id_b, score) at ``least`` or more whose ``differ`` columns differ. Exact.
 
-    Exact, by prefix filtering: vectors of unit length are cut into ``_PARTS`` slices; a pair with
-    cosine c has a squared distance of 2 - 2c, so in some slice it is at most that / _PARTS, and the
-    first coordinate of that slice differs by at most its root. Grid cells of that width, own and next,
-    are the equi-join keys. With ``block`` only pairs of one block are compared instead.
+    In many dimensions no grid or pivot prunes pairs without losing some, so rows are dealt into tiles of
+    about ``tile_rows`` and every two tiles meet in one task as a matrix product: a task holds two tiles,
+    however large the table, and only the pairs found leave it. The products grow with the square of the
+    rows that share a ``block``; give one where the data has a key that near vectors share.
     """
-    rows = df.select(F.col(id_col).alias("id"), unit(F.col(embedding)).alias("v"), F.col(differ).alias("d") if differ else F.lit(None).alias("d"), (block if block is not None else F.lit(0)).alias("b"))
-    if block is None:
-        keyed_a, keyed_b = _grid(rows, least)
-    else:
-        keyed_a, keyed_b = rows.withColumn("key", F.col("b")), rows.withColumn("key", F.col("b"))
-    a = keyed_a.select("key", F.col("id").alias("id_a"), F.col("v").alias("va"), F.col("d").alias("da"))
-    b = keyed_b.select("key", F.col("id").alias("id_b"), F.col("v").alias("vb"), F.col("d").alias("db"))
-    met = a.join(b, "key").where("id_a < id_b")
-    met = met.where(~F.col("da").eqNullSafe(F.col("db"))) if differ else met
-    return met.withColumn("score", dot(F.col("va"), F.col("vb"))).where(F.col("score") >= least).select("id_a", "id_b", "score").distinct()
-
-
-_PARTS = 4
-
-
-def _grid(rows: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
-    width = max(1e-9, ((2 - 2 * least) / _PARTS) ** 0.5)
-    step = F.size("v") / F.lit(_PARTS)
-    cell = lambda p, j: F.floor(F.get(F.col("v"), F.floor(p * step).cast("int") + j) / width)
-    parts = rows.withColumn("p", F.explode(F.sequence(F.lit(0), F.lit(_PARTS - 1))))
-    own = parts.withColumn("key", F.concat_ws(":", "p", cell(F.col("p"), 0), cell(F.col("p"), 1)))
-    around = parts.withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(8)))).withColumn("key", F.concat_ws(":", "p", cell(F.col("p"), 0) + F.floor(F.col("o") / 3) - 1, cell(F.col("p"), 1) + F.col("o") % 3 - 1))
-    return own, around
+    n = df.count()
+    tiles = max(1, -(-n // tile_rows))
+    rows = df.select(F.col(id_col).alias("id"), unit(F.col(embedding)).alias("v"), (F.col(differ).cast("string") if differ else F.lit(None).cast("string")).alias("d"), (block.cast("string") if block is not None else F.lit("")).alias("g"), F.pmod(F.xxhash64(id_col), F.lit(tiles)).alias("t"))
+    met = rows.where("v is not null").withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(tiles - 1)))).withColumns({"p": F.least("t", "o"), "q": F.greatest("t", "o")})
+    differs = differ is not None
+
+    def product(pdf: pd.DataFrame) -> pd.DataFrame:
+        one, two = pdf[pdf.t == pdf.p.iloc[0]], pdf[pdf.t == pdf.q.iloc[0]]
+        if not len(one) or not len(two):
+            return pd.DataFrame({"id_a": one.id[:0], "id_b": one.id[:0], "score": np.zeros(0)})
+        scores = np.stack(one.v.to_numpy()) @ np.stack(two.v.to_numpy()).T
+        i, j = np.nonzero(scores >= least)
+        a, b = one.id.to_numpy()[i], two.id.to_numpy()[j]
+        keep = a < b if pdf.p.iloc[0] == pdf.q.iloc[0] else a != b
+        if differs:
+            keep &= np.array([x != y for x, y in zip(one.d.to_numpy()[i], two.d.to_numpy()[j])], bool)
+        a, b, s = a[keep], b[keep], scores[i, j][keep]
+        return pd.DataFrame({"id_a": np.where(a < b, a, b), "id_b": np.where(a < b, b, a), "score": s})
+
+    kind = df.schema[id_col].dataType.simpleString()
+    return met.groupBy("g", "p", "q").applyInPandas(product, f"id_a {kind}, id_b {kind}, score double")
 
 
 def label_pairs(pairs: DataFrame, *, duplicate: float = 0.95) -> DataFrame:

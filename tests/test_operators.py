@@ -163,7 +163,9 @@ def test_near_pairs_equal_brute_force(spark, sf):
     v /= np.linalg.norm(v, axis=1)[:, None]
     sim, ids, lab = v @ v.T, pdf.vec_id.to_numpy(), pdf.label.to_numpy()
     want = {tuple(sorted((ids[i], ids[j]))) for i in range(len(v)) for j in range(i) if sim[i, j] >= 0.35 and lab[i] != lab[j]}
-    assert {(r["id_a"], r["id_b"]) for r in rows(vector.near_pairs(e, id_col="vec_id", least=0.35, differ="label"))} == want
+    for tile in (30, 4096):
+        got = rows(vector.near_pairs(e, id_col="vec_id", least=0.35, differ="label", tile_rows=tile))
+        assert len(got) == len(want) and {(r["id_a"], r["id_b"]) for r in got} == want
 
 
 def test_file_integrity(spark):
