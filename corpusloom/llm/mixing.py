@@ -22,6 +22,7 @@ are broken by doc_id; an empty table gives an empty mix.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
@@ -56,8 +57,6 @@ def bisect_exponent(shares: DataFrame, meets: Callable[[dict], bool]) -> float:
         points = [lo + (hi - lo) * i / (_POINTS + 1) for i in range(0 if k == 0 else 1, _POINTS + 1)]
         power = lambda t: F.pow(F.col("p"), F.lit(t))
         row = shares.agg(F.max("p").alias("p_max"), F.min("p").alias("p_min"), *[f for i, t in enumerate(points) for f in (F.sum(power(t)).alias(f"z{i}"), F.sum(power(t) * F.log("p")).alias(f"l{i}"))]).first()
-        import math
-
         for i, t in enumerate(points):
             z = row[f"z{i}"]
             if meets({"t": t, "sum": z, "entropy": math.log(z) - t * row[f"l{i}"] / z, "p_max": row["p_max"], "p_min": row["p_min"]}):
@@ -82,8 +81,6 @@ def source_weights(rows: DataFrame, *, max_repeats: float | None = MAX_REPEATS,
     tokens, n = total["t"] or 0, total["s"] or 0
     t = 1.0
     if tokens and n > 1:
-        import math
-
         shares = sources.where("source_tokens > 0").select((F.col("source_tokens") / F.lit(tokens)).alias("p"))
         if entropy is not None:
             # Entropy falls as t grows: the bound is where it first falls below the target.
