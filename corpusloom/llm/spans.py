@@ -1,20 +1,20 @@
 """Substring dedup by sliding sentence spans.
 
-A text is cut into sentences at ``. ! ? ; :`` or a comma before white space and at line ends; a long
-one is cut further behind words whose hash says so, which depends on the word alone, so a passage is
-cut alike wherever it stands. A span is the shortest run of at least ``min_sentences`` consecutive
-sentences with at least ``min_words`` words. All spans of the corpus are hashed (128 bits of
-words joined by one space) and grouped; of every hash that occurs again, the first occurrence (by
+A text is cut into sentences behind a word that ends in ``. ! ? ; :`` and at line ends; a long one is
+cut further behind words whose hash says so, which depends on the word alone, so a passage is cut
+alike wherever it stands. A span is the shortest run of at least ``min_sentences`` consecutive
+sentences with at least ``min_words`` words. All spans of the corpus are hashed (96 bits of the words
+joined by one space) and joined globally; of every span that occurs again, the first occurrence (by
 doc_id, then place) stays and the sentences of all others are removed.
 
-Two shuffles of narrow rows: a partial aggregate finds the repeated hashes and their first place,
-an equi-join carries them back to the occurrences; hot passages are split there by adaptive
-execution. Texts are shuffled once, by doc_id, to be cut. A document's spans are gathered by its own
-id only, so a group is bounded by one text.
+Repeats inside a text are found in the text. Across texts two shuffles of rows of three longs do it: a
+partial aggregate finds the hashes of several documents and the first of these, an equi-join carries
+it back, where adaptive execution splits hot passages. Texts are shuffled once, by doc_id, to be cut. A
+document's spans are gathered by its own id only, so a group is bounded by one text.
 
-Defined results: null and empty texts come back as they are with no sentence; repetition inside one
-text counts; of rows with one doc_id the removals of either apply to both (ids should be unique);
-a null doc_id is never removed from and never first.
+Defined results: null and empty texts come back as they are; rows with one doc_id count as one
+document (they are not compared with each other, and lose the sentences of either); rows without a
+doc_id only lose what repeats inside them, taken together.
 """
 
 from __future__ import annotations
@@ -24,14 +24,16 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corpusloom.llm.shared import materialise
 
-MIN_SENTENCES, MIN_WORDS = 3, 24
+MIN_SENTENCES, MIN_WORDS = 3, 20
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
-_CUT_BITS = 4
+_CUT_BITS = 5
 
 
 def sentences(text: str) -> list[tuple[int, int, list[str]]]:
@@ -46,7 +48,7 @@ def sentences(text: str) -> list[tuple[int, int, list[str]]]:
             start = m.start()
         words.append(word)
         last = m.end()
-        if word[-1] in ".!?;:," or not hash_bits(word):
+        if word[-1] in ".!?;:" or not hash_bits(word):
             out.append((start, last, words))
             words = []
     if words:
@@ -81,68 +83,85 @@ def runs(found: list[tuple[int, int, list[str]]], min_sentences: int, min_words:
 
 
 def span_table(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_sentences: int = MIN_SENTENCES, min_words: int = MIN_WORDS) -> DataFrame:
-    """One row a span: id, hash (two longs), place (number of its first sentence), start and end in code points, sentences."""
-    schema = f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, h1 long, h2 long, place int, start int, end int, sentences int"
+    """One row a span: id, h1 (64 bits of its hash), h2 (32 more bits above the number of its first sentence), again (it stood in the text before)."""
+    schema = f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, h1 long, h2 long, again boolean"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 64):
                 part = batch.slice(lo, 64)
-                at, h1, h2, place, start, end, size = [], [], [], [], [], [], []
+                at, h1, h2, again = [], [], [], []
                 for k, text in enumerate(part.column(1).to_pylist()):
-                    if not text:
-                        continue
-                    found = sentences(text)
-                    plain = [" ".join(s[2]) for s in found]
+                    found = sentences(text) if text else []
+                    plain, seen = [" ".join(s[2]) for s in found], set()
                     for first, past in runs(found, min_sentences, min_words):
-                        digest = hashlib.blake2b(" ".join(plain[first:past]).encode(), digest_size=16).digest()
+                        digest = xxhash.xxh3_128_digest(" ".join(plain[first:past]).encode())[:12]
                         at.append(k)
                         h1.append(int.from_bytes(digest[:8], "little", signed=True))
-                        h2.append(int.from_bytes(digest[8:], "little", signed=True))
-                        place.append(first)
-                        start.append(found[first][0])
-                        end.append(found[past - 1][1])
-                        size.append(past - first)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0).take(pa.array(at, pa.int32())), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), *(pa.array(x, pa.int32()) for x in (place, start, end, size))],
-                    names=[id_col, "h1", "h2", "place", "start", "end", "sentences"],
-                )
+                        h2.append(int.from_bytes(digest[8:], "little", signed=True) << 32 | first)
+                        again.append(digest in seen)
+                        seen.add(digest)
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(at, pa.int32())), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(again, pa.bool_())], names=[id_col, "h1", "h2", "again"])
 
     return docs.select(id_col, F.col(text_col).alias("text__")).mapInArrow(run, schema)
 
 
 def repeated_spans(spans: DataFrame, *, id_col: str = "doc_id") -> DataFrame:
-    """The occurrences that are not the first of their hash: id, start, end."""
-    ids = spans.where(F.col(id_col).isNotNull())
-    seen = ids.groupBy("h1", "h2").agg(F.min(F.struct(id_col, "place")).alias("first"), F.count("*").alias("times")).where("times > 1").select("h1", "h2", F.col(f"first.{id_col}").alias("first_id"), F.col("first.place").alias("first_place"))
-    return ids.join(seen, ["h1", "h2"]).where((F.col(id_col) != F.col("first_id")) | (F.col("place") != F.col("first_place"))).select(id_col, "start", "end")
-
-
-def removals(repeated: DataFrame, *, id_col: str = "doc_id") -> DataFrame:
-    """One row a document that loses text: id and ``removed``, its merged, sorted, disjoint (start, end) spans."""
-    merged = """
-        aggregate(array_sort(collect_set(struct(start, end))), cast(array() as array<struct<start:int,end:int>>),
-          (acc, s) -> case when size(acc) > 0 and element_at(acc, -1).end >= s.start - 1
-            then concat(slice(acc, 1, size(acc) - 1), array(struct(element_at(acc, -1).start as start, greatest(element_at(acc, -1).end, s.end) as end)))
-            else concat(acc, array(s)) end)"""
-    return repeated.groupBy(id_col).agg(F.expr(merged).alias("removed"))
+    """(id, place) of the occurrences that are not the first of their hash."""
+    place, upper = F.col("h2").bitwiseAND(F.lit(0x7FFFFFFF)).cast("int").alias("place"), F.shiftright("h2", 32)
+    ids = spans.where(F.col(id_col).isNotNull() & ~F.col("again")).drop("again")
+    seen = ids.groupBy(F.col("h1").alias("k1"), upper.alias("k2")).agg(F.min(id_col).alias("lo"), F.max(id_col).alias("hi")).where("lo <> hi").drop("hi")
+    across = ids.join(seen, (F.col("h1") == F.col("k1")) & (upper == F.col("k2"))).where(F.col(id_col) != F.col("lo")).select(id_col, place)
+    return across.unionAll(spans.where("again").select(id_col, place))
 
 
 def remove_repeated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_sentences: int = MIN_SENTENCES, min_words: int = MIN_WORDS) -> DataFrame:
-    """All columns of ``docs``, the text without repeated sentences, and ``removed`` (null: nothing)."""
-    if {"removed"} & set(docs.columns):
-        raise ValueError("rename the column removed first")
+    """All columns of ``docs``, the text without repeated sentences, and ``removed``: what was cut, as (start, end) in code points (null: nothing)."""
+    if {"removed", "places__"} & set(docs.columns):
+        raise ValueError("rename the columns removed and places__ first")
     spans = materialise(span_table(docs, id_col=id_col, text_col=text_col, min_sentences=min_sentences, min_words=min_words), "spans")
-    lost = materialise(removals(repeated_spans(spans, id_col=id_col), id_col=id_col), "removals").withColumnRenamed(id_col, "lost_id__")
-    kept = F.expr(f"""concat_ws('', transform(
-        zip_with(concat(array(0), transform(removed, r -> r.end)), concat(transform(removed, r -> r.start), array(length(`{text_col}`))), (a, b) -> struct(a, b)),
-        g -> substring(`{text_col}`, g.a + 1, greatest(g.b - g.a, 0))))""")
-    joined = docs.join(lost, F.col(id_col) == F.col("lost_id__"), "left").drop("lost_id__")
-    return joined.withColumn(text_col, F.when(F.col("removed").isNull(), F.col(text_col)).otherwise(kept))
+    lost = materialise(repeated_spans(spans, id_col=id_col).groupBy(F.col(id_col).alias("lost__")).agg(F.collect_set("place").alias("places__")), "removals")
+    joined = docs.join(lost, F.col(id_col).eqNullSafe(F.col("lost__")), "left").drop("lost__")
+    schema = T.StructType([*docs.schema.fields, T.StructField("removed", T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])))])
+    at, names = docs.columns.index(text_col), docs.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 256):
+                part = batch.slice(lo, 256)
+                texts, cuts = part.column(at).to_pylist(), []
+                for k, places in enumerate(part.column(len(names)).to_pylist()):
+                    cuts.append(None)
+                    if places and texts[k]:
+                        texts[k], cut = without(texts[k], set(places), min_sentences, min_words)
+                        cuts[k] = [{"start": a, "end": b} for a, b in cut] or None
+                columns = [part.column(k) for k in range(len(names))]
+                columns[at] = pa.array(texts, pa.string())
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(cuts, kind)], names=[*names, "removed"])
+
+    return joined.mapInArrow(run, schema)
+
+
+def without(text: str, places: set[int], min_sentences: int, min_words: int) -> tuple[str, list[tuple[int, int]]]:
+    """The text without the runs that start at ``places``, and the merged pieces that went."""
+    found, cut = sentences(text), []
+    for first, past in runs(found, min_sentences, min_words):
+        if first in places:
+            start, end = found[first][0], found[past - 1][1]
+            if first and cut and found[first - 1][1] <= cut[-1][1]:
+                cut[-1] = (cut[-1][0], max(cut[-1][1], end))
+            else:
+                cut.append((start, end))
+    kept, last = [], 0
+    for start, end in cut:
+        kept.append(text[last:start])
+        last = end
+    return "".join([*kept, text[last:]]), cut
 
 
 def document_spans(docs: DataFrame) -> DataFrame:
-    """doc_id, the text that stays, removed spans as start:end and their number and code points, for every document."""
+    """doc_id, the text that stays, removed spans as start:end, their number and code points, for every document."""
     out = remove_repeated(docs.select("doc_id", "text"))
     return out.select(
         "doc_id", "text", F.coalesce(F.array_join(F.expr("transform(removed, r -> concat(r.start, ':', r.end))"), ","), F.lit("")).alias("removed"),
