@@ -6,12 +6,13 @@ every record as a gzip member of its own and writes a sidecar index (one JSON li
 length, type, id, digest). ``read_archives`` then reads members at the offsets of that index.
 
 Archives roll over at a fixed size, so neither a file nor the memory of a task grows with the input.
-Files appear under their final name by a rename, which makes task retries and speculative copies
-harmless. Files go to the shared folder through Arrow's file systems (local, HDFS, object stores).
+Files are named by task attempt and appear by a rename, and the table of archives lists those of the
+attempt that Spark committed: retries and speculative copies leave files that nothing reads. Files go to the shared folder through Arrow's file systems (local, HDFS, object stores).
 
 Equal payloads: all of a digest group but the record with the largest id become ``revisit`` records
-without a payload. The group's target is found by a partial aggregate (digest -> largest id); the
-join back is a plain equi-join whose hot digests adaptive execution splits.
+without a payload. The group's target is found by a partial aggregate (digest -> largest id) over digests alone;
+its table is written, and the join back is a broadcast only if the file is under Spark's threshold,
+else an equi-join whose hot digests adaptive execution splits.
 
 Defined results: a null payload is the empty payload; rows with one id repeated are all targets if
 it is the largest; a null id takes part as the smallest; an empty table gives an empty result.
@@ -47,16 +48,19 @@ def _at(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri)
 
 
+def _attempt() -> int:
+    ctx = TaskContext.get()
+    return ctx.taskAttemptId() if ctx else os.getpid()
+
+
 class _Sink:
     """A file that appears whole, under its final name, or not at all."""
 
     def __init__(self, folder: str, name: str):
         self.fs, root = _at(folder)
         self.fs.create_dir(root, recursive=True)
-        ctx = TaskContext.get()
-        self.final = f"{root}/{name}"
-        self.temp = f"{root}/_{name}.{ctx.taskAttemptId() if ctx else os.getpid()}"
-        self.out = self.fs.open_output_stream(self.temp)
+        self.final, self.temp = f"{root}/{name}", f"{root}/_{name}"
+        self.out = self.fs.open_output_stream(self.temp, compression=None)
         self.size = 0
 
     def write(self, data: bytes) -> None:
@@ -104,7 +108,7 @@ def write_archives(records: DataFrame, folder: str, *, roll_bytes: int = ROLL_BY
             for lo in range(0, batch.num_rows, 256):
                 for rid, url, payload, refers in zip(*(c.to_pylist() for c in batch.slice(lo, 256).columns)):
                     if sink is None:
-                        name = f"part-{part:06d}-{rolled:04d}.warc.gz"
+                        name = f"part-{part:06d}-{_attempt()}-{rolled:04d}.warc.gz"
                         sink, packer, count = _Sink(folder, name), zlib.compressobj(level, zlib.DEFLATED, 31), 0
                     if data := packer.compress(_record("" if rid is None else rid, url, payload or b"", refers)):
                         sink.write(data)
@@ -184,7 +188,7 @@ def normalise(archives: DataFrame, folder: str, *, level: int = 6) -> DataFrame:
         for batch in batches:
             for uri in batch.column(0).to_pylist():
                 fs, path = _at(uri)
-                name = path.rpartition("/")[2]
+                name = path.rpartition("/")[2].replace(".warc.gz", f"-{_attempt()}.warc.gz")
                 out, side, count = _Sink(folder, name), _Sink(folder, f"{name}.idx.jsonl"), 0
                 with fs.open_input_stream(path, compression=None) as stream:
                     for head, record in split_records(_inflate(stream)):
@@ -266,6 +270,8 @@ def with_targets(pages: DataFrame, id_col: str, payload_col: str, *, min_bytes:
         .where(F.col("n") >= min_bytes).groupBy("digest").agg(F.max("rid").alias("target"), F.count("*").alias("copies"))
         .where("copies > 1").select("digest", "target")
     )
+    # Written first, so that its true size decides whether the payloads have to be shuffled to meet it.
+    copied = materialise(copied, "copied")
     return keyed.join(copied, "digest", "left").select("rid", "url", "payload", F.when(F.col("target").isNotNull() & ~F.col("rid").eqNullSafe(F.col("target")), F.col("target")).alias("refers"))
 
 
