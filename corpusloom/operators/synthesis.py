@@ -66,11 +66,11 @@ def moderated(claims: DataFrame, key: str) -> DataFrame:
     return claims.where("claim_type = 'moderated'").groupBy(key).agg(F.count("*").alias("n")).where("n >= 2")
 
 
-def forest_rows(effects: DataFrame, order: str, effect: str, low: str, high: str) -> DataFrame:
-    """A row a study; a missing bound is 0.2 away."""
-    w = Window.orderBy(order)
+def forest_rows(effects: DataFrame, key: str, order: str, effect: str, low: str, high: str) -> DataFrame:
+    """A row a study, numbered within its ``key``; a missing bound is 0.2 away."""
+    w = Window.partitionBy(key).orderBy(order)
     e = F.col(effect)
-    return effects.where(e.isNotNull()).withColumn("label", F.concat(F.lit("Study "), F.row_number().over(w).cast("string"))).select("label", order, e.alias("effect"), F.coalesce(low, e - 0.2).alias("ci_lower"), F.coalesce(high, e + 0.2).alias("ci_upper"))
+    return effects.where(e.isNotNull()).withColumn("label", F.concat(F.lit("Study "), F.row_number().over(w).cast("string"))).select(key, "label", order, e.alias("effect"), F.coalesce(low, e - 0.2).alias("ci_lower"), F.coalesce(high, e + 0.2).alias("ci_upper"))
 
 
 def synthesise(claims: DataFrame, key: str) -> DataFrame:

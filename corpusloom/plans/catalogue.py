@@ -487,10 +487,10 @@ def direction_vote(spark: SparkSession, sf: str) -> DataFrame:
     return synthesis.vote(load(spark, sf, "events").select("user_id", "event_type"), "user_id", F.expr(_WAY))
 
 
-@query("SELECT 'Study ' || row_number() OVER (ORDER BY s_suppkey) AS label, s_suppkey, s_acctbal / 1000 AS effect, s_acctbal / 1000 - 0.2 AS ci_lower, CASE WHEN s_nationkey > 10 THEN s_acctbal / 1000 + 0.2 ELSE s_nationkey END AS ci_upper FROM supplier")
+@query("SELECT s_nationkey, 'Study ' || row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS label, s_suppkey, s_acctbal / 1000 AS effect, s_acctbal / 1000 - 0.2 AS ci_lower, CASE WHEN s_nationkey > 10 THEN s_acctbal / 1000 + 0.2 ELSE s_nationkey END AS ci_upper FROM supplier")
 def forest_rows(spark: SparkSession, sf: str) -> DataFrame:
-    e = load(spark, sf, "supplier").select("s_suppkey", (F.col("s_acctbal") / 1000).alias("e"), F.lit(None).cast("double").alias("lo"), F.when(F.col("s_nationkey") <= 10, F.col("s_nationkey").cast("double")).alias("hi"))
-    return synthesis.forest_rows(e, "s_suppkey", "e", "lo", "hi")
+    e = load(spark, sf, "supplier").select("s_nationkey", "s_suppkey", (F.col("s_acctbal") / 1000).alias("e"), F.lit(None).cast("double").alias("lo"), F.when(F.col("s_nationkey") <= 10, F.col("s_nationkey").cast("double")).alias("hi"))
+    return synthesis.forest_rows(e, "s_nationkey", "s_suppkey", "e", "lo", "hi")
 
 
 @query("""WITH w AS (SELECT conv_id, turn, list_distinct(regexp_extract_all(lower(text), '([a-z]{5,})', 1)) AS w FROM conversations), f AS (SELECT conv_id, arg_min(w, turn) AS p FROM w GROUP BY conv_id),

@@ -22,9 +22,12 @@ def sniff_separator(spark: SparkSession, path: str) -> str:
         return ","
 
 
-def read_table(spark: SparkSession, path: str, *, sep: str | None = None) -> DataFrame:
-    """CSV, TSV or TXT with a header; every column a string, an empty header becomes Column_i."""
-    df = spark.read.csv(path, header=True, sep=sep or sniff_separator(spark, path), mode="PERMISSIVE", multiLine=True, escape='"')
+def read_table(spark: SparkSession, path: str, *, sep: str | None = None, multi_line: bool = False) -> DataFrame:
+    """CSV, TSV or TXT with a header; every column a string, an empty header becomes Column_i.
+
+    ``multi_line`` lets quoted fields hold line ends, at the price that a file is then read by one task.
+    """
+    df = spark.read.csv(path, header=True, sep=sep or sniff_separator(spark, path), mode="PERMISSIVE", multiLine=multi_line, escape='"')
     return df.toDF(*[c if c and not c.startswith("_c") else f"Column_{i}" for i, c in enumerate(df.columns)])
 
 
