@@ -15,8 +15,8 @@ def merged(base: dict, over: dict) -> dict:
     return out
 
 
-def with_environment(settings: dict, prefix: str = "AF_", environ: dict[str, str] | None = None) -> dict:
-    """Overrides such as AF_TRIAGE__SEND=0.8: two underscores step down, so that keys may contain one. Values keep the type of what they replace."""
+def with_environment(settings: dict, prefix: str = "CORPUSLOOM_", environ: dict[str, str] | None = None) -> dict:
+    """Overrides such as CORPUSLOOM_TRIAGE__SEND=0.8: two underscores step down, so that keys may contain one. Values keep the type of what they replace."""
     out = deepcopy(settings)
     for name, value in (os.environ if environ is None else environ).items():
         if not name.startswith(prefix):

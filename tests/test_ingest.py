@@ -12,7 +12,7 @@ def rows(df, key):
 
 def test_config():
     base = {"triage": {"send": 0.7, "on": True}, "name": "x"}
-    out = config.with_environment(config.merged(base, {"triage": {"review": 0.4}}), environ={"AF_TRIAGE__SEND": "0.8", "AF_TRIAGE__ON": "false", "OTHER": "1", "AF_MAX_ROWS": "5"})
+    out = config.with_environment(config.merged(base, {"triage": {"review": 0.4}}), environ={"CORPUSLOOM_TRIAGE__SEND": "0.8", "CORPUSLOOM_TRIAGE__ON": "false", "OTHER": "1", "CORPUSLOOM_MAX_ROWS": "5"})
     assert out == {"triage": {"send": 0.8, "on": False, "review": 0.4}, "name": "x", "max_rows": "5"} and base["triage"]["send"] == 0.7
     assert config.get(out, "triage.review") == 0.4 and config.get(out, "triage.none", 1) == 1
 
