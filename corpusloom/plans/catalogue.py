@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions import normalize as N
 from corpusloom.functions import parse as P
 from corpusloom.functions import similarity as SIM
-from corpusloom.operators import audit, dedup, expansion, gaps, graph, merge, synthesis, taxonomy, vector
+from corpusloom.operators import audit, dedup, expansion, gaps, graph, ingest, merge, synthesis, taxonomy, vector
 from corpusloom.operators import relational as R
 from corpusloom.session import load
 
@@ -663,3 +663,37 @@ def event_sessions(spark: SparkSession, sf: str) -> DataFrame:
     w = Window.partitionBy("user_id").orderBy("ts")
     e = load(spark, sf, "events").select("user_id", "ts", F.lag("ts").over(w).alias("p"))
     return e.where((F.col("ts") > F.col("p") + F.expr("interval 6 hours")) | F.col("p").isNull()).groupBy("user_id").agg(F.count("*").alias("n_sessions"))
+
+
+# ================================================================ ingest, queues, windows
+@query("SELECT doc_id, CASE WHEN contains(lower(text), 'nicht') THEN 'off_topic' WHEN contains(lower(text), 'that') OR contains(lower(text), 'pour') THEN 'on_topic' ELSE 'needs_abstract' END AS topic_decision FROM documents")
+def keyword_passes(spark: SparkSession, sf: str) -> DataFrame:
+    return ingest.keyword_passes(load(spark, sf, "documents").select("doc_id", "text"), F.col("text"), [("off_topic", ["nicht"]), ("on_topic", ["that", "pour"])], default="needs_abstract").drop("text")
+
+
+@query("""WITH l AS (SELECT n_nationkey AS key, CASE WHEN n_nationkey % 3 = 0 THEN ' ' ELSE n_name END AS name FROM nation), r AS (SELECT p_partkey AS key, p_brand AS name FROM part WHERE p_partkey <= 40)
+SELECT key, coalesce(nullif(CASE WHEN trim(l.name) = '' THEN '' ELSE l.name END, ''), r.name) AS name FROM l FULL JOIN r USING (key)""")
+def two_source_resolve(spark: SparkSession, sf: str) -> DataFrame:
+    left = load(spark, sf, "nation").select(F.col("n_nationkey").cast("long").alias("key"), F.when(F.col("n_nationkey") % 3 == 0, " ").otherwise(F.col("n_name")).alias("name"))
+    return ingest.resolved(left, load(spark, sf, "part").where("p_partkey <= 40").select(F.col("p_partkey").alias("key"), F.col("p_brand").alias("name")), "key", ["name"])
+
+
+@query("""WITH q AS (SELECT user_id::VARCHAR AS doi, count(*) AS discovery_count, least(1, max(value) / 200) AS priority_score FROM events GROUP BY user_id),
+h AS (SELECT * FROM q ORDER BY priority_score DESC, discovery_count DESC, doi LIMIT 100)
+SELECT doi, discovery_count, round(priority_score, 6) AS priority_score FROM h WHERE priority_score >= 0.3 ORDER BY h.priority_score DESC, discovery_count DESC, doi LIMIT 50""")
+def queue_import(spark: SparkSession, sf: str) -> DataFrame:
+    q = load(spark, sf, "events").groupBy(F.col("user_id").cast("string").alias("doi")).agg(F.count("*").alias("discovery_count"), F.least(F.lit(1.0), F.max("value") / 200).alias("priority_score")).withColumn("status", F.lit("pending"))
+    return expansion.queue_import(q, 50, least=0.3).select("doi", "discovery_count", F.round("priority_score", 6).alias("priority_score"))
+
+
+@query("SELECT date_trunc('day', ts)::TIMESTAMP AS day, event_type, count(*) AS n FROM events GROUP BY ALL")
+def event_windows(spark: SparkSession, sf: str) -> DataFrame:
+    from corpusloom.streaming.incremental import windowed
+
+    return windowed(load(spark, sf, "events"), "ts", size="1 day", late="1 hour", keys=["event_type"]).select(F.col("window.start").alias("day"), "event_type", "n")
+
+
+@query("SELECT c_custkey, c_mktsegment, rank FROM (SELECT *, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_acctbal DESC, c_custkey) AS rank FROM customer) WHERE rank <= 10")
+def top_per_group(spark: SparkSession, sf: str) -> DataFrame:
+    c = load(spark, sf, "customer").select("c_custkey", "c_mktsegment", F.col("c_acctbal").alias("score"))
+    return vector.top_per_group(c, "c_mktsegment", "c_custkey", 10).select("c_custkey", "c_mktsegment", "rank")
