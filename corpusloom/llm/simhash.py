@@ -183,6 +183,7 @@ def similar_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     wanted = pairs.select(F.col("a").alias("node")).unionAll(pairs.select("b")).distinct()
     reps = nodes.join(wanted, "node", "left_semi").select("node", "first_id", "first_t")
     texts = keyed.select(F.col(id_col).alias("i__"), "t__", F.col(text_col).alias("text__")).join(reps, (F.col("i__") == F.col("first_id")) & (F.col("t__") == F.col("first_t"))).groupBy("node").agg(F.first("text__").alias("text__"))
+    texts = materialise(texts, "texts")  # plain joins from here on, whose hot nodes adaptive execution can split
     classes = connected_components(_verified(pairs, texts, shingle, similarity))
     rooted = nodes.join(classes, "node", "left").select("node", "first_id", F.coalesce("component", "node").alias("root"))
     named = rooted.join(rooted.groupBy("root").agg(F.min("first_id").alias("component_id")), "root").select("node", "root", "component_id")
