@@ -121,6 +121,7 @@ def redact(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", o
     keyed = docs.withColumn("hash__", F.xxhash64(text_col))
     found = judged(keyed, [id_col, "hash__"], text_col=text_col, owner_col=owner_col, repository_col=id_col, example_owners=example_owners)
     found = found.where("size(findings) > 0").groupBy(F.col(id_col).alias("i__"), F.col("hash__").alias("h__")).agg(F.first("findings").alias("findings__"))
+    found = materialise(found, "findings")  # its true size decides whether the texts are shuffled to meet it
     text = f"""aggregate(findings__, named_struct('at', 0, 'out', ''),
         (acc, m) -> case when m.end <= acc.at then acc else named_struct('at', m.end, 'out', concat(acc.out, substring(`{text_col}`, acc.at + 1, greatest(m.start - acc.at, 0)), case when m.start < acc.at then '' else '[SECRET]' end)) end,
         acc -> concat(acc.out, substring(`{text_col}`, acc.at + 1)))"""
