@@ -19,6 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.llm.shared import materialise
 from corpusloom.llm.text import SPACE, words
 
 MIN_WORDS, REPEAT_PERCENT, WINDOW = 20, 30, 8
@@ -81,16 +82,16 @@ def with_verdicts(docs: DataFrame, keep: list[str], *, text_col: str = "text", h
     return judge(rows, keep, limit=limit)
 
 
-def judge(rows: DataFrame, keep: list[str], *, limit: float = HOST_LIMIT) -> DataFrame:
-    hosts = host_verdicts(rows, F.col("host__"), F.col("base_failed"), limit=limit).select(F.col("host").alias("h__"), "host_kept", F.col("rate").alias("host_rate"))
+def judge(rows: DataFrame, keep: list[str], *, hosts: DataFrame | None = None, limit: float = HOST_LIMIT) -> DataFrame:
+    """Measured rows (with host__) and their verdict. ``hosts``: their verdicts, if they were written before."""
+    hosts = host_verdicts(rows, F.col("host__"), F.col("base_failed"), limit=limit) if hosts is None else hosts
+    hosts = hosts.select(F.col("host").alias("h__"), "host_kept")
     joined = rows.join(hosts, F.col("host__").eqNullSafe(F.col("h__")), "left")
     return joined.select(*keep, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & F.col("host_kept")).alias("kept"))
 
 
 def document_rules(docs: DataFrame) -> DataFrame:
     """The digest columns of every document. The measures are written once, as two passes read them."""
-    from corpusloom.llm.shared import materialise
-
     rows = materialise(measured(docs.withColumn("host__", F.col("source").cast("string")), ["doc_id", "host__"]), "measures")
     return judge(rows, ["doc_id"])
 
