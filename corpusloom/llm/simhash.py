@@ -16,13 +16,14 @@ rows come back repeated.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm.components import connected_components
@@ -110,32 +111,71 @@ def document_classes(docs: DataFrame) -> DataFrame:
     return near_duplicate_classes(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-SKETCH, SIMILARITY = 16, 0.8
+SIMILARITY = 0.8
+#: Shingles found in COMMON_LEAST texts of one sixteenth of the corpus, the COMMON_MOST most frequent at most, come last in the order of shingles.
+COMMON_LEAST, COMMON_MOST = 8, 100_000
 
 
-def sketches(docs: DataFrame, keep: list[str], *, text_col: str = "text", shingle: int = 5) -> DataFrame:
-    """The columns ``keep`` with ``node`` (a hash of the words), ``fp`` and ``sketch`` (the SKETCH smallest distinct shingle hashes)."""
-    schema = ", ".join([*(f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in keep), "node long, fp long, sketch array<long>"])
+def _columns(docs: DataFrame, keep: list[str]) -> str:
+    return ", ".join(f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in keep)
+
+
+def common_shingles(docs: DataFrame, *, text_col: str = "text", shingle: int = 5) -> np.ndarray:
+    """Frequent shingle hashes, the most frequent last. They only order the shingles: any order loses no pair, this one meets fewer."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(shingle_hashes(text, shingle)).view(np.int64))], names=["e"])
+
+    part = docs.where(F.pmod(F.xxhash64(text_col), F.lit(16)) == 0).select(text_col).mapInArrow(run, "e long")
+    found = part.groupBy("e").agg(F.count("*").alias("n")).where(F.col("n") >= COMMON_LEAST).orderBy(F.desc("n"), "e").limit(COMMON_MOST).collect()
+    return np.array([r["e"] for r in reversed(found)], np.int64).view(np.uint64)
+
+
+def prefix(hashes: np.ndarray, similarity: float, common: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The first shingles of a set (sorted hashes) in the common order, so many that two sets of at least ``similarity`` share one of them.
+
+    ``common`` is sorted, ``at`` has its places in the order, behind all other hashes.
+    """
+    size = len(hashes)
+    if not size:
+        return hashes
+    if len(common):
+        k = np.minimum(np.searchsorted(common, hashes), len(common) - 1)
+        late = common[k] == hashes
+        hashes = np.concatenate([hashes[~late], hashes[late][np.argsort(at[k[late]])]])
+    return hashes[: size - math.ceil(similarity * size - 1e-9) + 1]
+
+
+def prefixes(docs: DataFrame, keep: list[str], *, text_col: str = "text", shingle: int = 5, similarity: float = SIMILARITY, common: np.ndarray | None = None) -> DataFrame:
+    """The columns ``keep`` with ``node`` (a hash of the words), ``size`` (distinct shingles) and ``prefix``, whose hashes are empty without ``common``."""
+    at = np.argsort(common) if common is not None else np.zeros(0, np.int64)
+    ranked = common[at] if common is not None else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 512):
                 part = batch.slice(lo, 512)
-                node, fp, least = [], [], []
+                node, size, first = [], [], []
                 for text in part.column(len(keep)).to_pylist():
                     h = shingle_hashes(text, shingle)
                     node.append(xxhash.xxh64_intdigest(h.tobytes(), 7))
-                    fp.append(majority(h))
-                    least.append(np.unique(h)[:SKETCH].view(np.int64))
-                signed = lambda x: pa.array(np.array(x, np.uint64).view(np.int64), pa.int64())
-                yield pa.RecordBatch.from_arrays([part.column(k) for k in range(len(keep))] + [signed(node), signed(fp), pa.array(least, pa.list_(pa.int64()))], names=[*keep, "node", "fp", "sketch"])
+                    h = np.unique(h)
+                    size.append(len(h))
+                    first.append((h[:0] if ranked is None else prefix(h, similarity, ranked, at)).view(np.int64))
+                nodes = pa.array(np.array(node, np.uint64).view(np.int64), pa.int64())
+                yield pa.RecordBatch.from_arrays([part.column(k) for k in range(len(keep))] + [nodes, pa.array(size, pa.int32()), pa.array(first, pa.list_(pa.int64()))], names=[*keep, "node", "size", "prefix"])
 
-    return docs.select(*keep, F.col(text_col).alias("text__")).mapInArrow(run, schema)
+    return docs.select(*keep, F.col(text_col).alias("text__")).mapInArrow(run, f"{_columns(docs, keep)}, node long, size int, prefix array<long>")
 
 
 def shared_part(a: str | None, b: str | None, shingle: int) -> float:
     """Jaccard similarity of the shingle sets of two texts; 1 if neither has a word."""
-    x, y = np.unique(shingle_hashes(a, shingle)), np.unique(shingle_hashes(b, shingle))
+    return _jaccard(np.unique(shingle_hashes(a, shingle)), np.unique(shingle_hashes(b, shingle)))
+
+
+def _jaccard(x: np.ndarray, y: np.ndarray) -> float:
     both = len(np.intersect1d(x, y, assume_unique=True))
     return both / (len(x) + len(y) - both) if len(x) or len(y) else 1.0
 
@@ -148,43 +188,79 @@ def _verified(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: floa
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
-                good = [shared_part(x, y, shingle) >= similarity for x, y in zip(part.column(2).to_pylist(), part.column(3).to_pylist())]
+                sets = {t: np.unique(shingle_hashes(t, shingle)) for k in (2, 3) for t in set(part.column(k).to_pylist())}
+                good = [_jaccard(sets[x], sets[y]) >= similarity for x, y in zip(part.column(2).to_pylist(), part.column(3).to_pylist())]
                 yield pa.RecordBatch.from_arrays([part.column(k).filter(pa.array(good)) for k in (0, 1)], names=["a", "b"])
 
     return met.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
+def _reaches(similarity: float) -> Column:
+    """Whether texts of na and nb shingles, n of them in both prefixes, can have the similarity: at most what lies behind either prefix is shared as well."""
+    behind = F.ceil(similarity * F.greatest("na", "nb") - 1e-9) - 1
+    return (F.col("n") + behind >= (F.col("na") + F.col("nb")) * (similarity / (1 + similarity)) - 1e-6) & (F.least("na", "nb") >= similarity * F.greatest("na", "nb") - 1e-6)
+
+
+def _hubs(held: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) that likely join large groups. ``held``: e, node, size, texts (that hold e).
+
+    The hubs of a shingle are its first text and the one with the largest part of widespread shingles, as
+    an original has among its variants; a text meets the two hubs it shares most with. The count of shared
+    shingles is a lower one here: what the bound drops, the candidates bring back.
+    """
+    scored = held.join(held.groupBy("node").agg((F.sum("texts") / F.first("size")).alias("score")), "node")
+    ends = scored.groupBy("e").agg(F.min(F.struct("node", "size")).alias("lo"), F.max(F.struct("score", "node", "size")).alias("hi"))
+    hubs = F.array("lo", F.struct("hi.node", "hi.size"))
+    met = held.join(ends, "e").select(F.col("node").alias("a"), F.col("size").alias("na"), F.explode(hubs).alias("h")).select("a", "na", F.col("h.node").alias("b"), F.col("h.size").alias("nb")).where("a <> b")
+    counted = met.groupBy("a", "b").agg(F.count("*").alias("n"), F.first("na").alias("na"), F.first("nb").alias("nb"))
+    shared = counted.where(_reaches(similarity)).groupBy("a").agg(F.max(F.struct("n", "b")).alias("x"), F.max(F.struct("n", (-F.col("b")).alias("c"))).alias("y"))
+    return shared.select("a", F.explode(F.array(F.col("x.b"), -F.col("y.c"))).alias("b"))
+
+
+def _ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _candidates(held: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
+    """Every pair (a, b) of nodes in different classes that may have the similarity. ``held``: e, node, size; ``classes``: node, component.
+
+    Pairs meet in each shingle that both prefixes hold, so the count of these is whole and the bound loses none.
+    """
+    sided = materialise(held.join(classes, "node", "left").select("e", "node", "size", F.coalesce("component", "node").alias("root")), "sided")
+    side = lambda c: sided.select("e", F.col("node").alias(c), F.col("size").alias(f"n{c}"), F.col("root").alias(f"r{c}"))
+    long_enough = (F.col("na") >= similarity * F.col("nb") - 1e-6) & (F.col("nb") >= similarity * F.col("na") - 1e-6)
+    met = side("a").join(side("b"), "e").where((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & long_enough)
+    counted = met.groupBy("a", "b").agg(F.count("*").alias("n"), F.first("na").alias("na"), F.first("nb").alias("nb"))
+    return counted.where(_reaches(similarity)).select("a", "b")
+
+
 def similar_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = SIMILARITY) -> DataFrame:
     """One row a document: the id, ``node``, ``root`` and ``component_id``, of classes linked by texts of at least ``similarity``.
 
-    Candidates come from the fingerprints within 3 bits, and, as 3 bits reach few of the pairs at 0.8,
-    from sketches: texts that share one of their least shingle hashes meet the first and the last text
-    (by hash) that has it, so a shingle of many texts costs two pairs a text, never all pairs. A pair whose sketches agree by half is verified on whole texts. Equal texts are one node throughout.
+    An exact search: in one order of all shingles, frequent ones last, two texts of the similarity share
+    one of the first (1 - similarity) of theirs. Texts first meet a few hubs, which joins most of a large
+    group by few pairs; then all texts that share a first shingle meet, unless they are in one class
+    already. Every pair is verified on whole texts. Equal texts are one node throughout.
     """
     keyed = docs.select(id_col, text_col).withColumn("t__", F.xxhash64(text_col))  # tells rows with one id apart
-    rows = materialise(sketches(keyed, [id_col, "t__"], text_col=text_col, shingle=shingle), "sketches")
-    nodes = materialise(rows.groupBy("node").agg(F.min(id_col).alias("first_id"), F.min_by("t__", id_col).alias("first_t"), F.first("fp").alias("fp"), F.first("sketch").alias("sketch")), "nodes")
-    fps = nodes.groupBy("fp").agg(F.min("node").alias("head"))
-    heads = materialise(fps, "heads")
-    bits = links(heads.select("fp"))
-    of = lambda c: heads.select(F.col("fp").alias(c), F.col("head").alias(f"{c}_head"))
-    by_bits = bits.join(of("a"), "a").join(of("b"), "b").select(F.col("a_head").alias("a"), F.col("b_head").alias("b"))
-    by_bits = by_bits.unionAll(nodes.join(heads, "fp").where("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b")))
-
-    least = nodes.select("node", F.explode("sketch").alias("e"))
-    ends = least.groupBy("e").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi")
-    met = least.join(ends, "e").select(F.col("node").alias("a"), F.explode(F.array("lo", "hi")).alias("b")).where("a <> b").distinct()
-    sk = lambda c: nodes.select(F.col("node").alias(c), F.col("sketch").alias(f"{c}_sketch"))
-    union = F.slice(F.array_sort(F.array_union("a_sketch", "b_sketch")), 1, SKETCH)
-    agree = F.size(F.array_intersect(F.array_intersect(union, F.col("a_sketch")), F.col("b_sketch")))
-    by_sketch = met.join(sk("a"), "a").join(sk("b"), "b").where(2 * agree >= F.size(union)).select("a", "b")
-    pairs = materialise(by_bits.unionAll(by_sketch).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
-
-    wanted = pairs.select(F.col("a").alias("node")).unionAll(pairs.select("b")).distinct()
-    reps = nodes.join(wanted, "node", "left_semi").select("node", "first_id", "first_t")
-    texts = keyed.select(F.col(id_col).alias("i__"), "t__", F.col(text_col).alias("text__")).join(reps, (F.col("i__") == F.col("first_id")) & (F.col("t__") == F.col("first_t"))).groupBy("node").agg(F.first("text__").alias("text__"))
-    texts = materialise(texts, "texts")  # plain joins from here on, whose hot nodes adaptive execution can split
-    classes = connected_components(_verified(pairs, texts, shingle, similarity))
+    common = common_shingles(docs, text_col=text_col, shingle=shingle)
+    full = materialise(prefixes(keyed, [id_col, "t__"], text_col=text_col, shingle=shingle, similarity=similarity, common=common), "prefixes")
+    rows = full.drop("prefix")
+    nodes = materialise(full.groupBy("node").agg(F.min(id_col).alias("first_id"), F.min_by("t__", id_col).alias("first_t"), F.first("size").alias("size"), F.first("prefix").alias("prefix")), "nodes")
+    of_shingle = nodes.select("node", "size", F.explode("prefix").alias("e"))
+    shared = of_shingle.groupBy("e").agg(F.count("*").alias("texts")).where("texts > 1")
+    held = materialise(of_shingle.join(shared, "e").select("e", "node", "size", "texts"), "held")
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        wanted = pairs.select(F.col("a").alias("node")).unionAll(pairs.select("b")).distinct()
+        reps = nodes.join(wanted, "node", "left_semi").select("node", "first_id", "first_t")
+        texts = keyed.select(F.col(id_col).alias("i__"), "t__", F.col(text_col).alias("text__")).join(reps, F.col("i__").eqNullSafe(F.col("first_id")) & F.col("t__").eqNullSafe(F.col("first_t"))).groupBy("node").agg(F.first("text__").alias("text__"))
+        texts = materialise(texts, "texts")  # plain joins from here on, whose hot nodes adaptive execution can split
+        return materialise(_verified(pairs, texts, shingle, similarity), "links")
+
+    near = linked(materialise(_ordered(_hubs(held, similarity)), "hubs"))
+    rest = linked(materialise(_candidates(held, connected_components(near), similarity), "candidates"))
+    classes = connected_components(near.unionAll(rest))
     rooted = nodes.join(classes, "node", "left").select("node", "first_id", F.coalesce("component", "node").alias("root"))
     named = rooted.join(rooted.groupBy("root").agg(F.min("first_id").alias("component_id")), "root").select("node", "root", "component_id")
     return rows.select(id_col, "node").join(named, "node").select(id_col, "node", "root", "component_id")
@@ -199,6 +275,6 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     kept = classes.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("i__"), F.col("node").alias("n__"), F.col("root").alias("r__"))
     if kept.groupBy("i__").count().where("count > 1").isEmpty():
         return docs.join(kept.select("i__"), F.col(id_col).eqNullSafe(F.col("i__")), "left_semi")
-    own = sketches(docs.withColumn("row__", F.struct(*docs.columns)), ["row__"], text_col=text_col, shingle=shingle)
+    own = prefixes(docs.withColumn("row__", F.struct(*docs.columns)), ["row__"], text_col=text_col, shingle=shingle)
     named = own.join(kept.distinct(), F.col(f"row__.{id_col}").eqNullSafe(F.col("i__")) & (F.col("node") == F.col("n__")))
     return named.dropDuplicates(["i__", "r__"]).select("row__.*")

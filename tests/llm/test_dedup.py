@@ -111,6 +111,37 @@ def test_similar_classes_equal_brute_force(docs):
     assert got == {i: find(i) for i in ids}
 
 
+def test_variants_of_one_original_are_one_class(spark):
+    r = random.Random(11)
+    original = [f"w{r.randrange(10**6)}" for _ in range(300)]
+    texts = [" ".join(original)]
+    for _ in range(300):
+        words = list(original)
+        for at in r.sample(range(8, 292), 6):
+            words[at] = f"v{r.randrange(10**9)}"
+        texts.append(" ".join(words))
+    assert all(simhash.shared_part(texts[0], t, 5) >= 0.8 for t in texts)
+    assert sum(simhash.shared_part(a, b, 5) < 0.8 for a, b in zip(texts[1:], texts[2:])) > 250
+    r.shuffle(texts)
+    got = simhash.similar_classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert len(got) == 301 and {x["component_id"] for x in got} == {0}
+
+
+def test_prefixes_meet_in_any_order():
+    import numpy as np
+
+    r = np.random.default_rng(4)
+    for _ in range(300):
+        n = int(r.integers(1, 60))
+        pool = r.integers(0, 2**63, n + 20).astype(np.uint64)
+        x, y = np.unique(pool[: int(r.integers(1, n + 1))]), np.unique(pool[int(r.integers(0, 8)) : n])
+        both = len(np.intersect1d(x, y))
+        common = np.unique(r.choice(pool, 10, replace=False))
+        at = r.permutation(len(common))
+        if len(x) and len(y) and both / (len(x) + len(y) - both) >= 0.8:
+            assert set(simhash.prefix(x, 0.8, common, at).tolist()) & set(simhash.prefix(y, 0.8, common, at).tolist())
+
+
 def test_keep_one(odd, spark, empty):
     kept = simhash.keep_one(odd).collect()
     ids = [r["doc_id"] for r in kept]
