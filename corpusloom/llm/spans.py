@@ -1,8 +1,9 @@
 """Substring dedup by sliding sentence spans.
 
-A text is cut into sentences behind a word that ends in ``. ! ? ; :`` and at line ends; a long one is
-cut further behind words whose hash says so, which depends on the word alone, so a passage is cut
-alike wherever it stands. A span is the shortest run of at least ``min_sentences`` consecutive
+A text is cut into sentences behind a word that ends in ``. ! ? ; :`` and at line ends, and further so
+that of any ``WINDOW`` = 8 words one ends a sentence: the last that has the least rank, where ends of
+sentences and lines rank below all hashes. A cut depends on the 7 words on either side alone, so a
+passage is cut alike wherever it stands, but for its ends, and one of 50 whole words holds a whole span. A span is the shortest run of at least ``min_sentences`` consecutive
 sentences with at least ``min_words`` words. All spans of the corpus are hashed (96 bits of the words
 joined by one space) and joined globally; of every span that occurs again, the first occurrence (by
 doc_id, then place) stays and the sentences of all others are removed.
@@ -19,10 +20,10 @@ doc_id only lose what repeats inside them, taken together.
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -33,39 +34,50 @@ from corpusloom.llm.shared import materialise
 
 MIN_SENTENCES, MIN_WORDS = 3, 20
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
-_CUT_BITS = 5
+WINDOW = 8
 
 
 def sentences(text: str) -> list[tuple[int, int, list[str]]]:
     """(start, end, words) of each sentence, in code points; ends before the next one's first word."""
-    out, words, start, last = [], [], 0, 0
-    for m in _WORD.finditer(text):
-        word = m.group()
-        if words and "\n" in text[last : m.start()]:
-            out.append((start, last, words))
-            words = []
-        if not words:
-            start = m.start()
-        words.append(word)
-        last = m.end()
-        if word[-1] in ".!?;:" or not hash_bits(word):
-            out.append((start, last, words))
-            words = []
-    if words:
-        out.append((start, last, words))
+    found = [(m.group(), m.start(), m.end()) for m in _WORD.finditer(text)]
+    if not found:
+        return []
+    ends = [w[-1] in ".!?;:" for w, _, _ in found]
+    if "\n" in text:
+        for k in range(len(found) - 1):
+            ends[k] = ends[k] or "\n" in text[found[k][2] : found[k + 1][1]]
+    ends[-1] = True
+    out, first = [], 0
+    for k in np.flatnonzero(np.array(ends) | _least([w for w, _, _ in found], ends)).tolist():
+        out.append((found[first][1], found[k][2], [w for w, _, _ in found[first : k + 1]]))
+        first = k + 1
     return out
 
 
-_bits: dict[str, int] = {}
+def _least(words: list[str], ends: list[bool]) -> np.ndarray:
+    """Whether a word is the last of least rank in one of the windows that hold it."""
+    chosen = np.zeros(len(words), bool)
+    if len(words) >= WINDOW:
+        rank = np.fromiter((0 if e else word_rank(w) for w, e in zip(words, ends)), np.int64, len(words))
+        least = (rank << 32) | (0xFFFFFFFF - np.arange(len(words)))
+        step = 1
+        while step < WINDOW:  # a power of two
+            least = np.minimum(least[:-step], least[step:])
+            step *= 2
+        chosen[0xFFFFFFFF - (least & 0xFFFFFFFF)] = True
+    return chosen
 
 
-def hash_bits(word: str) -> int:
-    """0 for one word in 2 ** _CUT_BITS, the same on every machine."""
-    value = _bits.get(word)
+_ranks: dict[str, int] = {}
+
+
+def word_rank(word: str) -> int:
+    """30 bits of the word's hash, above 0, the same on every machine."""
+    value = _ranks.get(word)
     if value is None:
-        if len(_bits) > 1 << 17:
-            _bits.clear()
-        value = _bits[word] = hashlib.blake2b(word.encode(), digest_size=1).digest()[0] & ((1 << _CUT_BITS) - 1)
+        if len(_ranks) > 1 << 17:
+            _ranks.clear()
+        value = _ranks[word] = (xxhash.xxh64_intdigest(word.encode()) & 0x3FFFFFFF) + 1
     return value
 
 

@@ -204,3 +204,17 @@ def test_passage_is_found_wherever_it_stands(spark):
     assert all(got[i]["chars_removed"] > 0.6 * len(passage) for i in range(1, 6))
     clean = spark.createDataFrame([(i, " ".join(word() for _ in range(200))) for i in range(5)], "doc_id long, text string")
     assert spans.document_spans(clean).agg(F.sum("n_removed")).first()[0] == 0
+
+
+def test_any_fifty_words_hold_a_whole_span():
+    r = random.Random(21)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(r.randrange(2, 9)))
+
+    def found(text):
+        cut = spans.sentences(text)
+        return {" ".join(w for s in cut[a:b] for w in s[2]) for a, b in spans.runs(cut, spans.MIN_SENTENCES, spans.MIN_WORDS)}
+
+    for k in range(400):
+        passage = " ".join(word() + ("." if k % 2 and r.random() < 0.1 else "") for _ in range(50))
+        one, two = (" ".join([*(word() for _ in range(r.randrange(30))), passage, *(word() for _ in range(r.randrange(30)))]) for _ in range(2))
+        assert found(one) & found(two)
