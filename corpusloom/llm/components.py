@@ -2,7 +2,7 @@
 
 Every round is two partial aggregates and two equi-joins and is written to the shared folder, so
 lineage stays short and nothing but two scalars a round reaches the driver. The number of rounds
-grows with the logarithm of the longest chain.
+grows with the logarithm of the longest chain. The table of a round goes as soon as the next one stands.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.shared import materialise
+from corpusloom.llm.shared import drop, written
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -31,11 +31,13 @@ def connected_components(edges: DataFrame, *, max_rounds: int = 60) -> DataFrame
 
     Loops and repeated edges are allowed, null ends are ignored; no edge, no row.
     """
-    state = materialise(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    state, path = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     mark = None
     for _ in range(max_rounds):
         now = state.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b") % 1000003).alias("h")).first()
         if now["n"] == 0 or now == mark:
             return state.select(F.col("a").alias("node"), F.col("b").alias("component")).unionAll(state.select(F.col("b"), F.col("b")).distinct())
-        mark, state = now, materialise(_small_star(_large_star(state)), "stars")
+        mark, before = now, path
+        state, path = written(_small_star(_large_star(state)), "stars")
+        drop(edges.sparkSession, before)
     raise RuntimeError(f"the components did not settle in {max_rounds} rounds")

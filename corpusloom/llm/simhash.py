@@ -17,7 +17,6 @@ rows come back repeated.
 from __future__ import annotations
 
 import math
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,21 +29,24 @@ from corpusloom.llm.components import connected_components
 from corpusloom.llm.shared import materialise
 
 DISTANCE = 3
-_WORDS = re.compile(rb"[^\x20\x09-\x0D]+").findall
 _BLOCK = 1 << 15
 
 
 def shingle_hashes(text: str | None, shingle: int, seed: int = 42) -> np.ndarray:
-    """XXH64 of each run of ``shingle`` words (A-Z lower-cased, joined by a space), repeats included; fewer words make one run."""
-    words = _WORDS((text or "").encode().lower())
-    if not words:
+    """XXH64 of each run of ``shingle`` words (A-Z lower-cased, joined by a space), repeats included; fewer words make one run.
+
+    Of a long text no more than a block of runs is held as Python objects.
+    """
+    line = b" ".join((text or "").encode().lower().split())  # splits at \x20 and \x09 to \x0D
+    if not line:
         return np.zeros(0, np.uint64)
-    line, digest = b" ".join(words), xxhash.xxh64_intdigest
-    sizes = np.array([len(w) + 1 for w in words])
-    ends = np.cumsum(sizes)
-    n = max(1, len(words) - shingle + 1)
-    starts, stops = (ends - sizes)[:n].tolist(), (ends[min(shingle, len(words)) - 1 :] - 1).tolist()
-    return np.array([digest(line[a:b], seed) for a, b in zip(starts, stops)], np.uint64)
+    gaps, digest = np.flatnonzero(np.frombuffer(line, np.uint8) == 32), xxhash.xxh64_intdigest
+    starts, ends = np.append(0, gaps + 1), np.append(gaps, len(line))
+    ends = ends[min(shingle, len(ends)) - 1 :]
+    out = np.empty(len(ends), np.uint64)
+    for lo in range(0, len(ends), _BLOCK):
+        out[lo : lo + _BLOCK] = [digest(line[a:b], seed) for a, b in zip(starts[lo : lo + _BLOCK].tolist(), ends[lo : lo + _BLOCK].tolist())]
+    return out
 
 
 def majority(hashes: np.ndarray) -> int:
@@ -73,23 +75,38 @@ def fingerprints(docs: DataFrame, keep: list[str], *, text_col: str = "text", sh
     return docs.select(*keep, F.col(text_col).alias("text__")).mapInArrow(run, schema)
 
 
-def links(distinct: DataFrame) -> DataFrame:
-    """``distinct`` (fp: long, each once) -> (a, b): every pair of fingerprints that differ in 1 to 3 bits, once or twice."""
-    segment = lambda s: F.when(s == 0, F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF))).otherwise(F.shiftrightunsigned("fp", 32))
-    wild = distinct.select("fp", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("w")).select("fp", "w", segment(F.expr("w div 32")).alias("half"), F.expr("shiftleft(1L, w % 32)").alias("bit"))
-    wild = wild.select("fp", (F.expr("shiftleft(cast(w as bigint), 32)") + F.expr("half & ~bit")).alias("key"), F.expr("(half & bit) <> 0").alias("set"))
-    near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= DISTANCE
-    one_off = wild.where("not set").select("key", F.col("fp").alias("a")).join(wild.where("set").select("key", F.col("fp").alias("b")), "key").where(near).select("a", "b")
-
-    same = distinct.select("fp", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("k")).select(
-        "fp", "k", segment(F.expr("k div 4")).alias("half"),
-        F.expr("shiftrightunsigned(fp, case when k < 4 then 32 + 8 * k else 8 * (k - 4) end) & 255").alias("byte"),
-    )
+def _half(segment: int) -> Column:
+    return F.shiftrightunsigned("fp", 32) if segment else F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF))
+
+
+_NEAR = f"bit_count(a ^ b) <= {DISTANCE}"
+
+
+def _one_off(distinct: DataFrame, segment: int) -> DataFrame:
+    """Pairs whose segment differs in exactly one bit: they meet where that bit is the wildcard."""
+    wild = distinct.select("fp", _half(segment).alias("half"), F.explode(F.sequence(F.lit(0), F.lit(31))).alias("w"))
+    wild = wild.select("fp", (F.expr("shiftleft(cast(w as bigint), 32)") + F.expr("half & ~shiftleft(1L, w)")).alias("key"), F.expr("(shiftrightunsigned(half, w) & 1) = 1").alias("set"))
+    clear, marked = (wild.where(c).select("key", F.col("fp").alias(n)) for c, n in (("not set", "a"), ("set", "b")))
+    return clear.join(marked, "key").where(_NEAR).select("a", "b")
+
+
+def _equal(distinct: DataFrame, segment: int) -> DataFrame:
+    """Pairs whose segment is equal: the other holds all differing bits, so one of its 4 bytes is equal too; the first such byte counts."""
+    same = distinct.select("fp", _half(segment).alias("half"), _half(1 - segment).alias("other"), F.explode(F.sequence(F.lit(0), F.lit(3))).alias("k"))
+    same = same.select("fp", "k", "half", F.expr("shiftrightunsigned(other, 8 * k) & 255").alias("byte"))
     left, right = (same.select("k", "half", "byte", F.col("fp").alias(n)) for n in ("a", "b"))
-    # Of several equal bytes the first one counts, so that a pair comes once.
-    earlier = F.expr("k % 4 = 0 or not exists(sequence(0, greatest(k % 4 - 1, 0)), i -> (shiftrightunsigned(a ^ b, case when k < 4 then 32 + 8 * i else 8 * i end) & 255) = 0)")
-    equal = left.join(right, ["k", "half", "byte"]).where((F.col("a") < F.col("b")) & near & earlier).select("a", "b")
-    return one_off.unionAll(equal)
+    differs = lambda i: f"(shiftrightunsigned(a ^ b, {8 * i + 32 * (1 - segment)}) & 255) <> 0"
+    first = " and ".join(f"(k <= {i} or {differs(i)})" for i in range(3))
+    return left.join(right, ["k", "half", "byte"]).where(f"a < b and {_NEAR} and {first}").select("a", "b")
+
+
+def links(distinct: DataFrame) -> DataFrame:
+    """``distinct`` (fp: long, each once) -> (a, b): every pair of fingerprints that differ in 1 to 3 bits, once or twice.
+
+    One segment is indexed at a time and its links are written, so that only one index is shuffled at once.
+    """
+    found = [materialise(_one_off(distinct, s).unionAll(_equal(distinct, s)), f"links-{s}") for s in (0, 1)]
+    return found[0].unionAll(found[1])
 
 
 def near_duplicate_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
