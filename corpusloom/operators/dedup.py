@@ -18,22 +18,30 @@ def author_index(df: DataFrame, authors: str, id_col: str) -> DataFrame:
     return df.select(F.explode(N.surnames(F.col(authors))).alias("surname"), id_col).distinct()
 
 
-def fuzzy_title_pairs(new: DataFrame, known: DataFrame, *, least_shared: int = 2) -> DataFrame:
+def fuzzy_title_pairs(new: DataFrame, known: DataFrame, *, least_shared: int = 2, others_only: bool = False) -> DataFrame:
     """Pairs that share enough key terms: (new_id, known_id, shared). ``new``: new_id, title; ``known``: known_id, title.
 
-    An equi-join on the terms, counted; nothing is capped.
+    Two titles that share k of n terms share one of the n - k + 1 rarest, so a title is looked up by these
+    alone: its most widespread terms, on which everything would meet, are never a join key. Nothing is capped.
     """
-    a = new.select("new_id", N.key_terms(F.col("title")).alias("t")).select("new_id", F.size("t").alias("n"), F.explode("t").alias("term"))
-    b = known.select("known_id", F.explode(F.array_distinct(F.split(N.title_key(F.col("title")), " "))).alias("term"))
-    return a.join(b, "term").groupBy("new_id", "known_id").agg(F.count("*").alias("shared"), F.first("n").alias("n")).where(F.col("shared") >= F.least(F.lit(least_shared), F.col("n"))).drop("n")
-
-
-def fuzzy_title_matches(new: DataFrame, known: DataFrame) -> DataFrame:
+    a = new.select("new_id", N.key_terms(F.col("title")).alias("t")).where(F.size("t") > 0)
+    b = known.select("known_id", F.array_distinct(F.split(N.title_key(F.col("title")), " ")).alias("k"))
+    held = b.select("known_id", F.explode("k").alias("term"))
+    spread = held.groupBy("term").agg(F.count("*").alias("n"))
+    order = F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "term")))  # a title's own terms, five at most
+    rare = a.select("new_id", F.explode("t").alias("term")).join(spread, "term", "left").groupBy("new_id").agg(order.alias("o"))
+    rare = rare.select("new_id", F.explode(F.slice("o", F.lit(1), F.greatest(F.size("o") - (least_shared - 1), F.lit(1)))).alias("x")).select("new_id", F.col("x.term").alias("term"))
+    met = rare.join(held, "term").where(F.col("new_id") != F.col("known_id")) if others_only else rare.join(held, "term")
+    pairs = met.select("new_id", "known_id").distinct().join(a, "new_id").join(b, "known_id").withColumn("shared", F.size(F.array_intersect("t", "k")))
+    return pairs.where(F.col("shared") >= F.least(F.lit(least_shared), F.size("t"))).select("new_id", "known_id", "shared")
+
+
+def fuzzy_title_matches(new: DataFrame, known: DataFrame, *, others_only: bool = False) -> DataFrame:
     """Best fuzzy match of each new title: 0.95 counts as is, 0.85 at 0.9 of its score; shared surnames add 0.1 each, up to 3.
 
-    Both sides: id, title, authors. Ties: more shared terms, then the smaller id.
+    Both sides: id, title, authors. Ties: more shared terms, then the smaller id. ``others_only``: never the row with its own id.
     """
-    pairs = fuzzy_title_pairs(new, known).join(new.select("new_id", F.col("title").alias("a"), F.col("authors").alias("aa")), "new_id").join(known.select("known_id", F.col("title").alias("b"), F.col("authors").alias("ba")), "known_id")
+    pairs = fuzzy_title_pairs(new, known, others_only=others_only).join(new.select("new_id", F.col("title").alias("a"), F.col("authors").alias("aa")), "new_id").join(known.select("known_id", F.col("title").alias("b"), F.col("authors").alias("ba")), "known_id")
     bonus = 0.1 * F.least(F.coalesce(overlap_size(N.surnames(F.col("aa")), N.surnames(F.col("ba"))), F.lit(0)), F.lit(3))
     scored = pairs.withColumn("score", sequence_ratio(N.title_key(F.col("a")), N.title_key(F.col("b"))) + bonus).where("score >= 0.85")
     best = scored.groupBy("new_id").agg(F.min(F.struct((-F.col("score")).alias("s"), (-F.col("shared")).alias("h"), F.col("known_id").alias("i"))).alias("m"))
@@ -42,10 +50,14 @@ def fuzzy_title_matches(new: DataFrame, known: DataFrame) -> DataFrame:
 
 
 def author_title_matches(new: DataFrame, known: DataFrame) -> DataFrame:
-    """Short titles (under 50 characters) by authors (half of them shared) and key terms (0.4 shared)."""
+    """Short titles (under 50 characters) by authors (half of them shared) and key terms (0.4 shared).
+
+    A match shares a surname and a term, so both together are the join key: neither a common name nor a common word meets everything.
+    """
     a = new.where(F.length("title") < 50).select("new_id", N.surnames(F.col("authors")).alias("aa"), N.key_terms(F.col("title")).alias("at"))
     b = known.select("known_id", N.surnames(F.col("authors")).alias("ba"), N.key_terms(F.col("title")).alias("bt"))
-    met = a.select("new_id", F.explode("aa").alias("s")).join(b.select("known_id", F.explode("ba").alias("s")), "s").select("new_id", "known_id").distinct()
+    keys = lambda i, s, t: lambda d: d.select(i, F.explode(s).alias("s"), t).select(i, "s", F.explode(t).alias("t"))
+    met = a.transform(keys("new_id", "aa", "at")).join(b.transform(keys("known_id", "ba", "bt")), ["s", "t"]).select("new_id", "known_id").distinct()
     by_author, by_term = share_of(F.col("aa"), F.col("ba")), share_of(F.col("at"), F.col("bt"))
     scored = met.join(a, "new_id").join(b, "known_id").where((by_author >= 0.5) & (by_term >= 0.4)).select("new_id", "known_id", (0.7 * (by_author + by_term) / 2).alias("confidence"))
     best = scored.groupBy("new_id").agg(F.min(F.struct((-F.col("confidence")).alias("c"), F.col("known_id").alias("i"))).alias("m"))
@@ -79,23 +91,37 @@ def inventory(registry: DataFrame, superseded: DataFrame, canonical: DataFrame,
     return current.join(t, F.col("paper_id") == F.col("p__"), "left").select("paper_id", F.coalesce("title_authoritative", "title").alias("title"), F.coalesce("year", "y__").alias("year"), F.coalesce(N.blank_to_null(F.col("doi")), "d__").alias("doi"))
 
 
+def _inventory_keys(inv: DataFrame) -> DataFrame:
+    return inv.select("paper_id", N.doi_inventory(F.col("doi")).alias("d"), N.inventory_key(F.col("title")).alias("t"), "year")
+
+
 def match_inventory(papers: DataFrame, inv: DataFrame) -> DataFrame:
     """matched, ambiguous or unmatched, on DOI (1.0), title and year (0.98) or title (0.95); more than one candidate is ambiguous.
 
-    ``papers``: paper_id, doi, title, year. The first basis with a candidate decides.
+    ``papers``: paper_id, doi, title, year. The first basis with a candidate decides. A key keeps the number and the
+    first of its papers, so that a title thousands share is one row; ``candidate_pairs`` lists them all.
     """
-    ids = F.array_sort(F.collect_set("paper_id"))
-    rows = inv.select("paper_id", N.doi_inventory(F.col("doi")).alias("d"), N.inventory_key(F.col("title")).alias("t"), "year")
-    by_doi = rows.where("d <> ''").groupBy(F.col("d").alias("d__")).agg(ids.alias("c1"))
-    by_both = rows.where("t <> '' and year is not null").groupBy(F.col("t").alias("t__"), F.col("year").alias("y__")).agg(ids.alias("c2"))
-    by_title = rows.where("t <> ''").groupBy(F.col("t").alias("u__")).agg(ids.alias("c3"))
-    p = papers.select("paper_id", N.doi_inventory(F.col("doi")).alias("d"), N.inventory_key(F.col("title")).alias("t"), "year")
+    rows = _inventory_keys(inv).distinct()
+    ids = [F.countDistinct("paper_id").alias("n"), F.min("paper_id").alias("first")]
+    both = lambda *by: F.struct("n", "first").alias(by[-1])
+    by_doi = rows.where("d <> ''").groupBy(F.col("d").alias("d__")).agg(*ids).select("d__", both("c1"))
+    by_both = rows.where("t <> '' and year is not null").groupBy(F.col("t").alias("t__"), F.col("year").alias("y__")).agg(*ids).select("t__", "y__", both("c2"))
+    by_title = rows.where("t <> ''").groupBy(F.col("t").alias("u__")).agg(*ids).select("u__", both("c3"))
+    p = _inventory_keys(papers)
     joined = p.join(by_doi, F.col("d") == F.col("d__"), "left").join(by_both, (F.col("t") == F.col("t__")) & (F.col("year") == F.col("y__")), "left").join(by_title, F.col("t") == F.col("u__"), "left")
-    found = F.coalesce("c1", "c2", "c3", F.array().cast("array<string>"))
+    found = F.coalesce("c1", "c2", "c3")
     basis = F.when(F.col("c1").isNotNull(), "exact_doi").when(F.col("c2").isNotNull(), "exact_title_year").when(F.col("c3").isNotNull(), "exact_title").otherwise("none")
-    one = F.size(found) == 1
+    n = F.coalesce(found["n"], F.lit(0))
     sure = F.when(basis == "exact_doi", 1.0).when(basis == "exact_title_year", 0.98).otherwise(0.95)
-    return joined.select("paper_id", F.when(one, "matched").when(F.size(found) > 1, "ambiguous").otherwise("unmatched").alias("match_status"), basis.alias("match_basis"), F.when(one, F.get(found, F.lit(0))).alias("match_paper_id"), F.when(one, sure).alias("match_confidence"), found.alias("candidates"))
+    return joined.select("paper_id", F.when(n == 1, "matched").when(n > 1, "ambiguous").otherwise("unmatched").alias("match_status"), basis.alias("match_basis"), F.when(n == 1, found["first"]).alias("match_paper_id"), F.when(n == 1, sure).alias("match_confidence"), n.alias("n_candidates"))
+
+
+def candidate_pairs(papers: DataFrame, inv: DataFrame, matches: DataFrame) -> DataFrame:
+    """(paper_id, candidate): all candidates of every matched or ambiguous paper, a row each, by the basis that decided."""
+    rows = _inventory_keys(inv).withColumnRenamed("paper_id", "candidate")
+    p = _inventory_keys(papers).join(matches.select("paper_id", "match_basis"), "paper_id")
+    parts = [p.where(F.col("match_basis") == basis).join(rows, keys).select("paper_id", "candidate") for basis, keys in (("exact_doi", ["d"]), ("exact_title_year", ["t", "year"]), ("exact_title", ["t"]))]
+    return parts[0].unionAll(parts[1]).unionAll(parts[2]).distinct()
 
 
 def match_counters(matches: DataFrame) -> DataFrame:

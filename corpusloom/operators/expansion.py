@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.operators.merge import counting_upsert
 from corpusloom.operators.relational import frequent
+from corpusloom.workspace import materialise
 
 
 def external_citations(citations: DataFrame, papers: DataFrame) -> DataFrame:
@@ -78,28 +79,17 @@ def one_hop(edges: DataFrame, frontier: DataFrame, seen: DataFrame) -> DataFrame
 def expand(edges: DataFrame, seeds: DataFrame, *, max_depth: int = 2, least_new: int = 1, keep: Column | None = None) -> DataFrame:
     """(node, depth) reached from the seeds, hop by hop, until a hop adds fewer than ``least_new`` nodes.
 
-    A hop is checkpointed in the reliable checkpoint directory, which keeps the plan short and
-    survives lost executors; the driver sees one count a hop.
+    The edges and every hop are written in the shared folder, which keeps the plan short and survives
+    lost executors; the driver sees one count a hop.
     """
+    edges = materialise(edges.select("src", "dst"), "edges")
     seen = seeds.select("node").distinct().withColumn("depth", F.lit(0))
     frontier = seen
     for depth in range(1, max_depth + 1):
         new = one_hop(edges, frontier, seen.select("node"))
-        new = (new.where(keep) if keep is not None else new).withColumn("depth", F.lit(depth))
-        new = checkpointed(new)
+        new = materialise((new.where(keep) if keep is not None else new).withColumn("depth", F.lit(depth)), "hop")
         seen = seen.unionByName(new)
         if depth < max_depth and new.limit(least_new).count() < least_new:
             break
         frontier = new
     return seen
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df.checkpoint()``; without a configured directory, a session of one machine gets its own."""
-    sc = df.sparkSession.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        named = sc.getConf().get("spark.checkpoint.dir", None)
-        if not named and not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        sc.setCheckpointDir(named or "file:///tmp/checkpoints/corpusloom")
-    return df.checkpoint()

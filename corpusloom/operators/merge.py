@@ -86,6 +86,7 @@ def backfilled(df: DataFrame, sig: Column, order: list[str], fill: list[str]) ->
 
 
 def keep_longest(df: DataFrame, keys: list[Column], length: Column, tie: str) -> DataFrame:
-    """The row with the greatest ``length`` of every key, ties by the smallest ``tie``."""
-    w = Window.partitionBy(*keys).orderBy(length.desc(), F.col(tie))
-    return df.withColumn("r__", F.row_number().over(w)).where("r__ = 1").drop("r__")
+    """The row with the greatest ``length`` of every key, ties by the smallest ``tie``; one partial aggregate, no window over a hot key."""
+    named = [k.alias(f"k{i}__") for i, k in enumerate(keys)]
+    first = F.min(F.struct((-length).alias("l__"), F.col(tie).alias("t__"), F.struct(*df.columns).alias("row__"))).alias("f__")
+    return df.groupBy(*named).agg(first).select("f__.row__.*")

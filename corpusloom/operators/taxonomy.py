@@ -207,12 +207,12 @@ def embed(df: DataFrame, text: Column, provider: Callable | None = None, *, dim:
     return df.withColumn("embedding", unit(counted))
 
 
-def profile_similarity(profiles: DataFrame, entity: str, feature: str, weight: str, one) -> DataFrame:
-    """Sum of the lesser weights over shared features / greater of the totals, of every entity to ``one``."""
-    mine = profiles.where(F.col(entity) == F.lit(one)).select(feature, F.col(weight).alias("w__"))
+def profile_similarity(profiles: DataFrame, entity: str, feature: str, weight: str, one: DataFrame) -> DataFrame:
+    """Sum of the lesser weights over shared features / greater of the totals, of every entity to that of ``one`` (one row: entity)."""
+    it = one.select(F.col(entity).alias("it__")).limit(1)
+    mine = profiles.join(F.broadcast(it), F.col(entity) == F.col("it__")).select(feature, F.col(weight).alias("w__"))
     totals = profiles.groupBy(entity).agg(F.sum(weight).alias("t__"))
-    shared = profiles.where(F.col(entity) != F.lit(one)).join(small(mine), feature).groupBy(entity).agg(F.sum(F.least(weight, "w__")).alias("s__"))
+    shared = profiles.join(mine, feature).groupBy(entity).agg(F.sum(F.least(weight, "w__")).alias("s__"))
     own = mine.agg(F.sum("w__").alias("o__"))
-    return shared.join(totals, entity).join(F.broadcast(own), how="cross").select(entity, (F.col("s__") / F.greatest("t__", "o__")).alias("similarity"))
-
-
+    out = shared.join(totals, entity).join(F.broadcast(own), how="cross").join(F.broadcast(it), F.col(entity) == F.col("it__"), "left_anti")
+    return out.select(entity, (F.col("s__") / F.greatest("t__", "o__")).alias("similarity"))

@@ -6,9 +6,7 @@ Sums of doubles are rounded on both sides.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions import normalize as N
@@ -16,21 +14,12 @@ from corpusloom.functions import parse as P
 from corpusloom.functions import similarity as SIM
 from corpusloom.operators import audit, dedup, expansion, gaps, graph, ingest, merge, synthesis, taxonomy, vector
 from corpusloom.operators import relational as R
+from corpusloom.plans.registry import ORACLE, QUERIES, query
 from corpusloom.session import load
+from corpusloom.streaming import incremental
+from corpusloom.workspace import materialise, scratch
 
-Builder = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Builder] = {}
-ORACLE: dict[str, str] = {}
-
-
-def query(sql: str | None = None) -> Callable[[Builder], Builder]:
-    def put(f: Builder) -> Builder:
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE[f.__name__] = sql
-        return f
-
-    return put
+__all__ = ["ORACLE", "QUERIES"]
 
 
 # ================================================================ scans and the relational core
@@ -41,13 +30,14 @@ def scan_filter_topn(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT o_orderkey, o_orderstatus, o_orderpriority FROM orders WHERE o_orderstatus = 'F' OR o_orderpriority = '1-URGENT'")
 def status_or_decision(spark: SparkSession, sf: str) -> DataFrame:
-    return load(spark, sf, "orders").where((F.col("o_orderstatus") == "F") | (F.col("o_orderpriority") == "1-URGENT")).select("o_orderkey", "o_orderstatus", "o_orderpriority")
+    urgent = load(spark, sf, "orders").withColumn("decision", F.when(F.col("o_orderpriority") == "1-URGENT", "F"))
+    return R.by_status(urgent, "F", status_col="o_orderstatus", decision_col="decision").select("o_orderkey", "o_orderstatus", "o_orderpriority")
 
 
-@query("SELECT c_custkey, c_name, o_totalprice FROM customer JOIN orders ON o_custkey = c_custkey WHERE o_totalprice >= 1000 ORDER BY o_totalprice DESC, o_orderkey LIMIT 100")
+@query("SELECT c_custkey, c_name, o_totalprice FROM customer JOIN orders ON o_custkey = c_custkey WHERE o_totalprice >= 1000 ORDER BY o_totalprice DESC, c_custkey LIMIT 100")
 def facet_topk_join(spark: SparkSession, sf: str) -> DataFrame:
-    o = load(spark, sf, "orders").where("o_totalprice >= 1000").select(F.col("o_custkey").alias("c_custkey"), "o_totalprice", "o_orderkey").orderBy(F.desc("o_totalprice"), "o_orderkey").limit(100)
-    return load(spark, sf, "customer").select("c_custkey", "c_name").join(o, "c_custkey").select("c_custkey", "c_name", "o_totalprice")
+    scores = load(spark, sf, "orders").select(F.col("o_custkey").alias("c_custkey"), "o_totalprice")
+    return R.top_scored(load(spark, sf, "customer").select("c_custkey", "c_name"), scores, "c_custkey", "o_totalprice", 1000.0, 100)
 
 
 @query("""WITH b AS (SELECT l_orderkey, p_brand FROM lineitem JOIN part ON p_partkey = l_partkey),
@@ -114,13 +104,12 @@ def upsert_latest_wins(spark: SparkSession, sf: str) -> DataFrame:
     return merge.latest_wins(load(spark, sf, "events").select("user_id", "event_type", "ts", "event_id", "value"), ["user_id", "event_type"], ["ts", "event_id"]).select("user_id", "event_type", "value", "event_id")
 
 
-@query("SELECT user_id, count(*) AS n, max(value) AS priority, arg_min(event_type, event_id) AS first_type FROM events GROUP BY user_id")
+@query("SELECT user_id, count(*) AS n, max(value) AS priority, coalesce(arg_min(event_type, event_id) FILTER (event_id % 2 = 0), arg_min(event_type, event_id)) AS first_type FROM events GROUP BY user_id")
 def counting_upsert(spark: SparkSession, sf: str) -> DataFrame:
     e = load(spark, sf, "events").select("user_id", F.col("value").alias("priority"), "event_id", F.col("event_type").alias("first_type"))
     half = F.col("event_id") % 2 == 0
-    old = e.where(half).groupBy("user_id").agg(F.count("*").alias("n"), F.max("priority").alias("priority"), F.min_by("first_type", "event_id").alias("first_type"), F.min("event_id").alias("first_id"))
-    both = old.select("user_id", "n", "priority", "first_id", "first_type").unionByName(e.where(~half).select("user_id", F.lit(1).cast("long").alias("n"), "priority", F.col("event_id").alias("first_id"), "first_type"))
-    return both.groupBy("user_id").agg(F.sum("n").alias("n"), F.max("priority").alias("priority"), F.min_by("first_type", "first_id").alias("first_type"))
+    old = e.where(half).groupBy("user_id").agg(F.count("*").alias("n"), F.max("priority").alias("priority"), F.min_by("first_type", "event_id").alias("first_type"))
+    return merge.counting_upsert(old, e.where(~half), "user_id", count="n", priority="priority", order="event_id", first=["first_type"])
 
 
 @query("SELECT l_orderkey, l_partkey, min(l_linenumber) AS l_linenumber FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F') GROUP BY l_orderkey, l_partkey")
@@ -186,9 +175,12 @@ def inverted_index_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     return b.select("item_id", N.from_inverted_index(F.col("i")).alias("text"), F.size("i").alias("n_words"))
 
 
-@query("SELECT doc_id, CASE WHEN y IS NULL OR y = '' THEN NULL ELSE y::INT END AS year FROM (SELECT doc_id, regexp_extract(text, '\\b(19[0-9]{2}|20[0-2][0-9])\\b', 1) AS y FROM documents)")
+_YEAR_RULES = [r"\(([0-9]{4})\)", r",\s*([0-9]{4})[,.\s]", r"\b(19[0-9]{2}|20[0-2][0-9])\b"]
+
+
+@query("WITH y AS (SELECT doc_id, " + ", ".join(f"try_cast(regexp_extract(text, '{p}', 1) AS INT) AS y{i}" for i, p in enumerate(_YEAR_RULES)) + " FROM documents) SELECT doc_id, coalesce(" + ", ".join(f"CASE WHEN y{i} BETWEEN 1800 AND 2030 THEN y{i} END" for i in range(3)) + ") AS year FROM y")
 def year_extraction(spark: SparkSession, sf: str) -> DataFrame:
-    return load(spark, sf, "documents").select("doc_id", F.nullif(F.regexp_extract("text", r"\b(19[0-9]{2}|20[0-2][0-9])\b", 1), F.lit("")).cast("int").alias("year"))
+    return load(spark, sf, "documents").select("doc_id", N.year_in_text(F.col("text")).alias("year"))
 
 
 @query("""WITH d AS (SELECT p_partkey AS id, CASE p_partkey % 5 WHEN 0 THEN ' https://doi.org/10.1234/P.' || p_partkey || '). ' WHEN 1 THEN 'DOI:10.1234/p.' || p_partkey WHEN 2 THEN 'http://doi.org/10.1234/p.' || p_partkey || ';' WHEN 3 THEN 'see 10.1234/p' || p_partkey || ', p. 3' ELSE 'none' END AS raw FROM part),
@@ -206,28 +198,26 @@ def doi_variants(spark: SparkSession, sf: str) -> DataFrame:
 _TOK = "list_distinct(list_filter(regexp_extract_all(lower(text), '([a-z0-9]+)', 1), lambda t: length(t) > {least}))"
 
 
-@query(f"""WITH b AS (SELECT item_id, {_TOK.format(least=2)} AS t, {_TOK.format(least=6)} AS k FROM benchmark),
-d AS (SELECT doc_id, {_TOK.format(least=2)} AS t, {_TOK.format(least=6)} AS k FROM documents WHERE n_chars < 2000),
-p AS (SELECT DISTINCT item_id, doc_id FROM (SELECT item_id, unnest(k) AS w FROM b) JOIN (SELECT doc_id, unnest(k) AS w FROM d) USING (w)),
-s AS (SELECT item_id, doc_id, len(list_intersect(b.t, d.t)) / len(list_distinct(list_concat(b.t, d.t))) AS j FROM p JOIN b USING (item_id) JOIN d USING (doc_id))
+@query(f"""WITH b AS (SELECT item_id, {_TOK.format(least=2)} AS t FROM benchmark), d AS (SELECT doc_id, {_TOK.format(least=2)} AS t FROM documents),
+s AS (SELECT item_id, doc_id, len(list_intersect(b.t, d.t)) / greatest(len(list_distinct(list_concat(b.t, d.t))), 1) AS j FROM b, d)
 SELECT item_id, doc_id, round(j, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY j DESC, doc_id) AS r FROM s) WHERE r = 1""")
 def jaccard_best_match(spark: SparkSession, sf: str) -> DataFrame:
-    b = load(spark, sf, "benchmark").select("item_id", N.tokens(F.col("text")).alias("bt"), N.tokens(F.col("text"), least=7).alias("k"))
-    d = load(spark, sf, "documents").where("n_chars < 2000").select("doc_id", N.tokens(F.col("text")).alias("dt"), N.tokens(F.col("text"), least=7).alias("k"))
-    met = b.select("item_id", F.explode("k").alias("w")).join(d.select("doc_id", F.explode("k").alias("w")), "w").select("item_id", "doc_id").distinct()
-    scored = met.join(b.drop("k"), "item_id").join(d.drop("k"), "doc_id").select("item_id", "doc_id", SIM.jaccard(F.col("bt"), F.col("dt")).alias("j"))
+    """The items are the query set, held against all documents, whole."""
+    b = load(spark, sf, "benchmark").select("item_id", N.tokens(F.col("text")).alias("bt"))
+    d = load(spark, sf, "documents").select("doc_id", N.tokens(F.col("text")).alias("dt"))
+    scored = d.join(taxonomy.small(b), how="cross").select("item_id", "doc_id", SIM.jaccard(F.col("bt"), F.col("dt")).alias("j"))
     best = scored.groupBy("item_id").agg(F.min(F.struct((-F.col("j")).alias("n"), "doc_id")).alias("m"))
     return best.select("item_id", F.col("m.doc_id").alias("doc_id"), F.round(-F.col("m.n"), 6).alias("score"))
 
 
-@query(f"""WITH b AS (SELECT item_id, {_TOK.format(least=2)} AS t FROM benchmark), d AS (SELECT doc_id, {_TOK.format(least=2)} AS t FROM documents WHERE n_chars < 2000),
-p AS (SELECT item_id, doc_id, count(*) AS n FROM (SELECT item_id, unnest(t) AS w FROM b) JOIN (SELECT doc_id, unnest(t) AS w FROM d) USING (w) GROUP BY ALL)
-SELECT item_id, doc_id, round(n / len(b.t), 6) AS of_item, round(n / len(d.t), 6) AS of_doc FROM p JOIN b USING (item_id) JOIN d USING (doc_id) WHERE n / len(b.t) >= 0.6 AND n / len(d.t) >= 0.3 AND len(b.t) >= 5 AND len(d.t) >= 5""")
+@query(f"""WITH b AS (SELECT item_id, {_TOK.format(least=2)} AS t FROM benchmark), d AS (SELECT doc_id, {_TOK.format(least=2)} AS t FROM documents),
+p AS (SELECT item_id, doc_id, len(list_intersect(b.t, d.t)) AS n, len(b.t) AS nb, len(d.t) AS nd FROM b, d WHERE len(b.t) >= 5 AND len(d.t) >= 5)
+SELECT item_id, doc_id, round(n / nb, 6) AS of_item, round(n / nd, 6) AS of_doc FROM p WHERE n / nb >= 0.3 AND n / nd >= 0.3""")
 def bidirectional_overlap(spark: SparkSession, sf: str) -> DataFrame:
     b = load(spark, sf, "benchmark").select("item_id", N.tokens(F.col("text")).alias("bt"))
-    d = load(spark, sf, "documents").where("n_chars < 2000").select("doc_id", N.tokens(F.col("text")).alias("dt"))
-    n = b.select("item_id", F.size("bt").alias("nb"), F.explode("bt").alias("w")).join(d.select("doc_id", F.size("dt").alias("nd"), F.explode("dt").alias("w")), "w").groupBy("item_id", "doc_id", "nb", "nd").agg(F.count("*").alias("n"))
-    return n.where("n / nb >= 0.6 and n / nd >= 0.3 and nb >= 5 and nd >= 5").select("item_id", "doc_id", F.round(F.col("n") / F.col("nb"), 6).alias("of_item"), F.round(F.col("n") / F.col("nd"), 6).alias("of_doc"))
+    d = load(spark, sf, "documents").select("doc_id", N.tokens(F.col("text")).alias("dt"))
+    met = d.join(taxonomy.small(b), SIM.titles_similar(F.col("bt"), F.col("dt"), least=0.3))
+    return met.select("item_id", "doc_id", F.round(SIM.share_of(F.col("bt"), F.col("dt")), 6).alias("of_item"), F.round(SIM.share_of(F.col("dt"), F.col("bt")), 6).alias("of_doc"))
 
 
 _KEYWORDS = ["tion", "ment", "heit", "ando", "ough", "that", "with", "from", "para", "pour", "nicht", "ering", "able", "ness", "ding", "http"]
@@ -239,20 +229,20 @@ def keyword_relevance(spark: SparkSession, sf: str) -> DataFrame:
     return d.select("doc_id", F.round("r", 6).alias("relevance"), taxonomy.topic_decision(F.col("r"), F.col("n_chars") > 0, off_topic=0.2).alias("topic"))
 
 
-@query(f"""WITH b AS (SELECT item_id, {_TOK.format(least=3)} AS t FROM benchmark), d AS (SELECT doc_id, lower(text) AS x FROM documents WHERE n_chars < 1500 AND lang = 'en')
+@query(f"""WITH b AS (SELECT item_id, {_TOK.format(least=3)} AS t FROM benchmark), d AS (SELECT doc_id, lower(text) AS x FROM documents)
 SELECT item_id, doc_id, round(len(list_filter(t, lambda w: contains(x, w))) / len(t), 6) AS score FROM b, d WHERE len(t) > 0 AND len(list_filter(t, lambda w: contains(x, w))) / len(t) >= 0.5""")
 def keyword_containment(spark: SparkSession, sf: str) -> DataFrame:
     b = load(spark, sf, "benchmark").select("item_id", N.tokens(F.col("text"), least=4).alias("t")).where(F.size("t") > 0)
-    d = load(spark, sf, "documents").where("n_chars < 1500 and lang = 'en'").select("doc_id", "text")
+    d = load(spark, sf, "documents").select("doc_id", "text")
     return d.join(taxonomy.small(b), how="cross").withColumn("s", SIM.contained_share(F.col("t"), F.col("text"))).where("s >= 0.5").select("item_id", "doc_id", F.round("s", 6).alias("score"))
 
 
 @query()
 def seqmatch_fuzzy(spark: SparkSession, sf: str) -> DataFrame:
-    docs = load(spark, sf, "documents").where("n_chars < 1000").select("doc_id", F.substring("text", 1, 200).alias("title"), F.array("source").alias("authors"))
-    half = F.col("doc_id") % 2 == 0
-    a, b = docs.where(half).withColumnRenamed("doc_id", "new_id"), docs.where(~half).withColumnRenamed("doc_id", "known_id")
-    return dedup.fuzzy_title_matches(a, b).withColumn("confidence", F.round("confidence", 4))
+    """Query set: ids divisible by 20, against all other rows; a title is the whole first line."""
+    docs = load(spark, sf, "documents").select("doc_id", F.get(F.split("text", "\n"), F.lit(0)).alias("title"), F.array("source").alias("authors"))
+    found = dedup.fuzzy_title_matches(docs.where("doc_id % 20 = 0").withColumnRenamed("doc_id", "new_id"), docs.withColumnRenamed("doc_id", "known_id"), others_only=True)
+    return found.withColumn("confidence", F.round("confidence", 4))
 
 
 @query("""WITH p AS (SELECT o_custkey AS c, p_brand AS b, sum(l_quantity) AS w FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN part ON p_partkey = l_partkey GROUP BY ALL),
@@ -261,8 +251,8 @@ SELECT c AS custkey, round(sum(least(p.w, m.w)) / greatest(t, o), 6) AS similari
 def profile_overlap(spark: SparkSession, sf: str) -> DataFrame:
     li, o, pt = load(spark, sf, "lineitem"), load(spark, sf, "orders"), load(spark, sf, "part")
     p = li.join(o.select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("custkey")), "l_orderkey").join(pt.select(F.col("p_partkey").alias("l_partkey"), "p_brand"), "l_partkey").groupBy("custkey", "p_brand").agg(F.sum("l_quantity").alias("w"))
-    one = o.join(li.select(F.col("l_orderkey").alias("o_orderkey")), "o_orderkey", "left_semi").agg(F.min("o_custkey")).first()[0]
-    return taxonomy.profile_similarity(p, "custkey", "p_brand", "w", one).withColumn("similarity", F.round("similarity", 6))
+    p = materialise(p, "profiles")
+    return taxonomy.profile_similarity(p, "custkey", "p_brand", "w", p.agg(F.min("custkey").alias("custkey"))).withColumn("similarity", F.round("similarity", 6))
 
 
 @query("""WITH b AS (SELECT item_id, text, trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')) AS k FROM benchmark),
@@ -296,9 +286,9 @@ def session_dedupe_merge(spark: SparkSession, sf: str) -> DataFrame:
     return merge.backfilled(d, F.col("sig"), ["doc_id"], ["n_chars"]).select("sig", "doc_id", "members", "n_chars")
 
 
-@query("SELECT source, doc_id, n_chars FROM (SELECT *, row_number() OVER (PARTITION BY source, left(text, 4) ORDER BY n_chars DESC, doc_id) AS r FROM documents) WHERE r = 1")
+@query("SELECT source, doc_id, n_chars FROM (SELECT *, row_number() OVER (PARTITION BY source, lang ORDER BY n_chars DESC, doc_id) AS r FROM documents) WHERE r = 1")
 def merge_prefer_longer(spark: SparkSession, sf: str) -> DataFrame:
-    return merge.keep_longest(load(spark, sf, "documents").select("doc_id", "source", "n_chars", F.substring("text", 1, 4).alias("p")), [F.col("source"), F.col("p")], F.col("n_chars"), "doc_id").select("source", "doc_id", "n_chars")
+    return merge.keep_longest(load(spark, sf, "documents").select("doc_id", "source", "lang", "n_chars"), [F.col("source"), F.col("lang")], F.col("n_chars"), "doc_id").select("source", "doc_id", "n_chars")
 
 
 @query("""WITH g AS (SELECT user_id, count(*) AS members, max(value) AS best FROM events GROUP BY user_id HAVING count(*) > 1),
@@ -502,7 +492,8 @@ def claim_relevance(spark: SparkSession, sf: str) -> DataFrame:
     return synthesis.claim_relevance(c.select(F.col("conv_id").cast("string").alias("paper_id"), F.col("text").alias("statement")), papers).withColumn("relevance", F.round("relevance", 6))
 
 
-@query()
+@query("""SELECT p_partkey, round_even(least(greatest(0.3 * (p_size / 50) + CASE WHEN p_partkey % 2 = 0 THEN 0.2 ELSE 0 END + 0.2 * (p_retailprice / 3000) + CASE WHEN p_size > 25 THEN 0.1 ELSE 0 END
+ + CASE WHEN length(p_brand) % 3 >= 2 THEN 0.1 ELSE 0 END - CASE WHEN p_size < 5 THEN 0.1 ELSE 0 END, 0), 1), 2) AS voi FROM part""")
 def theory_voi(spark: SparkSession, sf: str) -> DataFrame:
     p = load(spark, sf, "part")
     return p.select("p_partkey", synthesis.value_of_information(F.col("p_size") / 50, F.col("p_partkey") % 2 == 0, F.col("p_retailprice") / 3000, F.col("p_size") > 25, F.length("p_brand") % 3, F.col("p_size") < 5).alias("voi"))
@@ -518,13 +509,13 @@ s AS (SELECT *, round_even(0.4 * least(1, paper_count / 10) + 0.3 * least(1, cla
 
 def _coverage(spark: SparkSession, sf: str) -> DataFrame:
     n = load(spark, sf, "nation").join(load(spark, sf, "region"), F.col("r_regionkey") == F.col("n_regionkey")).select(F.col("n_nationkey").alias("s_nationkey"), F.col("r_name").alias("factor_id"))
-    s = load(spark, sf, "supplier").join(F.broadcast(n), "s_nationkey").select(F.col("s_suppkey").alias("l_suppkey"), "factor_id")
+    s = load(spark, sf, "supplier").join(n, "s_nationkey").select(F.col("s_suppkey").alias("l_suppkey"), "factor_id")
     p = load(spark, sf, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("outcome_id"))
     x = load(spark, sf, "lineitem").select("l_orderkey", "l_quantity", "l_partkey", "l_suppkey").join(p, "l_partkey").join(s, "l_suppkey")
-    papers = x.groupBy("factor_id", "outcome_id").agg(F.countDistinct("l_orderkey").alias("paper_count"))
-    claims = x.groupBy("factor_id", "outcome_id").agg(F.count_if(F.col("l_quantity") > 48).alias("claim_count"), F.bool_or(F.col("l_quantity") > 49).alias("has_mechanism"), F.lit(False).alias("has_neural"))
+    seen = x.groupBy("factor_id", "outcome_id").agg(F.countDistinct("l_orderkey").alias("paper_count"), F.count_if(F.col("l_quantity") > 48).alias("claim_count"), F.bool_or(F.col("l_quantity") > 49).alias("has_mechanism"), F.lit(False).alias("has_neural"))
+    seen = materialise(seen, "evidence")  # read twice below, and by every kind of gap
     cells = gaps.grid(load(spark, sf, "region").select(F.col("r_name").alias("node_id")), load(spark, sf, "part").select(F.col("p_brand").alias("node_id")).distinct())
-    return gaps.coverage(cells, papers, claims)
+    return gaps.coverage(cells, seen.select("factor_id", "outcome_id", "paper_count"), seen.drop("paper_count"))
 
 
 @query(_COV + " SELECT factor_id, outcome_id, paper_count, claim_count, has_mechanism, coverage_score FROM s")
@@ -586,9 +577,11 @@ def state_machine_check(spark: SparkSession, sf: str) -> DataFrame:
     return audit.invalid_transitions(load(spark, sf, "conversations").select("conv_id", "turn", "role"), "conv_id", "turn", "role", _ALLOWED)
 
 
-@query("SELECT lang, count(*) AS total, count(*) FILTER (trim(source) <> '') AS with_source, count(*) FILTER (n_chars > 1000) AS long_docs FROM documents GROUP BY lang")
+@query("SELECT concat_ws(':', 'lang', lang) AS metric, count(*) AS n FROM documents GROUP BY lang UNION ALL SELECT 'total', count(*) FROM documents UNION ALL SELECT 'with_source', count(*) FROM documents WHERE trim(source) <> '' UNION ALL SELECT 'with_long_docs', count(*) FROM documents WHERE n_chars > 1000")
 def corpus_stats(spark: SparkSession, sf: str) -> DataFrame:
-    return load(spark, sf, "documents").groupBy("lang").agg(F.count("*").alias("total"), F.count_if(audit.filled("source")).alias("with_source"), F.count_if(F.col("n_chars") > 1000).alias("long_docs"))
+    d = load(spark, sf, "documents").select("lang", "source", F.when(F.col("n_chars") > 1000, "long").alias("long_docs"))
+    row, by = audit.corpus_stats(d, by="lang", present=["source", "long_docs"])
+    return by.select(F.concat_ws(":", F.lit("lang"), "lang").alias("metric"), "n").unionByName(row.select(F.explode(F.expr("map('total', total, 'with_source', with_source, 'with_long_docs', with_long_docs)")).alias("metric", "n")))
 
 
 @query("SELECT year(o_orderdate)::INT AS year, count(*) AS n FROM orders WHERE year(o_orderdate) BETWEEN 1950 AND 2030 GROUP BY 1")
@@ -641,7 +634,8 @@ def grouped_totals(spark: SparkSession, sf: str) -> DataFrame:
     return li.groupBy("l_returnflag", "l_linestatus").agg(F.sum("l_quantity").alias("sum_qty"), F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"), F.count("*").alias("n"))
 
 
-@query()
+@query("""SELECT c_custkey, 'Effects of daylight on ' || lower(c_mktsegment) AS title, (1980 + c_custkey % 40)::INT AS year, 'Journal of Tests' AS venue, (c_custkey % 90 + 10) || '-' || (c_custkey % 90 + 20) AS pages,
+ 'Smith, J. A.; Jones, B' AS authors, 1.0::DOUBLE AS confidence, 'apa' AS parse_method FROM customer""")
 def citation_parse(spark: SparkSession, sf: str) -> DataFrame:
     c = load(spark, sf, "customer").select("c_custkey", F.concat(F.lit("Smith, J. A., & Jones, B. ("), (1980 + F.col("c_custkey") % 40).cast("string"), F.lit("). Effects of daylight on "), F.lower("c_mktsegment"), F.lit(". Journal of Tests, 12, "), (F.col("c_custkey") % 90 + 10).cast("string"), F.lit("-"), (F.col("c_custkey") % 90 + 20).cast("string"), F.lit(".")).alias("t"))
     return c.select("c_custkey", P.parse_citations(F.col("t")).alias("p")).select("c_custkey", "p.title", "p.year", "p.venue", "p.pages", F.array_join("p.authors", "; ").alias("authors"), F.round("p.confidence", 4).alias("confidence"), "p.parse_method")
@@ -650,19 +644,43 @@ def citation_parse(spark: SparkSession, sf: str) -> DataFrame:
 @query("SELECT event_type, count(*) AS n, round(sum(value), 4) AS total, max(value) AS most FROM events GROUP BY event_type")
 def stream_counts(spark: SparkSession, sf: str) -> DataFrame:
     """Counts over the events file as a stream run to its end; equal to the batch counts."""
-    from corpusloom.streaming.incremental import counted_stream, to_the_end
+    path, schema, pattern = _events_folder(spark, sf)
+    return _at_the_end(incremental.counted_stream(spark, path, schema, ["event_type"], "value", pattern=pattern)).select("event_type", "n", F.round("total", 4).alias("total"), "most")
 
+
+def _events_folder(spark: SparkSession, sf: str) -> tuple:
+    """Folder, schema and file pattern of the events as a stream: a stream reads a folder, that of the file or the table's own."""
     events = load(spark, sf, "events")
-    single = events.inputFiles()[0].rsplit("/", 1)[-1] == "events.parquet"  # a stream reads a folder: that of the file, or the table's own
-    stream = counted_stream(spark, sf if single else f"{sf}/events.parquet", events.schema, ["event_type"], "value", pattern="events.parquet" if single else "*.parquet")
-    return to_the_end(stream).select("event_type", "n", F.round("total", 4).alias("total"), "most")
+    single = events.inputFiles()[0].rsplit("/", 1)[-1] == "events.parquet"
+    return (sf if single else f"{sf}/events.parquet"), events.schema, ("events.parquet" if single else "*.parquet")
+
 
+def _events_stream(spark: SparkSession, sf: str) -> DataFrame:
+    path, schema, pattern = _events_folder(spark, sf)
+    return spark.readStream.schema(schema).option("pathGlobFilter", pattern).parquet(path)
 
-@query("SELECT user_id, count(*) AS n_sessions FROM (SELECT user_id, CASE WHEN ts > lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 6 HOURS OR lag(ts) OVER (PARTITION BY user_id ORDER BY ts) IS NULL THEN 1 END AS s FROM events) WHERE s = 1 GROUP BY user_id")
+
+def _at_the_end(stream: DataFrame) -> DataFrame:
+    return incremental.to_the_end(stream, scratch(stream.sparkSession, "state"), scratch(stream.sparkSession, "progress"))
+
+
+@query("SELECT date_trunc('hour', ts)::TIMESTAMP AS hour, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
+def stream_windows(spark: SparkSession, sf: str) -> DataFrame:
+    w = incremental.windowed(_events_stream(spark, sf), "ts", size="1 hour", late="1 hour", keys=["event_type"], value=F.col("value"))
+    return _at_the_end(w).select(F.col("window.start").cast("timestamp_ntz").alias("hour"), "event_type", "n", F.round("total", 4).alias("total"))
+
+
+_SESSIONS = "SELECT user_id, count(*) AS n_sessions FROM (SELECT user_id, CASE WHEN ts > lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 6 HOURS OR lag(ts) OVER (PARTITION BY user_id ORDER BY ts) IS NULL THEN 1 END AS s FROM events) WHERE s = 1 GROUP BY user_id"
+
+
+@query(_SESSIONS)
+def stream_sessions(spark: SparkSession, sf: str) -> DataFrame:
+    return _at_the_end(incremental.sessions(_events_stream(spark, sf), "ts", "user_id", gap="6 hours", late="1 hour")).groupBy("user_id").agg(F.count("*").alias("n_sessions"))
+
+
+@query(_SESSIONS)
 def event_sessions(spark: SparkSession, sf: str) -> DataFrame:
-    w = Window.partitionBy("user_id").orderBy("ts")
-    e = load(spark, sf, "events").select("user_id", "ts", F.lag("ts").over(w).alias("p"))
-    return e.where((F.col("ts") > F.col("p") + F.expr("interval 6 hours")) | F.col("p").isNull()).groupBy("user_id").agg(F.count("*").alias("n_sessions"))
+    return incremental.sessions(load(spark, sf, "events"), "ts", "user_id", gap="6 hours").groupBy("user_id").agg(F.count("*").alias("n_sessions"))
 
 
 # ================================================================ ingest, queues, windows
@@ -671,11 +689,11 @@ def keyword_passes(spark: SparkSession, sf: str) -> DataFrame:
     return ingest.keyword_passes(load(spark, sf, "documents").select("doc_id", "text"), F.col("text"), [("off_topic", ["nicht"]), ("on_topic", ["that", "pour"])], default="needs_abstract").drop("text")
 
 
-@query("""WITH l AS (SELECT n_nationkey AS key, CASE WHEN n_nationkey % 3 = 0 THEN ' ' ELSE n_name END AS name FROM nation), r AS (SELECT p_partkey AS key, p_brand AS name FROM part WHERE p_partkey <= 40)
+@query("""WITH l AS (SELECT n_nationkey AS key, CASE WHEN n_nationkey % 3 = 0 THEN ' ' ELSE n_name END AS name FROM nation), r AS (SELECT p_partkey AS key, p_brand AS name FROM part)
 SELECT key, coalesce(nullif(CASE WHEN trim(l.name) = '' THEN '' ELSE l.name END, ''), r.name) AS name FROM l FULL JOIN r USING (key)""")
 def two_source_resolve(spark: SparkSession, sf: str) -> DataFrame:
     left = load(spark, sf, "nation").select(F.col("n_nationkey").cast("long").alias("key"), F.when(F.col("n_nationkey") % 3 == 0, " ").otherwise(F.col("n_name")).alias("name"))
-    return ingest.resolved(left, load(spark, sf, "part").where("p_partkey <= 40").select(F.col("p_partkey").alias("key"), F.col("p_brand").alias("name")), "key", ["name"])
+    return ingest.resolved(left, load(spark, sf, "part").select(F.col("p_partkey").alias("key"), F.col("p_brand").alias("name")), "key", ["name"])
 
 
 @query("""WITH q AS (SELECT user_id::VARCHAR AS doi, count(*) AS discovery_count, least(1, max(value) / 200) AS priority_score FROM events GROUP BY user_id),
@@ -688,9 +706,8 @@ def queue_import(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT date_trunc('day', ts)::TIMESTAMP AS day, event_type, count(*) AS n FROM events GROUP BY ALL")
 def event_windows(spark: SparkSession, sf: str) -> DataFrame:
-    from corpusloom.streaming.incremental import windowed
-
-    return windowed(load(spark, sf, "events"), "ts", size="1 day", late="1 hour", keys=["event_type"]).select(F.col("window.start").alias("day"), "event_type", "n")
+    w = incremental.windowed(load(spark, sf, "events"), "ts", size="1 day", late="1 hour", keys=["event_type"])
+    return w.select(F.col("window.start").alias("day"), "event_type", "n")
 
 
 @query("SELECT c_custkey, c_mktsegment, rank FROM (SELECT *, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_acctbal DESC, c_custkey) AS rank FROM customer) WHERE rank <= 10")

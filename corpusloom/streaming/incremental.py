@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -36,12 +35,15 @@ def counted_stream(spark: SparkSession, path: str, schema: StructType, keys: lis
     return spark.readStream.schema(schema).option("pathGlobFilter", pattern).parquet(path).groupBy(*keys).agg(F.count("*").alias("n"), F.sum(value).alias("total"), F.max(value).alias("most"))
 
 
-def to_the_end(stream: DataFrame) -> DataFrame:
-    """The final state of an aggregated stream over all that has arrived, as a table of the session (one row a key)."""
-    name = f"state_{uuid.uuid4().hex}"
-    q = stream.writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
+def to_the_end(stream: DataFrame, target: str, checkpoint: str) -> DataFrame:
+    """The final state of an aggregated stream over all that has arrived (one row a key), as a table at ``target``: no state passes the driver."""
+
+    def sink(batch: DataFrame, _: int) -> None:
+        batch.write.mode("overwrite").parquet(target)
+
+    q = stream.writeStream.outputMode("complete").foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
-    return stream.sparkSession.table(name)
+    return stream.sparkSession.read.schema(stream.schema).parquet(target)
 
 
 def write_batches(target: str) -> Callable[[DataFrame, int], None]:
@@ -53,13 +55,19 @@ def write_batches(target: str) -> Callable[[DataFrame, int], None]:
 
 
 # ---------------------------------------------------------------- extensions: event-time windows
+def _timed(stream: DataFrame, ts: str, late: str | None) -> DataFrame:
+    """Watermarks need an instant: a time without a zone is taken in the session's."""
+    if stream.schema[ts].dataType.typeName() == "timestamp_ntz":
+        stream = stream.withColumn(ts, F.col(ts).cast("timestamp"))
+    return stream.withWatermark(ts, late) if late else stream
+
+
 def windowed(stream: DataFrame, ts: str, *, size: str, late: str, keys: list[str] = (), slide: str | None = None, value: Column | None = None) -> DataFrame:
     """Tumbling or sliding windows with a watermark; rows later than ``late`` are dropped by definition of the watermark."""
     w = F.window(ts, size, slide) if slide else F.window(ts, size)
     aggs = [F.count("*").alias("n")] + ([F.sum(value).alias("total")] if value is not None else [])
-    return stream.withWatermark(ts, late).groupBy(w.alias("window"), *keys).agg(*aggs)
+    return _timed(stream, ts, late).groupBy(w.alias("window"), *keys).agg(*aggs)
 
 
 def sessions(stream: DataFrame, ts: str, key: str, *, gap: str, late: str | None = None) -> DataFrame:
-    rows = stream.withWatermark(ts, late) if late else stream
-    return rows.groupBy(F.session_window(ts, gap).alias("session"), key).agg(F.count("*").alias("n"))
+    return _timed(stream, ts, late).groupBy(F.session_window(ts, gap).alias("session"), key).agg(F.count("*").alias("n"))

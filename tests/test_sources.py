@@ -80,5 +80,6 @@ def test_streams(spark, sf, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).count() == 2
     events = spark.read.parquet(f"{sf}/events.parquet")
     stream = spark.readStream.schema(events.schema).option("pathGlobFilter", "events.parquet").parquet(sf)
-    got = incremental.to_the_end(incremental.windowed(stream, "ts", size="1 day", late="1 hour", keys=["event_type"]))
-    assert got.agg(F.sum("n")).first()[0] == events.count()
+    for k, counted in enumerate((incremental.windowed(stream, "ts", size="1 day", late="1 hour", keys=["event_type"]), incremental.sessions(stream, "ts", "user_id", gap="6 hours", late="1 hour"))):
+        got = incremental.to_the_end(counted, str(tmp_path / f"state{k}"), str(tmp_path / f"progress{k}"))
+        assert got.agg(F.sum("n")).first()[0] == events.count()
