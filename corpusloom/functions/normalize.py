@@ -125,7 +125,7 @@ def surnames(authors: Column) -> Column:
 def authors_from_field(c: Column) -> Column:
     """A spreadsheet field: ``;``, ``|`` or `` and `` between names, else commas."""
     sep = F.when(c.rlike(r"[;|]|\sand\s"), F.split(c, r"[;|]|\sand\s")).otherwise(F.split(c, ","))
-    return F.filter(F.transform(sep, F.trim), lambda a: a != "")
+    return F.filter(F.transform(sep, lambda a: F.trim(a)), lambda a: a != "")
 
 
 def venue(c: Column) -> Column:

@@ -22,8 +22,8 @@ def highly_cited(citations: DataFrame, papers: DataFrame, *, least: int = 2, k:
     return out.withColumn("priority_score", F.least(F.lit(1.0), F.col("n") / 10))
 
 
-def enqueue(queue: DataFrame, citations: DataFrame, papers: DataFrame, *, per_source: int | None = 50) -> DataFrame:
-    """The queue with every external citation counted in; ``per_source`` is the crawler's budget for one paper."""
+def enqueue(queue: DataFrame, citations: DataFrame, papers: DataFrame, *, per_source: int | None = None) -> DataFrame:
+    """The queue with every external citation counted in; ``per_source`` can set a crawler's budget for one paper (the first by ``seq``)."""
     new = external_citations(citations, papers)
     if per_source:
         w = Window.partitionBy("source_paper_id").orderBy("seq")

@@ -714,3 +714,6 @@ def event_windows(spark: SparkSession, sf: str) -> DataFrame:
 def top_per_group(spark: SparkSession, sf: str) -> DataFrame:
     c = load(spark, sf, "customer").select("c_custkey", "c_mktsegment", F.col("c_acctbal").alias("score"))
     return vector.top_per_group(c, "c_mktsegment", "c_custkey", 10).select("c_custkey", "c_mktsegment", "rank")
+
+
+from corpusloom.plans import corpus_queries as _corpus_queries  # noqa: E402, F401  (registers its queries)

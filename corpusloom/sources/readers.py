@@ -106,8 +106,8 @@ def added_since(df: DataFrame, ts: str, mark: Column) -> DataFrame:
     return df.where(F.col(ts) > mark)
 
 
-def document_text(files: DataFrame, extract, *, max_chars: int = 5000) -> DataFrame:
-    """(path, text) of binary documents by ``extract`` (bytes -> text), a provider that runs on the executors."""
+def document_text(files: DataFrame, extract, *, max_chars: int | None = None) -> DataFrame:
+    """(path, text) of binary documents by ``extract`` (bytes -> text), a provider that runs on the executors; the whole text unless ``max_chars`` is given."""
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
             yield pd.DataFrame({"path": pdf["path"], "text": [(extract(c) or "")[:max_chars] for c in pdf["content"]]})
