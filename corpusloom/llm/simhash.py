@@ -26,7 +26,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm.components import connected_components
-from corpusloom.llm.shared import materialise
+from corpusloom.llm.shared import drop, made, materialise, written
+from corpusloom.llm.text import sized
 
 DISTANCE = 3
 _BLOCK = 1 << 15
@@ -131,6 +132,10 @@ def document_classes(docs: DataFrame) -> DataFrame:
 SIMILARITY = 0.8
 #: Shingles found in COMMON_LEAST texts of one sixteenth of the corpus, the COMMON_MOST most frequent at most, come last in the order of shingles.
 COMMON_LEAST, COMMON_MOST = 8, 100_000
+#: Texts of a shingle from which on they first meet hubs, and the rounds of that.
+CROWD, HUB_ROUNDS = 16, 2
+#: Sizes are binned by this ratio, so that a long prefix meets only the sizes its place allows.
+_BIN = math.log(1.03)
 
 
 def _columns(docs: DataFrame, keep: list[str]) -> str:
@@ -166,7 +171,7 @@ def prefix(hashes: np.ndarray, similarity: float, common: np.ndarray, at: np.nda
 
 
 def prefixes(docs: DataFrame, keep: list[str], *, text_col: str = "text", shingle: int = 5, similarity: float = SIMILARITY, common: np.ndarray | None = None) -> DataFrame:
-    """The columns ``keep`` with ``node`` (a hash of the words), ``size`` (distinct shingles) and ``prefix``, whose hashes are empty without ``common``."""
+    """The columns ``keep`` with ``node`` (a hash of the set of shingles), ``size`` (of that set) and ``prefix``, whose hashes are empty without ``common``."""
     at = np.argsort(common) if common is not None else np.zeros(0, np.int64)
     ranked = common[at] if common is not None else None
 
@@ -176,9 +181,8 @@ def prefixes(docs: DataFrame, keep: list[str], *, text_col: str = "text", shingl
                 part = batch.slice(lo, 512)
                 node, size, first = [], [], []
                 for text in part.column(len(keep)).to_pylist():
-                    h = shingle_hashes(text, shingle)
+                    h = np.unique(shingle_hashes(text, shingle))
                     node.append(xxhash.xxh64_intdigest(h.tobytes(), 7))
-                    h = np.unique(h)
                     size.append(len(h))
                     first.append((h[:0] if ranked is None else prefix(h, similarity, ranked, at)).view(np.int64))
                 nodes = pa.array(np.array(node, np.uint64).view(np.int64), pa.int64())
@@ -187,29 +191,32 @@ def prefixes(docs: DataFrame, keep: list[str], *, text_col: str = "text", shingl
     return docs.select(*keep, F.col(text_col).alias("text__")).mapInArrow(run, f"{_columns(docs, keep)}, node long, size int, prefix array<long>")
 
 
-def shared_part(a: str | None, b: str | None, shingle: int) -> float:
-    """Jaccard similarity of the shingle sets of two texts; 1 if neither has a word."""
-    return _jaccard(np.unique(shingle_hashes(a, shingle)), np.unique(shingle_hashes(b, shingle)))
-
-
-def _jaccard(x: np.ndarray, y: np.ndarray) -> float:
-    both = len(np.intersect1d(x, y, assume_unique=True))
-    return both / (len(x) + len(y) - both) if len(x) or len(y) else 1.0
-
-
-def _verified(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """The pairs (a, b) of nodes whose texts have the similarity. ``texts``: node, text__."""
-    met = pairs.join(texts.select(F.col("node").alias("a"), F.col("text__").alias("ta")), "a").join(texts.select(F.col("node").alias("b"), F.col("text__").alias("tb")), "b")
+def shingle_sets(texts: DataFrame, shingle: int) -> DataFrame:
+    """(node, text__) -> node and ``set``, its distinct shingle hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
-                sets = {t: np.unique(shingle_hashes(t, shingle)) for k in (2, 3) for t in set(part.column(k).to_pylist())}
-                good = [_jaccard(sets[x], sets[y]) >= similarity for x, y in zip(part.column(2).to_pylist(), part.column(3).to_pylist())]
-                yield pa.RecordBatch.from_arrays([part.column(k).filter(pa.array(good)) for k in (0, 1)], names=["a", "b"])
+                sets = [np.unique(shingle_hashes(t, shingle)).view(np.int64) for t in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["node", "set"])
 
-    return met.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
+    return texts.select("node", "text__").mapInArrow(run, "node long, set array<long>")
+
+
+def shared_part(a: str | None, b: str | None, shingle: int) -> float:
+    """Jaccard similarity of the shingle sets of two texts; 1 if neither has a word."""
+    x, y = (np.unique(shingle_hashes(t, shingle)) for t in (a, b))
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both / (len(x) + len(y) - both) if len(x) or len(y) else 1.0
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) of nodes whose sets have the similarity."""
+    side = lambda c: sets.select(F.col("node").alias(c), F.col("set").alias(f"s{c}"))
+    both = F.size(F.array_intersect("sa", "sb"))
+    met = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", (F.size("sa") + F.size("sb")).alias("n"), both.alias("both"))
+    return met.where(F.col("both") / (F.col("n") - F.col("both")) >= similarity).select("a", "b")
 
 
 def _reaches(similarity: float) -> Column:
@@ -218,69 +225,112 @@ def _reaches(similarity: float) -> Column:
     return (F.col("n") + behind >= (F.col("na") + F.col("nb")) * (similarity / (1 + similarity)) - 1e-6) & (F.least("na", "nb") >= similarity * F.greatest("na", "nb") - 1e-6)
 
 
-def _hubs(held: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (a, b) that likely join large groups. ``held``: e, node, size, texts (that hold e).
+def _rooted(held: DataFrame, classes: DataFrame | None) -> DataFrame:
+    """``held`` with ``root``, without the shingles whose texts are all of one class already."""
+    if classes is None:
+        return held.withColumn("root", F.col("node"))
+    rows = held.join(classes, "node", "left").withColumn("root", F.coalesce("component", "node")).drop("component")
+    open_ones = rows.groupBy("e").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("e")
+    return rows.join(open_ones, "e", "left_semi")
 
-    The hubs of a shingle are its first text and the one with the largest part of widespread shingles, as
-    an original has among its variants; a text meets the two hubs it shares most with. The count of shared
-    shingles is a lower one here: what the bound drops, the candidates bring back.
+
+def _hubs(held: DataFrame, similarity: float, turn: int) -> DataFrame:
+    """Pairs (a, b) that likely join large groups. ``held``: e, node, size, texts (that hold e), root.
+
+    The hubs of a shingle are one text by the turn's hash and the one with the largest part of widespread
+    shingles, as an original has among its variants; a text meets the two hubs it shares most with. The count
+    of shared shingles is a lower one here: what the bound drops, the candidates bring back.
     """
     scored = held.join(held.groupBy("node").agg((F.sum("texts") / F.first("size")).alias("score")), "node")
-    ends = scored.groupBy("e").agg(F.min(F.struct("node", "size")).alias("lo"), F.max(F.struct("score", "node", "size")).alias("hi"))
-    hubs = F.array("lo", F.struct("hi.node", "hi.size"))
-    met = held.join(ends, "e").select(F.col("node").alias("a"), F.col("size").alias("na"), F.explode(hubs).alias("h")).select("a", "na", F.col("h.node").alias("b"), F.col("h.size").alias("nb")).where("a <> b")
-    counted = met.groupBy("a", "b").agg(F.count("*").alias("n"), F.first("na").alias("na"), F.first("nb").alias("nb"))
-    shared = counted.where(_reaches(similarity)).groupBy("a").agg(F.max(F.struct("n", "b")).alias("x"), F.max(F.struct("n", (-F.col("b")).alias("c"))).alias("y"))
-    return shared.select("a", F.explode(F.array(F.col("x.b"), -F.col("y.c"))).alias("b"))
+    one = F.struct("node", "size", "root")
+    ends = scored.groupBy("e").agg(F.min_by(one, F.struct(F.xxhash64("node", F.lit(turn)), "node")).alias("lo"), F.max_by(one, F.struct("score", "node")).alias("hi"))
+    met = held.join(ends, "e").select(F.col("node").alias("a"), F.col("size").alias("na"), "root", F.explode(F.array("lo", "hi")).alias("h")).where("root <> h.root")
+    counted = met.select("a", "na", F.col("h.node").alias("b"), F.col("h.size").alias("nb")).groupBy("a", "b").agg(F.count("*").alias("n"), F.first("na").alias("na"), F.first("nb").alias("nb"))
+    most = counted.where(_reaches(similarity)).groupBy("a").agg(F.max(F.struct("n", "b")).alias("x"), F.max(F.struct("n", F.bitwise_not("b").alias("c"))).alias("y"))
+    return _ordered(most.select("a", F.explode(F.array(F.col("x.b"), F.bitwise_not(F.col("y.c")))).alias("b")))
 
 
 def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def _candidates(held: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
-    """Every pair (a, b) of nodes in different classes that may have the similarity. ``held``: e, node, size; ``classes``: node, component.
+def _candidates(held: DataFrame, similarity: float) -> DataFrame:
+    """Every pair (a, b) of nodes in different classes that may have the similarity. ``held``: e, node, size, pos (of e in the prefix), root.
 
-    Pairs meet in each shingle that both prefixes hold, so the count of these is whole and the bound loses none.
+    Of a pair, a is the smaller; e stands for the first shingle both share, so at most what follows it is
+    shared too. That bounds the place of e in a, and by its place in b the sizes of a that b can still match:
+    b meets those sizes only (binned), so dissimilar texts of a crowd do not even meet.
     """
-    sided = materialise(held.join(classes, "node", "left").select("e", "node", "size", F.coalesce("component", "node").alias("root")), "sided")
-    side = lambda c: sided.select("e", F.col("node").alias(c), F.col("size").alias(f"n{c}"), F.col("root").alias(f"r{c}"))
-    long_enough = (F.col("na") >= similarity * F.col("nb") - 1e-6) & (F.col("nb") >= similarity * F.col("na") - 1e-6)
-    met = side("a").join(side("b"), "e").where((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & long_enough)
-    counted = met.groupBy("a", "b").agg(F.count("*").alias("n"), F.first("na").alias("na"), F.first("nb").alias("nb"))
-    return counted.where(_reaches(similarity)).select("a", "b")
+    share = similarity / (1 + similarity)
+    bin_of = lambda c: F.floor(F.log(c) / _BIN)
+    index = held.where(F.col("size") - F.col("pos") >= 2 * share * F.col("size") - 1e-6)
+    index = index.select("e", bin_of(F.col("size")).alias("bin"), F.col("node").alias("a"), F.col("size").alias("na"), F.col("pos").alias("pa"), F.col("root").alias("ra"))
+    most = F.least(F.col("size").cast("double"), (F.col("size") - F.col("pos")) / share - F.col("size") + 1e-6)
+    probe = held.withColumn("least", F.ceil(similarity * F.col("size") - 1e-6)).withColumn("most", most).where("most >= least")
+    probe = probe.select("e", F.explode(F.sequence(bin_of(F.col("least")), bin_of(F.col("most")))).alias("bin"), F.col("node").alias("b"), F.col("size").alias("nb"), F.col("pos").alias("pb"), F.col("root").alias("rb"))
+    room = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) >= share * (F.col("na") + F.col("nb")) - 1e-6
+    smaller = (F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))
+    met = index.join(probe, ["e", "bin"]).where(smaller & (F.col("ra") != F.col("rb")) & (F.col("na") >= similarity * F.col("nb") - 1e-6) & room)
+    return met.select("a", "b").distinct()
+
+
+def _likely(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+    """The pairs whose whole prefixes share enough."""
+    side = lambda c: nodes.select(F.col("node").alias(c), F.col("size").alias(f"n{c}"), F.col("prefix").alias(f"p{c}"))
+    met = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", F.size(F.array_intersect("pa", "pb")).alias("n"))
+    return met.where(_reaches(similarity)).select("a", "b")
 
 
 def similar_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = SIMILARITY) -> DataFrame:
     """One row a document: the id, ``node``, ``root`` and ``component_id``, of classes linked by texts of at least ``similarity``.
 
     An exact search: in one order of all shingles, frequent ones last, two texts of the similarity share
-    one of the first (1 - similarity) of theirs. Texts first meet a few hubs, which joins most of a large
-    group by few pairs; then all texts that share a first shingle meet, unless they are in one class
-    already. Every pair is verified on whole texts. Equal texts are one node throughout.
+    one of the first (1 - similarity) of theirs. Texts of crowded shingles first meet a few hubs, which joins
+    most of a large group by few pairs; then all texts that share a first shingle meet, unless they are in
+    one class already or their sizes and the shingle's places rule the similarity out. Every pair is verified
+    by exact Jaccard similarity of the whole texts, whose shingles are hashed once a node and not once a pair.
+    Texts with equal sets of shingles are one node throughout.
     """
+    spark = docs.sparkSession
+    with made() as paths:
+        found, kept = written(_similar(docs, id_col, text_col, shingle, similarity), "classes")
+    drop(spark, *(p for p in paths if p != kept))
+    return found
+
+
+def _similar(docs: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float) -> DataFrame:
     keyed = docs.select(id_col, text_col).withColumn("t__", F.xxhash64(text_col))  # tells rows with one id apart
     common = common_shingles(docs, text_col=text_col, shingle=shingle)
-    full = materialise(prefixes(keyed, [id_col, "t__"], text_col=text_col, shingle=shingle, similarity=similarity, common=common), "prefixes")
-    rows = full.drop("prefix")
-    nodes = materialise(full.groupBy("node").agg(F.min(id_col).alias("first_id"), F.min_by("t__", id_col).alias("first_t"), F.first("size").alias("size"), F.first("prefix").alias("prefix")), "nodes")
-    of_shingle = nodes.select("node", "size", F.explode("prefix").alias("e"))
+    full, full_at = written(prefixes(keyed, [id_col, "t__"], text_col=text_col, shingle=shingle, similarity=similarity, common=common), "prefixes")
+    rows = materialise(full.select(id_col, "node"), "rows")
+    least = F.min(F.struct(F.col(id_col).isNull().alias("n"), F.col(id_col).alias("i"), F.col("t__").alias("t")))
+    nodes = full.groupBy("node").agg(least.alias("least"), F.first("size").alias("size"), F.first("prefix").alias("prefix"))
+    nodes = materialise(nodes.select("node", F.col("least.i").alias("first_id"), F.col("least.t").alias("first_t"), "size", "prefix"), "nodes")
+    drop(docs.sparkSession, full_at)
+    of_shingle = nodes.select("node", "size", F.posexplode("prefix").alias("pos", "e"))
     shared = of_shingle.groupBy("e").agg(F.count("*").alias("texts")).where("texts > 1")
-    held = materialise(of_shingle.join(shared, "e").select("e", "node", "size", "texts"), "held")
+    held = materialise(of_shingle.join(shared, "e").select("e", "node", "size", "pos", "texts"), "held")
+
+    reps = materialise(nodes.select("node", F.col("first_id").alias("i__"), F.col("first_t").alias("f__")), "reps")
 
     def linked(pairs: DataFrame) -> DataFrame:
-        wanted = pairs.select(F.col("a").alias("node")).unionAll(pairs.select("b")).distinct()
-        reps = nodes.join(wanted, "node", "left_semi").select("node", "first_id", "first_t")
-        texts = keyed.select(F.col(id_col).alias("i__"), "t__", F.col(text_col).alias("text__")).join(reps, F.col("i__").eqNullSafe(F.col("first_id")) & F.col("t__").eqNullSafe(F.col("first_t"))).groupBy("node").agg(F.first("text__").alias("text__"))
-        texts = materialise(texts, "texts")  # plain joins from here on, whose hot nodes adaptive execution can split
-        return materialise(_verified(pairs, texts, shingle, similarity), "links")
-
-    near = linked(materialise(_ordered(_hubs(held, similarity)), "hubs"))
-    rest = linked(materialise(_candidates(held, connected_components(near), similarity), "candidates"))
-    classes = connected_components(near.unionAll(rest))
+        """The pairs that have the similarity, written. Only texts that are in a pair are read, hashed and moved."""
+        wanted = materialise(pairs.select(F.col("a").alias("node")).unionAll(pairs.select("b")).distinct(), "wanted")
+        own = materialise(reps.join(sized(wanted), "node", "left_semi"), "own")  # its true size decides whether the texts are shuffled to meet it
+        texts = keyed.join(sized(own), F.col(id_col).eqNullSafe(F.col("i__")) & F.col("t__").eqNullSafe(F.col("f__"))).select("node", F.col(text_col).alias("text__"))
+        return materialise(_verified(pairs, materialise(shingle_sets(texts.dropDuplicates(["node"]), shingle), "sets"), similarity), "links")
+
+    near, classes = None, None
+    for turn in range(HUB_ROUNDS):
+        pairs = materialise(_hubs(_rooted(held.where(F.col("texts") >= CROWD), classes), similarity, turn), "hubs")
+        found = linked(pairs)
+        near = found if near is None else near.unionAll(found)
+        classes = connected_components(near)
+    pairs = materialise(_likely(_candidates(_rooted(held, classes), similarity), nodes, similarity), "candidates")
+    classes = connected_components(near.unionAll(linked(pairs)))
     rooted = nodes.join(classes, "node", "left").select("node", "first_id", F.coalesce("component", "node").alias("root"))
     named = rooted.join(rooted.groupBy("root").agg(F.min("first_id").alias("component_id")), "root").select("node", "root", "component_id")
-    return rows.select(id_col, "node").join(named, "node").select(id_col, "node", "root", "component_id")
+    return rows.join(named, "node").select(id_col, "node", "root", "component_id")
 
 
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = SIMILARITY) -> DataFrame:
@@ -288,10 +338,11 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
 
     A class whose ids are all null keeps one row, whichever.
     """
-    classes = materialise(similar_classes(docs, id_col=id_col, text_col=text_col, shingle=shingle, similarity=similarity), "classes")
+    classes = similar_classes(docs, id_col=id_col, text_col=text_col, shingle=shingle, similarity=similarity)
     kept = classes.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("i__"), F.col("node").alias("n__"), F.col("root").alias("r__"))
-    if kept.groupBy("i__").count().where("count > 1").isEmpty():
-        return docs.join(kept.select("i__"), F.col(id_col).eqNullSafe(F.col("i__")), "left_semi")
+    kept = materialise(kept, "kept")
+    if classes.groupBy(id_col).count().where("count > 1").isEmpty():
+        return docs.join(sized(kept.select("i__")), F.col(id_col).eqNullSafe(F.col("i__")), "left_semi")
     own = prefixes(docs.withColumn("row__", F.struct(*docs.columns)), ["row__"], text_col=text_col, shingle=shingle)
     named = own.join(kept.distinct(), F.col(f"row__.{id_col}").eqNullSafe(F.col("i__")) & (F.col("node") == F.col("n__")))
     return named.dropDuplicates(["i__", "r__"]).select("row__.*")
