@@ -1,12 +1,16 @@
 """Substring dedup by sliding sentence spans.
 
 A text is cut into sentences behind a word that ends in ``. ! ? ; :`` and at line ends, and further so
-that of any ``WINDOW`` = 8 words one ends a sentence: the last that has the least rank, where ends of
-sentences and lines rank below all hashes. A cut depends on the 7 words on either side alone, so a
-passage is cut alike wherever it stands, but for its ends, and one of 50 whole words holds a whole span. A span is the shortest run of at least ``min_sentences`` consecutive
-sentences with at least ``min_words`` words. All spans of the corpus are hashed (96 bits of the words
-joined by one space) and joined globally; of every span that occurs again, the first occurrence (by
-doc_id, then place) stays and the sentences of all others are removed.
+that of any ``WINDOW`` words one ends a sentence: the last that has the least rank, where ends of
+sentences and lines rank below all hashes. A cut depends on the words of the windows around it alone, so a
+passage is cut alike wherever it stands, but for its ends. A span is the shortest run of at least
+``min_sentences`` consecutive sentences with at least ``min_words`` words. Within a passage of L words the
+first whole window ends a sentence at word W or before, the last one at word L - W + 1 or behind; the L - 2W + 1
+words between hold over 2 sentences of W words, so a whole span, if L >= 4W: with W = 12 any 50 whole words do.
+
+All spans of the corpus are hashed (96 bits of the words joined by one space) and joined globally; of
+every span that occurs again, the first occurrence (by doc_id, then place) stays and the sentences of all
+others are removed.
 
 Repeats inside a text are found in the text. Across texts two shuffles of rows of three longs do it: a
 partial aggregate finds the hashes of several documents and the first of these, an equi-join carries
@@ -20,7 +24,6 @@ doc_id only lose what repeats inside them, taken together.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,66 +35,66 @@ from pyspark.sql import types as T
 
 from corpusloom.llm.shared import materialise
 
-MIN_SENTENCES, MIN_WORDS = 3, 20
-_WORD = re.compile(r"[^\x20\x09-\x0D]+")
-WINDOW = 8
-
-
-def sentences(text: str) -> list[tuple[int, int, list[str]]]:
-    """(start, end, words) of each sentence, in code points; ends before the next one's first word."""
-    found = [(m.group(), m.start(), m.end()) for m in _WORD.finditer(text)]
-    if not found:
-        return []
-    ends = [w[-1] in ".!?;:" for w, _, _ in found]
-    if "\n" in text:
-        for k in range(len(found) - 1):
-            ends[k] = ends[k] or "\n" in text[found[k][2] : found[k + 1][1]]
-    ends[-1] = True
-    out, first = [], 0
-    for k in np.flatnonzero(np.array(ends) | _least([w for w, _, _ in found], ends)).tolist():
-        out.append((found[first][1], found[k][2], [w for w, _, _ in found[first : k + 1]]))
-        first = k + 1
-    return out
-
-
-def _least(words: list[str], ends: list[bool]) -> np.ndarray:
+MIN_SENTENCES, MIN_WORDS, WINDOW = 3, 20, 12
+_SPACE = np.zeros(256, bool)
+_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+_STOP = np.zeros(256, bool)
+_STOP[list(b".!?;:")] = True
+
+
+def cut(data: bytes) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
+    """Of a text in UTF-8: its words, where each starts and ends, and how many words stand up to each end of a sentence."""
+    words = data.split()  # at \x20 and \x09 to \x0D
+    if not words:
+        none = np.zeros(0, np.int64)
+        return words, none, none, none
+    octets = np.frombuffer(data, np.uint8)
+    inside = ~_SPACE[octets]
+    edges = np.flatnonzero(np.diff(np.concatenate([[False], inside, [False]])))
+    starts, ends = edges[0::2], edges[1::2]
+    over = _STOP[octets[ends - 1]]
+    lines = np.flatnonzero(octets == 10)
+    if len(lines):
+        over[:-1] |= np.searchsorted(lines, starts[1:]) > np.searchsorted(lines, ends[:-1])
+    over[-1] = True
+    return words, starts, ends, np.flatnonzero(over | _least(words, over)) + 1
+
+
+def _least(words: list[bytes], over: np.ndarray) -> np.ndarray:
     """Whether a word is the last of least rank in one of the windows that hold it."""
-    chosen = np.zeros(len(words), bool)
-    if len(words) >= WINDOW:
-        rank = np.fromiter((0 if e else word_rank(w) for w, e in zip(words, ends)), np.int64, len(words))
-        least = (rank << 32) | (0xFFFFFFFF - np.arange(len(words)))
-        step = 1
-        while step < WINDOW:  # a power of two
-            least = np.minimum(least[:-step], least[step:])
-            step *= 2
+    n, chosen = len(words), np.zeros(len(words), bool)
+    if n >= WINDOW:
+        rank = np.fromiter(map(_ranks.__getitem__, words), np.int64, n)
+        rank[over] = 0
+        least, width = (rank << 32) | (0xFFFFFFFF - np.arange(n)), 1
+        while 2 * width <= WINDOW:
+            least = np.minimum(least[:-width], least[width:])
+            width *= 2
+        if rest := WINDOW - width:
+            least = np.minimum(least[:-rest], least[rest:])
         chosen[0xFFFFFFFF - (least & 0xFFFFFFFF)] = True
     return chosen
 
 
-_ranks: dict[str, int] = {}
+class _Ranks(dict):
+    """30 bits of a word's hash, above 0, the same on every machine; holds a bounded number of words."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > 1 << 17:
+            self.clear()
+        value = self[word] = (xxhash.xxh64_intdigest(word) & 0x3FFFFFFF) + 1
+        return value
 
 
-def word_rank(word: str) -> int:
-    """30 bits of the word's hash, above 0, the same on every machine."""
-    value = _ranks.get(word)
-    if value is None:
-        if len(_ranks) > 1 << 17:
-            _ranks.clear()
-        value = _ranks[word] = (xxhash.xxh64_intdigest(word.encode()) & 0x3FFFFFFF) + 1
-    return value
+_ranks = _Ranks()
 
 
-def runs(found: list[tuple[int, int, list[str]]], min_sentences: int, min_words: int) -> Iterator[tuple[int, int]]:
-    """(first, past the last) sentence of the shortest long-enough run from each sentence on."""
-    sizes, end, words = [len(s[2]) for s in found], 0, 0
-    for first, size in enumerate(sizes):
-        while end < len(found) and (end - first < min_sentences or words < min_words):
-            words += sizes[end]
-            end += 1
-        if end - first < min_sentences or words < min_words:
-            return
-        yield first, end
-        words -= size
+def runs(stops: np.ndarray, min_sentences: int, min_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """First and past the last word of the shortest long-enough run from each sentence on that has one; ``stops``: words up to each end."""
+    firsts = np.concatenate([[0], stops[:-1]]) if len(stops) else stops
+    past = np.maximum(np.searchsorted(stops, firsts + min_words), np.arange(len(stops)) + min_sentences - 1)
+    good = past < len(stops)
+    return firsts[good], stops[past[good]]
 
 
 def span_table(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_sentences: int = MIN_SENTENCES, min_words: int = MIN_WORDS) -> DataFrame:
@@ -99,21 +102,30 @@ def span_table(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     schema = f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, h1 long, h2 long, again boolean"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digest = xxhash.xxh3_128_digest
         for batch in batches:
             for lo in range(0, batch.num_rows, 64):
                 part = batch.slice(lo, 64)
-                at, h1, h2, again = [], [], [], []
-                for k, text in enumerate(part.column(1).to_pylist()):
-                    found = sentences(text) if text else []
-                    plain, seen = [" ".join(s[2]) for s in found], set()
-                    for first, past in runs(found, min_sentences, min_words):
-                        digest = xxhash.xxh3_128_digest(" ".join(plain[first:past]).encode())[:12]
-                        at.append(k)
-                        h1.append(int.from_bytes(digest[:8], "little", signed=True))
-                        h2.append(int.from_bytes(digest[8:], "little", signed=True) << 32 | first)
-                        again.append(digest in seen)
-                        seen.add(digest)
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(at, pa.int32())), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(again, pa.bool_())], names=[id_col, "h1", "h2", "again"])
+                sizes, places, hashes, again = [], [], [], []
+                for text in part.column(1).to_pylist():
+                    words, _, _, stops = cut(text.encode() if text else b"")
+                    first, past = runs(stops, min_sentences, min_words)
+                    line = b" ".join(words)
+                    at = np.concatenate([[0], np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)])
+                    found = [digest(line[a:b])[:12] for a, b in zip(at[first].tolist(), (at[past] - 1).tolist())]
+                    sizes.append(len(found))
+                    places.append(np.arange(len(found)))
+                    hashes += found
+                    seen = set(found)
+                    if len(seen) == len(found):
+                        again.append(np.zeros(len(found), bool))
+                    else:
+                        again.append(np.array([h not in seen or seen.discard(h) is not None for h in found]))
+                raw = np.frombuffer(b"".join(hashes), "<i4").astype(np.int64).reshape(-1, 3)
+                h1 = (raw[:, 0] & 0xFFFFFFFF) | (raw[:, 1] << 32)
+                h2 = (raw[:, 2] << 32) | np.concatenate([np.zeros(0, np.int64), *places])
+                ids = part.column(0).take(pa.array(np.repeat(np.arange(len(sizes)), sizes), pa.int32()))
+                yield pa.RecordBatch.from_arrays([ids, pa.array(h1), pa.array(h2), pa.array(np.concatenate([np.zeros(0, bool), *again]))], names=[id_col, "h1", "h2", "again"])
 
     return docs.select(id_col, F.col(text_col).alias("text__")).mapInArrow(run, schema)
 
@@ -146,8 +158,8 @@ def remove_repeated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
                 for k, places in enumerate(part.column(len(names)).to_pylist()):
                     cuts.append(None)
                     if places and texts[k]:
-                        texts[k], cut = without(texts[k], set(places), min_sentences, min_words)
-                        cuts[k] = [{"start": a, "end": b} for a, b in cut] or None
+                        texts[k], gone = without(texts[k], set(places), min_sentences, min_words)
+                        cuts[k] = [{"start": a, "end": b} for a, b in gone] or None
                 columns = [part.column(k) for k in range(len(names))]
                 columns[at] = pa.array(texts, pa.string())
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(cuts, kind)], names=[*names, "removed"])
@@ -156,20 +168,24 @@ def remove_repeated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
 
 def without(text: str, places: set[int], min_sentences: int, min_words: int) -> tuple[str, list[tuple[int, int]]]:
-    """The text without the runs that start at ``places``, and the merged pieces that went."""
-    found, cut = sentences(text), []
-    for first, past in runs(found, min_sentences, min_words):
-        if first in places:
-            start, end = found[first][0], found[past - 1][1]
-            if first and cut and found[first - 1][1] <= cut[-1][1]:
-                cut[-1] = (cut[-1][0], max(cut[-1][1], end))
-            else:
-                cut.append((start, end))
-    kept, last = [], 0
-    for start, end in cut:
-        kept.append(text[last:start])
+    """The text without the runs whose numbers are ``places``, and the merged pieces that went, in code points."""
+    data = text.encode()
+    _, starts, ends, stops = cut(data)
+    first, past = runs(stops, min_sentences, min_words)
+    merged: list[list[int]] = []
+    for k in sorted(p for p in places if p < len(first)):  # rows that share an id lose the places of either
+        if merged and first[k] <= merged[-1][1]:
+            merged[-1][1] = max(merged[-1][1], int(past[k]))
+        else:
+            merged.append([int(first[k]), int(past[k])])
+    points = np.cumsum((np.frombuffer(data, np.uint8) & 0xC0) != 0x80)  # code points up to and with each byte
+    kept, gone, last = [], [], 0
+    for a, b in merged:
+        start, end = int(starts[a]), int(ends[b - 1])
+        kept.append(data[last:start])
+        gone.append((int(points[start]) - 1, int(points[end - 1])))
         last = end
-    return "".join([*kept, text[last:]]), cut
+    return b"".join([*kept, data[last:]]).decode(), gone
 
 
 def document_spans(docs: DataFrame) -> DataFrame:
