@@ -1,8 +1,14 @@
 """Quality rules with host-level verdicts, all in built-in expressions.
 
-Rules of a document give its failures; a host's failure rate is shrunk towards the corpus by an
-empirical beta prior (method of moments over the hosts' rates) and a host beyond the limit has all
-its documents rejected. Shrinking keeps small hosts from being judged by a handful of documents.
+Five rules fail a document; two of them (``BASE``) by themselves, the others (symbols, repeated lines, word
+sizes) only with the host's verdict. Failures are counted by host and rule, and every rate is shrunk towards the
+corpus by an empirical beta prior (method of moments over the hosts' rates), so that small hosts are not judged by a
+handful of documents. Of a rule with prior mean m and deviation s, and a host whose shrunk rate r has the posterior
+deviation d,
+
+* the host is *suspect* if r - d > m: its documents that fail this rule are rejected;
+* the host is *rejected* with all its documents if r - 3d > m + s, r > 2m and r >= ``HOST_LEAST``: far out among
+  the hosts, and bad by itself, but not wholly bad.
 
 Repeated windows are found inside a row: windows of 8 words are hashed (64 bits), and only where a
 hash occurs twice the positions are sorted by hash and neighbours compared, so the work is n log n
@@ -23,8 +29,17 @@ from corpusloom.llm.shared import materialise
 from corpusloom.llm.text import SPACE, words
 
 MIN_WORDS, REPEAT_PERCENT, WINDOW = 20, 30, 8
-#: A host whose shrunk failure rate exceeds this is rejected whole.
-HOST_LIMIT = 0.9
+#: A document fails a rule by its measures; the same text is SQL for Spark and DuckDB.
+RULES = {
+    "short": f"n_words < {MIN_WORDS}",
+    "repeats": f"100 * n_repeat_words > {REPEAT_PERCENT} * n_words",
+    "symbols": "10 * n_symbols > n_words",
+    "lines": "10 * n_dup_lines > 3 * n_lines",
+    "word_size": "(word_chars < 3 * n_words or word_chars > 10 * n_words)",
+}
+BASE = ("short", "repeats")
+#: Least failure rate of a host that is rejected whole.
+HOST_LEAST = 0.2
 _SYMBOLS = "#*$%&|<>"
 
 
@@ -51,53 +66,64 @@ def n_repeat_words(word_array: Column, window: int = WINDOW) -> Column:
 
 
 def measured(docs: DataFrame, keep: list[str], *, text_col: str = "text") -> DataFrame:
-    """The columns ``keep`` with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long) and base_failed."""
+    """The columns ``keep`` with the measures n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines (long) and base_failed."""
     text = F.coalesce(F.col("text__"), F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]"))
     src = docs.select(*keep, F.col(text_col).alias("text__")).select(
         *keep, F.length(F.regexp_replace(text, SPACE + "+", "")).cast("long").alias("word_chars"),
         (F.length(text) - F.length(F.translate(text, _SYMBOLS, ""))).cast("long").alias("n_symbols"),
-        F.transform(F.array(lines), lambda x: F.size(x) - F.size(F.array_distinct(x)))[0].cast("long").alias("n_dup_lines"),
+        F.transform(F.array(lines), lambda x: F.struct(F.size(x).cast("long").alias("n"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("d")))[0].alias("l__"),
         F.transform(F.array(words(text)), lambda w: F.struct(F.size(w).cast("long").alias("n"), n_repeat_words(w).cast("long").alias("r")))[0].alias("w__"),
     )
     n, r = F.col("w__.n"), F.col("w__.r")
-    return src.select(*keep, n.alias("n_words"), "word_chars", "n_symbols", "n_dup_lines", r.alias("n_repeat_words"), ((n < MIN_WORDS) | (100 * r > REPEAT_PERCENT * n)).alias("base_failed"))
+    rows = src.select(*keep, n.alias("n_words"), "word_chars", "n_symbols", F.col("l__.d").alias("n_dup_lines"), r.alias("n_repeat_words"), F.col("l__.n").alias("n_lines"))
+    return rows.withColumn("base_failed", F.expr(" or ".join(RULES[k] for k in BASE)))
+
+
+def _prior(hosts: DataFrame) -> DataFrame:
+    """One row: m_, v_ (mean and variance of the hosts' rates) and s_ (strength of the beta prior with these moments) of every rule."""
+    moments = hosts.agg(*[f(F.col(f"x_{k}") / F.col("n_docs")).alias(f"{n}_{k}") for k in RULES for n, f in (("m", F.avg), ("v", F.var_pop))])
+    # Strength = mean (1 - mean) / variance - 1, at least 1; without spread the prior rules.
+    return moments.select("*", *[F.expr(f"case when v_{k} > 1e-12 then greatest(1.0D, m_{k} * (1 - m_{k}) / v_{k} - 1) else 1e6D end").alias(f"s_{k}") for k in RULES])
+
+
+def _verdict(rate: str, n: str, k: str) -> tuple[str, str]:
+    """SQL for suspect and rejected by rule ``k``."""
+    deviation = f"sqrt({rate} * (1 - {rate}) / ({n} + s_{k} + 1))"
+    far = f"{rate} - 3 * {deviation} > m_{k} + sqrt(v_{k}) + 1e-9 and {rate} > 2 * m_{k} and {rate} >= {HOST_LEAST}"
+    return f"({rate} - {deviation} > m_{k} + 1e-9)", f"({far})"
 
 
-def host_verdicts(failures: DataFrame, host: Column, failed: Column, *, limit: float = HOST_LIMIT) -> DataFrame:
-    """(host, n_docs, n_failed, rate, host_kept): a host is kept while its shrunk failure rate is within ``limit``."""
-    hosts = failures.groupBy(host.alias("host")).agg(F.count("*").alias("n_docs"), F.sum(failed.cast("long")).alias("n_failed"))
-    rate = F.col("n_failed") / F.col("n_docs")
-    moments = hosts.agg(F.avg(rate).alias("mean"), F.var_pop(rate).alias("var"))
-    # Moments of a beta distribution: strength = mean (1 - mean) / variance - 1, at least 1; without spread the prior rules.
-    m, v = F.col("mean"), F.col("var")
-    prior = moments.select(m, F.when(v > 1e-12, F.greatest(F.lit(1.0), m * (1 - m) / v - 1)).otherwise(F.lit(1e6)).alias("strength"))
-    shrunk = (F.col("n_failed") + m * F.col("strength")) / (F.col("n_docs") + F.col("strength"))
-    return hosts.join(F.broadcast(prior)).select("host", "n_docs", "n_failed", shrunk.alias("rate"), (shrunk <= limit).alias("host_kept"))
+def host_verdicts(rows: DataFrame, host: Column) -> DataFrame:
+    """Measured rows -> host, n_docs, rejected, and of every rule rate_ (shrunk) and suspect_."""
+    hosts = rows.groupBy(host.alias("host")).agg(F.count("*").alias("n_docs"), *[F.sum(F.expr(f"cast({rule} as int)")).alias(f"x_{k}") for k, rule in RULES.items()])
+    rated = hosts.join(F.broadcast(_prior(hosts))).select("*", *[F.expr(f"(x_{k} + m_{k} * s_{k}) / (n_docs + s_{k})").alias(f"rate_{k}") for k in RULES])
+    verdicts = {k: _verdict(f"rate_{k}", "n_docs", k) for k in RULES}
+    return rated.select("host", "n_docs", F.expr(" or ".join(v[1] for v in verdicts.values())).alias("rejected"), *[f"rate_{k}" for k in RULES], *[F.expr(v[0]).alias(f"suspect_{k}") for k, v in verdicts.items()])
 
 
-def with_verdicts(docs: DataFrame, keep: list[str], *, text_col: str = "text", host_col: str = "source", limit: float = HOST_LIMIT) -> DataFrame:
-    """Every document's measures and ``kept``: false if its own rules fail, else its host's verdict."""
-    rows = measured(docs.withColumn("host__", F.col(host_col).cast("string")), [*keep, "host__"], text_col=text_col)
-    return judge(rows, keep, limit=limit)
+def with_verdicts(docs: DataFrame, keep: list[str], *, text_col: str = "text", host_col: str = "source") -> DataFrame:
+    """Every document's measures and ``kept``: false if its own rules fail, else its host's verdict. The measures are written once, as two passes read them."""
+    rows = materialise(measured(docs.withColumn("host__", F.col(host_col).cast("string")), [*keep, "host__"], text_col=text_col), "measures")
+    return judge(rows, keep)
 
 
-def judge(rows: DataFrame, keep: list[str], *, hosts: DataFrame | None = None, limit: float = HOST_LIMIT) -> DataFrame:
-    """Measured rows (with host__) and their verdict. ``hosts``: their verdicts, if they were written before."""
-    hosts = host_verdicts(rows, F.col("host__"), F.col("base_failed"), limit=limit) if hosts is None else hosts
-    hosts = hosts.select(F.col("host").alias("h__"), "host_kept")
+def judge(rows: DataFrame, keep: list[str]) -> DataFrame:
+    """Measured rows (with host__) and their verdict. The hosts' verdicts are written first: their true size decides how they meet the rows."""
+    hosts = materialise(host_verdicts(rows, F.col("host__")), "hosts").select(F.col("host").alias("h__"), "rejected", *[f"suspect_{k}" for k in RULES])
     joined = rows.join(hosts, F.col("host__").eqNullSafe(F.col("h__")), "left")
-    return joined.select(*keep, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & F.col("host_kept")).alias("kept"))
+    doubted = " or ".join(f"(suspect_{k} and {rule})" for k, rule in RULES.items())
+    return joined.select(*keep, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "base_failed", F.expr(f"not (base_failed or rejected or {doubted})").alias("kept"))
 
 
 def document_rules(docs: DataFrame) -> DataFrame:
-    """The digest columns of every document. The measures are written once, as two passes read them."""
-    rows = materialise(measured(docs.withColumn("host__", F.col("source").cast("string")), ["doc_id", "host__"]), "measures")
-    return judge(rows, ["doc_id"])
+    """The digest columns of every document."""
+    return with_verdicts(docs, ["doc_id"])
 
 
 def oracle_sql() -> str:
     """DuckDB SQL for ``document_rules``."""
+    verdicts = {k: _verdict(f"rate_{k}", "n_docs", k) for k in RULES}
     return rf"""
 WITH base AS (
   SELECT doc_id, source, coalesce(text, '') AS t, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w,
@@ -109,11 +135,14 @@ cov AS (SELECT doc_id, sum(least({WINDOW}, coalesce(nxt - i, {WINDOW}))) AS r FR
 f AS (
   SELECT b.doc_id, b.source, len(w)::BIGINT AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g'))::BIGINT AS word_chars,
          (length(t) - length(translate(t, '{_SYMBOLS}', '')))::BIGINT AS n_symbols, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines,
-         coalesce(r, 0)::BIGINT AS n_repeat_words
+         coalesce(r, 0)::BIGINT AS n_repeat_words, len(lines)::BIGINT AS n_lines
   FROM base b LEFT JOIN cov USING (doc_id)),
-g AS (SELECT *, (n_words < {MIN_WORDS} OR 100 * n_repeat_words > {REPEAT_PERCENT} * n_words) AS base_failed FROM f),
-h AS (SELECT source, count(*) AS n, count(*) FILTER (base_failed) AS x FROM g GROUP BY source),
-p AS (SELECT avg(x / n) AS m, var_pop(x / n) AS v FROM h),
-k AS (SELECT h.source, (x + m * s) / (n + s) <= {HOST_LIMIT} AS host_kept FROM h, (SELECT m, CASE WHEN v > 1e-12 THEN greatest(1.0, m * (1 - m) / v - 1) ELSE 1e6 END AS s FROM p))
-SELECT g.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, (NOT base_failed AND host_kept) AS kept
+g AS (SELECT *, ({" OR ".join(RULES[k] for k in BASE)}) AS base_failed FROM f),
+h AS (SELECT source, count(*) AS n_docs, {", ".join(f"count(*) FILTER ({rule}) AS x_{k}" for k, rule in RULES.items())} FROM g GROUP BY source),
+q AS (SELECT {", ".join(f"avg(x_{k} / n_docs) AS m_{k}, var_pop(x_{k} / n_docs) AS v_{k}" for k in RULES)} FROM h),
+p AS (SELECT *, {", ".join(f"CASE WHEN v_{k} > 1e-12 THEN greatest(1.0::DOUBLE, m_{k} * (1 - m_{k}) / v_{k} - 1) ELSE 1e6::DOUBLE END AS s_{k}" for k in RULES)} FROM q),
+r AS (SELECT *, {", ".join(f"(x_{k} + m_{k} * s_{k}) / (n_docs + s_{k}) AS rate_{k}" for k in RULES)} FROM h, p),
+k AS (SELECT source, {" OR ".join(v[1] for v in verdicts.values())} AS rejected, {", ".join(f"{v[0]} AS suspect_{k}" for k, v in verdicts.items())} FROM r)
+SELECT g.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, base_failed,
+       NOT (base_failed OR rejected OR {" OR ".join(f"(suspect_{k} AND {rule})" for k, rule in RULES.items())}) AS kept
 FROM g JOIN k ON g.source IS NOT DISTINCT FROM k.source"""
