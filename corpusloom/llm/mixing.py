@@ -9,15 +9,18 @@ sums reach the driver.
 The weights are realised as budgeted block permutations. An epoch of a source is a block, a
 permutation of its documents by hash; whole blocks are emitted while the source's token budget lasts
 and the last block stops before the document that would exceed it. ``budget`` is the tokens to emit;
-without one it is the least that keeps every document at least once, so nothing is dropped.
+without one it is the least that keeps every document at least once, so nothing is dropped. Every emitted copy
+has its block and its position in it; the mix is read block after block, by position.
 
 A running token sum decides where the last block stops. It is taken by levels of the permutation
 hash (two digits of 10 bits, then documents), so that no window holds a source: a hot source is cut
-into 2**20 bins of a permutation, and windows run over bins of sums first.
+into 2**20 bins of a permutation, and windows run over bins of sums first. What a source emits of the last block is
+a beginning of the permutation, so one row a source (its blocks, and where the last one stops) tells the copies of every
+document; texts never meet a table of documents.
 
 Defined results: null and empty texts hold no token and go with whole blocks; a null source is a
 source of its own; sources without a token have weight 0 and are kept once; ties of the permutation
-are broken by doc_id; an empty table gives an empty mix.
+are broken by doc_id, rows that repeat an id go together; an empty table gives an empty mix.
 """
 
 from __future__ import annotations
@@ -40,10 +43,9 @@ def token_count(text: Column) -> Column:
     return F.size(words(text)).cast("long")
 
 
-def _permutation(doc_id: Column, epoch: Column | str) -> Column:
-    """A 60-bit hash that orders a block, the same in any engine with MD5."""
-    digest = F.md5(F.concat_ws(":", F.lit(_SEED), F.lit(epoch).cast("string") if isinstance(epoch, str) else epoch.cast("string"), F.coalesce(doc_id.cast("string"), F.lit(""))))
-    return F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")
+def _position(doc_id: Column, block: Column | str) -> Column:
+    """The place of a document in a block's permutation: 15 hex digits, the same in any engine with MD5."""
+    return F.substring(F.md5(F.concat_ws(":", F.lit(_SEED), (F.col(block) if isinstance(block, str) else block).cast("string"), F.coalesce(doc_id.cast("string"), F.lit("")))), 1, 15)
 
 
 def bisect_exponent(shares: DataFrame, meets: Callable[[dict], bool]) -> float:
@@ -98,44 +100,67 @@ def source_weights(rows: DataFrame, *, max_repeats: float | None = MAX_REPEATS,
     return sources.select("source__", "n_docs", "source_tokens", (weigh / F.lit(z)).alias("weight"), F.floor(ratio).alias("blocks"), F.round((ratio - F.floor(ratio)) * F.col("source_tokens")).cast("long").alias("last_tokens"))
 
 
-def _take_last(rows: DataFrame, weights: DataFrame) -> DataFrame:
-    """``rows`` (row__, source__, tokens__, id) with ``extra__``: 1 where the document is in its source's last, partial block."""
-    placed = rows.join(weights.select(F.col("source__").alias("s__"), "blocks", "last_tokens"), F.col("source__").eqNullSafe(F.col("s__"))).drop("s__").where("last_tokens > 0")
-    placed = placed.withColumn("h__", _permutation(F.col("id__"), F.col("blocks"))).withColumn("a__", F.shiftright("h__", 50)).withColumn("b__", F.shiftright("h__", 40))
-    keyed = placed.select("row__", F.coalesce(F.concat(F.lit("="), "source__"), F.lit("null")).alias("s__"), "a__", "b__", "h__", "id__", "tokens__", "last_tokens")
+def _last_taken(rows: DataFrame, weights: DataFrame) -> DataFrame:
+    """(s__, stop__): the last document (position and id) that each source emits of its last, partial block."""
+    placed = rows.join(weights.select(F.col("source__").alias("w__"), "blocks", "last_tokens"), F.col("source__").eqNullSafe(F.col("w__"))).where("last_tokens > 0")
+    placed = placed.withColumn("p__", _position(F.col("id__"), "blocks")).withColumn("h__", F.conv("p__", 16, 10).cast("long"))
+    keyed = placed.select("row__", F.coalesce(F.concat(F.lit("="), "source__"), F.lit("null")).alias("s__"), F.shiftright("h__", 50).alias("a__"), F.shiftright("h__", 40).alias("b__"), "p__", "id__", "tokens__", "last_tokens")
     fine = keyed.groupBy("s__", "a__", "b__").agg(F.sum("tokens__").alias("f__"))
     coarse = fine.groupBy("s__", "a__").agg(F.sum("f__").alias("c__"))
     before = lambda v, *by: F.coalesce(F.sum(v).over(Window.partitionBy(*by[:-1]).orderBy(by[-1]).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     coarse = coarse.select("s__", "a__", before("c__", "s__", "a__").alias("c0__"))
     fine = fine.select("s__", "a__", "b__", before("f__", "s__", "a__", "b__").alias("f0__")).join(coarse, ["s__", "a__"]).select("s__", "b__", (F.col("c0__") + F.col("f0__")).alias("o__"))
-    upto = F.sum("tokens__").over(Window.partitionBy("s__", "b__").orderBy("h__", "id__", "row__").rowsBetween(Window.unboundedPreceding, 0))
-    summed = keyed.withColumn("u__", upto).join(fine, ["s__", "b__"])
-    return summed.where(F.col("o__") + F.col("u__") <= F.col("last_tokens")).select("row__", F.lit(1).alias("extra__"))
+    upto = F.sum("tokens__").over(Window.partitionBy("s__", "b__").orderBy("p__", "id__", "row__").rowsBetween(Window.unboundedPreceding, 0))
+    summed = keyed.withColumn("u__", upto).join(fine, ["s__", "b__"]).where(F.col("o__") + F.col("u__") <= F.col("last_tokens"))
+    return summed.groupBy("s__").agg(F.max(F.struct(F.col("p__").alias("p"), F.col("id__").alias("i"))).alias("stop__"))
 
 
-def plan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", max_repeats: float | None = MAX_REPEATS, entropy: float | None = None, budget: int | None = None) -> DataFrame:
-    """One row a document: id, source, tokens, weight (of the source), blocks, copies (times it is emitted)."""
+def source_plan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", max_repeats: float | None = MAX_REPEATS, entropy: float | None = None, budget: int | None = None) -> DataFrame:
+    """One row a source (null included): source__, n_docs, source_tokens, weight, blocks, last_tokens, stop__ (the last document of the partial block; null: none)."""
     base = docs.select(F.col(id_col).alias("id__"), F.col(source_col).cast("string").alias("source__"), token_count(F.col(text_col)).alias("tokens__"))
     rows = materialise(base.withColumn("row__", F.monotonically_increasing_id()), "tokens")
     weights = materialise(source_weights(rows, max_repeats=max_repeats, entropy=entropy, budget=budget), "weights")
-    extra = _take_last(rows, weights)
-    every = rows.join(weights.withColumnRenamed("source__", "s__"), F.col("source__").eqNullSafe(F.col("s__"))).join(extra, "row__", "left")
-    return every.select(F.col("id__").alias(id_col), F.col("source__").alias(source_col), F.col("tokens__").alias("n_tokens"), "weight", "blocks", (F.col("blocks") + F.coalesce("extra__", F.lit(0))).alias("copies"))
+    last = _last_taken(rows, weights)
+    return materialise(weights.withColumn("s__", F.coalesce(F.concat(F.lit("="), "source__"), F.lit("null"))).join(last, "s__", "left").drop("s__"), "sources")
+
+
+def _copies(docs: DataFrame, sources: DataFrame, id_col: str, source_col: str) -> DataFrame:
+    """``docs`` with weight__, blocks__ and copies__."""
+    own = sources.select(F.col("source__").alias("s__"), F.col("weight").alias("weight__"), F.col("blocks").alias("blocks__"), "stop__")
+    joined = docs.join(own, F.col(source_col).cast("string").eqNullSafe(F.col("s__")))
+    taken = F.struct(_position(F.col(id_col), "blocks__").alias("p"), F.col(id_col).alias("i")) <= F.col("stop__")
+    return joined.withColumn("copies__", F.col("blocks__") + F.coalesce(taken, F.lit(False)).cast("int")).drop("s__", "stop__")
+
+
+def plan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", max_repeats: float | None = MAX_REPEATS, entropy: float | None = None, budget: int | None = None) -> DataFrame:
+    """One row a document: id, source, n_tokens, weight (of the source), blocks, copies (times it is emitted)."""
+    sources = source_plan(docs, id_col=id_col, text_col=text_col, source_col=source_col, max_repeats=max_repeats, entropy=entropy, budget=budget)
+    narrow = docs.select(id_col, F.col(source_col).cast("string").alias(source_col), token_count(F.col(text_col)).alias("n_tokens"))
+    return _copies(narrow, sources, id_col, source_col).select(id_col, source_col, "n_tokens", F.col("weight__").alias("weight"), F.col("blocks__").alias("blocks"), F.col("copies__").alias("copies"))
+
+
+def realise(docs: DataFrame, sources: DataFrame, *, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
+    """The columns of ``docs``, each row once for every copy, with ``block__`` (from 0) and ``position__`` (in the block's permutation)."""
+    emitted = _copies(docs, sources, id_col, source_col).where("copies__ > 0").withColumn("block__", F.explode(F.sequence(F.lit(0), F.col("copies__").cast("int") - 1)))
+    return emitted.withColumn("position__", _position(F.col(id_col), "block__")).select(*docs.columns, "block__", "position__")
 
 
-def realise(docs: DataFrame, planned: DataFrame, *, id_col: str = "doc_id") -> DataFrame:
-    """The columns of ``docs``, each row as often as its plan says, with ``block__`` (the epoch it belongs to).
+def in_order(emitted: DataFrame, sources: DataFrame) -> DataFrame:
+    """Realised rows in the order of the mix, by block and position, over all partitions from the first to the last.
 
-    Of repeated ids every row is emitted as often as the largest of their plans says.
+    Positions are hashes, so the range of a partition is known without looking at the rows.
     """
-    copies = planned.groupBy(F.col(id_col).alias("id__")).agg(F.max("copies").alias("copies__"))
-    joined = docs.join(copies, F.col(id_col).eqNullSafe(F.col("id__"))).where("copies__ > 0")
-    return joined.withColumn("block__", F.explode(F.sequence(F.lit(1), F.col("copies__").cast("int")))).drop("id__", "copies__")
+    partitions = int(emitted.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    blocks = sources.agg(F.max(F.col("blocks") + F.col("stop__").isNotNull().cast("int")).alias("n")).first()["n"] or 1
+    place = F.conv(F.substring("position__", 1, 8), 16, 10).cast("double") / float(1 << 32)
+    part = F.least(F.lit(partitions - 1), F.floor((F.col("block__") + place) * (partitions / blocks)).cast("int"))
+    return emitted.repartitionById(partitions, part).sortWithinPartitions("block__", "position__")
 
 
 def document_mix(docs: DataFrame) -> DataFrame:
-    """doc_id, source, n_tokens, weight (8 digits), blocks, copies of every document."""
-    return plan(docs).withColumn("weight", F.round("weight", 8))
+    """doc_id, source, n_tokens, weight (8 digits), block and position of every copy of every document."""
+    copies = plan(docs).withColumn("block", F.explode(F.expr("sequence(0L, copies - 1)")))
+    return copies.select("doc_id", "source", "n_tokens", F.round("weight", 8).alias("weight"), "block", _position(F.col("doc_id"), "block").alias("position"))
 
 
 def oracle_sql() -> str:
@@ -150,5 +175,6 @@ z AS (SELECT sum(w) AS z, max(CASE WHEN tok > 0 THEN tok / w END) AS most FROM w
 r AS (SELECT source, tok, w / z AS weight, CASE WHEN tok > 0 THEN round(most * w / tok, 9) ELSE 1 END AS r FROM w, z),
 b AS (SELECT source, weight, floor(r)::BIGINT AS blocks, round((r - floor(r)) * tok)::BIGINT AS last FROM r),
 q AS (SELECT d.*, b.weight, b.blocks, b.last, sum(n) OVER (PARTITION BY d.source ORDER BY left(md5('{_SEED}:' || b.blocks || ':' || coalesce(doc_id::VARCHAR, '')), 15), doc_id ROWS UNBOUNDED PRECEDING) AS upto
-      FROM d JOIN b ON d.source IS NOT DISTINCT FROM b.source)
-SELECT doc_id, source, n AS n_tokens, round(weight, 8) AS weight, blocks, blocks + (last > 0 AND upto <= last)::INT::BIGINT AS copies FROM q"""
+      FROM d JOIN b ON d.source IS NOT DISTINCT FROM b.source),
+c AS (SELECT *, unnest(range(blocks + (last > 0 AND upto <= last)::INT::BIGINT)) AS block FROM q)
+SELECT doc_id, source, n AS n_tokens, round(weight, 8) AS weight, block, left(md5('{_SEED}:' || block || ':' || coalesce(doc_id::VARCHAR, '')), 15) AS position FROM c"""
