@@ -20,8 +20,9 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -54,16 +55,33 @@ def scan(text: str) -> list[tuple[str, int, int, str, bool]]:
     base = [("assign", m.start(), m.end(), m.group(1)) for m in _ASSIGN.finditer(text) if len(m.group(1)) >= 8]
     base += [("access", m.start(), m.end(), m.group()) for m in _ACCESS.finditer(text)]
     base += [("hex", m.start(), m.end(), m.group()) for m in _HEX.finditer(text)]
-    out = [(*b, True) for b in base]
-    taken = [(b[1], b[2]) for b in base]
+    out, taken = [(*b, True) for b in base], [(b[1], b[2]) for b in base]
     for kind, pattern in (("token", _TOKEN), ("random", _RANDOM)):
-        for m in pattern.finditer(text):
-            if (kind == "token" or _random_looking(m.group())) and all(m.end() <= s or m.start() >= e for s, e in taken):
-                out.append((kind, m.start(), m.end(), m.group(), False))
-                taken.append(m.span())
+        clear = _clear_of(taken)
+        new = [m for m in pattern.finditer(text) if (kind == "token" or _random_looking(m.group())) and clear(*m.span())]
+        out += [(kind, m.start(), m.end(), m.group(), False) for m in new]
+        taken += [m.span() for m in new]
     return sorted(out, key=lambda f: (f[1], KINDS.index(f[0])))
 
 
+def _clear_of(spans: list[tuple[int, int]]) -> Callable[[int, int], bool]:
+    """Whether a span overlaps none of ``spans``."""
+    starts: list[int] = []
+    ends: list[int] = []
+    for start, end in sorted(spans):
+        if ends and start < ends[-1]:
+            ends[-1] = max(ends[-1], end)
+        else:
+            starts.append(start)
+            ends.append(end)
+
+    def clear(start: int, end: int) -> bool:
+        k = bisect_left(starts, end) - 1
+        return k < 0 or ends[k] <= start
+
+    return clear
+
+
 _FOUND = "array<struct<kind:string,start:int,end:int,hash:binary,base:boolean>>"
 
 
@@ -122,11 +140,28 @@ def redact(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", o
     found = judged(keyed, [id_col, "hash__"], text_col=text_col, owner_col=owner_col, repository_col=id_col, example_owners=example_owners)
     found = found.where("size(findings) > 0").groupBy(F.col(id_col).alias("i__"), F.col("hash__").alias("h__")).agg(F.first("findings").alias("findings__"))
     found = materialise(found, "findings")  # its true size decides whether the texts are shuffled to meet it
-    text = f"""aggregate(findings__, named_struct('at', 0, 'out', ''),
-        (acc, m) -> case when m.end <= acc.at then acc else named_struct('at', m.end, 'out', concat(acc.out, substring(`{text_col}`, acc.at + 1, greatest(m.start - acc.at, 0)), case when m.start < acc.at then '' else '[SECRET]' end)) end,
-        acc -> concat(acc.out, substring(`{text_col}`, acc.at + 1)))"""
-    joined = keyed.join(found, F.col(id_col).eqNullSafe(F.col("i__")) & (F.col("hash__") == F.col("h__")), "left")
-    return joined.withColumn(text_col, F.when(F.col("findings__").isNull(), F.col(text_col)).otherwise(F.expr(text))).select(*docs.columns)
+    joined = keyed.join(found, F.col(id_col).eqNullSafe(F.col("i__")) & (F.col("hash__") == F.col("h__")), "left").select(*docs.columns, F.expr("transform(findings__, f -> named_struct('start', f.start, 'end', f.end))").alias("findings__"))
+    at, names = docs.columns.index(text_col), docs.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = [batch.column(k) for k in range(len(names))]
+            marks = batch.column(len(names))
+            if marks.null_count < len(marks):
+                columns[at] = pa.array([t if m is None else without(t, [(f["start"], f["end"]) for f in m]) for t, m in zip(columns[at].to_pylist(), marks.to_pylist())], pa.string())
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    return joined.mapInArrow(run, docs.schema)
+
+
+def without(text: str, marks: list[tuple[int, int]]) -> str:
+    """``text`` with ``[SECRET]`` for each mark (sorted by start); marks that overlap the one before lengthen it."""
+    pieces, at = [], 0
+    for start, end in marks:
+        if start >= at:
+            pieces += text[at:start], "[SECRET]"
+        at = max(at, end)
+    return "".join([*pieces, text[at:]])
 
 
 def document_secrets(docs: DataFrame) -> DataFrame:
