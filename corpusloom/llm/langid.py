@@ -85,14 +85,16 @@ def fit_rows(bits: np.ndarray, langs: list[str], *, landmarks: int = 128, ridge:
 
 
 def _bits(df: DataFrame) -> DataFrame:
+    """(lang, text, draw) -> lang, bits, draw."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 128):
                 part = batch.slice(lo, 128)
                 packed = np.packbits(presence(part.column(1).to_pylist()), axis=1)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([r.tobytes() for r in packed], pa.binary())], names=["lang", "bits"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([r.tobytes() for r in packed], pa.binary()), part.column(2)], names=["lang", "bits", "draw"])
 
-    return df.mapInArrow(run, "lang string, bits binary")
+    return df.mapInArrow(run, "lang string, bits binary, draw double")
 
 
 def fit(labelled: DataFrame, key: Column, *, text_col: str = "text", lang_col: str = "lang", max_rows: int = 3000, landmarks: int = 128) -> Model:
@@ -106,10 +108,11 @@ def fit(labelled: DataFrame, key: Column, *, text_col: str = "text", lang_col: s
     if not counts:
         return Model([], np.zeros((1, DIM // 8), np.uint8), np.zeros((1, 0), np.float32))
     share = max(1, max_rows // len(counts))
-    draw = F.pmod(F.xxhash64(key.cast("string")), F.lit(1 << 30)).cast("double") / float(1 << 30)
+    draw = F.pmod(F.xxhash64(key.cast("string"), F.col(text_col)), F.lit(1 << 30)).cast("double") / float(1 << 30)
     lim = F.element_at(F.create_map(*[F.lit(v) for lang, n in counts.items() for v in (lang, min(1.0, 1.5 * share / n))]), F.col(lang_col))
     drawn = usable.where(F.col(lang_col).isin(list(counts))).where(draw < lim)
-    rows = _bits(drawn.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))).limit(2 * max_rows).collect()
+    # Ordered before it is cut: repeated rows are drawn together and may exceed the share, and the model must not hang on the order of tasks.
+    rows = _bits(drawn.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"), draw.alias("draw"))).orderBy("draw", "lang", "bits").limit(2 * max_rows).collect()
     rows.sort(key=lambda r: (r["lang"], bytes(r["bits"])))
     rng, kept = np.random.default_rng(11), []
     for lang in sorted(counts):

@@ -1,5 +1,7 @@
 import hashlib
+import random
 
+import numpy as np
 import public_tokenizers as P
 import pytest
 import tiktoken
@@ -84,6 +86,40 @@ def test_language_of_odd_rows(odd, empty):
     assert {r["lang_pred"] for r in no_label} == {"und"}
 
 
+def _grams(text):
+    t = f" {text.lower()} "
+    return {t[i : i + n] for n in langid.ORDERS for i in range(len(t) - n + 1)}
+
+
+def test_kernel_and_ridge_equal_a_dense_solution(docs):
+    rows = [(r["lang"], r["text"][:400]) for r in docs.where("lang is not null and length(text) between 100 and 3000").orderBy("doc_id").limit(60).collect()]
+    bits = langid.presence([t for _, t in rows])
+    grams = [_grams(t) for _, t in rows]
+    plain = np.array([[len(a & b) / np.sqrt(len(a) * len(b)) for b in grams] for a in grams])
+    # Hashing to DIM bits joins n-grams by chance: of a and b bits a Poisson number of mean a * b / DIM meet that differ.
+    sizes = np.sqrt([[len(a) * len(b) for b in grams] for a in grams])
+    chance = sizes**2 / langid.DIM
+    assert (np.abs(langid._kernel(bits, bits) - plain) < (chance + 4 * np.sqrt(chance) + 2) / sizes).all()
+
+    model = langid.fit_rows(bits, [x for x, _ in rows], landmarks=len(rows) * 10, ridge=0.05)
+    k = langid._kernel(bits, bits).astype(float)
+    y = np.array([[float(x == n) for n in model.langs] for x, _ in rows])
+    weight = (y / y.sum(0)).sum(1)
+    dense = k @ np.linalg.solve(k + 0.05 * len(model.langs) * np.diag(1 / weight), y)
+    assert np.abs(model.scores(bits) - dense).max() < 1e-2
+    assert (model.scores(bits).argmax(1) == dense.argmax(1)).all()
+
+
+def test_the_draw_is_the_same_in_any_order(spark):
+    rows = [(1, "the same words again and again", "en")] * 300 + [(i, f"palabra numero {i} de la lista", "es") for i in range(300)] + [(i, f"another english text number {i}", "en") for i in range(300, 500)]
+    models = []
+    for seed in (1, 2):
+        random.Random(seed).shuffle(rows)
+        df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3 + seed)
+        models.append(langid.fit(df, F.col("doc_id"), max_rows=60, landmarks=16))
+    assert models[0].langs == models[1].langs == ["en", "es"] and (models[0].landmarks == models[1].landmarks).all() and (models[0].weights == models[1].weights).all()
+
+
 def test_presence_is_of_the_whole_text():
     a, b = langid.presence(["x" * 50000 + " zebra", "x" * 50000])
     assert a.sum() > b.sum() and langid.presence([None, ""]).sum() == 0
