@@ -264,8 +264,15 @@ def read_page(data: bytes, fields: dict[int, tuple]) -> tuple[np.ndarray, dict]:
 
 
 # ---------------------------------------------------------------- operators
-def encode_payloads(df: DataFrame, id_col: str, text: Column, *, compression: int = DEFLATE, predictor: int = 1, page_rows: int = 4096) -> DataFrame:
-    """(id, n_bytes, media): each text's UTF-8 bytes, zero-padded to a positive multiple of 64, as a TIFF."""
+def layout_of(payload: bytes) -> dict:
+    """The form a payload is stored in if none is asked for: by its own CRC, so that equal payloads give equal files and a corpus has all forms."""
+    crc = zlib.crc32(payload)
+    compression = {0: LZW, 1: PACKBITS, 2: PACKBITS, 3: NONE, 4: NONE}.get(crc & 15, DEFLATE)
+    return {"compression": compression, "predictor": 1 + (crc >> 4 & 1), "tile": (32, 64) if crc >> 5 & 1 else None}
+
+
+def encode_payloads(df: DataFrame, id_col: str, text: Column, *, compression: int | None = None, predictor: int = 1, tile: tuple[int, int] | None = None, page_rows: int = 4096) -> DataFrame:
+    """(id, n_bytes, media): each text's UTF-8 bytes, zero-padded to a positive multiple of 64, as a TIFF; without ``compression`` in the form of ``layout_of``."""
     kind = df.schema[id_col].dataType
     src = df.select(F.col(id_col), F.coalesce(text, F.lit("")).alias("text"))
     schema = T.StructType([T.StructField(id_col, kind), T.StructField("n_bytes", T.LongType()), T.StructField("media", T.BinaryType())])
@@ -278,7 +285,8 @@ def encode_payloads(df: DataFrame, id_col: str, text: Column, *, compression: in
                 for value in part.column(1).cast(pa.large_binary()).to_pylist():
                     sizes.append(len(value))
                     padded = value + b"\0" * ((-len(value)) % WIDTH or (0 if value else WIDTH))
-                    media.append(write_tiff(padded, compression=compression, predictor=predictor, page_rows=page_rows))
+                    form = layout_of(padded) if compression is None else {"compression": compression, "predictor": predictor, "tile": tile}
+                    media.append(write_tiff(padded, page_rows=page_rows, **form))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), pa.array(media, pa.binary())], names=[id_col, "n_bytes", "media"])
 
     return src.mapInArrow(run, schema)
@@ -351,10 +359,10 @@ def tiff_pages(df: DataFrame, media_col: str, keep: list[str], *, samples: bool
 
 
 def media_digest(docs: DataFrame) -> DataFrame:
-    """The digest columns of every document: encoded as a TIFF, read back, last page kept."""
+    """The digest columns of every document: encoded as a TIFF, read back, last page kept; a file that cannot be read keeps its row, with its ``error``."""
     stored = encode_payloads(docs, "doc_id", F.col("text")).select("doc_id", "n_bytes", F.length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), "media")
     pages = tiff_pages(stored, "media", ["doc_id", "n_bytes", "media_bytes", "media_sha256"], samples=False)
-    return pages.where("page_index = n_pages - 1").select(
+    return pages.where("error is not null or page_index = n_pages - 1").select(
         "doc_id", "n_bytes", F.col("bytes_so_far").alias("payload_bytes"), F.col("sha256_so_far").alias("payload_sha256"), "tail_crc32",
-        "media_bytes", "media_sha256", F.col("feature_so_far").alias("feature"), "n_pages",
+        "media_bytes", "media_sha256", F.col("feature_so_far").alias("feature"), "n_pages", "compression", "predictor", "tiled", "error",
     )

@@ -29,6 +29,9 @@ def test_round_trip(compression, predictor, tile, size):
 def test_known_streams():
     # The example streams of the format's public specification.
     assert tiff.packbits_decode(bytes.fromhex("FEAA0280002AFDAA0380002A22F7AA")) == bytes.fromhex("AAAAAA80002AAAAAAAAA80002A22AAAAAAAAAAAAAAAAAAAA")
+    codes, pixels = [256, 7, 258, 8, 8, 258, 6, 6, 257], bytes([7, 7, 7, 8, 8, 7, 7, 6, 6])
+    packed = int("".join(f"{c:09b}" for c in codes).ljust(88, "0"), 2).to_bytes(11, "big")
+    assert tiff.lzw_decode(packed) == pixels and tiff.lzw_encode(pixels) == packed
     for n in (1, 300, 5000, 70000):
         assert tiff.lzw_decode(tiff.lzw_encode(_payload(n, n))) == _payload(n, n)
 
@@ -78,6 +81,11 @@ def test_digest_equals_brute_force(odd, docs, empty):
     assert tiff.media_digest(empty).count() == 0
 
 
+def test_all_forms_are_used(docs):
+    forms = {(r["compression"], r["predictor"], r["tiled"]) for r in tiff.media_digest(docs.select(F.explode(F.split("text", " ")).alias("text")).distinct().withColumn("doc_id", F.monotonically_increasing_id())).collect()}
+    assert forms == {(c, p, t) for c in (tiff.NONE, tiff.LZW, tiff.DEFLATE, tiff.PACKBITS) for p in (1, 2) for t in (False, True)}
+
+
 def test_stored_form_is_hashed(docs):
     stored = tiff.encode_payloads(docs.limit(5), "doc_id", F.col("text")).collect()
     got = {r["doc_id"]: r["media_sha256"] for r in tiff.media_digest(docs).collect()}
