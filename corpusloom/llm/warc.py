@@ -124,17 +124,19 @@ def write_archives(records: DataFrame, folder: str, *, roll_bytes: int = ROLL_BY
 
 
 def _inflate(stream, *, chunk: int = _CHUNK) -> Iterator[bytes]:
-    """The plain bytes of a gzip stream of one or more members, a chunk at a time."""
+    """The plain bytes of a gzip stream of one or more members; no more than a chunk at a time, however far the data expands."""
     unpack = zlib.decompressobj(31)
     while data := stream.read(chunk):
         while data:
-            if plain := unpack.decompress(data):
+            if plain := unpack.decompress(data, chunk):
                 yield plain
-            data = unpack.unused_data
-            if data:
-                unpack = zlib.decompressobj(31)
-    if not unpack.eof and (rest := unpack.flush()):
-        yield rest
+            if unpack.eof:
+                data, unpack = unpack.unused_data, zlib.decompressobj(31)
+            else:
+                data = unpack.unconsumed_tail
+                if not data and plain and len(plain) == chunk:
+                    while plain := unpack.decompress(b"", chunk):  # what the decoder still holds
+                        yield plain
 
 
 def parse_head(head: bytes) -> dict[str, str]:
