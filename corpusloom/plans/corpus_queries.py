@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusloom import config
 from corpusloom.functions import normalize as N
 from corpusloom.functions import parse as P
 from corpusloom.functions import similarity as SIM
@@ -16,7 +17,9 @@ from corpusloom.operators import audit, dedup, expansion, gaps, graph, ingest, m
 from corpusloom.operators import relational as R
 from corpusloom.plans.registry import query
 from corpusloom.session import load
-from corpusloom.workspace import materialise
+from corpusloom.sources import readers, sinks
+from corpusloom.streaming import incremental
+from corpusloom.workspace import materialise, scratch
 
 VIEWS: dict[str, tuple[str, dict[str, str]]] = {
     "papers": ("part", {
@@ -155,10 +158,10 @@ def match_scores(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("""SELECT p_partkey AS id, CASE WHEN p_partkey % 3 = 0 THEN '10.1016.j.' || p_partkey END AS doi, CASE WHEN p_partkey % 3 <> 0 THEN (1980 + p_size % 40)::INT END AS year, CASE WHEN p_partkey % 3 <> 0 THEN 'Smith' ELSE '' END AS authors,
- CASE WHEN p_partkey % 3 <> 0 THEN 'Daylight And Focus ' || p_partkey END AS title, CASE WHEN p_partkey % 3 = 0 THEN 0.9 ELSE 0.9 END::DOUBLE AS confidence FROM part""")
+ CASE WHEN p_partkey % 3 <> 0 THEN 'Daylight And Focus X' || translate(CAST(p_partkey AS VARCHAR), '0123456789', 'abcdefghij') END AS title, CASE WHEN p_partkey % 3 = 0 THEN 0.9 ELSE 0.9 END::DOUBLE AS confidence FROM part""")
 def filename_parse(spark: SparkSession, sf: str) -> DataFrame:
     k = F.col("p_partkey").cast("string")
-    name = F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("10_1016_j_"), k, F.lit(".pdf"))).otherwise(F.concat(F.lit("Smith_"), (1980 + F.col("p_size") % 40).cast("string"), F.lit("_daylight_and_focus_"), k, F.lit(".pdf")))
+    name = F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("10_1016_j_"), k, F.lit(".pdf"))).otherwise(F.concat(F.lit("Smith_"), (1980 + F.col("p_size") % 40).cast("string"), F.lit("_daylight_and_focus_x"), F.translate(k, "0123456789", "abcdefghij"), F.lit(".pdf")))
     return load(spark, sf, "part").select(F.col("p_partkey").alias("id"), P.parse_filename(name).alias("m")).select("id", "m.doi", "m.year", F.array_join("m.authors", ";").alias("authors"), "m.title", F.round("m.confidence", 4).alias("confidence"))
 
 
@@ -194,12 +197,10 @@ def api_records(spark: SparkSession, sf: str) -> DataFrame:
 @query("""WITH v AS (SELECT lower(n_name) AS n, n_nationkey AS id FROM nation), t AS (SELECT n_name || CASE WHEN n_nationkey % 3 = 1 THEN 's' WHEN n_nationkey % 3 = 2 THEN ' xyzabc' ELSE '' END AS term, n_nationkey AS id FROM nation)
 SELECT term, CASE WHEN id % 3 < 2 THEN id END AS term_id, CASE id % 3 WHEN 0 THEN 1.0 WHEN 1 THEN round(2.0 * (length(term) - 1) / (2 * length(term) - 1), 6) END::DOUBLE AS score, (id % 3 = 2) AS to_review FROM t""")
 def term_resolution(spark: SparkSession, sf: str) -> DataFrame:
-    from corpusloom.sources.sinks import review_queue
-
     n = load(spark, sf, "nation")
     k = F.col("n_nationkey") % 3
     terms = n.select(F.concat("n_name", F.when(k == 1, "s").when(k == 2, " xyzabc").otherwise("")).alias("term"))
-    done, review = review_queue(P.resolve_terms(terms, n.select(F.col("n_nationkey").alias("term_id"), F.col("n_name").alias("name"))))
+    done, review = sinks.review_queue(P.resolve_terms(terms, n.select(F.col("n_nationkey").alias("term_id"), F.col("n_name").alias("name"))))
     return done.select("term", "term_id", F.round("score", 6).alias("score"), F.lit(False).alias("to_review")).unionByName(review.select("term", F.lit(None).cast("int").alias("term_id"), F.lit(None).cast("double").alias("score"), F.lit(True).alias("to_review")))
 
 
@@ -304,9 +305,9 @@ def search_cells(spark: SparkSession, sf: str) -> DataFrame:
     return gaps.search_cells(*_tree(spark, sf))
 
 
-@query(_CELLS + " SELECT cell_id, cell_type FROM c WHERE priority = 'HIGH' ORDER BY CASE cell_type WHEN 'theory' THEN 1 WHEN 'neural' THEN 2 WHEN 'mechanism' THEN 3 ELSE 4 END, cell_id LIMIT 40")
+@query(_CELLS + " SELECT cell_id, cell_type FROM c WHERE priority = 'HIGH' ORDER BY CASE cell_type WHEN 'theory' THEN 1 WHEN 'neural' THEN 2 WHEN 'mechanism' THEN 3 ELSE 4 END, cell_id")
 def cell_selection(spark: SparkSession, sf: str) -> DataFrame:
-    return gaps.select_cells(gaps.search_cells(*_tree(spark, sf)), prio="HIGH").limit(40).select("cell_id", "cell_type")
+    return gaps.select_cells(gaps.search_cells(*_tree(spark, sf)), prio="HIGH").select("cell_id", "cell_type")
 
 
 _PROGRESS = ", s AS (SELECT *, CASE WHEN length(cell_id) % 3 = 0 THEN 'complete' ELSE 'pending' END AS status, CASE WHEN length(cell_id) % 5 > 0 THEN length(cell_id) % 5 END AS papers_found FROM c)"
@@ -343,11 +344,12 @@ def duplicate_check(spark: SparkSession, sf: str) -> DataFrame:
     return dedup.check_duplicates(new, known).withColumn("confidence", F.round("confidence", 6))
 
 
-@query(cte("papers") + """, q AS (SELECT k, 'word' || translate(CAST(k AS VARCHAR), '0123456789', 'abcdefghij') AS w FROM papers), t AS (SELECT k, 'candlelight dormitory evening ' || w AS known, 'candlelight dormitory evening ' || w || 's' AS new FROM q)
+@query(cte("papers") + """, q AS (SELECT k, translate(CAST(k AS VARCHAR), '0123456789', 'abcdefghij') AS w FROM papers), t AS (SELECT k, 'candlelight dorm' || w || ' even' || w || ' word' || w AS known, 'candlelight dorm' || w || ' even' || w || ' word' || w || 's' AS new FROM q)
 SELECT 'n' || k AS new_id, 'p' || k AS known_id, CASE WHEN 2.0 * length(known) / (length(known) + length(new)) >= 0.95 THEN round(2.0 * length(known) / (length(known) + length(new)), 6) ELSE round(1.8 * length(known) / (length(known) + length(new)), 6) END::DOUBLE AS confidence FROM t""")
 def fuzzy_titles(spark: SparkSession, sf: str) -> DataFrame:
-    """Titles that differ by a closing letter, so the ratio of the alignment is known; every paper shares three of four words."""
-    w = F.concat(F.lit("candlelight dormitory evening word"), F.translate(F.col("k").cast("string"), "0123456789", "abcdefghij"))
+    """Titles that differ by a closing letter, so the ratio of the alignment is known; all papers share the longest word."""
+    own = F.translate(F.col("k").cast("string"), "0123456789", "abcdefghij")
+    w = F.concat(F.lit("candlelight dorm"), own, F.lit(" even"), own, F.lit(" word"), own)
     p = view(spark, sf, "papers").select("paper_id", "k", w.alias("title"), F.array().cast("array<string>").alias("authors"))
     new = p.select(F.concat(F.lit("n"), F.col("k").cast("string")).alias("new_id"), F.concat("title", F.lit("s")).alias("title"), "authors")
     return dedup.fuzzy_title_matches(new, p.withColumnRenamed("paper_id", "known_id")).select("new_id", "known_id", F.round("confidence", 6).alias("confidence"))
@@ -414,9 +416,9 @@ def library_match(spark: SparkSession, sf: str) -> DataFrame:
     return ingest.match_library(items, p.select("paper_id", "doi", "title"))
 
 
-@query(cte("papers") + ", t AS (SELECT *, list_sort(list_filter(string_split(lower(title), ' '), lambda w: length(w) > 2)) AS key FROM papers) SELECT '/in/Smith_2001_' || replace(lower(title), ' ', '_') || '.pdf' AS path, 'p' || max(k) OVER (PARTITION BY key) AS known_id, 'title_exact' AS match_type FROM t")
+@query(cte("papers") + " SELECT '/in/Smith_2001_' || replace(lower(title), ' ', '_') || '.pdf' AS path, paper_id AS known_id, 'title_exact' AS match_type FROM (SELECT paper_id, regexp_replace(title, '[0-9]+$', '') || 'no' || translate(CAST(k AS VARCHAR), '0123456789', 'abcdefghij') AS title FROM papers)")
 def file_match(spark: SparkSession, sf: str) -> DataFrame:
-    p = view(spark, sf, "papers")
+    p = view(spark, sf, "papers").withColumn("title", F.concat(F.regexp_replace("title", "[0-9]+$", ""), F.lit("no"), F.translate(F.col("k").cast("string"), "0123456789", "abcdefghij")))
     files = p.select(F.concat(F.lit("/in/Smith_2001_"), F.replace(F.lower("title"), F.lit(" "), F.lit("_")), F.lit(".pdf")).alias("path"))
     known = p.select(F.col("paper_id").alias("known_id"), "doi", "title", F.array().cast("array<string>").alias("authors"), F.col("k").alias("seq"))
     return ingest.match_files(files, known).select("path", "known_id", "match_type")
@@ -429,13 +431,11 @@ _NODES = """WITH n AS (SELECT 'w.' || lower(r_name) AS node_id, 'place' AS facet
 
 def _nodes(spark: SparkSession, sf: str) -> DataFrame:
     """Regions and nations as a parsed taxonomy, read as its table."""
-    from corpusloom.sources.readers import read_taxonomy
-
     rows = load(spark, sf, "nation").join(load(spark, sf, "region"), F.col("r_regionkey") == F.col("n_regionkey")).orderBy("n_nationkey").collect()  # 25 rows, as a taxonomy file has them
     tree: dict[str, dict] = {r["r_name"]: {"id": f"w.{r['r_name'].lower()}", "name": r["r_name"], "children": []} for r in rows}
     for r in rows:
         tree[r["r_name"]]["children"].append({"id": f"w.{r['r_name'].lower()}.{r['n_name'].lower()}", "name": r["n_name"], "seeds": ["seed"] if r["n_nationkey"] % 2 == 0 else []})
-    return read_taxonomy(spark, {"place": list(tree.values())})
+    return readers.read_taxonomy(spark, {"place": list(tree.values())})
 
 
 @query(_NODES + " SELECT node_id, facet_id, parent_id, level, name, n_seeds FROM n WHERE parent_id IS NOT NULL OR node_id IN (SELECT parent_id FROM n)")
@@ -873,11 +873,9 @@ def query_records(spark: SparkSession, sf: str) -> DataFrame:
 @query("""SELECT CASE WHEN p_partkey % 3 = 0 THEN '10.1234/m.' || p_partkey WHEN p_partkey % 3 = 1 THEN '10.5678/c.' || p_partkey END AS doi, CASE WHEN p_partkey % 5 <> 0 THEN 'Title ' || p_name END AS title, (1980 + p_size % 40)::INT AS year, 'A. Smith|B. Jones' AS authors FROM part WHERE p_partkey % 3 < 2 OR p_partkey % 5 <> 0""")
 def table_rows(spark: SparkSession, sf: str) -> DataFrame:
     """Spreadsheet rows as papers: the DOI from its column, else from any cell."""
-    from corpusloom.sources.readers import rows_to_papers
-
     k = F.col("p_partkey").cast("string")
     rows = load(spark, sf, "part").select(F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("doi:10.1234/M."), k)).alias("DOI"), F.when(F.col("p_partkey") % 5 != 0, F.concat(F.lit("Title "), "p_name")).alias("T"), F.concat(F.lit("in "), (1980 + F.col("p_size") % 40).cast("string")).alias("Y"), F.lit("A. Smith; B. Jones").alias("A"), F.when(F.col("p_partkey") % 3 == 1, F.concat(F.lit("see 10.5678/C."), k)).alias("Note"))
-    return rows_to_papers(rows, {"doi": "DOI", "title": "T", "year": "Y", "authors": "A"}).select("doi", "title", "year", F.array_join("authors", "|").alias("authors"))
+    return readers.rows_to_papers(rows, {"doi": "DOI", "title": "T", "year": "Y", "authors": "A"}).select("doi", "title", "year", F.array_join("authors", "|").alias("authors"))
 
 
 @query(cte("papers") + """, q AS (SELECT 'p' || k AS paper_id, k FROM papers UNION ALL SELECT 'gone' || k, k FROM papers WHERE k % 10 = 0)
@@ -905,12 +903,10 @@ def run_outcomes(spark: SparkSession, sf: str) -> DataFrame:
 @query("SELECT event_id FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 7 DAYS AND ts > (SELECT min(ts) FROM events) + INTERVAL 1 DAY")
 def recent_rows(spark: SparkSession, sf: str) -> DataFrame:
     """Rows of the last seven days that lie after a high-water mark."""
-    from corpusloom.sources.readers import added_since
-
     e = load(spark, sf, "events").select("event_id", "ts")
     ends = e.agg(F.max("ts").alias("hi"), F.min("ts").alias("lo"))
     j = e.join(F.broadcast(ends), how="cross")
-    return added_since(ingest.recent(j, "ts", 7, F.col("hi")), "ts", F.col("lo") + F.expr("interval 1 day")).select("event_id")
+    return readers.added_since(ingest.recent(j, "ts", 7, F.col("hi")), "ts", F.col("lo") + F.expr("interval 1 day")).select("event_id")
 
 
 @query(cte("papers") + " SELECT paper_id, k AS priority FROM papers WHERE k % 3 = 0 ORDER BY k, paper_id LIMIT 25")
@@ -930,3 +926,194 @@ def best_candidates(spark: SparkSession, sf: str) -> DataFrame:
     off = p.select(F.col("paper_id").alias("id"), "title", F.array(F.lit("J. Smith")).alias("authors"), (F.col("year") + 1).alias("year"), F.lit("10.9/b").alias("doi"), F.lit("text").alias("abstract"))
     best = ingest.best_candidates(records, same.unionByName(off))
     return best.select(F.col("id").alias("paper_id"), "match_score", "doi")
+
+
+# ================================================================ sources and sinks, over files the query writes
+@query("SELECT s_suppkey::VARCHAR AS id, s_name AS name, s_name || ', \"of\" ' || s_nationkey AS note, 'a; b' AS tags, 'Column_4' AS unnamed FROM supplier")
+def text_table(spark: SparkSession, sf: str) -> DataFrame:
+    """A table exported as CSV and read back: quotes, separators and an empty header survive."""
+    path = scratch(spark, "table")
+    s = load(spark, sf, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"), F.concat("s_name", F.lit(', "of" '), F.col("s_nationkey").cast("string")).alias("note"), F.array(F.lit("a"), F.lit("b")).alias("tags"))
+    sinks.export_csv(s.withColumn("_c4", F.lit("x")), path, ["id", "name", "note", "tags", "_c4"])
+    t = readers.read_table(spark, path)
+    return t.select("id", "name", "note", "tags", F.lit(t.columns[4]).alias("unnamed"))
+
+
+@query("SELECT c_custkey::VARCHAR AS id, c_name AS name FROM customer")
+def separated_table(spark: SparkSession, sf: str) -> DataFrame:
+    """A table with another separator, which is found from its first line."""
+    path = scratch(spark, "separated")
+    load(spark, sf, "customer").select("c_custkey", "c_name", "c_nationkey").toDF("id", "name", "nation").write.csv(path, header=True, sep=";")
+    return readers.read_table(spark, path).select("id", "name")
+
+
+@query("SELECT e.event_id AS id, e.event_type AS kind, FALSE AS bad FROM events e WHERE event_id % 10 <> 0 UNION ALL SELECT NULL, NULL, TRUE FROM events WHERE event_id % 10 = 0")
+def json_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """JSON lines of which every tenth is broken: it stays, marked."""
+    path = scratch(spark, "lines")
+    line = F.when(F.col("event_id") % 10 == 0, F.lit('{"id": ')).otherwise(F.to_json(F.struct(F.col("event_id").alias("id"), F.col("event_type").alias("kind"))))
+    load(spark, sf, "events").select(line.alias("value")).write.text(path)
+    return readers.read_jsonl(spark, path, "id long, kind string").select("id", "kind", F.col("bad_line").isNotNull().alias("bad"))
+
+
+@query("SELECT 'job_p' || p_partkey AS bundle, 'p' || p_partkey AS paper_id, p_name AS title FROM part WHERE p_partkey % 2 = 0")
+def job_bundles(spark: SparkSession, sf: str) -> DataFrame:
+    """Job bundles written for the papers that have all they need, and read back by directory."""
+    path = scratch(spark, "bundles")
+    p = load(spark, sf, "part").select(
+        F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("paper_id"), F.lit("10.1/x").alias("doi"), F.col("p_name").alias("title"), F.array(F.lit("A")).alias("authors"), F.lit(2000).alias("year"), F.lit("V").alias("venue"), F.lit("a").alias("abstract"),
+        F.lit("review").alias("triage_decision"), F.lit(0.5).alias("triage_score"), F.when(F.col("p_partkey") % 2 == 0, "/x.pdf").alias("pdf_path"), F.lit("s").alias("pdf_sha256"),
+    )
+    sinks.write_bundles(p, path)
+    b = spark.read.text(path).select("bundle", F.from_json("value", "paper_id string, title string").alias("r"))
+    return b.select("bundle", "r.paper_id", "r.title")
+
+
+@query("SELECT 'run' || n_nationkey AS bundle, 'p' || n_nationkey AS paper_id, n_regionkey AS n_claims FROM nation")
+def result_bundles(spark: SparkSession, sf: str) -> DataFrame:
+    """Results of runs, one JSON file in a folder each, read by a directory pattern."""
+    path = scratch(spark, "results")
+    record = F.to_json(F.struct(F.concat(F.lit("p"), F.col("n_nationkey").cast("string")).alias("paper_id"), F.struct(F.col("n_regionkey").alias("n_claims")).alias("summary")))
+    load(spark, sf, "nation").select(F.concat(F.lit("run"), F.col("n_nationkey").cast("string")).alias("d"), record.alias("value")).repartition("d").write.partitionBy("d").text(path)
+    return readers.read_bundles(spark, f"{path}/*", P.RESULT_RECORD).select(F.regexp_extract("path", "d=([^/]+)/", 1).alias("bundle"), "paper_id", F.col("summary.n_claims").alias("n_claims"))
+
+
+@query("SELECT item_id, sha256(text) AS sha256, length(text)::BIGINT AS chars, TRUE AS same_text FROM benchmark")
+def document_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Files hashed where they are read, and their text by a provider."""
+    path = scratch(spark, "files")
+    b = load(spark, sf, "benchmark")
+    b.select(F.col("item_id").alias("d"), "text").repartition("d").write.option("lineSep", "\u0000").partitionBy("d").text(path)
+    item = lambda c: F.regexp_extract(c, "d=([0-9]+)/", 1).cast("long")
+    hashed = readers.read_files(spark, path, "*.txt").select(item("path").alias("item_id"), "sha256", "length")
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt").load(path)
+    texts = readers.document_text(raw, lambda content: bytes(content).decode()).select(item("path").alias("item_id"), F.rtrim(F.col("text"), F.lit("\u0000")).alias("t"))
+    own = hashed.join(texts, "item_id").join(b, "item_id")
+    return own.select("item_id", F.sha2("t", 256).alias("sha256"), F.length("t").cast("long").alias("chars"), (F.sha2(F.concat("text", F.lit("\u0000")), 256) == F.col("sha256")).alias("same_text"))
+
+
+@query("SELECT 'day' || (event_id % 97) AS batch, count(*) AS files FROM events GROUP BY 1")
+def file_manifest(spark: SparkSession, sf: str) -> DataFrame:
+    f = load(spark, sf, "events").select(F.concat(F.lit("day"), (F.col("event_id") % 97).cast("string")).alias("batch"), F.concat(F.lit("/f"), F.col("event_id").cast("string")).alias("path"), F.length("props").cast("long").alias("length"), F.col("props").cast("binary").alias("content"))
+    m = audit.manifest(f)
+    same = audit.manifest(f.orderBy(F.desc("path"))).select("batch", F.col("digest").alias("d"))
+    return m.join(same, "batch").where("digest = d and length(digest) = 64 and bytes > 0").select("batch", "files")
+
+
+@query("SELECT user_id, count(*) AS n FROM events WHERE ts::DATE = (SELECT min(ts)::DATE FROM events) GROUP BY user_id")
+def partitioned_log(spark: SparkSession, sf: str) -> DataFrame:
+    """Events appended to a log by date in two runs; one day is read, of which only its folder is listed."""
+    path = scratch(spark, "log")
+    e = load(spark, sf, "events").select("event_id", "user_id", F.col("ts").alias("started_at"))
+    for half in (0, 1):
+        sinks.append_log(e.where(F.col("event_id") % 2 == half), path)
+    first = e.agg(F.min(F.to_date("started_at"))).first()[0]
+    return spark.read.schema("event_id long, user_id long, date date").json(path).where(F.col("date") == F.lit(first)).groupBy("user_id").agg(F.count("*").alias("n"))
+
+
+@query("SELECT p_partkey AS id, concat_ws(chr(10), 'TY  - JOUR', 'TI  - ' || p_name, 'AU  - A. One', 'AU  - B. Two', 'PY  - ' || p_size, CASE WHEN p_partkey % 2 = 0 THEN 'DO  - 10.1/' || p_partkey END, 'ER  - ', '') AS ris FROM part")
+def ris_export(spark: SparkSession, sf: str) -> DataFrame:
+    p = load(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("title"), F.array(F.lit("A. One"), F.lit("B. Two")).alias("authors"), F.col("p_size").alias("year"), F.lit(" ").alias("venue"), F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("10.1/"), F.col("p_partkey").cast("string"))).alias("doi"), F.lit(None).cast("string").alias("abstract"))
+    return p.select("id", sinks.ris_text().alias("ris"))
+
+
+@query("SELECT r_name AS name, count(*) AS n FROM nation JOIN region ON r_regionkey = n_regionkey GROUP BY r_name")
+def snapshots(spark: SparkSession, sf: str) -> DataFrame:
+    """Two snapshots of a table below one folder; the reader switches to the later one by its path."""
+    base = scratch(spark, "snapshots")
+    n = load(spark, sf, "nation").join(load(spark, sf, "region"), F.col("r_regionkey") == F.col("n_regionkey")).select("n_name", "r_name")
+    sinks.write_snapshot(n.where("r_name = 'ASIA'"), base)
+    return spark.read.parquet(sinks.write_snapshot(n, base, partition_by=["r_name"])).groupBy(F.col("r_name").alias("name")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT doc_id, 3 AS dimension, length(text)::DOUBLE AS first FROM documents")
+def embedding_cache(spark: SparkSession, sf: str) -> DataFrame:
+    """Embeddings by a provider, of texts that the cache lacks only: the second run asks for none."""
+    path = scratch(spark, "embeddings")
+    d = load(spark, sf, "documents").select("doc_id", "text")
+
+    def lengths(parts):
+        for pdf in parts:
+            pdf["embedding"] = [[float(len(t)), 0.0, 1.0] for t in pdf["text"]]
+            yield pdf[["key", "embedding"]]
+
+    def none(parts):
+        for pdf in parts:
+            if len(pdf):
+                raise ValueError("the cache has all texts")
+            pdf["embedding"] = [[]] * 0
+            yield pdf[["key", "embedding"]]
+
+    sinks.with_embeddings(d.where("doc_id % 2 = 0"), path, "m", lengths, spark).count()
+    sinks.with_embeddings(d, path, "m", lengths, spark).count()
+    return sinks.with_embeddings(d, path, "m", none, spark).select("doc_id", F.size("embedding").alias("dimension"), F.col("embedding")[0].cast("double").alias("first"))
+
+
+@query("""SELECT 'zotero:k' || p_partkey AS paper_id, CASE WHEN p_partkey % 2 = 0 THEN '10.1/z' || p_partkey END AS doi, p_name AS title, (1980 + p_size % 40)::INT AS year, CASE WHEN p_partkey % 4 < 2 THEN 'Journal' ELSE 'Conference' END AS venue, CASE WHEN p_partkey % 3 = 0 THEN 'Doe, J;Roe, A' ELSE 'Edit, E' END AS authors,
+ CASE WHEN p_partkey % 5 = 0 THEN '/store/a' || p_partkey || '/x.pdf' END AS pdf_path FROM part WHERE p_partkey % 7 <> 0""")
+def reference_library(spark: SparkSession, sf: str) -> DataFrame:
+    """The entity-attribute-value tables of a reference library as papers."""
+    p = load(spark, sf, "part")
+    k = F.col("p_partkey").cast("string")
+    items = p.select(F.col("p_partkey").alias("itemID"), F.concat(F.lit("k"), k).alias("key"))
+    given = {"DOI": F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("doi:10.1/Z"), k)), "title": F.col("p_name"), "date": F.concat(F.lit("spring "), (1980 + F.col("p_size") % 40).cast("string")), "publicationTitle": F.when(F.col("p_partkey") % 4 < 2, "Journal"), "conferenceName": F.lit("Conference"), "abstractNote": F.lit(None).cast("string")}
+    names = list(given)
+    facts = p.select(F.col("p_partkey").alias("itemID"), F.explode(F.array(*[F.struct(F.lit(i).alias("fieldID"), v.alias("value")) for i, v in enumerate(given.values())])).alias("f")).select("itemID", "f.fieldID", "f.value").where("value is not null")
+    values = facts.select("value").distinct().withColumn("valueID", F.xxhash64("value"))
+    data = facts.select("itemID", "fieldID", F.xxhash64("value").alias("valueID"))
+    fields = spark.createDataFrame(list(enumerate(names)), "fieldID int, fieldName string")
+    wide = readers.library_items(items, data, values, fields, p.where("p_partkey % 7 = 0").select(F.col("p_partkey").alias("itemID")), names)
+    creator = lambda *rows: F.array(*[F.struct(F.lit(c).alias("creatorID"), F.lit(o).alias("orderIndex"), F.lit(t).alias("creatorTypeID")) for c, o, t in rows])
+    made = p.select(F.col("p_partkey").alias("itemID"), F.explode(F.when(F.col("p_partkey") % 3 == 0, creator((2, 0, 2), (0, 1, 1), (1, 2, 1))).otherwise(creator((2, 0, 2)))).alias("c")).select("itemID", "c.*")
+    creators = spark.createDataFrame([(0, "Doe", "J"), (1, "Roe", "A"), (2, "Edit", "E")], "creatorID int, lastName string, firstName string")
+    authors = readers.library_authors(made, creators, spark.createDataFrame([(1, "author"), (2, "editor")], "creatorTypeID int, creatorType string"))
+    files = p.where("p_partkey % 5 = 0").select(F.col("p_partkey").alias("parentItemID"), F.concat(F.lit("a"), k).alias("key"), F.lit("storage:x.pdf").alias("path"), F.lit("application/pdf").alias("contentType"))
+    out = readers.library_papers(wide, authors, readers.library_attachments(files, "/store"))
+    return out.select("paper_id", "doi", "title", "year", "venue", F.array_join("authors", ";").alias("authors"), "pdf_path")
+
+
+@query("SELECT item_id FROM benchmark WHERE item_id % 3 <> 0")
+def inbox_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """Files that arrive in a folder, in two runs that share their progress; those done before are left out."""
+    box, out, progress = (scratch(spark, n) for n in ("inbox", "seen", "progress"))
+    b = load(spark, sf, "benchmark").select(F.col("item_id").alias("d"), F.col("text").alias("value"))
+    for half in (0, 1):
+        b.where(F.col("d") % 2 == half).repartition("d").write.partitionBy("d").mode("append").option("compression", "none").text(box)
+        incremental.available_now(incremental.inbox(spark, f"{box}/*", pattern="*.txt"), incremental.write_batches(out), progress)
+    seen = spark.read.parquet(out).select(F.regexp_extract("path", "d=([0-9]+)/", 1).cast("long").alias("item_id"), "sha256")
+    return incremental.unprocessed(seen.distinct().select("item_id"), load(spark, sf, "benchmark").where("item_id % 3 = 0"), "item_id")
+
+
+@query("SELECT count(*) AS papers, count(DISTINCT p_partkey % 3) AS methods FROM part")
+def batches(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows dealt into batches by hash: every row is in one batch, and batches are of about the size asked for."""
+    p = load(spark, sf, "part").select("p_partkey")
+    sizes = ingest.in_batches(p, "p_partkey", 50).groupBy("batch").agg(F.count("*").alias("n"))
+    fair = sizes.agg(F.sum("n").alias("papers"), F.max("n").alias("most")).where("most < 150")
+    first = ingest.first_seen(p.withColumn("key", F.col("p_partkey") % 3), F.col("key"), "p_partkey")
+    return fair.select("papers").join(F.broadcast(first.agg(F.count("*").alias("methods"))), how="cross")
+
+
+@query("WITH s AS (SELECT unnest(['apa', 'informal', 'mla']) AS m) SELECT CASE WHEN c_custkey % 3 = 0 THEN 'apa' WHEN c_custkey % 3 = 1 THEN 'mla' ELSE 'informal' END AS parse_method, CASE WHEN c_custkey % 3 = 2 THEN 'medium' ELSE 'high' END AS band, count(*) AS n, count(*) FILTER (c_custkey % 3 = 0) AS with_doi, count(*) AS with_year FROM customer GROUP BY ALL")
+def citation_statistics(spark: SparkSession, sf: str) -> DataFrame:
+    """Citations of three kinds, parsed and counted by method and confidence."""
+    k = F.col("c_custkey")
+    year = (1980 + k % 40).cast("string")
+    text = F.when(k % 3 == 0, F.concat(F.lit("Smith, J. A., & Jones, B. ("), year, F.lit("). Effects of daylight on people. Journal of Tests, 12. doi:10.1234/x"), k.cast("string"))).when(k % 3 == 1, F.concat(F.lit('Smith, John. "Daylight in the office at work." Journal of Tests, vol. 3, '), year)).otherwise(F.concat(F.lit("[web] "), year, F.lit(" a long note about light and people at work")))
+    return P.parse_statistics(load(spark, sf, "customer").select(P.parse_citations(text).alias("citation")))
+
+
+@query("SELECT path, value FROM (VALUES ('a', 'base'), ('b.c', 'over'), ('b.d', 'env'), ('b.x', 'none')) AS v(path, value)")
+def configuration(spark: SparkSession, sf: str) -> DataFrame:
+    """Settings laid over each other in depth, the environment last."""
+    settings = config.with_environment(config.merged({"a": "base", "b": {"c": "base", "d": "base"}}, {"b": {"c": "over"}}), environ={"CORPUSLOOM_B__D": "env"})
+    return spark.createDataFrame([(p, config.get(settings, p, "none")) for p in ("a", "b.c", "b.d", "b.x")], "path string, value string")
+
+
+@query(cte("papers") + """, f AS (SELECT paper_id, unnest(['environmental_factors', 'settings', 'other']) AS facet, unnest([k % 10 / 10, k % 7 / 10, 0.5]) AS s, k FROM papers)
+SELECT paper_id, round(0.7 * (k % 10 / 10) / 2 + 0.3 * (k % 7 / 10 + 0.5) / 2, 6) AS triage_score, CASE WHEN 0.7 * (k % 10 / 10) / 2 + 0.3 * (k % 7 / 10 + 0.5) / 2 >= 0.4 THEN 'review' ELSE 'reject' END AS decision FROM papers""")
+def discovery_run(spark: SparkSession, sf: str) -> DataFrame:
+    """Triage of facet scores as the discovery run stores it, then read back as a profile."""
+    p = view(spark, sf, "papers")
+    facets = p.select("paper_id", F.explode(F.array(*[F.struct(F.lit(n).alias("facet_id"), s.alias("score")) for n, s in (("environmental_factors", F.col("k") % 10 / 10), ("settings", F.col("k") % 7 / 10), ("other", F.lit(0.5)))])).alias("f")).select("paper_id", "f.*")
+    return taxonomy.triage(taxonomy.facet_max(facets, "paper_id"), "paper_id").withColumn("triage_score", F.round("triage_score", 6))
