@@ -37,6 +37,7 @@ from pyspark.sql import types as T
 from corpusloom.llm.shared import materialise, scratch
 
 ROLL_BYTES = 64 << 20
+MAX_TASKS = 20_000
 _CHUNK = 1 << 20
 _CRLF = b"\r\n"
 _DATE = "2024-01-01T00:00:00Z"
@@ -282,16 +283,26 @@ def archive_roundtrip(pages: DataFrame, *, id_col: str = "page_id", payload_col:
     spark = pages.sparkSession
     home = scratch(spark, "warc")
     plain = materialise(write_archives(with_targets(pages, id_col, payload_col, min_bytes=min_bytes), f"{home}/plain", roll_bytes=roll_bytes), "plain-manifest")
-    spread = max(1, spark.sparkContext.defaultParallelism)
-    made = materialise(normalise(plain.repartition(spread, F.xxhash64("archive")), f"{home}/records"), "manifest")
-    return read_archives(made.repartition(spread, F.xxhash64("archive")), payloads=False)
+    # Archives are of one size, so they are dealt out one by one, a task each up to a limit.
+    tasks = min(max(1, plain.count()), MAX_TASKS)
+    made = materialise(normalise(plain.repartition(tasks), f"{home}/records"), "manifest")
+    return read_archives(made.repartition(tasks), payloads=False)
+
+
+def resolve_revisits(records: DataFrame) -> DataFrame:
+    """``records`` of read archives, length and digest of a revisit taken from the response it refers to; one that is not there, or differs, raises."""
+    rows = materialise(records, "records")
+    own = rows.where("record_type = 'response'").select(F.col("rid").alias("t__"), F.col("payload_digest").alias("d__"), F.col("payload_bytes").alias("b__")).distinct()
+    met = rows.join(own, (F.col("refers") == F.col("t__")) & (F.col("payload_digest") == F.col("d__")), "left")
+    lost = F.raise_error(F.concat(F.lit("no response for the revisit "), F.col("rid"))).cast("long")
+    return met.withColumn("payload_bytes", F.when(F.col("record_type") == "response", F.col("payload_bytes")).otherwise(F.coalesce("b__", lost))).drop("t__", "d__", "b__")
 
 
 def page_records(pages: DataFrame) -> DataFrame:
     """The digest columns of every page."""
     kind = pages.schema["page_id"].dataType
     blank = lambda c: F.when(F.col(c) == "", None).otherwise(F.col(c)).cast(kind)
-    return archive_roundtrip(pages).select(blank("rid").alias("page_id"), "payload_bytes", "payload_digest", "record_type", blank("refers").alias("refers_to"))
+    return resolve_revisits(archive_roundtrip(pages)).select(blank("rid").alias("page_id"), "payload_bytes", "payload_digest", "record_type", blank("refers").alias("refers_to"))
 
 
 def oracle_sql() -> str:

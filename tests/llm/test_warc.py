@@ -3,6 +3,8 @@ import io
 import json
 from pathlib import Path
 
+import pytest
+
 from corpusloom.llm import warc
 from tests import oracle
 
@@ -54,6 +56,19 @@ def test_page_records(spark):
     assert warc.page_records(pages(spark).limit(0)).count() == 0
 
 
+def test_a_revisit_needs_its_response(spark):
+    rows = warc.archive_roundtrip(pages(spark))
+    assert warc.resolve_revisits(rows).count() == len(ROWS)
+    with pytest.raises(Exception, match="no response for the revisit"):
+        warc.resolve_revisits(rows.where("record_type = 'revisit'")).collect()
+
+
+def test_inflating_is_bounded():
+    blob = gzip.compress(b"\0" * 50_000_000)
+    parts = list(warc._inflate(io.BytesIO(blob), chunk=1 << 16))
+    assert sum(map(len, parts)) == 50_000_000 and max(map(len, parts)) <= 1 << 16
+
+
 def test_equals_sql(spark, sf):
     got = warc.page_records(spark.read.parquet(f"{sf}/pages.parquet")).toPandas()
     assert oracle.rows(got) == oracle.rows(oracle.connect(sf).sql(warc.oracle_sql()).df())
