@@ -15,6 +15,7 @@ from corpusloom.functions import parse as P
 from corpusloom.functions import similarity as SIM
 from corpusloom.operators import audit, dedup, expansion, gaps, graph, ingest, merge, nlquery, synthesis, taxonomy, vector
 from corpusloom.operators import relational as R
+from corpusloom.plans import discovery
 from corpusloom.plans.registry import query
 from corpusloom.session import load
 from corpusloom.sources import readers, sinks
@@ -1112,8 +1113,27 @@ def configuration(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(cte("papers") + """, f AS (SELECT paper_id, unnest(['environmental_factors', 'settings', 'other']) AS facet, unnest([k % 10 / 10, k % 7 / 10, 0.5]) AS s, k FROM papers)
 SELECT paper_id, round(0.7 * (k % 10 / 10) / 2 + 0.3 * (k % 7 / 10 + 0.5) / 2, 6) AS triage_score, CASE WHEN 0.7 * (k % 10 / 10) / 2 + 0.3 * (k % 7 / 10 + 0.5) / 2 >= 0.4 THEN 'review' ELSE 'reject' END AS decision FROM papers""")
-def discovery_run(spark: SparkSession, sf: str) -> DataFrame:
+def triage_profile(spark: SparkSession, sf: str) -> DataFrame:
     """Triage of facet scores as the discovery run stores it, then read back as a profile."""
     p = view(spark, sf, "papers")
     facets = p.select("paper_id", F.explode(F.array(*[F.struct(F.lit(n).alias("facet_id"), s.alias("score")) for n, s in (("environmental_factors", F.col("k") % 10 / 10), ("settings", F.col("k") % 7 / 10), ("other", F.lit(0.5)))])).alias("f")).select("paper_id", "f.*")
     return taxonomy.triage(taxonomy.facet_max(facets, "paper_id"), "paper_id").withColumn("triage_score", F.round("triage_score", 6))
+
+
+@query(_EXTERNAL + """, r AS (SELECT 'import' AS phase, (SELECT count(*) FROM papers) + (SELECT count(*) FROM customer) AS n UNION ALL SELECT 'expand', count(DISTINCT d) FROM x UNION ALL SELECT 'acquire', (SELECT count(*) FROM papers WHERE doi IS NOT NULL AND pdf_path IS NULL) + (SELECT count(*) FROM customer)
+ UNION ALL SELECT unnest(['classify', 'bundle', 'feedback', 'gaps', 'target']), NULL) SELECT phase, 'done' AS state, n FROM r""")
+def discovery_run(spark: SparkSession, sf: str) -> DataFrame:
+    """All eight phases over the corpus: their states, and the rows of three."""
+    papers = view(spark, sf, "papers").select("paper_id", "doi", "title", "pdf_path")
+    new = load(spark, sf, "customer").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("paper_id"), F.concat(F.lit("10.3/"), F.col("c_custkey").cast("string")).alias("doi"), F.col("c_name").alias("title"), F.lit(None).cast("string").alias("pdf_path"))
+    e = load(spark, sf, "embeddings")
+    facet = lambda c: F.when(c % 2 == 0, "environmental_factors").otherwise("outcomes")
+    node = F.concat(F.when(F.col("label") % 2 == 0, "env.l").otherwise("out.l"), F.col("label").cast("string")).alias("node_id")
+    nodes = taxonomy.centroids(e, "label").select(node, facet(F.col("label")).alias("facet_id"), F.lit(1).alias("level"), "centroid")
+    none = F.array().cast(_EFFECT)
+    tables = {
+        "papers": papers, "rows": new.unionByName(papers), "vectors": e.select(F.concat(F.lit("p"), F.col("vec_id").cast("string")).alias("paper_id"), "embedding"), "nodes": nodes, "taxonomy": nodes.drop("centroid"),
+        "citations": view(spark, sf, "citations").where("cited_doi is not null"), "files": papers.select(F.col("pdf_path").alias("path")).where("path is not null").distinct(), "claims": _claims(spark, sf).withColumn("moderators", none),
+        "queue": spark.createDataFrame([], "doi string, discovery_count int, priority_score double, title string, discovered_from string"),
+    }
+    return discovery.discover(tables).report(spark).select("phase", "state", F.when(F.col("phase").isin("import", "expand", "acquire"), F.col("rows")).alias("n"))

@@ -5,15 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 
+DEFAULTS = {"spark.sql.adaptive.enabled": "true", "spark.sql.adaptive.skewJoin.enabled": "true", "spark.sql.ansi.enabled": "true", "spark.sql.session.timeZone": "UTC"}
+
+
 def session(app: str = "corpusloom", *, master: str | None = None, conf: dict[str, str] | None = None) -> SparkSession:
-    """A session with adaptive execution, ANSI mode and UTC; the cluster's own settings win where they are set."""
+    """A session with adaptive execution, ANSI mode and UTC where neither ``conf`` nor the cluster's own settings say otherwise."""
     builder = SparkSession.builder.appName(app)
-    if master:
-        builder = builder.master(master)
-    defaults = {"spark.sql.adaptive.enabled": "true", "spark.sql.adaptive.skewJoin.enabled": "true", "spark.sql.ansi.enabled": "true", "spark.sql.session.timeZone": "UTC"}
-    for k, v in (defaults | (conf or {})).items():
+    for k, v in (conf or {}).items():
         builder = builder.config(k, v)
-    return builder.getOrCreate()
+    spark = (builder.master(master) if master else builder).getOrCreate()
+    given = spark.sparkContext.getConf()
+    for k, v in DEFAULTS.items():
+        if k not in (conf or {}) and not given.contains(k):
+            spark.conf.set(k, v)
+    return spark
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.operators.taxonomy import flatten_tree
+from corpusloom.operators.taxonomy import flatten_tree, small
 from corpusloom.schemas import FACET_NODES
 
 
@@ -69,14 +69,14 @@ def read_files(spark: SparkSession, path: str, pattern: str = "*.pdf") -> DataFr
 
 def library_items(items: DataFrame, data: DataFrame, values: DataFrame, fields: DataFrame, deleted: DataFrame, names: list[str]) -> DataFrame:
     """Entity-attribute-value tables of a reference library as one row an item, deleted items left out."""
-    facts = data.join(values, "valueID").join(F.broadcast(fields), "fieldID").where(F.col("fieldName").isin(names))
+    facts = data.join(values, "valueID").join(small(fields), "fieldID").where(F.col("fieldName").isin(names))
     wide = facts.groupBy("itemID").agg(*[F.min(F.when(F.col("fieldName") == n, F.col("value"))).alias(n) for n in names])
     return items.join(deleted.select("itemID"), "itemID", "left_anti").join(wide, "itemID", "left")
 
 
 def library_authors(item_creators: DataFrame, creators: DataFrame, types: DataFrame) -> DataFrame:
     """(itemID, authors) in order; an item without authors takes all its creators."""
-    c = item_creators.join(creators, "creatorID").join(F.broadcast(types), "creatorTypeID")
+    c = item_creators.join(creators, "creatorID").join(small(types), "creatorTypeID")
     name = F.concat_ws(", ", F.nullif("lastName", F.lit("")), F.nullif("firstName", F.lit("")))
     listed = c.groupBy("itemID").agg(F.array_sort(F.collect_list(F.struct("orderIndex", (F.col("creatorType") == "author").alias("author"), name.alias("name")))).alias("all"))
     own = F.filter("all", lambda x: x["author"])

@@ -63,10 +63,21 @@ def test_discovery(spark):
     k = "array<struct<id:string,role:string,direction:string>>"
     tables = {
         "taxonomy": nodes, "nodes": cent, "vectors": spark.createDataFrame([("p1", [1.0, 1.0]), ("p2", [1.0, 0.0])], "paper_id string, embedding array<float>"),
-        "papers": spark.createDataFrame([("p1", "10.1/a")], "paper_id string, doi string"), "citations": spark.createDataFrame([("p1", "10.1/A", "t", 1), ("p1", "10.1/b", "u", 2)], "source_paper_id string, cited_doi string, cited_title string, seq int"),
-        "queue": spark.createDataFrame([], "doi string, discovery_count int, priority_score double, title string, discovered_from string"), "claims": spark.createDataFrame([], f"claim_id string, claim_type string, environment_factors {k}, outcomes {k}"),
+        "papers": spark.createDataFrame([("p1", "10.1/a", "One")], "paper_id string, doi string, title string"), "rows": spark.createDataFrame([("p2", None, "Two"), ("p1", "10.1/x", "Again")], "paper_id string, doi string, title string"),
+        "citations": spark.createDataFrame([("p1", "10.1/A", "t", 1), ("p1", "10.1/b", "u", 2)], "source_paper_id string, cited_doi string, cited_title string, seq int"), "files": spark.createDataFrame([], "path string"),
+        "queue": spark.createDataFrame([], "doi string, discovery_count int, priority_score double, title string, discovered_from string"),
+        "claims": spark.createDataFrame([], f"claim_id string, paper_id string, claim_type string, statement string, environment_factors {k}, outcomes {k}, moderators {k}"),
     }
-    run = discovery.discover(spark, tables, extra=[("broken", lambda t: {"x": t["missing"]}, "x")])
+    tables["papers"] = tables["papers"].withColumn("pdf_path", F.lit(None).cast("string"))
+    tables["rows"] = tables["rows"].withColumn("pdf_path", F.lit(None).cast("string"))
+    run = discovery.discover(tables, extra=[discovery.Phase("broken", lambda t: {"x": t["missing"]}, ("papers",), ("x",))])
     got = rows(run.report(spark), "phase")
-    assert got["broken"]["error"].startswith("KeyError") and got["classify"]["rows"] == 2 and got["expand"]["rows"] == 1 and got["gaps"]["rows"] == 1
-    assert rows(run.tables["coverage"], "factor_id")["env.air"]["paper_count"] == 1
+    assert got["broken"]["state"] == "failed" and got["broken"]["error"].startswith("KeyError")
+    assert {p.name: got[p.name]["state"] for p in discovery.PHASES} == {p.name: "done" for p in discovery.PHASES}, got
+    assert {n: got[n]["rows"] for n in ("import", "classify", "expand", "acquire", "gaps")} == {"import": 2, "classify": 2, "expand": 1, "acquire": 1, "gaps": 1}
+    assert rows(run.tables["coverage"], "factor_id")["env.air"]["paper_count"] == 1 and run.tables["targets"].count() == 1
+
+    del tables["vectors"]
+    again = discovery.discover(tables | {"triaged": run.tables["triaged"], "scores": run.tables["scores"]})  # stale tables of an earlier run
+    got = rows(again.report(spark), "phase")
+    assert got["classify"]["state"] == "skipped" and got["bundle"]["state"] == "skipped" and got["gaps"]["state"] == "skipped" and got["expand"]["state"] == "done" and "scores" not in again.tables

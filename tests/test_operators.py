@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusloom import schemas as V
+from corpusloom.functions import normalize as N
 from corpusloom.operators import audit, dedup, expansion, gaps, graph, merge, nlquery, synthesis, taxonomy, vector
 
 
@@ -202,3 +203,38 @@ def test_conflicts(spark, empty):
     df = spark.createDataFrame([] if empty else [("s", 0.9, "a"), ("s", 0.5, "b"), ("u", 0.1, "c"), ("u", 0.1, "d"), ("w", 0.5, "e"), ("w", 0.49, "f"), ("w", 0.1, "g")], "sha string, score double, id string")
     got = {r["sha"]: r["keep_id"] for r in rows(dedup.conflict_winner(df, "sha", "score", "id"))}
     assert got == ({} if empty else {"s": "a", "u": None, "w": None})
+
+
+def test_title_lookup_equals_brute_force(spark):
+    import difflib
+    import random
+
+    r = random.Random(5)
+    vocabulary = [f"{a}{b}" for a in ("light", "sound", "space", "focus", "stress") for b in ("", "ing", "wards", "fulness", "ometry", "scape")]
+    titles = [" ".join(r.choice(vocabulary[:8] if r.random() < 0.5 else vocabulary) for _ in range(r.randrange(0, 7))) for _ in range(120)] + ["light", "", "of the"]
+    names = ["Smith, A.", "Jones, B.", "Miller, C."]
+    data = [(i, t, r.sample(names, r.randrange(0, 3))) for i, t in enumerate(titles)]
+    df = spark.createDataFrame(data, "new_id long, title string, authors array<string>").cache()
+    known = df.withColumnRenamed("new_id", "known_id")
+    terms = {x["new_id"]: (x["t"], x["k"].split(" "), x["k"], x["a"]) for x in df.select("new_id", N.key_terms(F.col("title")).alias("t"), N.title_key(F.col("title")).alias("k"), N.surnames(F.col("authors")).alias("a")).collect()}
+    want = {(i, j): len(set(t) & set(terms[j][1])) for i, (t, *_) in terms.items() for j in terms if i != j and t and len(set(t) & set(terms[j][1])) >= min(2, len(t))}
+    assert {(x["new_id"], x["known_id"]): x["shared"] for x in dedup.fuzzy_title_pairs(df, known, others_only=True).collect()} == want
+
+    best = {}
+    for (i, j), shared in want.items():
+        score = difflib.SequenceMatcher(None, terms[i][2], terms[j][2]).ratio() + 0.1 * min(3, len(set(terms[i][3]) & set(terms[j][3])))
+        if score >= 0.85:
+            best[i] = min(best.get(i, (0, 0, 10**9)), (-score, -shared, j))
+    got = {x["new_id"]: (x["known_id"], x["confidence"]) for x in dedup.fuzzy_title_matches(df, known, others_only=True).collect()}
+    assert got.keys() == best.keys() and len(got) > 10
+    assert all(got[i][0] == j and abs(got[i][1] - (-s if -s >= 0.95 else -s * 0.9)) < 1e-9 for i, (s, _, j) in best.items())
+
+    close = {}
+    for i, t, a in data:
+        for j in terms:
+            mine, theirs = terms[i], terms[j]
+            by_author, by_term = (len(set(mine[k]) & set(theirs[k])) / len(mine[k]) if mine[k] else 0.0 for k in (3, 0))
+            if len(t) < 50 and by_author >= 0.5 and by_term >= 0.4:
+                close[i] = min(close.get(i, (0, 10**9)), (-0.7 * (by_author + by_term) / 2, j))
+    got = {x["new_id"]: (x["confidence"], x["known_id"]) for x in dedup.author_title_matches(df, known).collect()}
+    assert got.keys() == close.keys() and all(abs(got[i][0] + s) < 1e-9 and got[i][1] == j for i, (s, j) in close.items())
