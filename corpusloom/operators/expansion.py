@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusloom.functions.normalize import seen_key
 from corpusloom.operators.merge import counting_upsert
 from corpusloom.operators.relational import frequent
 from corpusloom.workspace import materialise
@@ -71,6 +72,33 @@ def expansion_stats(gated: DataFrame) -> DataFrame:
     return gated.agg(F.count("*").alias("candidates"), F.count_if("ok").alias("queued"), F.count_if(~F.col("ok")).alias("rejected"), F.count_if(F.startswith("reason", F.lit("Below"))).alias("below_threshold"), F.count_if(F.startswith("reason", F.lit("Exceeds"))).alias("too_deep"), F.coalesce(F.try_divide(F.count_if("ok"), F.count("*")), F.lit(0.0)).alias("acceptance_rate"))
 
 
+def bounded(candidates: DataFrame, known_dois: DataFrame, known_titles: DataFrame, **limits) -> DataFrame:
+    """Outcome (duplicate, queued or rejected) and reason of every candidate of a corpus-wide expansion.
+
+    ``candidates``: seq (arrival), doi, title, score, depth, abstract, top_facets; ``limits`` go to ``gate``. A candidate is a
+    duplicate if the corpus, or an earlier candidate, has its DOI or its title.
+    """
+    c = candidates.withColumns({"d__": F.nullif(F.lower("doi"), F.lit("")), "t__": F.nullif(seen_key(F.col("title")), F.lit(""))})
+    for key, known in (("d__", known_dois.select(F.lower("doi").alias("d__"))), ("t__", known_titles.select(seen_key(F.col("title")).alias("t__")))):
+        own = c.where(F.col(key).isNotNull()).groupBy(key).agg(F.min("seq").alias("first"))
+        seen = known.where(F.coalesce(key, F.lit("")) != "").distinct().withColumn("known", F.lit(True))
+        marks = own.join(seen, key, "left").select(F.col(key).alias("k__"), F.when(F.col("known"), F.lit(-1)).otherwise(F.col("first")).alias(f"{key}first"))
+        c = c.join(marks, F.col(key) == F.col("k__"), "left").drop("k__")
+    dup = (F.coalesce(F.col("d__first") < F.col("seq"), F.lit(False))) | (F.coalesce(F.col("t__first") < F.col("seq"), F.lit(False)))
+    g = gate(F.col("score"), F.col("depth"), F.col("abstract"), F.col("top_facets"), **limits)
+    out = c.withColumn("g__", g)
+    outcome = F.when(dup, "duplicate").when(F.col("g__.ok"), "queued").otherwise("rejected")
+    return out.select(*candidates.columns, outcome.alias("outcome"), F.when(dup, "Already seen").otherwise(F.col("g__.reason")).alias("reason"))
+
+
+def bounded_report(outcomes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(one row of counters, counts by the first word of the reason)."""
+    n = lambda o: F.count_if(F.col("outcome") == o)
+    scored = F.count_if(F.col("outcome") != "duplicate")
+    row = outcomes.agg(F.count("*").alias("candidates"), n("duplicate").alias("duplicates_skipped"), scored.alias("scored"), n("queued").alias("queued"), n("rejected").alias("rejected"), F.coalesce(F.try_divide(n("queued"), scored), F.lit(0.0)).alias("acceptance_rate"))
+    return row, outcomes.groupBy(F.split("reason", " ")[0].alias("reason")).agg(F.count("*").alias("n"))
+
+
 def one_hop(edges: DataFrame, frontier: DataFrame, seen: DataFrame) -> DataFrame:
     """Nodes next to the frontier that were not seen. ``edges``: src, dst; the others: node."""
     return edges.join(frontier.select(F.col("node").alias("src")), "src", "left_semi").select(F.col("dst").alias("node")).distinct().join(seen, "node", "left_anti")

@@ -182,3 +182,16 @@ def follow_up_queries(claims: DataFrame) -> DataFrame:
     theory = n.select(each.alias("x")).where("x.n < 3").select(F.explode(F.array(F.struct(F.concat(_quoted(F.col("x.t")), F.lit(" empirical test evidence")).alias("query"), F.lit(0.8).alias("priority")), F.struct(F.concat(_quoted(F.col("x.t")), F.lit(" experiment built environment")).alias("query"), F.lit(0.75).alias("priority")))).alias("q")).select("q.query", F.lit("theory").alias("gap_type"), "q.priority", F.lit(None).cast("string").alias("paper_id"), F.lit(None).cast("string").alias("claim_id"))
     out = mechanism.unionByName(boundary).unionByName(theory)
     return out.groupBy("query").agg(F.max_by(F.struct("gap_type", "priority", "paper_id", "claim_id"), F.struct("priority", "claim_id")).alias("f")).select("query", "f.*")
+
+
+def feedback_summary(follow_up: DataFrame) -> DataFrame:
+    """Follow-up queries by the kind of gap: how many, from how many papers, how urgent."""
+    return follow_up.groupBy("gap_type").agg(F.count("*").alias("queries"), F.countDistinct("paper_id").alias("papers"), F.avg("priority").alias("mean_priority"), F.max("priority").alias("highest"))
+
+
+def reset_cells(cells: DataFrame, chosen: DataFrame, counters: list[str]) -> DataFrame:
+    """``cells`` with the ``chosen`` (cell_id) pending again, their counters at 0 and without an error."""
+    hit = cells.join(chosen.select(F.col("cell_id").alias("c__")).distinct(), F.col("cell_id") == F.col("c__"), "left")
+    again = F.col("c__").isNotNull()
+    changes = {"status": F.when(again, "pending").otherwise(F.col("status")), "error": F.when(~again, F.col("error"))} | {c: F.when(again, 0).otherwise(F.col(c)) for c in counters}
+    return hit.withColumns(changes).select(*cells.columns)

@@ -81,6 +81,14 @@ def recent(df: DataFrame, ts: str, days: int, now: Column) -> DataFrame:
     return df.where(F.col(ts) >= now - F.make_dt_interval(F.lit(days)))
 
 
+def enqueued(papers: DataFrame, chosen: DataFrame, transitions: dict[str, list[str]], *, to: str = "queued_for_eater") -> DataFrame:
+    """``papers`` with the ``chosen`` (paper_id) moved on to ``to`` where the state machine allows it, and ``moved`` (null: not asked for)."""
+    allowed = [state for state, after in transitions.items() if to in after]
+    hit = papers.join(chosen.select(F.col("paper_id").alias("p__")).distinct(), F.col("paper_id") == F.col("p__"), "left")
+    moved = F.when(F.col("p__").isNotNull(), F.col("status").isin(allowed))
+    return hit.withColumn("moved", moved).withColumn("status", F.when(F.col("moved"), to).otherwise(F.col("status"))).drop("p__")
+
+
 def due_jobs(queue: DataFrame, bundles: DataFrame, n: int | None = None) -> DataFrame:
     """Queued papers whose bundle exists, by priority. ``bundles``: bundle (a safe id after ``job_``)."""
     j = queue.withColumn("bundle", F.concat(F.lit("job_"), N.safe_filename(F.col("paper_id")))).join(bundles.select("bundle"), "bundle", "left_semi")

@@ -39,6 +39,11 @@ def subtree(nodes: DataFrame, root: str, *, max_level: int | None = None) -> Dat
     return out.where(F.col("level") <= max_level) if max_level else out
 
 
+def seeds_of(nodes: DataFrame, root: str) -> DataFrame:
+    """(node_id, seed): the seeds of a node and of all below it."""
+    return subtree(nodes, root).select("node_id", F.explode("seeds").alias("seed"))
+
+
 def ancestors(path: Column) -> Column:
     """The path and every prefix of it at a dot."""
     parts = F.split(path, r"\.")

@@ -17,6 +17,7 @@ from corpusloom.operators import audit, dedup, expansion, gaps, graph, ingest, m
 from corpusloom.operators import relational as R
 from corpusloom.plans import discovery
 from corpusloom.plans.registry import query
+from corpusloom.schemas import STATUS_TRANSITIONS
 from corpusloom.session import load
 from corpusloom.sources import readers, sinks
 from corpusloom.streaming import incremental
@@ -1137,3 +1138,48 @@ def discovery_run(spark: SparkSession, sf: str) -> DataFrame:
         "queue": spark.createDataFrame([], "doi string, discovery_count int, priority_score double, title string, discovered_from string"),
     }
     return discovery.discover(tables).report(spark).select("phase", "state", F.when(F.col("phase").isin("import", "expand", "acquire"), F.col("rows")).alias("n"))
+
+
+_BOUNDED = cte("papers") + """, c AS (SELECT k AS seq, CASE WHEN k % 4 = 0 THEN '10.1234/P.' || k WHEN k % 4 = 1 THEN '10.66/d' || (k % 50) END AS doi, CASE WHEN k % 4 = 2 THEN 'Shared title ' || (k % 20) ELSE 'Own title ' || k END AS title, (k % 50) / 50 AS score, k % 4 AS depth FROM papers),
+m AS (SELECT *, (doi IS NOT NULL AND (lower(doi) IN (SELECT lower(doi) FROM papers WHERE doi IS NOT NULL) OR seq > min(seq) OVER (PARTITION BY lower(doi)))) OR seq > min(seq) OVER (PARTITION BY lower(title)) AS dup FROM c),
+o AS (SELECT *, CASE WHEN dup THEN 'duplicate' WHEN depth > 2 THEN 'rejected' WHEN score < 0.4 THEN 'rejected' ELSE 'queued' END AS outcome, CASE WHEN dup THEN 'Already' WHEN depth > 2 THEN 'Exceeds' WHEN score < 0.4 THEN 'Below' ELSE 'Relevant' END AS reason FROM m)"""
+
+
+def _bounded(spark: SparkSession, sf: str) -> DataFrame:
+    p = view(spark, sf, "papers")
+    c = p.selectExpr("k AS seq", "CASE WHEN k % 4 = 0 THEN concat('10.1234/P.', k) WHEN k % 4 = 1 THEN concat('10.66/d', k % 50) END AS doi", "CASE WHEN k % 4 = 2 THEN concat('Shared title ', k % 20) ELSE concat('Own title ', k) END AS title", "(k % 50) / 50 AS score", "k % 4 AS depth", "'text' AS abstract")
+    return expansion.bounded(c.withColumn("top_facets", F.array().cast("array<struct<facet:string,score:double>>")), p.select("doi"), p.select("title"))
+
+
+@query(_BOUNDED + " SELECT seq, outcome, reason FROM o")
+def bounded_expansion(spark: SparkSession, sf: str) -> DataFrame:
+    return _bounded(spark, sf).select("seq", "outcome", F.split("reason", " ")[0].alias("reason"))
+
+
+@query(_BOUNDED + ", n AS (SELECT count(*) AS a, count(*) FILTER (outcome = 'duplicate') AS d, count(*) FILTER (outcome = 'queued') AS q, count(*) FILTER (outcome = 'rejected') AS r FROM o) " + _union("SELECT 'candidates' AS metric, a::DOUBLE AS n FROM n", "SELECT 'duplicates_skipped', d FROM n", "SELECT 'scored', q + r FROM n", "SELECT 'queued', q FROM n", "SELECT 'rejected', r FROM n", "SELECT 'acceptance_rate', round(q / (q + r), 6) FROM n", "SELECT reason, count(*) FROM o GROUP BY reason"))
+def bounded_report(spark: SparkSession, sf: str) -> DataFrame:
+    row, histogram = expansion.bounded_report(_bounded(spark, sf))
+    return unpivoted(row.withColumn("acceptance_rate", F.round("acceptance_rate", 6))).unionAll(histogram.select("reason", F.col("n").cast("double")))
+
+
+@query("WITH f AS (SELECT CASE WHEN p_partkey % 3 = 0 THEN 'mechanism' ELSE 'boundary' END AS g, 'p' || (p_partkey % 40) AS paper, p_size / 50 AS p FROM part) SELECT g AS gap_type, count(*) AS queries, count(DISTINCT paper) AS papers, round(avg(p), 6) AS mean_priority, max(p) AS highest FROM f GROUP BY g")
+def feedback_summary(spark: SparkSession, sf: str) -> DataFrame:
+    f = load(spark, sf, "part").selectExpr("CASE WHEN p_partkey % 3 = 0 THEN 'mechanism' ELSE 'boundary' END AS gap_type", "concat('p', p_partkey % 40) AS paper_id", "p_size / 50 AS priority")
+    return gaps.feedback_summary(f).withColumn("mean_priority", F.round("mean_priority", 6))
+
+
+@query(_CELLS + " SELECT cell_id, CASE WHEN cell_type = 'theory' THEN 'pending' ELSE 'complete' END AS status, CASE WHEN cell_type = 'theory' THEN 0 ELSE length(cell_id) END AS papers_found, CASE WHEN cell_type <> 'theory' THEN 'timeout' END AS error FROM c")
+def cell_reset(spark: SparkSession, sf: str) -> DataFrame:
+    cells = gaps.search_cells(*_tree(spark, sf)).select("cell_id", "cell_type", F.lit("complete").alias("status"), F.length("cell_id").alias("papers_found"), F.lit("timeout").alias("error"))
+    return gaps.reset_cells(cells, cells.where("cell_type = 'theory'"), ["papers_found"]).drop("cell_type")
+
+
+@query(_NODES + " SELECT node_id, 'seed' AS seed FROM n WHERE starts_with(node_id, 'w.asia.') AND n_seeds > 0")
+def node_seeds(spark: SparkSession, sf: str) -> DataFrame:
+    return taxonomy.seeds_of(_nodes(spark, sf), "w.asia")
+
+
+@query(cte("papers") + " SELECT paper_id, CASE WHEN k % 2 = 0 AND status IN ('candidate', 'pending_scorer', 'downloaded') THEN 'queued_for_eater' ELSE status END AS status, CASE WHEN k % 2 = 0 THEN status IN ('candidate', 'pending_scorer', 'downloaded') END AS moved FROM papers")
+def job_queue(spark: SparkSession, sf: str) -> DataFrame:
+    p = view(spark, sf, "papers").select("paper_id", "k", "status")
+    return ingest.enqueued(p, p.where("k % 2 = 0"), STATUS_TRANSITIONS).drop("k")
