@@ -134,6 +134,8 @@ SIMILARITY = 0.8
 COMMON_LEAST, COMMON_MOST = 8, 100_000
 #: Texts of a shingle from which on they first meet hubs, and the rounds of that.
 CROWD, HUB_ROUNDS = 16, 2
+#: The shingles are brought together in this many slices, so that no more than one of them is shuffled at once.
+SLICES = 2
 #: Sizes are binned by this ratio, so that a long prefix meets only the sizes its place allows.
 _BIN = math.log(1.03)
 
@@ -308,9 +310,12 @@ def _similar(docs: DataFrame, id_col: str, text_col: str, shingle: int, similari
     nodes = materialise(nodes.select("node", F.col("least.i").alias("first_id"), F.col("least.t").alias("first_t"), "size", "prefix"), "nodes")
     drop(docs.sparkSession, full_at)
     of_shingle = nodes.select("node", "size", F.posexplode("prefix").alias("pos", "e"))
-    shared = of_shingle.groupBy("e").agg(F.count("*").alias("texts")).where("texts > 1")
-    held = materialise(of_shingle.join(shared, "e").select("e", "node", "size", "pos", "texts"), "held")
-
+    held = None
+    for k in range(SLICES):
+        part = of_shingle.where(F.pmod("e", F.lit(SLICES)) == k)
+        shared = part.groupBy("e").agg(F.count("*").alias("texts")).where("texts > 1")
+        done = materialise(part.join(shared, "e").select("e", "node", "size", "pos", "texts"), "held")
+        held = done if held is None else held.unionAll(done)
     reps = materialise(nodes.select("node", F.col("first_id").alias("i__"), F.col("first_t").alias("f__")), "reps")
 
     def linked(pairs: DataFrame) -> DataFrame:
