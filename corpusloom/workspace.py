@@ -25,19 +25,23 @@ def _qualified(spark: SparkSession, path: str):
     return fs, fs.makeQualified(raw)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The shared folder as a URI: ``spark.checkpoint.dir`` if the session names one, on the default file system unless it has a scheme.
-
-    Only a local master may fall back on a folder of this machine; on a cluster without
-    the setting the call raises instead of writing where other executors cannot read.
-    """
+def _configured(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not named:
         master = spark.sparkContext.master
         if not master.startswith("local[") and master != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = _LOCAL_FALLBACK.format(user=getpass.getuser())
-    uri = _qualified(spark, named.rstrip("/"))[1].toString()
+    return named
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The shared folder as a URI: ``spark.checkpoint.dir`` if the session names one, on the default file system unless it has a scheme.
+
+    Only a local master may fall back on a folder of this machine; on a cluster without
+    the setting the call raises instead of writing where other executors cannot read.
+    """
+    uri = _qualified(spark, _configured(spark).rstrip("/"))[1].toString()
     return f"file:///{uri[5:].lstrip('/')}" if uri.startswith("file:") else uri
 
 
