@@ -261,10 +261,10 @@ def _candidates(held: DataFrame, similarity: float) -> DataFrame:
 
     Of a pair, a is the smaller; e stands for the first shingle both share, so at most what follows it is
     shared too. That bounds the place of e in a, and by its place in b the sizes of a that b can still match:
-    b meets those sizes only (binned), so dissimilar texts of a crowd do not even meet.
+    of a crowded shingle b meets those sizes only (binned), so dissimilar texts of a crowd do not even meet.
     """
     share = similarity / (1 + similarity)
-    bin_of = lambda c: F.floor(F.log(c) / _BIN)
+    bin_of = lambda c: F.when(F.col("texts") >= CROWD, F.floor(F.log(c) / _BIN)).otherwise(-1)
     index = held.where(F.col("size") - F.col("pos") >= 2 * share * F.col("size") - 1e-6)
     index = index.select("e", bin_of(F.col("size")).alias("bin"), F.col("node").alias("a"), F.col("size").alias("na"), F.col("pos").alias("pa"), F.col("root").alias("ra"))
     most = F.least(F.col("size").cast("double"), (F.col("size") - F.col("pos")) / share - F.col("size") + 1e-6)
