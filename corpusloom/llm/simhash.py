@@ -232,8 +232,8 @@ def _rooted(held: DataFrame, classes: DataFrame | None) -> DataFrame:
     if classes is None:
         return held.withColumn("root", F.col("node"))
     rows = held.join(classes, "node", "left").withColumn("root", F.coalesce("component", "node")).drop("component")
-    open_ones = rows.groupBy("e").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("e")
-    return rows.join(open_ones, "e", "left_semi")
+    open_ones = materialise(rows.groupBy("e").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("e"), "open")
+    return rows.join(sized(open_ones), "e", "left_semi")  # measured: where it is small, no crowd is shuffled into one task
 
 
 def _hubs(held: DataFrame, similarity: float, turn: int) -> DataFrame:
@@ -246,7 +246,9 @@ def _hubs(held: DataFrame, similarity: float, turn: int) -> DataFrame:
     scored = held.join(held.groupBy("node").agg((F.sum("texts") / F.first("size")).alias("score")), "node")
     one = F.struct("node", "size", "root")
     ends = scored.groupBy("e").agg(F.min_by(one, F.struct(F.xxhash64("node", F.lit(turn)), "node")).alias("lo"), F.max_by(one, F.struct("score", "node")).alias("hi"))
-    met = held.join(ends, "e").select(F.col("node").alias("a"), F.col("size").alias("na"), "root", F.explode(F.array("lo", "hi")).alias("h")).where("root <> h.root")
+    ends = sized(materialise(ends.select("e", *[F.col(f"{x}.{c}").alias(f"{x}_{c}") for x in ("lo", "hi") for c in ("node", "size", "root")]), "ends"))
+    hub = lambda x: F.struct(*[F.col(f"{x}_{c}").alias(c) for c in ("node", "size", "root")])
+    met = held.join(ends, "e").select(F.col("node").alias("a"), F.col("size").alias("na"), "root", F.explode(F.array(hub("lo"), hub("hi"))).alias("h")).where("root <> h.root")
     counted = met.select("a", "na", F.col("h.node").alias("b"), F.col("h.size").alias("nb")).groupBy("a", "b").agg(F.count("*").alias("n"), F.first("na").alias("na"), F.first("nb").alias("nb"))
     most = counted.where(_reaches(similarity)).groupBy("a").agg(F.max(F.struct("n", "b")).alias("x"), F.max(F.struct("n", F.bitwise_not("b").alias("c"))).alias("y"))
     return _ordered(most.select("a", F.explode(F.array(F.col("x.b"), F.bitwise_not(F.col("y.c")))).alias("b")))
