@@ -133,7 +133,7 @@ SIMILARITY = 0.8
 #: Shingles found in COMMON_LEAST texts of one sixteenth of the corpus, the COMMON_MOST most frequent at most, come last in the order of shingles.
 COMMON_LEAST, COMMON_MOST = 8, 100_000
 #: Texts of a shingle from which on they first meet hubs, and the rounds of that.
-CROWD, HUB_ROUNDS = 16, 2
+CROWD, HUB_ROUNDS = 16, 1
 #: The shingles are brought together in this many slices, so that no more than one of them is shuffled at once.
 SLICES = 2
 #: Sizes are binned by this ratio, so that a long prefix meets only the sizes its place allows.
