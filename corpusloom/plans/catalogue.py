@@ -202,21 +202,30 @@ _TOK = "list_distinct(list_filter(regexp_extract_all(lower(text), '([a-z0-9]+)',
 s AS (SELECT item_id, doc_id, len(list_intersect(b.t, d.t)) / greatest(len(list_distinct(list_concat(b.t, d.t))), 1) AS j FROM b, d)
 SELECT item_id, doc_id, round(j, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY j DESC, doc_id) AS r FROM s) WHERE r = 1""")
 def jaccard_best_match(spark: SparkSession, sf: str) -> DataFrame:
-    """The items are the query set, held against all documents, whole."""
+    """The items are the query set, held against all documents, whole: shared tokens are counted, the best pair is scored."""
+    b, d, n = _shared_tokens(spark, sf)
+    j = F.col("n") / (F.col("nb") + F.col("nd") - F.col("n"))
+    best = n.groupBy("item_id").agg(F.min(F.struct((-j).alias("j"), "doc_id")).alias("m")).select("item_id", F.col("m.doc_id").alias("doc_id"))
+    least = d.agg(F.min("doc_id").alias("least"))  # what shares nothing is as good as the first document
+    found = b.join(best, "item_id", "left").join(F.broadcast(least), how="cross").withColumn("doc_id", F.coalesce("doc_id", "least")).where("doc_id is not null")
+    return found.join(d, "doc_id").select("item_id", "doc_id", F.round(SIM.jaccard(F.col("bt"), F.col("dt")), 6).alias("score"))
+
+
+def _shared_tokens(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Items (item_id, bt), documents (doc_id, dt), and (item_id, doc_id, nb, nd, n): how many tokens they share, where any."""
     b = load(spark, sf, "benchmark").select("item_id", N.tokens(F.col("text")).alias("bt"))
     d = load(spark, sf, "documents").select("doc_id", N.tokens(F.col("text")).alias("dt"))
-    scored = d.join(taxonomy.small(b), how="cross").select("item_id", "doc_id", SIM.jaccard(F.col("bt"), F.col("dt")).alias("j"))
-    best = scored.groupBy("item_id").agg(F.min(F.struct((-F.col("j")).alias("n"), "doc_id")).alias("m"))
-    return best.select("item_id", F.col("m.doc_id").alias("doc_id"), F.round(-F.col("m.n"), 6).alias("score"))
+    of_item, of_doc = b.select("item_id", F.size("bt").alias("nb"), F.explode("bt").alias("w")), d.select("doc_id", F.size("dt").alias("nd"), F.explode("dt").alias("w"))
+    return b, d, of_doc.join(taxonomy.small(of_item, 200_000), "w").groupBy("item_id", "doc_id", "nb", "nd").agg(F.count("*").alias("n"))
 
 
 @query(f"""WITH b AS (SELECT item_id, {_TOK.format(least=2)} AS t FROM benchmark), d AS (SELECT doc_id, {_TOK.format(least=2)} AS t FROM documents),
 p AS (SELECT item_id, doc_id, len(list_intersect(b.t, d.t)) AS n, len(b.t) AS nb, len(d.t) AS nd FROM b, d WHERE len(b.t) >= 5 AND len(d.t) >= 5)
 SELECT item_id, doc_id, round(n / nb, 6) AS of_item, round(n / nd, 6) AS of_doc FROM p WHERE n / nb >= 0.3 AND n / nd >= 0.3""")
 def bidirectional_overlap(spark: SparkSession, sf: str) -> DataFrame:
-    b = load(spark, sf, "benchmark").select("item_id", N.tokens(F.col("text")).alias("bt"))
-    d = load(spark, sf, "documents").select("doc_id", N.tokens(F.col("text")).alias("dt"))
-    met = d.join(taxonomy.small(b), SIM.titles_similar(F.col("bt"), F.col("dt"), least=0.3))
+    b, d, n = _shared_tokens(spark, sf)
+    near = n.where("n + 1e-6 >= 0.3 * nb and n + 1e-6 >= 0.3 * nd").select("item_id", "doc_id")
+    met = near.join(b, "item_id").join(d, "doc_id").where(SIM.titles_similar(F.col("bt"), F.col("dt"), least=0.3))
     return met.select("item_id", "doc_id", F.round(SIM.share_of(F.col("bt"), F.col("dt")), 6).alias("of_item"), F.round(SIM.share_of(F.col("dt"), F.col("bt")), 6).alias("of_doc"))
 
 
