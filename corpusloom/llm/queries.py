@@ -7,11 +7,13 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.llm import bpe, langid, mixing, pii, quality, secrets, simhash, spans, tiff, warc
+from corpusloom.llm import align, bpe, langid, mixing, pii, quality, secrets, simhash, spans, tiff, warc
 from corpusloom.llm.shared import table
 
 #: Where the ranks and the pattern of the BPE vocabulary are; other vocabularies are passed to the operators.
 RANKS, PATTERN = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+#: The two tokenizers that are aligned.
+BYTE_LEVEL, PIECES = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
 
 
 def op1_tiff_media(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,6 +56,10 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.document_rules(table(spark, sf_dir, "documents"))
 
 
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.align(table(spark, sf_dir, "documents"), a_path=BYTE_LEVEL, b_path=PIECES)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -61,7 +67,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_tiff_media, op2_warc_normalise, op3_language_id, op4_byte_bpe, op5_simhash, op6_pii, op7_mixing, op8_sentence_spans, op9_secrets, op10_quality, pipeline]
+    found = [op1_tiff_media, op2_warc_normalise, op3_language_id, op4_byte_bpe, op5_simhash, op6_pii, op7_mixing, op8_sentence_spans, op9_secrets, op10_quality, op13_alignment, pipeline]
     return {f.__name__: f for f in found}
 
 
