@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.llm import align, bpe, langid, mixing, pii, quality, secrets, simhash, spans, tiff, warc, wavelet
+from corpusloom.llm import align, bpe, cuckoo, langid, mixing, pii, quality, secrets, simhash, spans, tiff, warc, wavelet
 from corpusloom.llm.shared import table
 
 #: Where the ranks and the pattern of the BPE vocabulary are; other vocabularies are passed to the operators.
@@ -56,6 +56,10 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.document_rules(table(spark, sf_dir, "documents"))
 
 
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cuckoo.document_groups(table(spark, sf_dir, "documents"))
+
+
 def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet.search(wavelet.build(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"))
 
@@ -71,9 +75,9 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_tiff_media, op2_warc_normalise, op3_language_id, op4_byte_bpe, op5_simhash, op6_pii, op7_mixing, op8_sentence_spans, op9_secrets, op10_quality, op12_ranked_search, op13_alignment, pipeline]
+    found = [op1_tiff_media, op2_warc_normalise, op3_language_id, op4_byte_bpe, op5_simhash, op6_pii, op7_mixing, op8_sentence_spans, op9_secrets, op10_quality, op11_exact_dedup, op12_ranked_search, op13_alignment, pipeline]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_warc_normalise": warc.oracle_sql(), "op7_mixing": mixing.oracle_sql(), "op10_quality": quality.oracle_sql(), "op12_ranked_search": wavelet.oracle_sql()}
+    return {"op2_warc_normalise": warc.oracle_sql(), "op7_mixing": mixing.oracle_sql(), "op10_quality": quality.oracle_sql(), "op11_exact_dedup": cuckoo.oracle_sql(), "op12_ranked_search": wavelet.oracle_sql()}
