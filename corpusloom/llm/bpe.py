@@ -24,7 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-CACHE = 1 << 18
+#: Pre-tokens that a worker remembers, and the longest of them: about 100 MB at most.
+CACHE, CACHED_CHARS = 1 << 18, 32
 
 
 def byte_characters() -> list[str]:
@@ -89,6 +90,8 @@ class _Words(dict):
         value = self.older.get(word)
         if value is None:
             value = " ".join(map(str, self.encode(word)))
+        if len(word) > CACHED_CHARS:
+            return value
         if len(self) >= CACHE:
             self.older = dict(self)
             self.clear()

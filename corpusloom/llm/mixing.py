@@ -31,7 +31,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.llm.shared import materialise
+from corpusloom.llm.shared import clear_of, materialise
 from corpusloom.llm.text import words
 
 MAX_REPEATS = 2.0
@@ -126,6 +126,7 @@ def source_plan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
 def _copies(docs: DataFrame, sources: DataFrame, id_col: str, source_col: str) -> DataFrame:
     """``docs`` with weight__, blocks__ and copies__."""
+    clear_of(docs.columns, "s__", "stop__", "weight__", "blocks__", "copies__", "block__", "position__")
     own = sources.select(F.col("source__").alias("s__"), F.col("weight").alias("weight__"), F.col("blocks").alias("blocks__"), "stop__")
     joined = docs.join(own, F.col(source_col).cast("string").eqNullSafe(F.col("s__")))
     taken = F.struct(_position(F.col(id_col), "blocks__").alias("p"), F.col(id_col).alias("i")) <= F.col("stop__")
@@ -140,7 +141,10 @@ def plan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sou
 
 
 def realise(docs: DataFrame, sources: DataFrame, *, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
-    """The columns of ``docs``, each row once for every copy, with ``block__`` (from 0) and ``position__`` (in the block's permutation)."""
+    """The columns of ``docs``, each row once for every copy, with ``block__`` (from 0) and ``position__`` (in the block's permutation).
+
+    Columns with these names, or s__, stop__, weight__, blocks__ and copies__, have to be renamed first.
+    """
     emitted = _copies(docs, sources, id_col, source_col).where("copies__ > 0").withColumn("block__", F.explode(F.sequence(F.lit(0), F.col("copies__").cast("int") - 1)))
     return emitted.withColumn("position__", _position(F.col(id_col), "block__")).select(*docs.columns, "block__", "position__")
 

@@ -30,7 +30,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.shared import materialise
+from corpusloom.llm.shared import clear_of, materialise
 from corpusloom.llm.text import SPANS, let, located, rebuilt, sized
 
 KINDS = ("email", "ip", "card", "phone")
@@ -186,8 +186,10 @@ def term_classes(found: DataFrame, told: DataFrame, *, generalise: float = GENER
 def sanitise(docs: DataFrame, *, text_col: str = "text", support: int = SUPPORT, remove: float = REMOVE, generalise: float = GENERALISE) -> DataFrame:
     """All columns and rows of ``docs``, entities replaced by ``[KIND]``, generalised terms by their class and ``*``, removed terms by nothing.
 
-    What goes depends on the text alone and is joined by it, so ids may be null or repeated.
+    What goes depends on the text alone and is joined by it, so ids may be null or repeated. Columns c__, copy__
+    and marks__ have to be renamed first.
     """
+    clear_of(docs.columns, "c__", "copy__", "marks__")
     rows, placed = _judged(docs, [], text_col, support, remove, generalise, classes=True)
     based = rows.where("size(base) > 0").dropDuplicates(["copy"]).select("copy", "base").join(placed, "copy", "full")
     none = "cast(array() as array<struct<start:int,end:int,put:string>>)"

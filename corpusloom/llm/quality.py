@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.shared import materialise
+from corpusloom.llm.shared import clear_of, materialise
 from corpusloom.llm.text import SPACE, words
 
 MIN_WORDS, REPEAT_PERCENT, WINDOW = 20, 30, 8
@@ -38,6 +38,7 @@ RULES = {
     "word_size": "(word_chars < 3 * n_words or word_chars > 10 * n_words)",
 }
 BASE = ("short", "repeats")
+_MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
 #: Least failure rate of a host that is rejected whole.
 HOST_LEAST = 0.2
 _SYMBOLS = "#*$%&|<>"
@@ -103,7 +104,11 @@ def host_verdicts(rows: DataFrame, host: Column) -> DataFrame:
 
 
 def with_verdicts(docs: DataFrame, keep: list[str], *, text_col: str = "text", host_col: str = "source") -> DataFrame:
-    """Every document's measures and ``kept``: false if its own rules fail, else its host's verdict. The measures are written once, as two passes read them."""
+    """Every document's measures and ``kept``: false if its own rules fail, else its host's verdict. The measures are written once, as two passes read them.
+
+    Columns in ``keep`` with a name of the measures or the verdict have to be renamed first.
+    """
+    clear_of(keep, "host__", "h__", "l__", "w__", "rejected", "kept", "base_failed", "host", *_MEASURES, *[f"suspect_{k}" for k in RULES])
     rows = materialise(measured(docs.withColumn("host__", F.col(host_col).cast("string")), [*keep, "host__"], text_col=text_col), "measures")
     return judge(rows, keep)
 

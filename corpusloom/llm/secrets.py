@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.shared import materialise
+from corpusloom.llm.shared import clear_of, materialise
 
 EXAMPLE_OWNERS = 3
 KINDS = ("assign", "access", "hex", "token", "random")
@@ -134,8 +134,10 @@ def joined_spans(condition: str) -> Column:
 def redact(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", example_owners: int = EXAMPLE_OWNERS) -> DataFrame:
     """All columns of ``docs``, every finding in the text replaced by ``[SECRET]``; texts without one stay as they are.
 
-    Findings are joined by id and a hash of the text, so rows that share an id are told apart.
+    Findings are joined by id and a hash of the text, so rows that share an id are told apart. Columns
+    hash__, findings__, i__ and h__ have to be renamed first.
     """
+    clear_of(docs.columns, "hash__", "findings__", "i__", "h__")
     keyed = docs.withColumn("hash__", F.xxhash64(text_col))
     found = judged(keyed, [id_col, "hash__"], text_col=text_col, owner_col=owner_col, repository_col=id_col, example_owners=example_owners)
     found = found.where("size(findings) > 0").groupBy(F.col(id_col).alias("i__"), F.col("hash__").alias("h__")).agg(F.first("findings").alias("findings__"))

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm.components import connected_components
-from corpusloom.llm.shared import drop, made, materialise, written
+from corpusloom.llm.shared import clear_of, drop, made, materialise, written
 from corpusloom.llm.text import sized
 
 DISTANCE = 3
@@ -343,8 +343,9 @@ def _similar(docs: DataFrame, id_col: str, text_col: str, shingle: int, similari
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = SIMILARITY) -> DataFrame:
     """The columns of ``docs``, one row of each class: that with the smallest id (rows that repeat it are dropped as well).
 
-    A class whose ids are all null keeps one row, whichever.
+    A class whose ids are all null keeps one row, whichever. Columns row__, i__, n__ and r__ have to be renamed first.
     """
+    clear_of(docs.columns, "row__", "i__", "n__", "r__")
     classes = similar_classes(docs, id_col=id_col, text_col=text_col, shingle=shingle, similarity=similarity)
     kept = classes.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("i__"), F.col("node").alias("n__"), F.col("root").alias("r__"))
     kept = materialise(kept, "kept")

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusloom.llm.shared import materialise
+from corpusloom.llm.shared import clear_of, materialise
 
 MIN_SENTENCES, MIN_WORDS, WINDOW = 3, 20, 12
 _SPACE = np.zeros(256, bool)
@@ -141,8 +141,7 @@ def repeated_spans(spans: DataFrame, *, id_col: str = "doc_id") -> DataFrame:
 
 def remove_repeated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_sentences: int = MIN_SENTENCES, min_words: int = MIN_WORDS) -> DataFrame:
     """All columns of ``docs``, the text without repeated sentences, and ``removed``: what was cut, as (start, end) in code points (null: nothing)."""
-    if {"removed", "places__"} & set(docs.columns):
-        raise ValueError("rename the columns removed and places__ first")
+    clear_of(docs.columns, "removed", "places__", "lost__")
     spans = materialise(span_table(docs, id_col=id_col, text_col=text_col, min_sentences=min_sentences, min_words=min_words), "spans")
     lost = materialise(repeated_spans(spans, id_col=id_col).groupBy(F.col(id_col).alias("lost__")).agg(F.collect_set("place").alias("places__")), "removals")
     joined = docs.join(lost, F.col(id_col).eqNullSafe(F.col("lost__")), "left").drop("lost__")

@@ -6,7 +6,8 @@ PackBits (32773), LZW (5) and deflate (8, 32946), predictor 2 (horizontal differ
 every ``page_rows`` rows, so that no page exceeds a fixed size however long the payload is.
 
 Defined results: a null, empty or damaged file gives one row with ``page_index`` null and
-``error`` set; repeated rows give repeated pages; an empty table gives an empty table; columns of
+``error`` set, and no page (strips or tiles that do not cover the image, that are too short, or an image larger than
+the file can stand for are damage; samples are never filled up); repeated rows give repeated pages; an empty table gives an empty table; columns of
 the input other than those named are not carried along, so their names cannot clash.
 """
 
@@ -29,6 +30,8 @@ NONE, LZW, DEFLATE, PACKBITS, OLD_DEFLATE = 1, 5, 8, 32773, 32946
 _SIZES = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 7: 1, 8: 2, 9: 4, 10: 8, 11: 4, 12: 8}
 _CODES = {1: "B", 3: "H", 4: "I"}
 _LZW_CLEAR, _LZW_END = 256, 257
+#: Bytes that a byte can stand for at most: the longest match in two bits; a run; the longest string of a table in nine bits.
+_MOST = {NONE: 1, DEFLATE: 1032, OLD_DEFLATE: 1032, PACKBITS: 64, LZW: 4096}
 
 
 # ---------------------------------------------------------------- compression
@@ -105,7 +108,8 @@ def lzw_encode(data: bytes) -> bytes:
     return bytes(out)
 
 
-def lzw_decode(data: bytes) -> bytes:
+def lzw_decode(data: bytes, size: int | None = None) -> bytes:
+    """The decoded bytes; with ``size`` no more codes are read once so many are there."""
     out, acc, bits, width = bytearray(), 0, 0, 9
     table: list[bytes] = []
     start = [bytes((k,)) for k in range(256)] + [b"", b""]
@@ -131,6 +135,8 @@ def lzw_decode(data: bytes) -> bytes:
             entry = table[code] if code < len(table) else previous + previous[:1]
             table.append(previous + entry[:1])
         out += entry
+        if size is not None and len(out) >= size:
+            break
         previous = entry
         if len(table) >= (1 << width) - 1 and width < 12:
             width += 1
@@ -151,7 +157,7 @@ def _unpack(data: bytes, compression: int, size: int) -> bytes:
     if compression in (DEFLATE, OLD_DEFLATE):
         return zlib.decompressobj().decompress(data, size)
     if compression == LZW:
-        return lzw_decode(data)
+        return lzw_decode(data, size)
     if compression == PACKBITS:
         return packbits_decode(data)
     if compression == NONE:
@@ -248,15 +254,21 @@ def read_page(data: bytes, fields: dict[int, tuple]) -> tuple[np.ndarray, dict]:
     cw, ch = (one(322, 0), one(323, 0)) if tiled else (width, min(one(278, height), height))
     across, down = -(-width // cw), -(-height // ch)
     offsets, counts = fields[324 if tiled else 273], fields[325 if tiled else 279]
-    grid = np.zeros((down * ch, across * cw * spp), np.uint8)
+    if not len(offsets) == len(counts) == across * down:
+        raise ValueError("the strips or tiles do not cover the image")
+    if (down * ch if tiled else height) * across * cw * spp > len(data) * _MOST.get(compression, 0):
+        raise ValueError("the image is larger than the file can hold")
+    cells = []
     for k, (offset, count) in enumerate(zip(offsets, counts)):
-        r, c = (k // across) * ch, (k % across) * cw * spp
-        rows = ch if tiled else min(ch, height - r)
-        need = rows * cw * spp
-        cell = np.frombuffer(_unpack(data[offset : offset + count], compression, need), np.uint8)[:need]
-        if len(cell) < need:
+        rows = ch if tiled else min(ch, height - k * ch)
+        cells.append(_unpack(data[offset : offset + count], compression, rows * cw * spp)[: rows * cw * spp])
+        if len(cells[-1]) < rows * cw * spp:
             raise ValueError("a strip or tile is too short")
-        cell = cell.reshape(rows, cw, spp)
+    grid = np.empty((down * ch, across * cw * spp), np.uint8)
+    for k, cell in enumerate(cells):
+        r, c = (k // across) * ch, (k % across) * cw * spp
+        cell = np.frombuffer(cell, np.uint8).reshape(-1, cw, spp)
+        rows = len(cell)
         if predictor == 2:
             cell = np.cumsum(cell, axis=1, dtype=np.uint8)
         grid[r : r + rows, c : c + cw * spp] = cell.reshape(rows, cw * spp)
@@ -325,7 +337,7 @@ def _pages(media: bytes | None, samples: bool) -> Iterator[dict]:
             total += len(raw)
             rows.append(layout | {"page_index": k, "n_pages": len(dirs), "samples": raw if samples else None, "bytes_so_far": total, "sha256_so_far": digest.copy().hexdigest(), "tail_crc32": zlib.crc32(raw[-WIDTH:]), "feature_so_far": _feature(hist)})
         yield from rows
-    except (ValueError, struct.error, zlib.error, KeyError, IndexError, ZeroDivisionError) as e:
+    except (ValueError, struct.error, zlib.error, KeyError, IndexError, ZeroDivisionError, OverflowError, MemoryError) as e:
         yield {"error": f"{type(e).__name__}: {e}"}
 
 

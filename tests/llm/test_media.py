@@ -90,3 +90,34 @@ def test_stored_form_is_hashed(docs):
     stored = tiff.encode_payloads(docs.limit(5), "doc_id", F.col("text")).collect()
     got = {r["doc_id"]: r["media_sha256"] for r in tiff.media_digest(docs).collect()}
     assert all(got[r["doc_id"]] == hashlib.sha256(r["media"]).hexdigest() for r in stored)
+
+
+@pytest.mark.parametrize("compression", [tiff.NONE, tiff.LZW, tiff.DEFLATE, tiff.PACKBITS])
+@pytest.mark.parametrize("tile", [None, (32, 64)])
+def test_damaged_files_are_errors_and_never_filled_up(compression, tile):
+    r = random.Random(compression)
+    payload = bytes(r.choice(b"abcdefgh" * 30 + bytes(range(1, 256))) for _ in range(64 * 40))
+    good = tiff.write_tiff(payload, compression=compression, tile=tile, page_rows=32, strip_rows=8)
+    assert b"".join(p["samples"] for p in tiff._pages(good, True)) == payload
+    zeros = 0
+    for _ in range(1500):
+        bad = bytearray(good)
+        for _ in range(r.choice([1, 1, 2, 8])):
+            at = r.randrange(len(bad))
+            bad[at] ^= 1 << r.randrange(8)
+        if r.random() < 0.1:
+            del bad[r.randrange(len(bad)) :]
+        rows = list(tiff._pages(bytes(bad), True))
+        assert rows and all(("error" in x) != ("samples" in x) for x in rows)
+        zeros += sum(x["samples"].count(0) > 64 for x in rows if "samples" in x and compression == tiff.NONE)
+    assert zeros < 30
+
+
+def test_missing_strips_and_absurd_sizes():
+    good = tiff.write_tiff(b"x" * 64 * 32, compression=tiff.LZW, page_rows=32, strip_rows=8)
+    fields = tiff.directories(good)[0]
+    for tag in (273, 279):
+        with pytest.raises(ValueError, match="do not cover"):
+            tiff.read_page(good, fields | {tag: fields[tag][:2]})
+    with pytest.raises(ValueError, match="larger than the file"):
+        tiff.read_page(good, fields | {257: (1 << 30,), 278: (1 << 30,), 273: fields[273][:1], 279: fields[279][:1]})

@@ -29,6 +29,18 @@ def test_pipeline_stages(spark, docs, sf):
     assert all(r["decoded_sha256"] == hashlib.sha256(texts[r["doc_id"]].encode()).hexdigest() for r in df.collect())
 
 
+def test_results_of_a_stage_stand_side_by_side(spark, docs, sf):
+    import corpus_pipeline as C
+
+    parts = [docs.where(F.col("doc_id") % 2 == k) for k in range(2)]
+    for name, stage in C.STAGES:
+        results = [stage(spark, p, sf) for p in parts]
+        counts = [r.count() for r in reversed(results)][::-1]
+        assert counts == [stage(spark, p, sf).count() for p in parts], name
+    runs = [C.run(spark, sf) for _ in range(2)]
+    assert runs[0].count() == runs[1].count() == runs[0].count()
+
+
 def test_run_on_odd_rows(spark, odd, empty, tmp_path):
     import corpus_pipeline as C
 
@@ -46,5 +58,5 @@ def test_native_operators_have_no_python(spark, docs):
 
 
 def test_registered():
-    assert {int(n[2:].split("_")[0]) for n in queries.queries() if n.startswith("op")} == set(range(1, 11)) and "pipeline" in queries.queries()
+    assert {int(n[2:].split("_")[0]) for n in queries.queries() if n.startswith("op")} == set(range(1, 14)) and "pipeline" in queries.queries()
     assert queries.oracle_sql().keys() <= queries.queries().keys()

@@ -295,3 +295,17 @@ def test_permutation_order_decides(spark):
     got = {r["doc_id"]: r["copies"] for r in mixing.plan(df, max_repeats=1.5).collect()}
     order = sorted(range(50, 70), key=lambda i: hashlib.md5(f"mix-1:1:{i}".encode()).hexdigest()[:15])
     assert [got[i] for i in order] == [2] * 10 + [1] * 10
+
+
+def test_columns_with_an_operators_own_names_are_named(odd):
+    from corpusloom.llm import mixing, pii, quality, secrets, simhash, spans
+
+    rows = odd.where("doc_id < 5")
+    sources = mixing.source_plan(rows)
+    calls = {
+        "c__": pii.sanitise, "marks__": pii.sanitise, "hash__": secrets.redact, "findings__": secrets.redact, "lost__": spans.remove_repeated, "i__": simhash.keep_one, "row__": simhash.keep_one,
+        "host__": lambda d: quality.with_verdicts(d, d.columns), "n_words": lambda d: quality.with_verdicts(d, d.columns), "weight__": lambda d: mixing.realise(d, sources), "copies__": lambda d: mixing.realise(d, sources),
+    }
+    for name, call in calls.items():
+        with pytest.raises(ValueError, match=f"rename these columns first.*{name}"):
+            call(rows.withColumn(name.upper(), F.lit(1)))
