@@ -727,3 +727,4 @@ def top_per_group(spark: SparkSession, sf: str) -> DataFrame:
 
 from corpusloom.plans import corpus_queries as _corpus_queries  # noqa: E402, F401  (registers its queries)
 from corpusloom.plans import web_queries as _web_queries  # noqa: E402, F401
+from corpusloom.plans import index_queries as _index_queries  # noqa: E402, F401
