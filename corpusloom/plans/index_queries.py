@@ -35,3 +35,58 @@ def vector_index_pairs(spark: SparkSession, sf: str) -> DataFrame:
     index = vector_index.build(e, id_col="vec_id", differ="part")
     pairs = vector_index.range_pairs(index, e, least=0.92, id_col="vec_id", differ="part")
     return label_pairs(pairs).select("id_a", "id_b", F.round("score", 6).alias("score"), "kind")
+
+
+#: Two words of a benchmark item name a node; every other one has papers by score, the others are looked for in the texts.
+_NODES = """t AS (SELECT item_id, string_split(replace(replace(lower(text), '.', ''), ',', ''), ' ') AS w FROM benchmark),
+    n AS (SELECT item_id, 'theory.' || w[4] || '_' || w[5] AS node_id, 'outcome.neural.' || w[2] AS neural_id FROM t WHERE len(w) >= 6),
+    s AS (SELECT n.*, CASE WHEN item_id % 2 = 0 THEN (SELECT count(*) FROM documents d WHERE d.doc_id % 97 = n.item_id) ELSE 0 END AS scored,
+          replace(list_extract(string_split(node_id, '.'), -1), '_', ' ') AS term, replace(list_extract(string_split(neural_id, '.'), -1), '_', ' ') AS neural_term FROM n)"""
+
+
+def _nodes(spark: SparkSession, sf: str) -> DataFrame:
+    docs = load(spark, sf, "documents").groupBy((F.col("doc_id") % 97).alias("of")).agg(F.count("*").alias("scored"))
+    w = F.split(F.regexp_replace(F.lower("text"), "[.,]", ""), " ", -1)
+    n = load(spark, sf, "benchmark").select("item_id", w.alias("w")).where(F.size("w") >= 6)
+    n = n.select("item_id", F.concat(F.lit("theory."), F.get("w", 3), F.lit("_"), F.get("w", 4)).alias("node_id"), F.concat(F.lit("outcome.neural."), F.get("w", 1)).alias("neural_id"))
+    return n.join(docs, F.col("item_id") == F.col("of"), "left").withColumn("scored", F.when(F.col("item_id") % 2 == 0, F.coalesce("scored", F.lit(0))).otherwise(0)).drop("of")
+
+
+@query(f"""WITH {_NODES},
+    c AS (SELECT s.*, (SELECT count(*) FROM documents d WHERE contains(lower(d.text), s.term)) AS found,
+          (SELECT count(*) FROM documents d WHERE contains(lower(d.text), s.term) AND contains(lower(d.text), s.neural_term)) AS both_found FROM s),
+    g AS (SELECT DISTINCT 'theory:' || node_id AS gap_id, 'theory' AS gap_type, CASE WHEN scored > 0 THEN scored ELSE found END AS n FROM c),
+    h AS (SELECT DISTINCT 'neural:' || node_id || '_' || neural_id AS gap_id, 'neural' AS gap_type, CASE WHEN scored > 0 THEN scored ELSE both_found END AS n FROM c)
+    SELECT gap_id, gap_type, CASE WHEN n = 0 THEN 0.8 ELSE 0.6 END::DOUBLE AS priority, n AS existing_evidence FROM g WHERE n < 5
+    UNION ALL (SELECT gap_id, gap_type, 0.75::DOUBLE, n FROM h WHERE n < 2 ORDER BY gap_id LIMIT 50)""")
+def gap_text_fallback(spark: SparkSession, sf: str) -> DataFrame:
+    """Theory and neural gaps whose papers are counted by text where none is scored, through the text index."""
+    from corpusloom.operators import gaps, text_index
+
+    index = text_index.build(load(spark, sf, "documents"), id_col="doc_id", fields=["text"])
+    n = _nodes(spark, sf)
+    theories = text_index.theory_counts(n.select("node_id", F.col("scored").alias("paper_count")).distinct(), index)
+    cells = text_index.cell_counts(n.select(F.col("node_id").alias("factor_id"), F.col("neural_id").alias("outcome_id"), F.col("scored").alias("paper_count")).distinct(), index)
+    return gaps.ranked_gaps(gaps.theory_gaps(theories), gaps.neural_gaps(cells)).select("gap_id", "gap_type", "priority", "existing_evidence")
+
+
+@query("""WITH q AS (SELECT item_id, lower(substr(text, 4, 9)) AS phrase FROM benchmark)
+    SELECT item_id, count(doc_id) AS n, min(doc_id) AS first_doc FROM q LEFT JOIN documents ON contains(lower(text), phrase) GROUP BY item_id""")
+def text_index_phrases(spark: SparkSession, sf: str) -> DataFrame:
+    """How many documents have nine characters out of the middle of an item's text as a substring, cut words and punctuation included."""
+    from corpusloom.operators import text_index
+
+    index = text_index.build(load(spark, sf, "documents"), id_col="doc_id", fields=["text"])
+    asked = load(spark, sf, "benchmark").select(F.col("item_id").alias("q"), F.substring("text", 4, 9).alias("phrase"))
+    found = text_index.find(index, asked).groupBy("q").agg(F.count("*").alias("n"), F.min("id").alias("first_doc"))
+    return asked.join(found, "q", "left").select(F.col("q").alias("item_id"), F.coalesce("n", F.lit(0)).alias("n"), "first_doc")
+
+
+@query("""SELECT doc_id, source, n_chars FROM documents WHERE (contains(lower(text), 'the ') OR contains(lower(source), 'the ')) AND n_chars > 500 ORDER BY n_chars DESC, doc_id LIMIT 100""")
+def keyword_search(spark: SparkSession, sf: str) -> DataFrame:
+    """The hundred longest documents that a keyword search finds in text or source."""
+    from corpusloom.operators import text_index
+
+    d = load(spark, sf, "documents")
+    index = text_index.build(d, id_col="doc_id", fields=["text", "source"])
+    return text_index.keyword_search(d, index, "the ", id_col="doc_id", where=F.col("n_chars") > 500, order=[F.desc("n_chars"), F.col("doc_id")]).select("doc_id", "source", "n_chars")
