@@ -90,3 +90,80 @@ def keyword_search(spark: SparkSession, sf: str) -> DataFrame:
     d = load(spark, sf, "documents")
     index = text_index.build(d, id_col="doc_id", fields=["text", "source"])
     return text_index.keyword_search(d, index, "the ", id_col="doc_id", where=F.col("n_chars") > 500, order=[F.desc("n_chars"), F.col("doc_id")]).select("doc_id", "source", "n_chars")
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 100 = 7 THEN o_totalprice + 2 WHEN o_orderkey % 100 = 8 THEN -1.0 ELSE o_totalprice END AS o_totalprice,
+    CASE WHEN o_orderkey % 100 = 7 THEN 'FIXED' ELSE o_orderpriority END AS o_orderpriority FROM orders WHERE o_orderkey % 100 <> 9
+    UNION ALL SELECT -o_orderkey, o_totalprice, NULL FROM orders WHERE o_orderkey % 100 = 9""")
+def bucketed_merges(spark: SparkSession, sf: str) -> DataFrame:
+    """A table that is merged into three times: two changes of a key with nulls that keep what was there, inserts, deletes."""
+    from corpusloom.sources.bucketed import BucketedTable
+    from corpusloom.workspace import scratch
+
+    orders = load(spark, sf, "orders").select("o_orderkey", "o_totalprice", "o_orderpriority")
+    seven, eight, nine = (orders.where(F.col("o_orderkey") % 100 == k) for k in (7, 8, 9))
+    none = F.lit(None).cast("string")
+    changes = seven.select("o_orderkey", (F.col("o_totalprice") + 1).alias("o_totalprice"), none.alias("o_orderpriority"), F.lit(1).alias("at"))
+    changes = changes.unionAll(seven.select("o_orderkey", (F.col("o_totalprice") + 2).alias("o_totalprice"), F.lit("FIXED"), F.lit(2))).unionAll(eight.select("o_orderkey", F.lit(-1.0), none, F.lit(1)))
+    table = BucketedTable.create(orders, scratch(spark, "orders"), "o_orderkey", buckets=32).upsert(changes, "at")
+    table = table.replace(nine.select((-F.col("o_orderkey")).alias("o_orderkey"), "o_totalprice", none.alias("o_orderpriority")))
+    return table.delete(nine).read()
+
+
+@query("SELECT user_id, count(*) AS n, max(value) AS most, round(avg(value) + 1e-7, 5) AS mean, max(event_id) AS last_event FROM events GROUP BY user_id")
+def running_user_state(spark: SparkSession, sf: str) -> DataFrame:
+    """Counts, maxima and means by user over events that arrive in three batches, the stream started anew for each; every batch writes the users it changed."""
+    from corpusloom.sources.bucketed import BucketedTable
+    from corpusloom.streaming.state import running_state
+    from corpusloom.workspace import scratch
+
+    events = load(spark, sf, "events").select("event_id", "user_id", "value")
+    inbox, path, checkpoint = (scratch(spark, t) for t in ("inbox", "state", "checkpoint"))
+    for part in range(3):
+        events.where(F.col("event_id") % 3 == part).write.mode("append").parquet(inbox)
+        totals = spark.readStream.schema(events.schema).parquet(inbox).groupBy("user_id").agg(F.count("*").alias("n"), F.max("value").alias("most"), F.avg("value").alias("mean"), F.max("event_id").alias("last_event"))
+        running_state(totals, path, "user_id", checkpoint, buckets=16)
+    return BucketedTable(spark, path).read().withColumn("mean", F.round(F.col("mean") + 1e-7, 5))
+
+
+@query("""WITH m AS (SELECT max(ts) AS now FROM events), e AS (SELECT user_id, arg_max(event_type, (ts, event_id)) AS value, max(ts) AS seen FROM events WHERE user_id % 5 <> 0 GROUP BY user_id),
+    a AS (SELECT DISTINCT user_id FROM events)
+    SELECT 'u' || a.user_id AS key, CASE WHEN seen IS NULL THEN 'miss' WHEN epoch_us(now) - epoch_us(seen) <= 86400 * 1000000::BIGINT THEN 'hit' ELSE 'expired' END AS state,
+           CASE WHEN epoch_us(now) - epoch_us(seen) <= 86400 * 1000000::BIGINT THEN value END AS value FROM a LEFT JOIN e USING (user_id), m""")
+def cached_answers(spark: SparkSession, sf: str) -> DataFrame:
+    """A cache of the last event of each user, put in twice and asked at the last event's time with a day to live; compacted before it is asked again."""
+    from corpusloom.sources.bucketed import ExpiringCache
+    from corpusloom.workspace import materialise, scratch
+
+    e = load(spark, sf, "events")
+    now = F.lit(e.agg(F.max(F.col("ts").cast("timestamp"))).first()[0])
+    latest = e.where("user_id % 5 <> 0").groupBy("user_id").agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("value"), F.max("ts").alias("ts"))
+    entries = latest.select(F.concat(F.lit("u"), "user_id").alias("key"), "value", F.col("ts").cast("timestamp").alias("cached_at"))
+    early = entries.select("key", F.lit("old").alias("value"), (F.col("cached_at") - F.expr("interval 1 second")).alias("cached_at"))
+    cache = ExpiringCache.create(spark, scratch(spark, "cache"), ttl_seconds=86400, buckets=16).put(entries).put(early)
+    asked = e.select(F.concat(F.lit("u"), "user_id").alias("key")).distinct()
+    before = materialise(cache.get(asked, now), "answers")
+    again = cache.compact(now).get(asked, now)
+    same = before.join(again.select("key", F.col("value").alias("then"), F.col("state").alias("now_is")), "key")
+    return same.where(F.col("value").eqNullSafe(F.col("then")) & (F.col("now_is") == F.when(F.col("state") == "hit", "hit").otherwise("miss"))).select("key", "state", "value")
+
+
+#: A forest over the customers with ids that say nothing: long chains under every seventeenth, bushes elsewhere, cycles of three.
+_PARENT = "CASE WHEN c_custkey % 97 = 0 THEN NULL WHEN c_custkey % 97 = 96 THEN c_custkey - 2 WHEN c_custkey % 97 = 94 THEN c_custkey + 1 WHEN c_custkey % 97 = 95 THEN c_custkey + 1 WHEN c_custkey % 97 < 30 THEN c_custkey - 1 ELSE c_custkey - c_custkey % 97 + (c_custkey % 97) // 3 END"
+
+
+@query(f"""WITH RECURSIVE n AS (SELECT c_custkey AS k, {_PARENT} AS p, c_nationkey AS v FROM customer),
+    r AS (SELECT k, k AS root, 1 AS level FROM n WHERE p IS NULL OR p NOT IN (SELECT k FROM n) UNION ALL SELECT n.k, root, level + 1 FROM n JOIN r ON n.p = r.k),
+    d AS (SELECT k AS top, k FROM r UNION ALL SELECT d.top, n.k FROM n JOIN d ON n.p = d.k),
+    t AS (SELECT top, sum(v)::BIGINT AS total, count(*) AS size FROM d JOIN n USING (k) GROUP BY top)
+    SELECT md5(n.k::VARCHAR) AS node, level, md5(root::VARCHAR) AS root, total, size FROM n LEFT JOIN r USING (k) LEFT JOIN t ON t.top = n.k""")
+def parent_trees(spark: SparkSession, sf: str) -> DataFrame:
+    """Level, root, size and rolled-up value of every node of a forest by parent ids; nodes on a cycle have none."""
+    from corpusloom.operators import tree
+
+    parent = F.expr(_PARENT.replace("//", "div"))
+    n = load(spark, sf, "customer").select(F.md5(F.col("c_custkey").cast("string")).alias("id"), F.md5(parent.cast("string")).alias("parent"), "c_nationkey")
+    t = tree.build(n, id_col="id", parent_col="parent")
+    sizes = tree.rolled_up(t, n.withColumn("one", F.lit(1)), "id", "one").withColumnRenamed("total", "size")
+    known = tree.levels(t).join(tree.rolled_up(t, n, "id", "c_nationkey"), "node").join(sizes, "node")
+    return known.select("node", "level", "root", "total", "size").unionByName(t.cyclic, allowMissingColumns=True)
