@@ -16,6 +16,22 @@ def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([0.0 if x is None or y is None else SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)])
 
 
+#: Characters that are counted one by one; all others of a text are counted together.
+_LETTERS = "abcdefghijklmnopqrstuvwxyz0123456789 "
+
+
+def letter_counts(text: Column) -> Column:
+    """How often each of a-z, 0-9, the space and all other characters together occur in a text."""
+    each = F.transform(F.array(*map(F.lit, _LETTERS)), lambda c: F.length(text) - F.length(F.replace(text, c, F.lit(""))))
+    return F.transform(F.array(each), lambda n: F.concat(n, F.array(F.length(text) - F.aggregate(n, F.lit(0), lambda a, x: a + x))))[0]
+
+
+def ratio_bound(counts: Column, other_counts: Column, length: Column, other_length: Column) -> Column:
+    """No alignment of two texts has a higher ``sequence_ratio``: the characters that they share, wherever they stand."""
+    shared = F.aggregate(F.zip_with(counts, other_counts, lambda x, y: F.least(x, y)), F.lit(0), lambda a, x: a + x)
+    return F.coalesce(F.try_divide(2.0 * shared, (length + other_length).cast("double")), F.lit(1.0))
+
+
 def overlap_size(a: Column, b: Column) -> Column:
     return F.size(F.array_intersect(a, b))
 

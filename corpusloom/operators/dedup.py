@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import normalize as N
-from corpusloom.functions.similarity import overlap_size, sequence_ratio, share_of
+from corpusloom.functions.similarity import letter_counts, overlap_size, ratio_bound, sequence_ratio, share_of
+from corpusloom.workspace import materialise
 
 
 def keyed_index(df: DataFrame, key: Column, id_col: str, order: str) -> DataFrame:
@@ -14,10 +15,6 @@ def keyed_index(df: DataFrame, key: Column, id_col: str, order: str) -> DataFram
     return df.withColumn("k__", key).where(F.coalesce(F.col("k__"), F.lit("")) != "").groupBy(F.col("k__").alias("key")).agg(F.max_by(id_col, order).alias(id_col))
 
 
-def author_index(df: DataFrame, authors: str, id_col: str) -> DataFrame:
-    return df.select(F.explode(N.surnames(F.col(authors))).alias("surname"), id_col).distinct()
-
-
 def fuzzy_title_pairs(new: DataFrame, known: DataFrame, *, least_shared: int = 2, others_only: bool = False) -> DataFrame:
     """Pairs that share enough key terms: (new_id, known_id, shared). ``new``: new_id, title; ``known``: known_id, title.
 
@@ -41,14 +38,31 @@ def fuzzy_title_matches(new: DataFrame, known: DataFrame, *, others_only: bool =
 
     Both sides: id, title, authors. Ties: more shared terms, then the smaller id. ``others_only``: never the row with its own id.
     """
-    pairs = fuzzy_title_pairs(new, known, others_only=others_only).join(new.select("new_id", F.col("title").alias("a"), F.col("authors").alias("aa")), "new_id").join(known.select("known_id", F.col("title").alias("b"), F.col("authors").alias("ba")), "known_id")
-    bonus = 0.1 * F.least(F.coalesce(overlap_size(N.surnames(F.col("aa")), N.surnames(F.col("ba"))), F.lit(0)), F.lit(3))
-    scored = pairs.withColumn("score", sequence_ratio(N.title_key(F.col("a")), N.title_key(F.col("b"))) + bonus).where("score >= 0.85")
+    scored = aligned_pairs(open_pairs(fuzzy_title_pairs(new, known, others_only=others_only), new, known)).where("score >= 0.85")
     best = scored.groupBy("new_id").agg(F.min(F.struct((-F.col("score")).alias("s"), (-F.col("shared")).alias("h"), F.col("known_id").alias("i"))).alias("m"))
     score = -F.col("m.s")
     return best.select("new_id", F.col("m.i").alias("known_id"), F.lit("title_fuzzy").alias("match_type"), F.when(score >= 0.95, score).otherwise(score * 0.9).alias("confidence"))
 
 
+def open_pairs(pairs: DataFrame, new: DataFrame, known: DataFrame, *, least: float = 0.85) -> DataFrame:
+    """(new_id, known_id, shared, a, b, bonus): the pairs whose title keys a and b can still score ``least``, by the characters they share.
+
+    Keys, their letters and the surnames are worked out once a title, before the pairs.
+    """
+    side = lambda d, i, key, names: d.select(i, N.title_key(F.col("title")).alias(key), N.surnames(F.col("authors")).alias(names)).withColumn(f"{key}_n", letter_counts(F.col(key)))
+    met = pairs.join(side(new, "new_id", "a", "aa"), "new_id").join(side(known, "known_id", "b", "ba"), "known_id")
+    met = met.withColumn("bonus", 0.1 * F.least(F.coalesce(overlap_size(F.col("aa"), F.col("ba")), F.lit(0)), F.lit(3)))
+    bound = ratio_bound(F.col("a_n"), F.col("b_n"), F.length("a"), F.length("b"))
+    return met.where(bound + F.col("bonus") >= least - 1e-9).select("new_id", "known_id", "shared", "a", "b", "bonus")
+
+
+def aligned_pairs(pairs: DataFrame) -> DataFrame:
+    """(new_id, known_id, shared, score): every two different keys are aligned once, however many titles have them."""
+    pairs = materialise(pairs, "open-pairs")
+    ratios = pairs.select("a", "b").distinct().withColumn("ratio", F.when(F.col("a") == F.col("b"), 1.0).otherwise(sequence_ratio(F.col("a"), F.col("b"))))
+    return pairs.join(ratios, ["a", "b"]).select("new_id", "known_id", "shared", (F.col("ratio") + F.col("bonus")).alias("score"))
+
+
 def author_title_matches(new: DataFrame, known: DataFrame) -> DataFrame:
     """Short titles (under 50 characters) by authors (half of them shared) and key terms (0.4 shared).
 
@@ -75,8 +89,9 @@ def check_duplicates(new: DataFrame, known: DataFrame) -> DataFrame:
     exact = new.join(doi, F.lower("doi") == F.col("d__"), "left").join(title, N.title_key(F.col("title")) == F.col("t__"), "left")
     tier = lambda i, kind, c: F.when(i.isNotNull(), F.struct(i.alias("known_id"), F.lit(kind).alias("match_type"), F.lit(c).alias("confidence")))
     exact = exact.select("new_id", "title", "authors", F.coalesce(tier(F.col("by_doi"), "doi", 1.0), tier(F.col("by_title"), "title_exact", 0.95)).alias("m"))
+    exact = materialise(exact, "exact")
     open_ = exact.where("m is null").drop("m")
-    fuzzy = fuzzy_title_matches(open_, known)
+    fuzzy = materialise(fuzzy_title_matches(open_, known), "fuzzy")
     author = author_title_matches(open_.join(fuzzy, "new_id", "left_anti"), known)
     rest = open_.select("new_id").join(fuzzy.unionByName(author), "new_id", "left")
     return exact.where("m is not null").select("new_id", "m.*").unionByName(rest)

@@ -2,25 +2,33 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 CONSTRUCT_COLUMNS = {"about_iv": "environment_factors", "about_dv": "outcomes", "mediates": "mediators", "moderates": "moderators"}
 
 
-def _mentions(claims: DataFrame, edge: str) -> DataFrame:
-    """(claim_id, construct, role): a construct without an id is named by its role."""
-    c = claims.select("claim_id", F.explode(CONSTRUCT_COLUMNS[edge]).alias("c"))
-    return c.select("claim_id", F.coalesce(F.nullif("c.id", F.lit("")), F.concat(F.lit("construct:"), "c.role")).alias("construct"), F.col("c.role").alias("role")).where("construct is not null")
+def _named(column: str) -> Column:
+    """A claim's constructs of one kind as (construct, role): one without an id is named by its role, one without either is left out."""
+    named = F.transform(column, lambda c: F.struct(F.coalesce(F.nullif(c["id"], F.lit("")), F.concat(F.lit("construct:"), c["role"])).alias("construct"), c["role"].alias("role")))
+    return F.coalesce(F.filter(named, lambda c: c["construct"].isNotNull()), F.array().cast("array<struct<construct:string,role:string>>"))
 
 
 def edges(papers: DataFrame, claims: DataFrame, citations: DataFrame | None = None) -> DataFrame:
-    """(src, dst, type, claim_id): has_claim, about_iv, about_dv, mediates, moderates, affects and cites."""
-    known = papers.select("paper_id")
-    out = claims.join(known, "paper_id", "left_semi").select(F.col("paper_id").alias("src"), F.col("claim_id").alias("dst"), F.lit("has_claim").alias("type"), "claim_id")
-    for edge in CONSTRUCT_COLUMNS:
-        out = out.unionByName(_mentions(claims, edge).select(F.col("claim_id").alias("src"), F.col("construct").alias("dst"), F.lit(edge).alias("type"), "claim_id"))
-    out = out.unionByName(affects(_mentions(claims, "about_iv"), _mentions(claims, "about_dv")))
+    """(src, dst, type, claim_id): has_claim, about_iv, about_dv, mediates, moderates, affects and cites.
+
+    All edges of a claim come from its row, in one scan: it affects every dependent construct by every independent one, repeats kept.
+    """
+    known = papers.select("paper_id").distinct()
+    edge = lambda src, dst, kind: F.struct(src.alias("src"), dst.alias("dst"), F.lit(kind).alias("type"))
+    claim, none = F.col("claim_id"), F.array().cast("array<struct<src:string,dst:string,type:string>>")
+    own = [F.when(F.col("known__").isNotNull(), F.array(edge(F.col("paper_id"), claim, "has_claim"))).otherwise(none)]
+    about = lambda kind: lambda c: edge(claim, c["construct"], kind)
+    own += [F.transform(_named(column), about(kind)) for kind, column in CONSTRUCT_COLUMNS.items()]
+    iv, dv = _named(CONSTRUCT_COLUMNS["about_iv"]), _named(CONSTRUCT_COLUMNS["about_dv"])
+    own.append(F.flatten(F.transform(iv, lambda i: F.transform(dv, lambda d: edge(i["construct"], d["construct"], "affects")))))
+    rows = claims.join(known.select("paper_id", F.lit(1).alias("known__")), "paper_id", "left")
+    out = rows.select("claim_id", F.explode(F.concat(*own)).alias("e")).select("e.src", "e.dst", "e.type", "claim_id")
     if citations is not None:
         c = citations.where("cited_paper_id is not null").join(known.withColumnRenamed("paper_id", "source_paper_id"), "source_paper_id", "left_semi").join(known.withColumnRenamed("paper_id", "cited_paper_id"), "cited_paper_id", "left_semi")
         out = out.unionByName(c.select(F.col("source_paper_id").alias("src"), F.col("cited_paper_id").alias("dst"), F.lit("cites").alias("type"), F.lit(None).cast("string").alias("claim_id")))
@@ -28,7 +36,7 @@ def edges(papers: DataFrame, claims: DataFrame, citations: DataFrame | None = No
 
 
 def affects(iv: DataFrame, dv: DataFrame) -> DataFrame:
-    """Per claim every independent with every dependent construct, repeats kept: a claim's arrays bound the product."""
+    """The same where constructs stand in tables (claim_id, construct): per claim every independent with every dependent one."""
     return iv.select("claim_id", F.col("construct").alias("src")).join(dv.select("claim_id", F.col("construct").alias("dst")), "claim_id").select("src", "dst", F.lit("affects").alias("type"), "claim_id")
 
 
@@ -36,10 +44,7 @@ def nodes(papers: DataFrame, claims: DataFrame) -> DataFrame:
     """(node_id, type, label); a construct is labelled by its first mention."""
     p = papers.select(F.col("paper_id").alias("node_id"), F.lit("paper").alias("type"), F.substring(F.coalesce("title", F.lit("")), 1, 100).alias("label"))
     c = claims.select(F.col("claim_id").alias("node_id"), F.lit("claim").alias("type"), F.substring(F.coalesce("statement", F.lit("")), 1, 100).alias("label"))
-    mentions = None
-    for edge in CONSTRUCT_COLUMNS:
-        m = _mentions(claims, edge)
-        mentions = m if mentions is None else mentions.unionByName(m)
+    mentions = claims.select("claim_id", F.explode(F.concat(*map(_named, CONSTRUCT_COLUMNS.values()))).alias("c")).select("claim_id", "c.*")
     k = mentions.groupBy(F.col("construct").alias("node_id")).agg(F.min_by(F.coalesce("role", "construct"), "claim_id").alias("label")).select("node_id", F.lit("construct").alias("type"), "label")
     return p.unionByName(c).unionByName(k)
 
@@ -56,8 +61,13 @@ def neighbours(edge_table: DataFrame, node, *, outgoing: bool = True, kind: str
 
 def what_affects(affect_edges: DataFrame, effects: DataFrame, target: Column, *, by: str = "src", first: int = 5) -> DataFrame:
     """(by, claims, average effect ignoring nulls, the first claims). ``effects``: claim_id, effect."""
-    met = affect_edges.where(target).join(effects, "claim_id", "left")
-    return met.groupBy(by).agg(F.countDistinct("claim_id").alias("claim_count"), F.avg("effect").alias("avg_effect"), F.slice(F.array_sort(F.collect_set("claim_id")), 1, first).alias("claims"))
+    affecting = affect_edges.where(target)
+    pairs = affecting.select(by, "claim_id").distinct()
+    rank = F.row_number().over(Window.partitionBy(by).orderBy("claim_id"))  # Spark limits groups before the shuffle
+    firsts = pairs.withColumn("rank", rank).where(F.col("rank") <= first).groupBy(by).agg(F.array_sort(F.collect_list("claim_id")).alias("claims"))
+    totals = pairs.groupBy(by).agg(F.count("claim_id").alias("claim_count"))
+    effect = affecting.join(effects, "claim_id", "left").groupBy(by).agg(F.avg("effect").alias("avg_effect"))
+    return totals.join(effect, by).join(firsts, by).select(by, "claim_count", "avg_effect", "claims")
 
 
 def graph_stats(node_table: DataFrame, edge_table: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions import normalize as N
 from corpusloom.functions import parse as P
 from corpusloom.functions import similarity as SIM
-from corpusloom.operators import audit, dedup, expansion, gaps, graph, ingest, merge, synthesis, taxonomy, vector
+from corpusloom.operators import audit, dedup, expansion, gaps, graph, ingest, merge, synthesis, taxonomy, vector, setmatch
 from corpusloom.operators import relational as R
 from corpusloom.plans.registry import ORACLE, QUERIES, query
 from corpusloom.session import load
@@ -203,30 +203,27 @@ s AS (SELECT item_id, doc_id, len(list_intersect(b.t, d.t)) / greatest(len(list_
 SELECT item_id, doc_id, round(j, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY j DESC, doc_id) AS r FROM s) WHERE r = 1""")
 def jaccard_best_match(spark: SparkSession, sf: str) -> DataFrame:
     """The items are the query set, held against all documents, whole: shared tokens are counted, the best pair is scored."""
-    b, d, n = _shared_tokens(spark, sf)
-    j = F.col("n") / (F.col("nb") + F.col("nd") - F.col("n"))
-    best = n.groupBy("item_id").agg(F.min(F.struct((-j).alias("j"), "doc_id")).alias("m")).select("item_id", F.col("m.doc_id").alias("doc_id"))
-    least = d.agg(F.min("doc_id").alias("least"))  # what shares nothing is as good as the first document
-    found = b.join(best, "item_id", "left").join(F.broadcast(least), how="cross").withColumn("doc_id", F.coalesce("doc_id", "least")).where("doc_id is not null")
-    return found.join(d, "doc_id").select("item_id", "doc_id", F.round(SIM.jaccard(F.col("bt"), F.col("dt")), 6).alias("score"))
+    b, d = _token_sets(spark, sf)
+    best = setmatch.best_jaccard(b, d).select(F.col("q").alias("item_id"), F.col("id").alias("doc_id"))
+    least = d.agg(F.min("id").alias("least"))  # what shares nothing is as good as the first document
+    found = b.select(F.col("q").alias("item_id"), F.col("tokens").alias("bt")).join(best, "item_id", "left").join(F.broadcast(least), how="cross").withColumn("doc_id", F.coalesce("doc_id", "least")).where("doc_id is not null")
+    return found.join(d.select(F.col("id").alias("doc_id"), F.col("tokens").alias("dt")), "doc_id").select("item_id", "doc_id", F.round(SIM.jaccard(F.col("bt"), F.col("dt")), 6).alias("score"))
 
 
-def _shared_tokens(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Items (item_id, bt), documents (doc_id, dt), and (item_id, doc_id, nb, nd, n): how many tokens they share, where any."""
-    b = load(spark, sf, "benchmark").select("item_id", N.tokens(F.col("text")).alias("bt"))
-    d = load(spark, sf, "documents").select("doc_id", N.tokens(F.col("text")).alias("dt"))
-    of_item, of_doc = b.select("item_id", F.size("bt").alias("nb"), F.explode("bt").alias("w")), d.select("doc_id", F.size("dt").alias("nd"), F.explode("dt").alias("w"))
-    return b, d, of_doc.join(taxonomy.small(of_item, 200_000), "w").groupBy("item_id", "doc_id", "nb", "nd").agg(F.count("*").alias("n"))
+def _token_sets(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Items (q, tokens) and documents (id, tokens)."""
+    return load(spark, sf, "benchmark").select(F.col("item_id").alias("q"), N.tokens(F.col("text")).alias("tokens")), load(spark, sf, "documents").select(F.col("doc_id").alias("id"), N.tokens(F.col("text")).alias("tokens"))
 
 
 @query(f"""WITH b AS (SELECT item_id, {_TOK.format(least=2)} AS t FROM benchmark), d AS (SELECT doc_id, {_TOK.format(least=2)} AS t FROM documents),
 p AS (SELECT item_id, doc_id, len(list_intersect(b.t, d.t)) AS n, len(b.t) AS nb, len(d.t) AS nd FROM b, d WHERE len(b.t) >= 5 AND len(d.t) >= 5)
 SELECT item_id, doc_id, round(n / nb, 6) AS of_item, round(n / nd, 6) AS of_doc FROM p WHERE n / nb >= 0.3 AND n / nd >= 0.3""")
 def bidirectional_overlap(spark: SparkSession, sf: str) -> DataFrame:
-    b, d, n = _shared_tokens(spark, sf)
-    near = n.where("n + 1e-6 >= 0.3 * nb and n + 1e-6 >= 0.3 * nd").select("item_id", "doc_id")
-    met = near.join(b, "item_id").join(d, "doc_id").where(SIM.titles_similar(F.col("bt"), F.col("dt"), least=0.3))
-    return met.select("item_id", "doc_id", F.round(SIM.share_of(F.col("bt"), F.col("dt")), 6).alias("of_item"), F.round(SIM.share_of(F.col("dt"), F.col("bt")), 6).alias("of_doc"))
+    b, d = _token_sets(spark, sf)
+    near = setmatch.pairs_above(b, d, of_query=0.3 - 1e-6, of_doc=0.3 - 1e-6, least_tokens=5)
+    bt, dt = F.col("bt"), F.col("dt")
+    met = near.join(b.select("q", F.col("tokens").alias("bt")), "q").join(d.select("id", F.col("tokens").alias("dt")), "id").where(SIM.titles_similar(bt, dt, least=0.3))
+    return met.select(F.col("q").alias("item_id"), F.col("id").alias("doc_id"), F.round(SIM.share_of(bt, dt), 6).alias("of_item"), F.round(SIM.share_of(dt, bt), 6).alias("of_doc"))
 
 
 _KEYWORDS = ["tion", "ment", "heit", "ando", "ough", "that", "with", "from", "para", "pour", "nicht", "ering", "able", "ness", "ding", "http"]
@@ -241,9 +238,9 @@ def keyword_relevance(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"""WITH b AS (SELECT item_id, {_TOK.format(least=3)} AS t FROM benchmark), d AS (SELECT doc_id, lower(text) AS x FROM documents)
 SELECT item_id, doc_id, round(len(list_filter(t, lambda w: contains(x, w))) / len(t), 6) AS score FROM b, d WHERE len(t) > 0 AND len(list_filter(t, lambda w: contains(x, w))) / len(t) >= 0.5""")
 def keyword_containment(spark: SparkSession, sf: str) -> DataFrame:
-    b = load(spark, sf, "benchmark").select("item_id", N.tokens(F.col("text"), least=4).alias("t")).where(F.size("t") > 0)
-    d = load(spark, sf, "documents").select("doc_id", "text")
-    return d.join(taxonomy.small(b), how="cross").withColumn("s", SIM.contained_share(F.col("t"), F.col("text"))).where("s >= 0.5").select("item_id", "doc_id", F.round("s", 6).alias("score"))
+    b = load(spark, sf, "benchmark").select(F.col("item_id").alias("q"), N.tokens(F.col("text"), least=4).alias("tokens"))
+    d = load(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
+    return setmatch.contained_above(b, d, least=0.5).select(F.col("q").alias("item_id"), F.col("id").alias("doc_id"), F.round("share", 6).alias("score"))
 
 
 @query()
