@@ -208,8 +208,8 @@ def embed(df: DataFrame, text: Column, provider: Callable | None = None, *, dim:
         return df.withColumn("text", text).mapInPandas(provider, T.StructType([*df.schema.fields, T.StructField("embedding", T.ArrayType(T.FloatType()))]))
     words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9]+"), lambda w: w != "")
     slots = F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(dim)).cast("int"))
-    counted = F.aggregate(slots, F.array_repeat(F.lit(0.0), dim), lambda acc, s: F.zip_with(acc, F.sequence(F.lit(0), F.lit(dim - 1)), lambda v, i: F.when(i == s, v + 1.0).otherwise(v)))
-    return df.withColumn("embedding", unit(counted))
+    counted = lambda held: F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: (F.size(held) - F.size(F.array_remove(held, i))).cast("double"))
+    return df.withColumn("embedding", unit(F.transform(F.array(slots), counted)[0]))
 
 
 def profile_similarity(profiles: DataFrame, entity: str, feature: str, weight: str, one: DataFrame) -> DataFrame:

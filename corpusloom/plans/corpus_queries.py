@@ -1105,11 +1105,20 @@ def citation_statistics(spark: SparkSession, sf: str) -> DataFrame:
     return P.parse_statistics(load(spark, sf, "customer").select(P.parse_citations(text).alias("citation")))
 
 
-@query("SELECT path, value FROM (VALUES ('a', 'base'), ('b.c', 'over'), ('b.d', 'env'), ('b.x', 'none')) AS v(path, value)")
+@query("""SELECT concat('r', n_regionkey, '.n', n_nationkey) AS path, CASE WHEN n_nationkey % 7 = 5 THEN 'none' WHEN n_nationkey % 3 = 1 THEN 'env' WHEN n_nationkey % 2 = 0 THEN 'over' ELSE n_name END AS value FROM nation""")
 def configuration(spark: SparkSession, sf: str) -> DataFrame:
-    """Settings laid over each other in depth, the environment last."""
-    settings = config.with_environment(config.merged({"a": "base", "b": {"c": "base", "d": "base"}}, {"b": {"c": "over"}}), environ={"CORPUSLOOM_B__D": "env"})
-    return spark.createDataFrame([(p, config.get(settings, p, "none")) for p in ("a", "b.c", "b.d", "b.x")], "path string, value string")
+    """Settings out of a table of nations, laid over each other in depth, the environment last. Settings are the driver's, so the table is one of settings' size."""
+    rows = load(spark, sf, "nation").select("n_regionkey", "n_nationkey", "n_name").collect()
+    base, over, environ = {}, {}, {}
+    for region, nation, name in rows:
+        if nation % 7 != 5:
+            base.setdefault(f"r{region}", {})[f"n{nation}"] = name
+            if nation % 2 == 0:
+                over.setdefault(f"r{region}", {})[f"n{nation}"] = "over"
+            if nation % 3 == 1:
+                environ[f"CORPUSLOOM_R{region}__N{nation}"] = "env"
+    settings = config.with_environment(config.merged(base, over), environ=environ)
+    return spark.createDataFrame([(p, config.get(settings, p, "none")) for p in (f"r{region}.n{nation}" for region, nation, _ in rows)], "path string, value string")
 
 
 @query(cte("papers") + """, f AS (SELECT paper_id, unnest(['environmental_factors', 'settings', 'other']) AS facet, unnest([k % 10 / 10, k % 7 / 10, 0.5]) AS s, k FROM papers)

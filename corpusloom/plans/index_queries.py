@@ -167,3 +167,87 @@ def parent_trees(spark: SparkSession, sf: str) -> DataFrame:
     sizes = tree.rolled_up(t, n.withColumn("one", F.lit(1)), "id", "one").withColumnRenamed("total", "size")
     known = tree.levels(t).join(tree.rolled_up(t, n, "id", "c_nationkey"), "node").join(sizes, "node")
     return known.select("node", "level", "root", "total", "size").unionByName(t.cyclic, allowMissingColumns=True)
+
+
+# ================================================================ files, calls, graph and coverage
+@query("SELECT s_suppkey::VARCHAR AS s_suppkey, s_name, coalesce(s_nationkey::VARCHAR, '') AS s_nationkey FROM supplier")
+def workbook_table(spark: SparkSession, sf: str) -> DataFrame:
+    """The suppliers as workbooks, written by the tasks and read back by them."""
+    from corpusloom.sources import workbooks
+    from corpusloom.workspace import scratch
+
+    path = scratch(spark, "workbooks")
+    workbooks.write_workbooks(load(spark, sf, "supplier").select("s_suppkey", "s_name", "s_nationkey"), path, most_rows=5000).collect()
+    return workbooks.read_workbook(spark, path)
+
+
+@query("""SELECT c_custkey::VARCHAR AS key, CASE WHEN c_custkey % 11 = 5 THEN 'failed' ELSE 'ok' END AS status, CASE WHEN c_custkey % 11 <> 5 THEN upper(c_mktsegment) END AS result,
+    CASE WHEN c_custkey % 11 = 5 OR c_custkey % 7 = 3 THEN 2 ELSE 1 END AS run FROM customer""")
+def external_calls(spark: SparkSession, sf: str) -> DataFrame:
+    """Calls for every customer that fail for some in the first run and for a few always; the second run asks for the failed ones only."""
+    from corpusloom.operators import calls
+    from corpusloom.workspace import materialise
+
+    def outside(first: bool):
+        def call(key: str, payload: str) -> str:
+            if int(key) % 11 == 5 or first and int(key) % 7 == 3:
+                raise RuntimeError("refused")
+            return payload.upper()
+
+        return call
+
+    requests = load(spark, sf, "customer").select(F.col("c_custkey").cast("string").alias("key"), F.col("c_mktsegment").alias("payload"))
+    first = materialise(calls.call_all(requests, outside(True), attempts=1).withColumn("run", F.lit(1)), "calls")
+    second = materialise(calls.call_all(calls.resume(requests, first), outside(False), attempts=1).withColumn("run", F.lit(2)), "calls")
+    return calls.latest(first.unionAll(second)).select("key", "status", "result", "run")
+
+
+@query("SELECT item_id, text, length(text)::BIGINT AS size FROM benchmark")
+def json_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """A JSON document of several lines for every item, written and read back."""
+    from corpusloom.sources import readers
+    from corpusloom.workspace import scratch
+
+    path = scratch(spark, "documents")
+    items = load(spark, sf, "benchmark").select(F.col("item_id").alias("of"), F.to_json(F.struct("item_id", "text", F.length("text").cast("long").alias("size")), {"pretty": "true"}).alias("value"))
+    items.write.partitionBy("of").text(path)
+    return readers.read_json(spark, path, "item_id long, text string, size long").select("item_id", "text", "size")
+
+
+@query("""WITH p AS (SELECT p_partkey FROM part WHERE p_partkey % 10 < 7) SELECT concat('p', l_partkey) AS src, concat('p', l_suppkey) AS dst, count(*) AS n FROM lineitem
+    WHERE l_linenumber = 1 AND l_partkey IN (SELECT p_partkey FROM p) AND l_suppkey IN (SELECT p_partkey FROM p) GROUP BY ALL""")
+def citation_edges(spark: SparkSession, sf: str) -> DataFrame:
+    """Citations in the claim graph: edges between papers that both stand in the corpus."""
+    from corpusloom.operators import graph
+    from corpusloom.plans.corpus_queries import _claims, view
+
+    papers = view(spark, sf, "papers").where("k % 10 < 7").select("paper_id", "title")
+    edges = graph.edges(papers, _claims(spark, sf), view(spark, sf, "citations").select("source_paper_id", "cited_paper_id"))
+    return edges.where("type = 'cites'").groupBy("src", "dst").agg(F.count("*").alias("n"))
+
+
+def _coverage_sql() -> str:
+    from corpusloom.plans.catalogue import _COV
+
+    return _COV + " SELECT count(*) AS cells, count(*) FILTER (paper_count > 0) AS covered, count(*) FILTER (coverage_score < 0.3) AS gaps, count(*) FILTER (has_mechanism) AS with_mechanism, 0::BIGINT AS with_neural, round(avg(coverage_score), 6) AS mean_coverage FROM s"
+
+
+@query(_coverage_sql())
+def coverage_overview(spark: SparkSession, sf: str) -> DataFrame:
+    """The coverage grid in one row."""
+    from corpusloom.operators import gaps
+    from corpusloom.plans.catalogue import _coverage
+
+    return gaps.coverage_summary(_coverage(spark, sf)).withColumn("mean_coverage", F.round("mean_coverage", 6))
+
+
+@query("""SELECT line, count(*) AS n FROM (SELECT unnest(['TY  - JOUR', 'TI  - ' || p_name, 'AU  - A. One', 'PY  - ' || p_size, 'ER  - ']) AS line FROM part) GROUP BY line""")
+def ris_file(spark: SparkSession, sf: str) -> DataFrame:
+    """An exported RIS file read back, its lines counted."""
+    from corpusloom.sources import sinks
+    from corpusloom.workspace import scratch
+
+    path, none = scratch(spark, "ris"), F.lit(None).cast("string")
+    p = load(spark, sf, "part").select(F.col("p_name").alias("title"), F.array(F.lit("A. One")).alias("authors"), F.col("p_size").alias("year"), none.alias("venue"), none.alias("doi"), none.alias("abstract"))
+    sinks.export_ris(p, path)
+    return spark.read.text(path).where("value <> ''").groupBy(F.col("value").alias("line")).agg(F.count("*").alias("n"))

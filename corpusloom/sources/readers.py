@@ -31,13 +31,6 @@ def read_table(spark: SparkSession, path: str, *, sep: str | None = None, multi_
     return df.toDF(*[c if c and not c.startswith("_c") else f"Column_{i}" for i, c in enumerate(df.columns)])
 
 
-def read_workbook(spark: SparkSession, path: str) -> DataFrame:
-    """The first sheet of an Excel file, values as text (needs the optional openpyxl)."""
-    pdf = pd.read_excel(path, dtype=str).fillna("")
-    pdf.columns = [str(c) if str(c) and not str(c).startswith("Unnamed") else f"Column_{i}" for i, c in enumerate(pdf.columns)]
-    return spark.createDataFrame(pdf.astype(str))
-
-
 def read_taxonomy(spark: SparkSession, tree: dict[str, list[dict]]) -> DataFrame:
     """A parsed taxonomy (facet -> nested nodes) as FACET_NODES."""
     return spark.createDataFrame(flatten_tree(tree), FACET_NODES)
