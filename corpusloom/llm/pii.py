@@ -16,9 +16,10 @@ without the entity too. (Below that, a term of a family of near copies would cos
 protect.) Pairs need ``SUPPORT`` distinct texts: one text tells nothing, and copies lend no support.
 
 Terms are runs of three letters or more, in lower case; a run that touches a base span is none.
-Counting follows the entities: only documents that hold one of them with the support pair their terms with it
-(one partial aggregate over term and entity, so a hot entity costs a row for each term and task); df is one more
-over the terms that were paired. Texts are scanned once; only those that hold a term beyond the threshold are
+Counting follows the entities: only documents that hold one of them with the support pair their terms with it, and
+only terms that can disclose it: as c <= df(e), a disclosure of g needs df(t) <= N^(1-g) df(e)^g. So df comes first, over the
+terms of these documents, and the product of a long list of addresses with a text's vocabulary is never made (one partial
+aggregate over term and entity, so a hot entity costs a row for each term and task). Texts are scanned once; only those that hold a term beyond the threshold are
 scanned again for its places.
 
 Defined results: a null text is the empty text and has no span; repeated rows and equal texts get equal spans;
@@ -116,11 +117,19 @@ def disclosures(found: DataFrame, *, support: int = SUPPORT, least: float = GENE
     copies = materialise(copies, "copies")
     of_entity = copies.select("n", F.explode("entities").alias("entity")).groupBy("entity").agg(F.sum("n").alias("df_entity"), F.count("*").alias("texts"))
     of_entity = materialise(of_entity.where(F.col("texts") >= support).select("entity", "df_entity"), "of_entity")
-    held = copies.select("n", "terms", F.explode("entities").alias("entity")).join(sized(of_entity.select("entity")), "entity", "left_semi")
-    pairs = held.select("n", "entity", F.explode("terms").alias("term")).groupBy("term", "entity").agg(F.sum("n").alias("both"), F.count("*").alias("texts"))
+    n = float(max(found.count(), 1))
+    # the widest spread of a term that can disclose `least` of an entity, as both <= df_entity; a hair more for rounding
+    most = F.pow(F.lit(n), F.lit(1 - least)) * F.pow(F.col("df_entity"), F.lit(least)) * (1 + 1e-9)
+    held = copies.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("texts")).where(F.col("texts") >= support)
+    held = materialise(held.select("term"), "held-terms")
+    of_term = found.select(F.explode("terms").alias("term")).join(sized(held), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df_term"))
+    of_term = materialise(of_term.join(F.broadcast(of_entity.agg(F.max(most).alias("widest")))).where("df_term <= widest").drop("widest"), "of_term")
+    terms = copies.select("copy", F.explode("terms").alias("term")).join(sized(of_term), "term").groupBy("copy").agg(F.collect_list(F.struct("df_term", "term")).alias("terms"))
+    own = copies.select("copy", "n", F.explode("entities").alias("entity")).join(sized(of_entity), "entity").withColumn("most", most).join(terms, "copy")
+    met = own.select("n", "entity", F.explode(F.expr("filter(terms, t -> t.df_term <= most)")).alias("t"))
+    pairs = met.groupBy(F.col("t.term").alias("term"), "entity").agg(F.sum("n").alias("both"), F.count("*").alias("texts"))
     pairs = materialise(pairs.where(F.col("texts") >= support).select("term", "entity", "both"), "pairs")
-    of_term = found.select(F.explode("terms").alias("term")).join(sized(pairs.select("term").distinct()), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df_term"))
-    shown = pairs.join(of_term, "term").join(sized(of_entity), "entity").select("term", "entity", _disclosure(float(max(found.count(), 1))).alias("disclosure"))
+    shown = pairs.join(sized(of_term), "term").join(sized(of_entity), "entity").select("term", "entity", _disclosure(n).alias("disclosure"))
     return shown.where(F.col("disclosure") >= least)
 
 
