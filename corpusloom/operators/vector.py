@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions.similarity import cosine, unit
+from corpusloom.workspace import materialise
 
 
 def nearest(df: DataFrame, query: list[float], *, id_col: str, embedding: str = "embedding", k: int = 10, least: float = 0.0, where: Column | None = None) -> DataFrame:
@@ -59,17 +62,73 @@ def label_pairs(pairs: DataFrame, *, duplicate: float = 0.95) -> DataFrame:
     return pairs.withColumn("kind", F.when(F.col("score") > duplicate, "duplicate").otherwise("similar"))
 
 
-def clusters(df: DataFrame, *, id_col: str, embedding: str = "embedding", k: int = 10, seed: int = 42, least_size: int = 2) -> DataFrame:
-    """K-means: id, cluster, members, representative (the member nearest its centre by cosine)."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
+def first_centres(df: DataFrame, *, id_col: str, embedding: str = "embedding", k: int, starts: int, seed: int = 42) -> np.ndarray:
+    """(starts, k, dimension): for every start the k rows that a hash of id, vector and start puts first. A bounded top-k for each."""
+    out = []
+    for s in range(starts):
+        order = F.xxhash64(F.lit(seed), F.lit(s), F.col(id_col).cast("string"), F.col(embedding))
+        out.append([[float(x) for x in r["v"]] for r in df.where(F.col(embedding).isNotNull()).orderBy(order, id_col).select(F.col(embedding).alias("v")).limit(k).collect()])
+    return np.array(out)
+
+
+def lloyd(df: DataFrame, centres: np.ndarray, *, embedding: str = "embedding", rounds: int = 50, tolerance: float = 1e-4) -> tuple[np.ndarray, np.ndarray]:
+    """Centres and inertia of every start. All starts share each pass: a task adds up its rows by start and centre, Spark adds up the tasks; a centre without rows stays.
 
-    rows = df.select(id_col, embedding, array_to_vector(F.transform(embedding, lambda x: x.cast("double"))).alias("features"))
-    model = KMeans(k=k, seed=seed, featuresCol="features", predictionCol="cluster").fit(rows)
-    centres = df.sparkSession.createDataFrame([(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())], "cluster int, centre array<double>")
-    scored = model.transform(rows).drop("features").join(F.broadcast(centres), "cluster").withColumn("score", cosine(F.col(embedding), F.col("centre")))
+    The driver sees starts x k rows a round.
+    """
+    spark, (starts, k, dim) = df.sparkSession, centres.shape
+    rows = df.where(F.col(embedding).isNotNull()).select(F.transform(embedding, lambda x: x.cast("double")).alias("v"))
+    inertia = np.zeros(starts)
+    for _ in range(rounds):
+        shared = spark.sparkContext.broadcast(centres)
+
+        def add_up(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            flat = shared.value.reshape(starts * k, dim)
+            total, count, apart = np.zeros((starts * k, dim)), np.zeros(starts * k, np.int64), np.zeros(starts * k)
+            for pdf in parts:
+                if not len(pdf):
+                    continue
+                x = np.stack(pdf.v.to_numpy())
+                d = ((x**2).sum(1)[:, None] + (flat**2).sum(1) - 2 * x @ flat.T).reshape(len(x), starts, k)
+                own = d.argmin(2)
+                at = (own + np.arange(starts) * k).ravel()
+                np.add.at(total, at, np.repeat(x, starts, axis=0))
+                np.add.at(apart, at, np.maximum(np.take_along_axis(d, own[:, :, None], 2).ravel(), 0))
+                count += np.bincount(at, minlength=starts * k)
+            hit = np.flatnonzero(count)
+            yield pd.DataFrame({"at": hit, "n": count[hit], "apart": apart[hit], "total": list(total[hit])})
+
+        each = rows.mapInPandas(add_up, "at long, n long, apart double, total array<double>")
+        summed = each.groupBy("at").agg(F.sum("n").alias("n"), F.sum("apart").alias("apart"), F.array(*[F.sum(F.get("total", F.lit(i))) for i in range(dim)]).alias("total")).collect()
+        moved, inertia = centres.reshape(starts * k, dim).copy(), np.zeros(starts)
+        for r in summed:
+            moved[r["at"]] = np.array(r["total"]) / r["n"]
+            inertia[r["at"] // k] += r["apart"]
+        shift = np.abs(moved - centres.reshape(starts * k, dim)).max(initial=0)
+        centres = moved.reshape(starts, k, dim)
+        if shift <= tolerance:
+            break
+    return centres, inertia
+
+
+def clusters(df: DataFrame, *, id_col: str, embedding: str = "embedding", k: int = 10, starts: int = 10, seed: int = 42, least_size: int = 2) -> DataFrame:
+    """K-means, the best of ``starts`` starts by inertia (the first of equal ones): id, cluster, members, representative (the member nearest its centre by cosine).
+
+    Fewer than ``k`` rows give no cluster; clusters under ``least_size`` are left out.
+    """
+    kind = df.schema[id_col].dataType.simpleString()
+    first = first_centres(df, id_col=id_col, embedding=embedding, k=k, starts=starts, seed=seed)
+    if first.ndim < 3 or first.shape[1] < k:
+        return df.sparkSession.createDataFrame([], f"`{id_col}` {kind}, cluster int, members long, representative {kind}")
+    centres, inertia = lloyd(df, first, embedding=embedding)
+    best = centres[int(np.argmin(inertia))]
+    table = F.array(*[F.struct(F.lit(i).alias("cluster"), F.array(*map(F.lit, c.tolist())).alias("centre")) for i, c in enumerate(best)])
+    gap = lambda c: F.aggregate(F.zip_with(F.col(embedding), c["centre"], lambda x, y: (x.cast("double") - y) * (x.cast("double") - y)), F.lit(0.0), lambda a, x: a + x)
+    near = F.array_min(F.transform(table, lambda c: F.struct(gap(c).alias("d"), c["cluster"].alias("cluster"), c["centre"].alias("centre"))))
+    scored = df.where(F.col(embedding).isNotNull()).select(id_col, embedding, near.alias("c")).select(id_col, "c.cluster", cosine(F.col(embedding), F.col("c.centre")).alias("score"))
+    scored = materialise(scored, "clusters")
     named = scored.groupBy("cluster").agg(F.count("*").alias("members"), F.max_by(id_col, F.struct("score", id_col)).alias("representative")).where(F.col("members") >= least_size)
-    return scored.join(F.broadcast(named), "cluster").select(id_col, "cluster", "members", "representative")
+    return scored.join(F.broadcast(named), "cluster").select(id_col, "cluster", "members", "representative")  # k rows
 
 
 def index_stats(df: DataFrame, embedding: str = "embedding") -> DataFrame:
