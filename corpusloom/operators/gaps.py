@@ -7,7 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.operators.taxonomy import ancestors, small
+from corpusloom.operators.sized import small
+from corpusloom.operators.taxonomy import ancestors
 
 # First matching rule (factor prefix, outcome prefix) gives a cell's priority.
 PRIORITY_RULES = [

@@ -2,22 +2,19 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions.normalize import blank_to_null
-from corpusloom.functions.similarity import cosine, unit
-
-#: Nodes (or centroids) up to this many rows are small enough to be sent to every task; more are joined by shuffle.
-BROADCAST_NODES = 20_000
-
-
-def small(df: DataFrame, limit: int = BROADCAST_NODES) -> DataFrame:
-    """``df`` with a broadcast hint if it has at most ``limit`` rows, counted on a bounded prefix."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
-
+from corpusloom.functions.similarity import unit
+from corpusloom.operators import scoring
+from corpusloom.operators.sized import small
 
 def flatten_tree(trees: dict[str, list[dict]]) -> list[tuple]:
     """facet -> nested nodes (id, name, description, seeds, children) as rows of FACET_NODES."""
@@ -82,10 +79,8 @@ def hierarchical_centroids(nodes: DataFrame, own: DataFrame, *, levels: int = 3)
 
 
 def node_scores(vectors: DataFrame, nodes: DataFrame, *, id_col: str, embedding: str = "embedding", least: float = 0.25, clip: bool = False) -> DataFrame:
-    """Cosine of every vector to every node, ``least`` or more. ``nodes``: node_id, facet_id, level, centroid (the model, of bounded size)."""
-    score = cosine(F.col(embedding), F.col("centroid"))
-    pairs = vectors.select(id_col, embedding).join(small(nodes.select("node_id", "facet_id", "level", "centroid")), how="cross")
-    return pairs.select(id_col, "node_id", "facet_id", "level", (F.greatest(score, F.lit(0.0)) if clip else score).alias("score")).where(F.col("score") >= least)
+    """Cosine of every vector to every node, ``least`` or more, as matrix products (see ``scoring``). ``nodes``: node_id, facet_id, level, centroid."""
+    return scoring.pairs(vectors, nodes, id_col=id_col, embedding=embedding, least=least, clip=clip)
 
 
 def top_nodes(scores: DataFrame, id_col: str, k: int = 20, *, by: list[str] = ()) -> DataFrame:
@@ -200,16 +195,38 @@ def registry_facts(assessments: DataFrame, dimension: str, label: str, confidenc
     return assessments.where(blank_to_null(F.col(label)).isNotNull()).select("paper_id", F.lit(dimension).alias("dimension"), F.col(label).alias("label"), F.least(F.greatest(F.col(confidence), F.lit(0.0)), F.lit(1.0)).alias("confidence"), F.lit(source).alias("source"))
 
 
-def embed(df: DataFrame, text: Column, provider: Callable | None = None, *, dim: int = 64) -> DataFrame:
-    """``df`` with ``embedding``: by ``provider`` (a mapInPandas function), or hashed word counts of unit length as the offline default."""
+def word_slots(text: Column, dim: int, hashed: Callable[[Column], Column] = F.xxhash64) -> Column:
+    """The slot (0 to dim - 1) of every word of a text, by a hash of the word."""
+    words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9]+"), lambda w: w != "")
+    return F.transform(words, lambda w: F.pmod(hashed(w), F.lit(dim)).cast("int"))
+
+
+def slot_weights(df: DataFrame, text: Column, *, dim: int = 64, hashed: Callable[[Column], Column] = F.xxhash64) -> list[float]:
+    """Inverse document frequency of every slot, ln((n + 1) / (df + 1)): one partial aggregate, ``dim`` numbers."""
+    held = dict(df.select(F.explode(F.array_distinct(word_slots(text, dim, hashed))).alias("slot")).groupBy("slot").count().collect())
+    n = df.count()
+    return [math.log((n + 1) / (held.get(i, 0) + 1)) for i in range(dim)]
+
+
+def embed(df: DataFrame, text: Column, provider: Callable | None = None, *, dim: int = 64, hashed: Callable[[Column], Column] = F.xxhash64, weights: list[float] | None = None) -> DataFrame:
+    """``df`` with ``embedding``: by ``provider`` (a mapInPandas function), or hashed word counts, ``weights`` laid over the slots, of unit length (plus 1e-10) as the offline default.
+
+    Words are hashed by built-in functions; their slots are counted in Arrow batches. A text that is null or has no word has zeros.
+    """
     if provider is not None:
         from pyspark.sql import types as T
 
         return df.withColumn("text", text).mapInPandas(provider, T.StructType([*df.schema.fields, T.StructField("embedding", T.ArrayType(T.FloatType()))]))
-    words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9]+"), lambda w: w != "")
-    slots = F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(dim)).cast("int"))
-    counted = lambda held: F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: (F.size(held) - F.size(F.array_remove(held, i))).cast("double"))
-    return df.withColumn("embedding", unit(F.transform(F.array(slots), counted)[0]))
+    factor = np.ones(dim) if weights is None else np.array(weights, np.float64)
+
+    @F.arrow_udf("array<double>")
+    def counted(slots: pa.Array) -> pa.Array:
+        row = np.repeat(np.arange(len(slots)), pc.list_value_length(slots).to_numpy(zero_copy_only=False))
+        count = np.bincount(row * dim + slots.flatten().to_numpy(zero_copy_only=False), minlength=len(slots) * dim).reshape(-1, dim) * factor
+        count = count / (np.linalg.norm(count, axis=1, keepdims=True) + 1e-10)
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(slots) + 1) * dim, pa.int32()), pa.array(count.ravel()))
+
+    return df.withColumn("embedding", counted(word_slots(text, dim, hashed)))
 
 
 def profile_similarity(profiles: DataFrame, entity: str, feature: str, weight: str, one: DataFrame) -> DataFrame:

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.operators import vector_index
+from corpusloom.operators import classifier, taxonomy, vector_index
 from corpusloom.plans.registry import query
 from corpusloom.session import load
+from corpusloom.workspace import materialise
 
 _COS = "list_cosine_similarity(a.v, b.v)"
 
@@ -251,3 +252,56 @@ def ris_file(spark: SparkSession, sf: str) -> DataFrame:
     p = load(spark, sf, "part").select(F.col("p_name").alias("title"), F.array(F.lit("A. One")).alias("authors"), F.col("p_size").alias("year"), none.alias("venue"), none.alias("doi"), none.alias("abstract"))
     sinks.export_ris(p, path)
     return spark.read.text(path).where("value <> ''").groupBy(F.col("value").alias("line")).agg(F.count("*").alias("n"))
+
+
+def _md5_slot(word):
+    """A hash that DuckDB has too: the first eight hex digits of the MD5."""
+    return F.conv(F.substring(F.md5(word), 1, 8), 16, 10).cast("long")
+
+
+@query("""WITH w AS (SELECT 'd' AS kind, doc_id AS id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+')) AS w FROM documents
+    UNION ALL SELECT 'b', item_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+')) FROM benchmark),
+  h AS (SELECT kind, id, w, count(*)::DOUBLE AS c FROM w GROUP BY ALL),
+  s AS (SELECT kind, id, ('0x' || substr(md5(w), 1, 8))::UBIGINT % 64 AS i, sum(c) AS c FROM h GROUP BY ALL),
+  f AS (SELECT i, ln(((SELECT count(*) FROM documents) + 1) / (count(*) + 1)) AS idf FROM s WHERE kind = 'd' GROUP BY i),
+  x AS (SELECT kind, id, i, c * coalesce(idf, ln((SELECT count(*) FROM documents) + 1)) AS x FROM s LEFT JOIN f USING (i)),
+  n AS (SELECT kind, id, sqrt(sum(x * x)) + 1e-10 AS n FROM x GROUP BY ALL), e AS (SELECT kind, id, i, x / n AS x FROM x JOIN n USING (kind, id)),
+  items AS (SELECT item_id AS id, 'f' || item_id % 3 AS n1, 'f' || item_id % 3 || '.' || item_id % 9 AS n2, 'f' || item_id % 3 || '.' || item_id % 9 || '.' || item_id AS n3 FROM benchmark),
+  tree AS (SELECT n1 AS node, 1 AS level, NULL AS parent, id FROM items UNION ALL SELECT n2, 2, n1, id FROM items UNION ALL SELECT n3, 3, n2, id FROM items),
+  size AS (SELECT node, level, parent, count(*) AS items FROM tree GROUP BY ALL),
+  own AS (SELECT node, i, sum(x) / any_value(items) AS m FROM tree JOIN size USING (node) JOIN e ON e.kind = 'b' AND e.id = tree.id GROUP BY node, i),
+  n1 AS (SELECT node, sqrt(sum(m * m)) + 1e-10 AS n FROM own JOIN size USING (node) WHERE level = 1 GROUP BY node),
+  c1 AS (SELECT node, i, m / n AS m FROM own JOIN n1 USING (node)),
+  b2 AS (SELECT size.node, p.i, 0.7 * coalesce(own.m, 0) + 0.3 * p.m AS m FROM size JOIN c1 p ON size.parent = p.node AND level = 2 LEFT JOIN own ON own.node = size.node AND own.i = p.i),
+  c2 AS (SELECT node, i, m / (sqrt(sum(m * m) OVER (PARTITION BY node)) + 1e-10) AS m FROM b2),
+  b3 AS (SELECT size.node, p.i, 0.7 * coalesce(own.m, 0) + 0.3 * p.m AS m FROM size JOIN c2 p ON size.parent = p.node AND level = 3 LEFT JOIN own ON own.node = size.node AND own.i = p.i),
+  c3 AS (SELECT node, i, m / (sqrt(sum(m * m) OVER (PARTITION BY node)) + 1e-10) AS m FROM b3),
+  c AS (SELECT * FROM c1 UNION ALL SELECT * FROM c2 UNION ALL SELECT * FROM c3),
+  g AS (SELECT i, sum(x) AS g FROM e WHERE kind = 'b' AND id < 14 GROUP BY i), dom AS (SELECT i, g / (SELECT sqrt(sum(g * g)) FROM g) AS g FROM g),
+  ds AS (SELECT id AS doc_id, round(sum(x * g), 12) AS domain FROM e JOIN dom USING (i) WHERE kind = 'd' GROUP BY id),
+  hit AS (SELECT e.id AS doc_id, c.node, round(greatest(sum(e.x * c.m), 0), 12) AS score FROM e JOIN c USING (i) WHERE e.kind = 'd' GROUP BY ALL),
+  sc AS (SELECT documents.doc_id, node, substr(node, 1, 2) AS facet, level, coalesce(score, 0) AS score FROM documents CROSS JOIN size LEFT JOIN hit USING (doc_id, node)),
+  r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, node) AS r, row_number() OVER (PARTITION BY doc_id, facet ORDER BY score DESC, node) AS rf FROM sc),
+  a AS (SELECT doc_id, string_agg(node, ',' ORDER BY r) FILTER (r <= 10) AS top, string_agg(node, ',' ORDER BY facet, rf) FILTER (rf <= 3) AS by_facet, count(*) FILTER (r <= 10 AND score >= 0.3) AS stored,
+    max(score) FILTER (level = 2) AS l2, max(score) FILTER (level = 3) AS l3, max(score) AS best FROM r GROUP BY doc_id)
+SELECT doc_id, round(coalesce(domain, 0), 4) AS domain_score, round(best, 4) AS best_score, top, by_facet, stored,
+  CASE WHEN coalesce(domain, 0) < 0.3 THEN 'reject' WHEN l2 >= 0.7 OR l3 >= 0.65 THEN 'send_to_eater' ELSE 'review' END AS decision FROM a LEFT JOIN ds USING (doc_id)""")
+def classified_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """Whole texts embedded by hashed words, against a tree of three levels whose seeds are the benchmark's items, and a domain of its first 14."""
+    d, b = load(spark, sf, "documents").select("doc_id", "text"), load(spark, sf, "benchmark")
+    weights = taxonomy.slot_weights(d, F.col("text"), hashed=_md5_slot)
+    vectors = taxonomy.embed(d, F.col("text"), hashed=_md5_slot, weights=weights).select("doc_id", "embedding")
+    item = F.col("item_id")
+    one = F.concat(F.lit("f"), (item % 3).cast("string"))
+    two = F.concat(one, F.lit("."), (item % 9).cast("string"))
+    three = F.concat(two, F.lit("."), item.cast("string"))
+    none = F.lit(None).cast("string")
+    place = lambda node, parent, level: F.struct(node.alias("node_id"), parent.alias("parent_id"), F.lit(level).alias("level"), one.alias("facet_id"))
+    items = taxonomy.embed(b, F.col("text"), hashed=_md5_slot, weights=weights).withColumn("n", F.explode(F.array(place(one, none, 1), place(two, one, 2), place(three, two, 3))))
+    items = materialise(items.select("item_id", "embedding", "n.*"), "items")
+    nodes = items.select("node_id", "parent_id", "level", "facet_id").distinct()
+    domain = taxonomy.centroids(items.where("item_id < 14 and level = 1").select(F.lit(1).alias("k"), "embedding"), "k").first()
+    found = classifier.classify(vectors, classifier.node_model(nodes, items.select("node_id", "embedding")), domain["centroid"] if domain else [0.0] * 64, id_col="doc_id")
+    names = lambda c: F.array_join(F.transform(c, lambda x: x["node_id"]), ",")
+    kept = F.size(F.filter("top_nodes", lambda x: x["score"] >= 0.3)).cast("long")
+    return found.select("doc_id", F.round("domain_score", 4).alias("domain_score"), F.round(F.get("top_nodes", F.lit(0))["score"], 4).alias("best_score"), names("top_nodes").alias("top"), names("facets").alias("by_facet"), kept.alias("stored"), "decision")

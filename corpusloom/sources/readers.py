@@ -9,7 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.operators.taxonomy import flatten_tree, small
+from corpusloom.operators.sized import small
+from corpusloom.operators.taxonomy import flatten_tree
 from corpusloom.schemas import FACET_NODES
 
 
