@@ -60,14 +60,16 @@ def neighbours(edge_table: DataFrame, node, *, outgoing: bool = True, kind: str
 
 
 def what_affects(affect_edges: DataFrame, effects: DataFrame, target: Column, *, by: str = "src", first: int = 5) -> DataFrame:
-    """(by, claims, average effect ignoring nulls, the first claims). ``effects``: claim_id, effect."""
-    affecting = affect_edges.where(target)
-    pairs = affecting.select(by, "claim_id").distinct()
+    """(by, claim_count, avg_effect ignoring nulls, the first claims). ``effects``: claim_id, effect.
+
+    One aggregate over (by, claim) carries all three: a claim's effect weighs as often as its edges repeat, claims count once.
+    """
+    met = affect_edges.where(target).join(effects, "claim_id", "left")
+    claims = met.groupBy(by, "claim_id").agg(F.sum("effect").alias("total"), F.count("effect").alias("n"))
     rank = F.row_number().over(Window.partitionBy(by).orderBy("claim_id"))  # Spark limits groups before the shuffle
-    firsts = pairs.withColumn("rank", rank).where(F.col("rank") <= first).groupBy(by).agg(F.array_sort(F.collect_list("claim_id")).alias("claims"))
-    totals = pairs.groupBy(by).agg(F.count("claim_id").alias("claim_count"))
-    effect = affecting.join(effects, "claim_id", "left").groupBy(by).agg(F.avg("effect").alias("avg_effect"))
-    return totals.join(effect, by).join(firsts, by).select(by, "claim_count", "avg_effect", "claims")
+    firsts = claims.select(by, "claim_id").withColumn("rank", rank).where(F.col("rank") <= first).groupBy(by).agg(F.array_sort(F.collect_list("claim_id")).alias("claims"))
+    totals = claims.groupBy(by).agg(F.count("claim_id").alias("claim_count"), (F.sum("total") / F.nullif(F.sum("n"), F.lit(0))).alias("avg_effect"))
+    return totals.join(firsts, by).select(by, "claim_count", "avg_effect", "claims")
 
 
 def graph_stats(node_table: DataFrame, edge_table: DataFrame) -> DataFrame:

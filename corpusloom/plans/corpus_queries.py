@@ -560,12 +560,11 @@ def _papers(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _corpus(spark: SparkSession, sf: str) -> nlquery.Corpus:
-    """The graph of the claims, written once, and two searches by the number of the topic."""
+    """The graph over the written claims, and two searches by the number of the topic. A question asks for one kind of node or edge, which is one scan of the claims; who asks often writes both tables (``graph_export``)."""
     claims, papers = materialise(_claims(spark, sf), "claims"), _papers(spark, sf)
     score = lambda df, c: df.withColumn("score", F.length(c) / 100)
     search = lambda df, i, c: lambda text: score(df.where(F.contains(F.lower(c), F.lit(text.split()[0]))), c).select(i, "score")
-    nodes, edges = (materialise(d, n) for d, n in ((graph.nodes(papers, claims), "nodes"), (graph.edges(papers, claims), "edges")))
-    return nlquery.Corpus(nodes, edges, claims.select("claim_id", "claim_type", "statement", "effect"), search(claims, "claim_id", "statement"), search(papers, "paper_id", "title"))
+    return nlquery.Corpus(graph.nodes(papers, claims), graph.edges(papers, claims), claims.select("claim_id", "claim_type", "statement", "effect"), search(claims, "claim_id", "statement"), search(papers, "paper_id", "title"))
 
 
 @query(_GRAPH + " SELECT node_id, type, label FROM (SELECT 'p' || p_partkey AS node_id, 'paper' AS type, left('Effects of ' || p_name || ' on ' || lower(p_type) || ' study ' || p_partkey, 100) AS label FROM part UNION ALL SELECT claim_id, 'claim', statement FROM cl UNION ALL SELECT DISTINCT iv, 'construct', 'daylight' FROM cl UNION ALL SELECT DISTINCT dv, 'construct', 'focus' FROM cl)")
