@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.operators import classifier, taxonomy, vector_index
+from corpusloom.operators import classifier, ingest, taxonomy, vector_index
 from corpusloom.plans.registry import query
 from corpusloom.session import load
 from corpusloom.workspace import materialise
@@ -305,3 +305,33 @@ def classified_documents(spark: SparkSession, sf: str) -> DataFrame:
     names = lambda c: F.array_join(F.transform(c, lambda x: x["node_id"]), ",")
     kept = F.size(F.filter("top_nodes", lambda x: x["score"] >= 0.3)).cast("long")
     return found.select("doc_id", F.round("domain_score", 4).alias("domain_score"), F.round(F.get("top_nodes", F.lit(0))["score"], 4).alias("best_score"), names("top_nodes").alias("top"), names("facets").alias("by_facet"), kept.alias("stored"), "decision")
+
+
+@query(r"""WITH k AS (SELECT doc_id, trim(regexp_replace(regexp_replace(lower(coalesce(split_part(text, '.', 1), '')), '[^\p{L}\p{N}\p{M}_\s]', '', 'g'), '\s+', ' ', 'g')) AS key FROM documents),
+  p AS (SELECT 'p' || doc_id AS paper_id, CASE WHEN doc_id % 10 = 0 THEN '10.5/x' || doc_id % 70 END AS doi, key FROM k WHERE doc_id % 2 = 0),
+  d AS (SELECT doi, min(paper_id) AS by_doi FROM p WHERE doi IS NOT NULL GROUP BY doi), t AS (SELECT key, min(paper_id) AS by_title FROM p WHERE key <> '' GROUP BY key)
+SELECT k.doc_id AS item_id, coalesce(by_doi, by_title) AS paper_id, CASE WHEN by_doi IS NOT NULL THEN 'doi' WHEN by_title IS NOT NULL THEN 'title' ELSE 'none' END AS basis
+FROM k LEFT JOIN d ON k.doc_id % 7 = 0 AND d.doi = '10.5/x' || k.doc_id % 90 LEFT JOIN t ON t.key = k.key""")
+def library_of_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """All documents as library items against the even ones as papers, by DOIs that several papers share and by first sentences, which copies share; the SQL reckons the match."""
+    k = load(spark, sf, "documents").select("doc_id", F.split_part("text", F.lit("."), F.lit(1)).alias("title"))
+    ident = F.col("doc_id")
+    doi = lambda head, n: F.concat(F.lit(head), (ident % n).cast("string"))
+    papers = k.where(ident % 2 == 0).select(F.concat(F.lit("p"), ident.cast("string")).alias("paper_id"), F.when(ident % 10 == 0, doi("HTTPS://DOI.ORG/10.5/X", 70)).alias("doi"), "title")
+    items = k.select(ident.alias("item_id"), F.when(ident % 7 == 0, doi("doi: 10.5/x", 90)).alias("doi"), F.concat(F.lit(" \""), "title", F.lit("!\"")).alias("title"))
+    return ingest.match_library(items, papers)
+
+
+@query("""WITH p AS (SELECT p_partkey, string_split(p_name || ' ' || lower(p_type), ' ') AS w, 1980 + p_size % 4 AS y FROM part), r AS (SELECT * FROM p WHERE p_partkey % 5 = 0),
+  m AS (SELECT r.p_partkey AS id, c.p_partkey AS cand, len(list_intersect(r.w, c.w)) / len(list_distinct(list_concat(r.w, c.w))) AS jac, abs(r.y - c.y) AS apart, c.p_partkey % 3 = 0 AS has_doi, c.p_partkey % 4 = 1 AS has_abstract
+    FROM r JOIN p c ON c.p_partkey BETWEEN r.p_partkey - 10 AND r.p_partkey + 10 AND r.p_partkey <> c.p_partkey),
+  s AS (SELECT id, cand, jac + CASE WHEN apart = 0 THEN 0.2 WHEN apart <= 1 THEN 0.05 ELSE -0.15 END::DOUBLE + CASE WHEN has_abstract THEN 0.08 ELSE 0 END::DOUBLE + CASE WHEN has_doi THEN 0.05 ELSE 0 END::DOUBLE AS score, has_doi FROM m)
+SELECT id AS p_partkey, round(max(score), 3) AS match_score FROM s WHERE score >= 0.35 GROUP BY id""")
+def best_part_candidates(spark: SparkSession, sf: str) -> DataFrame:
+    """Every fifth part against the twenty around it: titles share words, years lie apart, some have a DOI or an abstract; the SQL reckons every score."""
+    key = F.col("p_partkey")
+    p = load(spark, sf, "part").select("p_partkey", F.concat_ws(" ", "p_name", F.lower("p_type")).alias("title"), (1980 + F.col("p_size") % 4).alias("year"))
+    records = p.where(key % 5 == 0).select(key.alias("id"), "title", F.lit("nobody").alias("author"), "year")
+    near = records.select("id", F.explode(F.array_remove(F.sequence(F.col("id") - 10, F.col("id") + 10), F.col("id"))).alias("other"))
+    other = p.select(key.alias("other"), "title", F.array(F.lit("J. Smith")).alias("authors"), "year", F.when(key % 3 == 0, "10.9/a").alias("doi"), F.when(key % 4 == 1, "text").otherwise(" ").alias("abstract"))
+    return ingest.best_candidates(records, near.join(other, "other")).select(F.col("id").alias("p_partkey"), "match_score")
