@@ -96,6 +96,8 @@ def lloyd(df: DataFrame, centres: np.ndarray, *, embedding: str = "embedding", r
                 np.add.at(apart, at, np.maximum(np.take_along_axis(d, own[:, :, None], 2).ravel(), 0))
                 count += np.bincount(at, minlength=starts * k)
             hit = np.flatnonzero(count)
+            if not len(hit):  # a task without rows: a frame without rows has no lists that Arrow could tell
+                return
             yield pd.DataFrame({"at": hit, "n": count[hit], "apart": apart[hit], "total": list(total[hit])})
 
         each = rows.mapInPandas(add_up, "at long, n long, apart double, total array<double>")

@@ -59,6 +59,12 @@ def test_set_matching_equals_brute_force(spark, monkeypatch):
     assert got == {p: s for p, s in share.items() if s >= 0.5}
 
 
+def test_clusters_of_a_table_with_tasks_without_rows(spark):
+    rows = [(i, [float(i % 3), float(i)]) for i in range(6)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(12)
+    assert vector.clusters(df, id_col="vec_id", k=2, starts=2, least_size=1).count() == 6
+
+
 def test_no_alignment_beats_its_bound(spark):
     r = random.Random(8)
     pairs = [("".join(r.choice("abc é1") for _ in range(r.randrange(0, 15))), "".join(r.choice("abc é1") for _ in range(r.randrange(0, 15)))) for _ in range(400)]
