@@ -65,6 +65,15 @@ def test_clusters_of_a_table_with_tasks_without_rows(spark):
     assert vector.clusters(df, id_col="vec_id", k=2, starts=2, least_size=1).count() == 6
 
 
+def test_cascade_reaches_its_tiers_at_long_numbers(spark, tmp_path):
+    from corpusloom.plans import corpus_queries
+
+    keys = [2, 10_002, 1_000_002, 123_456_786, 9_999_999_998]
+    spark.createDataFrame([(k, f"part {k}", "STEEL", "Brand#1", 3) for k in keys], "p_partkey long, p_name string, p_type string, p_brand string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    got = corpus_queries.duplicate_check(spark, str(tmp_path)).collect()
+    assert {(r["new_id"], r["known_id"], r["match_type"], r["confidence"]) for r in got} == {(f"n{k}", f"p{k}", "author_title", 0.49) for k in keys}
+
+
 def test_no_alignment_beats_its_bound(spark):
     r = random.Random(8)
     pairs = [("".join(r.choice("abc é1") for _ in range(r.randrange(0, 15))), "".join(r.choice("abc é1") for _ in range(r.randrange(0, 15)))) for _ in range(400)]
