@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corpusloom.functions.normalize import fixed
 from corpusloom.functions.similarity import unit
 from corpusloom.operators import scoring
 from corpusloom.operators.taxonomy import centroids, hierarchical_centroids
@@ -91,8 +92,8 @@ def classify(vectors: DataFrame, nodes: DataFrame, domain: list[float], *, id_co
         out = rows.select(key, id_col).join(met, key)
     strong2, strong3 = F.filter("l2__", lambda b: b["score"] >= strong_l2), F.filter("l3__", lambda b: b["score"] >= strong_l3)
     low, any2, any3 = F.col("domain_score") < reject, F.size(strong2) > 0, F.size(strong3) > 0
-    listed = lambda name, best: F.concat(F.lit(f"Strong {name} matches: ['"), F.array_join(F.transform(best, lambda b: F.format_string("%s:%.2f", b["node_id"], b["score"])), "', '"), F.lit("']"))
-    said = lambda text: F.format_string(text + ": %.2f", "domain_score")
+    listed = lambda name, best: F.concat(F.lit(f"Strong {name} matches: ['"), F.array_join(F.transform(best, lambda b: F.format_string("%s:%s", b["node_id"], fixed(b["score"]))), "', '"), F.lit("']"))
+    said = lambda text: F.format_string(text + ": %s", fixed(F.col("domain_score")))
     why = F.when(any3, listed("L3", strong3)).when(any2, listed("L2", strong2)).when(F.col("domain_score") >= accept, "In domain but no strong facet matches").otherwise(said("Marginal domain score"))
     reasons = F.when(low, F.array(said("Low domain relevance"))).otherwise(F.array(said("Domain score"), why))
     return out.select(id_col, "domain_score", F.when(low, "reject").when(any2 | any3, "send_to_eater").otherwise("review").alias("decision"), reasons.alias("reasons"), "top_nodes", "facets")

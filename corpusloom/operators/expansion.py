@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.functions.normalize import seen_key
+from corpusloom.functions.normalize import fixed, seen_key
 from corpusloom.operators.merge import counting_upsert
 from corpusloom.operators.relational import frequent
 from corpusloom.workspace import materialise
@@ -58,7 +58,7 @@ def gate(score: Column, depth: Column, abstract: Column, top_facets: Column, *,
     out = F.when(depth > max_depth, no(F.format_string("Exceeds max depth (%d > %d)", depth, F.lit(max_depth))))
     if need_abstract:
         out = out.when(F.coalesce(abstract, F.lit("")) == "", no(F.lit("No abstract available")))
-    return out.when(score < limit, no(F.format_string("Below threshold (%.2f < %.2f)", score, limit))).otherwise(F.struct(F.lit(True).alias("ok"), F.format_string("Relevant (%.2f)", score).alias("reason")))
+    return out.when(score < limit, no(F.format_string("Below threshold (%s < %s)", fixed(score), fixed(limit)))).otherwise(F.struct(F.lit(True).alias("ok"), F.format_string("Relevant (%s)", fixed(score)).alias("reason")))
 
 
 def routed(candidates: DataFrame, *, threshold: float = 0.4) -> DataFrame:

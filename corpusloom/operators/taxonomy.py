@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.functions.normalize import blank_to_null
+from corpusloom.functions.normalize import blank_to_null, fixed
 from corpusloom.functions.similarity import unit
 from corpusloom.operators import scoring
 from corpusloom.operators.sized import small
@@ -104,10 +104,10 @@ def decide(score: Column, send: float = 0.70, review: float = 0.40) -> Column:
     return F.when(score >= send, "send_to_eater").when(score >= review, "review").otherwise("reject")
 
 
-def reasons(scores: DataFrame, names: DataFrame, id_col: str, k: int = 5) -> DataFrame:
-    """The ``k`` best nodes as ``name (0.00)``, best first."""
-    top = top_nodes(scores, id_col, k).join(small(names.select("node_id", "name")), "node_id")
-    return top.groupBy(id_col).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", F.format_string("%s (%.2f)", "name", "score").alias("s")))), lambda x: x["s"]).alias("reasons"))
+def reasons(scores: DataFrame, names: DataFrame, id_col: str, k: int = 5, *, shown: Column | None = None) -> DataFrame:
+    """The ``k`` best nodes as ``name (0.00)``, best first by the unrounded score; ``shown`` is written in its place."""
+    top = top_nodes(scores, id_col, k).withColumn("s", fixed(shown if shown is not None else F.col("score"))).join(small(names.select("node_id", "name")), "node_id")
+    return top.groupBy(id_col).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", F.format_string("%s (%s)", "name", "s").alias("s")))), lambda x: x["s"]).alias("reasons"))
 
 
 def domain_decision(scores: DataFrame, domain: DataFrame, id_col: str, *, reject: float = 0.3, strong_l2: float = 0.7, strong_l3: float = 0.65) -> DataFrame:

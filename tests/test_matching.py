@@ -74,6 +74,19 @@ def test_cascade_reaches_its_tiers_at_long_numbers(spark, tmp_path):
     assert {(r["new_id"], r["known_id"], r["match_type"], r["confidence"]) for r in got} == {(f"n{k}", f"p{k}", "author_title", 0.49) for k in keys}
 
 
+def test_scores_are_written_as_printf_writes_them(spark):
+    values = [k / 1000 for k in range(-1005, 1006, 5)] + [0.125, 0.375, 0.1549999, 0.0, 1.005, 17.345, None]
+    got = spark.createDataFrame([(v,) for v in values], "x double").select("x", N.fixed(F.col("x")).alias("s"), N.fixed(F.col("x"), 3).alias("t")).collect()
+    for row in got:
+        assert (row["s"], row["t"]) == (None if row["x"] is None else f"{row['x']:.2f}", None if row["x"] is None else f"{row['x']:.3f}")
+
+
+def test_reasons_are_ranked_by_unrounded_scores(spark):
+    scores = spark.createDataFrame([(1, "a", 0.1560001), (1, "b", 0.1560004), (1, "c", 0.1550001)], "id long, node_id string, score double")
+    names = spark.createDataFrame([(x, f"n{x}") for x in "abc"], "node_id string, name string")
+    assert taxonomy.reasons(scores, names, "id", 3, shown=F.round("score", 6)).first()["reasons"] == ["nb (0.16)", "na (0.16)", "nc (0.15)"]
+
+
 def test_no_alignment_beats_its_bound(spark):
     r = random.Random(8)
     pairs = [("".join(r.choice("abc é1") for _ in range(r.randrange(0, 15))), "".join(r.choice("abc é1") for _ in range(r.randrange(0, 15)))) for _ in range(400)]
