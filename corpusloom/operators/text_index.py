@@ -1,11 +1,14 @@
-"""A positional text index that answers substring queries exactly.
+"""A text index that answers substring queries exactly.
 
 Texts are lower-cased and cut at every space, so a phrase stands in a text as a substring if and only if consecutive tokens
 match its pieces: the first ends with its first piece, the last begins with its last, those between are equal (a phrase
-of one piece: a token contains it). ``postings`` has a row for every token of every field, range-partitioned and
-sorted by token and id, so that a widespread token spreads over many files and row groups are skipped by token;
-``vocabulary`` has each distinct token once. A query meets the vocabulary by equality of substrings of the lengths it asks for, then
-the postings of the tokens found; nothing is compared with texts.
+of one piece: a token contains it). ``postings`` has a row for every distinct token of every field, with the sides on which the
+token has neighbours; it is written where the texts are read, without a shuffle, each file sorted by token, so that a widespread
+token lies in all files and row groups are skipped by token. ``vocabulary`` has each distinct token once.
+
+A query meets the vocabulary by equality of substrings of the lengths it asks for, then the postings of its rarest piece alone: a
+phrase of one piece is answered by them; of the others only the texts that have the rarest piece are read and compared, so no
+widespread piece is ever looked up.
 
 Defined results: null fields are not indexed; rows with one id count as one; a phrase that is null, empty or
 of spaces alone finds nothing. An empty table gives an empty index.
@@ -18,27 +21,33 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.operators.sized import small
 from corpusloom.workspace import materialise
 
 #: Tokens up to this number are pushed into the scan of the postings, so that row groups are skipped.
 PUSHED = 512
+#: Bits of ``sides``: the token stands in the field; behind another; before another; between two.
+STANDS, BEHIND, BEFORE, BETWEEN = 1, 2, 4, 8
 
 
 @dataclass
 class TextIndex:
-    postings: DataFrame  # token, id, row, field, pos, size (tokens of the field)
-    vocabulary: DataFrame  # token
+    postings: DataFrame  # token, id, sides; a token at a field's end may have a second row
+    vocabulary: DataFrame  # token, rows (of postings)
+    texts: DataFrame  # id, fields (lower-cased): what was indexed
 
 
 def build(df: DataFrame, *, id_col: str, fields: list[str]) -> TextIndex:
     """Index ``fields`` of ``df``."""
-    each = [df.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.lit(i).alias("field"), F.split(F.lower(c), " ", -1).alias("w")).where(F.col("w").isNotNull()) for i, c in enumerate(fields)]
-    rows = each[0]
-    for more in each[1:]:
-        rows = rows.unionAll(more)
-    tokens = rows.select("row", "id", "field", F.size("w").alias("size"), F.posexplode("w").alias("pos", "token")).select("token", "id", "row", "field", "pos", "size")
-    postings = materialise(tokens.repartitionByRange("token", "id").sortWithinPartitions("token", "id", "row", "field", "pos"), "postings")
-    return TextIndex(postings, materialise(postings.select("token").distinct(), "vocabulary"))
+    texts = df.select(F.col(id_col).alias("id"), F.array(*[F.lower(c) for c in fields]).alias("fields"))
+    cut = texts.select("id", F.explode("fields").alias("text")).where(F.col("text").isNotNull()).select("id", F.split("text", " ", -1).alias("w"))
+    at = lambda token, sides: F.struct(token.alias("token"), F.lit(sides).alias("sides"))
+    n, first, last = F.size("w"), F.element_at("w", 1), F.element_at("w", -1)
+    inner = F.transform(F.array_distinct(F.slice("w", F.lit(2), n - 2)), lambda t: at(t, STANDS | BEHIND | BEFORE | BETWEEN))
+    held = F.when(n == 1, F.array(at(first, STANDS))).otherwise(F.concat(inner, F.array(at(first, STANDS | BEFORE), at(last, STANDS | BEHIND))))
+    tokens = cut.select("id", F.explode(held).alias("t")).select("t.token", "id", "t.sides")
+    postings = materialise(tokens.sortWithinPartitions("token", "id"), "postings")
+    return TextIndex(postings, materialise(postings.groupBy("token").agg(F.count("*").alias("rows")), "vocabulary"), texts)
 
 
 def _pieces(queries: DataFrame, phrase: str) -> DataFrame:
@@ -56,17 +65,17 @@ def _lengths(pieces: DataFrame, kind: str) -> list[int]:
 
 
 def matching_tokens(index: TextIndex, pieces: DataFrame) -> DataFrame:
-    """(kind, piece, token): the tokens of the vocabulary that match a piece, by equality of the parts of a token that are as long."""
+    """(kind, piece, token, rows): the tokens of the vocabulary that match a piece, by equality of the parts of a token that are as long."""
     token, parts = F.col("token"), []
     for kind in ("in", "end", "start"):
         for n in _lengths(pieces, kind):
             long = index.vocabulary.where(F.length("token") >= n)
             if kind == "in":
-                some = long.select(F.lit(kind).alias("kind"), F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("token") - n + 1), lambda k: F.substr(token, k, F.lit(n))))).alias("piece"), "token")
+                some = long.select(F.lit(kind).alias("kind"), F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("token") - n + 1), lambda k: F.substr(token, k, F.lit(n))))).alias("piece"), "token", "rows")
             else:
-                some = long.select(F.lit(kind).alias("kind"), (F.right(token, F.lit(n)) if kind == "end" else F.left(token, F.lit(n))).alias("piece"), "token")
+                some = long.select(F.lit(kind).alias("kind"), (F.right(token, F.lit(n)) if kind == "end" else F.left(token, F.lit(n))).alias("piece"), "token", "rows")
             parts.append(some)
-    parts.append(index.vocabulary.select(F.lit("whole").alias("kind"), F.col("token").alias("piece"), "token"))
+    parts.append(index.vocabulary.select(F.lit("whole").alias("kind"), F.col("token").alias("piece"), "token", "rows"))
     all_parts = parts[0]
     for more in parts[1:]:
         all_parts = all_parts.unionAll(more)
@@ -77,13 +86,25 @@ def find(index: TextIndex, queries: DataFrame, *, phrase: str = "phrase") -> Dat
     """(q, id) for every id one of whose fields has the phrase of ``queries`` (q, phrase) as a substring, case ignored."""
     pieces = materialise(_pieces(queries, phrase), "pieces")
     tokens = materialise(matching_tokens(index, pieces), "tokens")
-    few = [r[0] for r in tokens.select("token").distinct().limit(PUSHED + 1).collect()]
+    spread = tokens.groupBy("kind", "piece").agg(F.sum("rows").alias("rows"))
+    behind, before = F.col("i") > 0, F.col("i") < F.col("last")
+    sides = F.when(behind & before, BETWEEN).when(behind, BEHIND).when(before, BEFORE).otherwise(STANDS)
+    ranked = pieces.join(spread, ["kind", "piece"], "left").select("q", F.struct(F.coalesce("rows", F.lit(0)).alias("rows"), "i", "kind", "piece", sides.alias("need"), "n").alias("p"))
+    anchors = materialise(ranked.groupBy("q").agg(F.min("p").alias("p")).select("q", "p.kind", "p.piece", "p.need", "p.n"), "anchors")
+    wanted = materialise(tokens.join(anchors, ["kind", "piece"]).select("token", "q", "need", "n").distinct(), "wanted")
+    few = [r[0] for r in wanted.select("token").distinct().limit(PUSHED + 1).collect()]
     postings = index.postings.where(F.col("token").isin(few)) if len(few) <= PUSHED else index.postings
-    met = postings.join(tokens, "token").join(pieces, ["kind", "piece"]).withColumn("start", F.col("pos") - F.col("i"))
-    met = met.where((F.col("start") >= 0) & (F.col("start") + F.col("last") < F.col("size")))
+    met = postings.join(small(wanted), "token").where(F.col("sides").bitwiseAND(F.col("need")) != 0)
     single = met.where("n = 1").select("q", "id").distinct()
-    several = met.where("n > 1").groupBy("q", "id", "row", "field", "start").agg(F.count("*").alias("found"), F.max("n").alias("n")).where("found = n")
-    return single.unionAll(several.select("q", "id")).distinct()
+    return single.unionAll(_holding(index, met.where("n > 1").select("q", "id").distinct(), queries, phrase))
+
+
+def _holding(index: TextIndex, candidates: DataFrame, queries: DataFrame, phrase: str) -> DataFrame:
+    """The candidates (q, id) one of whose texts has the phrase. Texts meet their candidates by id, so each is moved once at most."""
+    asked = queries.select(F.col("q").alias("of"), F.lower(phrase).alias("p"))
+    near = small(materialise(candidates, "candidates")).withColumnRenamed("id", "c__")
+    met = index.texts.join(near, F.col("id").eqNullSafe(F.col("c__"))).join(small(asked), F.col("q") == F.col("of"))
+    return met.where(F.exists("fields", lambda f: F.coalesce(F.contains(f, F.col("p")), F.lit(False)))).select("q", "id").distinct()
 
 
 def counts(found: DataFrame, queries: DataFrame) -> DataFrame:

@@ -44,3 +44,18 @@ def test_tokens_are_pushed_into_the_scan(spark):
     index = X.build(df, id_col="id", fields=["title"])
     plan = X.find(index, spark.createDataFrame([(1, "two")], "q long, phrase string"))._jdf.queryExecution().executedPlan().toString()
     assert "In(token" in plan or "EqualTo(token,two)" in plan
+
+
+def test_index_is_written_without_a_shuffle_and_widespread_pieces_are_not_looked_up(spark):
+    rows = [(k, f"the cat of word{k % 40} the end of it the {k}") for k in range(400)]
+    df = spark.createDataFrame(rows, "id long, body string")
+    index = X.build(df, id_col="id", fields=["body"])
+    assert index.postings.count() == 400 * 8  # the distinct words of a text, and none twice but a first one that comes again
+    held = []
+    seen, X._holding = X._holding, lambda i, c, *a: held.append(c.count()) or seen(i, c, *a)
+    try:
+        got = X.find(index, spark.createDataFrame([(1, "e end of it the 7"), (2, "of word3 t")], "q long, phrase string")).groupBy("q").count().collect()
+    finally:
+        X._holding = seen
+    want = {q: sum(p in t for _, t in rows) for q, p in ((1, "e end of it the 7"), (2, "of word3 t"))}
+    assert {r["q"]: r["count"] for r in got} == want and held[0] <= 11 + 10
