@@ -238,3 +238,11 @@ def test_title_lookup_equals_brute_force(spark):
                 close[i] = min(close.get(i, (0, 10**9)), (-0.7 * (by_author + by_term) / 2, j))
     got = {x["new_id"]: (x["confidence"], x["known_id"]) for x in dedup.author_title_matches(df, known).collect()}
     assert got.keys() == close.keys() and all(abs(got[i][0] + s) < 1e-9 and got[i][1] == j for i, (s, j) in close.items())
+
+
+def test_narrow_rows_of_one_task_are_dealt_out(spark):
+    from corpusloom.operators.sized import TASK_ROWS, spread
+
+    one = spark.range(0, 3 * TASK_ROWS + 1, 1, 1)
+    assert one.rdd.getNumPartitions() == 1 and spread(one).rdd.getNumPartitions() == 4
+    assert spread(one).distinct().count() == one.count() and spread(one.limit(0)).count() == 0
