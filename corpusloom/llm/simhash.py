@@ -173,7 +173,7 @@ def prefix(hashes: np.ndarray, similarity: float, common: np.ndarray, at: np.nda
 
 
 def prefixes(docs: DataFrame, keep: list[str], *, text_col: str = "text", shingle: int = 5, similarity: float = SIMILARITY, common: np.ndarray | None = None) -> DataFrame:
-    """The columns ``keep`` with ``node`` (a hash of the set of shingles), ``size`` (of that set) and ``prefix``, whose hashes are empty without ``common``."""
+    """The columns ``keep`` with ``node`` (a hash of the set of shingles), ``fp`` (the text's fingerprint), ``size`` (of that set) and ``prefix``, whose hashes are empty without ``common``."""
     at = np.argsort(common) if common is not None else np.zeros(0, np.int64)
     ranked = common[at] if common is not None else None
 
@@ -181,16 +181,18 @@ def prefixes(docs: DataFrame, keep: list[str], *, text_col: str = "text", shingl
         for batch in batches:
             for lo in range(0, batch.num_rows, 512):
                 part = batch.slice(lo, 512)
-                node, size, first = [], [], []
+                node, fp, size, first = [], [], [], []
                 for text in part.column(len(keep)).to_pylist():
-                    h = np.unique(shingle_hashes(text, shingle))
+                    runs = shingle_hashes(text, shingle)
+                    h = np.unique(runs)
+                    fp.append(majority(runs))
                     node.append(xxhash.xxh64_intdigest(h.tobytes(), 7))
                     size.append(len(h))
                     first.append((h[:0] if ranked is None else prefix(h, similarity, ranked, at)).view(np.int64))
-                nodes = pa.array(np.array(node, np.uint64).view(np.int64), pa.int64())
-                yield pa.RecordBatch.from_arrays([part.column(k) for k in range(len(keep))] + [nodes, pa.array(size, pa.int32()), pa.array(first, pa.list_(pa.int64()))], names=[*keep, "node", "size", "prefix"])
+                nodes, fps = (pa.array(np.array(x, np.uint64).view(np.int64), pa.int64()) for x in (node, fp))
+                yield pa.RecordBatch.from_arrays([part.column(k) for k in range(len(keep))] + [nodes, fps, pa.array(size, pa.int32()), pa.array(first, pa.list_(pa.int64()))], names=[*keep, "node", "fp", "size", "prefix"])
 
-    return docs.select(*keep, F.col(text_col).alias("text__")).mapInArrow(run, f"{_columns(docs, keep)}, node long, size int, prefix array<long>")
+    return docs.select(*keep, F.col(text_col).alias("text__")).mapInArrow(run, f"{_columns(docs, keep)}, node long, fp long, size int, prefix array<long>")
 
 
 def shingle_sets(texts: DataFrame, shingle: int) -> DataFrame:
@@ -236,6 +238,18 @@ def _rooted(held: DataFrame, classes: DataFrame | None) -> DataFrame:
     return rows.join(sized(open_ones), "e", "left_semi")  # measured: where it is small, no crowd is shuffled into one task
 
 
+def fingerprint_pairs(nodes: DataFrame) -> DataFrame:
+    """``nodes`` (node, fp) -> the pairs (a, b) whose fingerprints differ in 1 to 3 bits, one text standing for a fingerprint; texts of one fingerprint meet that one.
+
+    The deletion-variant signatures of ``links`` find them on distinct fingerprints.
+    """
+    first = materialise(nodes.groupBy("fp").agg(F.min("node").alias("one")), "first")
+    same = nodes.join(first, "fp").where("node <> one").select(F.col("node").alias("a"), F.col("one").alias("b"))
+    side = lambda c: first.select(F.col("fp").alias(c), F.col("one").alias(f"n{c}"))
+    met = links(first.select("fp")).join(side("a"), "a").join(side("b"), "b").select(F.col("na").alias("a"), F.col("nb").alias("b"))
+    return _ordered(same.unionAll(met))
+
+
 def _hubs(held: DataFrame, similarity: float, turn: int) -> DataFrame:
     """Pairs (a, b) that likely join large groups. ``held``: e, node, size, texts (that hold e), root.
 
@@ -288,8 +302,9 @@ def _likely(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
 def similar_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = SIMILARITY) -> DataFrame:
     """One row a document: the id, ``node``, ``root`` and ``component_id``, of classes linked by texts of at least ``similarity``.
 
-    An exact search: in one order of all shingles, frequent ones last, two texts of the similarity share
-    one of the first (1 - similarity) of theirs. Texts of crowded shingles first meet a few hubs, which joins
+    Texts whose fingerprints differ in at most ``DISTANCE`` bits are linked first, by deletion-variant signatures.
+    What they miss an exact search finds: in one order of all shingles, frequent ones last, two texts of the similarity
+    share one of the first (1 - similarity) of theirs. Texts of crowded shingles first meet a few hubs, which joins
     most of a large group by few pairs; then all texts that share a first shingle meet, unless they are in
     one class already or their sizes and the shingle's places rule the similarity out. Every pair is verified
     by exact Jaccard similarity of the whole texts, whose shingles are hashed once a node and not once a pair.
@@ -308,9 +323,23 @@ def _similar(docs: DataFrame, id_col: str, text_col: str, shingle: int, similari
     full, full_at = written(prefixes(keyed, [id_col, "t__"], text_col=text_col, shingle=shingle, similarity=similarity, common=common), "prefixes")
     rows = materialise(full.select(id_col, "node"), "rows")
     least = F.min(F.struct(F.col(id_col).isNull().alias("n"), F.col(id_col).alias("i"), F.col("t__").alias("t")))
-    nodes = full.groupBy("node").agg(least.alias("least"), F.first("size").alias("size"), F.first("prefix").alias("prefix"))
-    nodes = materialise(nodes.select("node", F.col("least.i").alias("first_id"), F.col("least.t").alias("first_t"), "size", "prefix"), "nodes")
+    nodes = full.groupBy("node").agg(least.alias("least"), F.min("fp").alias("fp"), F.first("size").alias("size"), F.first("prefix").alias("prefix"))
+    nodes = materialise(nodes.select("node", F.col("least.i").alias("first_id"), F.col("least.t").alias("first_t"), "fp", "size", "prefix"), "nodes")
     drop(docs.sparkSession, full_at)
+    reps = materialise(nodes.select("node", F.col("first_id").alias("i__"), F.col("first_t").alias("f__")), "reps")
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        """The pairs that have the similarity, written. Only texts that are in a pair are read, hashed and moved; what was written for that goes."""
+        with made() as paths:
+            wanted = materialise(pairs.select(F.col("a").alias("node")).unionAll(pairs.select("b")).distinct(), "wanted")
+            own = materialise(reps.join(sized(wanted), "node", "left_semi"), "own")  # its true size decides whether the texts are shuffled to meet it
+            texts = keyed.join(sized(own), F.col(id_col).eqNullSafe(F.col("i__")) & F.col("t__").eqNullSafe(F.col("f__"))).select("node", F.col(text_col).alias("text__"))
+            found, kept = written(_verified(pairs, materialise(shingle_sets(texts.dropDuplicates(["node"]), shingle), "sets"), similarity), "links")
+        drop(docs.sparkSession, *(p for p in paths if p != kept))
+        return found
+
+    near = linked(materialise(fingerprint_pairs(nodes.select("node", "fp")), "fingerprint-pairs"))
+    classes = connected_components(near)
     of_shingle = nodes.select("node", "size", F.posexplode("prefix").alias("pos", "e"))
     held = None
     for k in range(SLICES):
@@ -318,20 +347,9 @@ def _similar(docs: DataFrame, id_col: str, text_col: str, shingle: int, similari
         shared = part.groupBy("e").agg(F.count("*").alias("texts")).where("texts > 1")
         done = materialise(part.join(shared, "e").select("e", "node", "size", "pos", "texts"), "held")
         held = done if held is None else held.unionAll(done)
-    reps = materialise(nodes.select("node", F.col("first_id").alias("i__"), F.col("first_t").alias("f__")), "reps")
-
-    def linked(pairs: DataFrame) -> DataFrame:
-        """The pairs that have the similarity, written. Only texts that are in a pair are read, hashed and moved."""
-        wanted = materialise(pairs.select(F.col("a").alias("node")).unionAll(pairs.select("b")).distinct(), "wanted")
-        own = materialise(reps.join(sized(wanted), "node", "left_semi"), "own")  # its true size decides whether the texts are shuffled to meet it
-        texts = keyed.join(sized(own), F.col(id_col).eqNullSafe(F.col("i__")) & F.col("t__").eqNullSafe(F.col("f__"))).select("node", F.col(text_col).alias("text__"))
-        return materialise(_verified(pairs, materialise(shingle_sets(texts.dropDuplicates(["node"]), shingle), "sets"), similarity), "links")
-
-    near, classes = None, None
     for turn in range(HUB_ROUNDS):
         pairs = materialise(_hubs(_rooted(held.where(F.col("texts") >= CROWD), classes), similarity, turn), "hubs")
-        found = linked(pairs)
-        near = found if near is None else near.unionAll(found)
+        near = near.unionAll(linked(pairs))
         classes = connected_components(near)
     pairs = materialise(_likely(_candidates(_rooted(held, classes), similarity), nodes, similarity), "candidates")
     classes = connected_components(near.unionAll(linked(pairs)))

@@ -127,6 +127,21 @@ def test_variants_of_one_original_are_one_class(spark):
     assert len(got) == 301 and {x["component_id"] for x in got} == {0}
 
 
+def test_similar_classes_link_fingerprints_first(docs, monkeypatch):
+    texts = {r["node"]: r["fp"] for r in simhash.prefixes(docs, ["doc_id"]).select("node", "fp").distinct().collect()}
+    apart = lambda a, b: ((a ^ b) & (2**64 - 1)).bit_count()
+    nodes = docs.sparkSession.createDataFrame(list(texts.items()), "node long, fp long")
+    got = {(x["a"], x["b"]) for x in simhash.fingerprint_pairs(nodes).collect()}
+    assert all(a < b and apart(texts[a], texts[b]) <= simhash.DISTANCE for a, b in got)
+    fps = sorted(set(texts.values()))
+    linked = {(texts[a], texts[b]) for a, b in got} | {(texts[b], texts[a]) for a, b in got}
+    assert all((a, b) in linked for k, b in enumerate(fps) for a in fps[:k] if apart(a, b) <= simhash.DISTANCE)
+    seen = []
+    monkeypatch.setattr(simhash, "links", lambda distinct, of=simhash.links: seen.append(distinct.count()) or of(distinct))
+    simhash.similar_classes(docs)
+    assert seen == [len(fps)]
+
+
 def test_prefixes_meet_in_any_order():
     import numpy as np
 
