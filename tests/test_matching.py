@@ -131,3 +131,12 @@ def test_graph_edges_come_from_one_scan(spark, sf):
 
     plan = graph.edges(_papers(spark, sf), _claims(spark, sf))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("l_orderkey#") and plan.count("Relation [l_orderkey") == 1
+
+
+def test_claim_keys_and_citations_are_dealt_out(spark, sf):
+    from corpusloom.operators.sized import FEW_ROWS, HELD_ROWS, dealt
+    from corpusloom.plans.catalogue import citation_parse
+
+    df = spark.range(3 * FEW_ROWS + 1)
+    assert dealt(df, "id").rdd.getNumPartitions() == 4 and HELD_ROWS <= 1_000_000 and dealt(df.limit(0), "id").rdd.getNumPartitions() == 1
+    assert "Repartition" in citation_parse(spark, sf)._jdf.queryExecution().optimizedPlan().toString()

@@ -246,3 +246,20 @@ def test_narrow_rows_of_one_task_are_dealt_out(spark):
     one = spark.range(0, 3 * TASK_ROWS + 1, 1, 1)
     assert one.rdd.getNumPartitions() == 1 and spread(one).rdd.getNumPartitions() == 4
     assert spread(one).distinct().count() == one.count() and spread(one.limit(0)).count() == 0
+
+
+def test_constructs_and_edges_without_meeting_papers(spark):
+    kind = "array<struct<id:string,role:string,direction:string>>"
+    one = lambda *c: [(i, r, None) for i, r in c]
+    claims = spark.createDataFrame([("c2", "p1", one(("x", "late"), (None, "own")), one(("y", "mood")), "causal", "it will increase", 0.5), ("c1", "p9", one(("x", "early")), one(("y", "mood")), "null", "s1", None), ("c3", "p1", one(("", None)), None, "causal", "s3", 1.0)], f"claim_id string, paper_id string, environment_factors {kind}, outcomes {kind}, claim_type string, statement string, effect double").withColumns({c: F.array().cast(kind) for c in ("mediators", "moderators")})
+    papers = spark.createDataFrame([("p1", "t")], "paper_id string, title string")
+    assert {(r["node_id"], r["label"]) for r in rows(graph.nodes(papers, claims)) if r["type"] == "construct"} == {("x", "early"), ("y", "mood"), ("construct:own", "own")}
+    whole, some = graph.edges(papers, claims), graph.edges(papers, claims, kinds=("about_iv", "affects"), carry=nlquery.CARRIED)
+    assert "Join" not in some._jdf.queryExecution().optimizedPlan().toString()
+    key = lambda r: (r["src"], r["dst"], r["type"], r["claim_id"])
+    assert sorted(map(key, rows(some))) == sorted(key(r) for r in rows(whole) if r["type"] in ("about_iv", "affects"))
+    narrow = claims.select("claim_id", *nlquery.CARRIED)
+    for question in ("What affects y?", "What does x affect?", "How many claims about x?", "Show all claims about x", "Are there contradictions about y?"):
+        corpora = [nlquery.Corpus(graph.nodes(papers, claims), graph.edges(papers, claims, carry=carry), narrow) for carry in ((), nlquery.CARRIED)]
+        plain, carried = (rows(nlquery.answer(c, question)[2]) for c in corpora)
+        assert sorted(map(str, plain)) == sorted(map(str, carried)) and plain, question
