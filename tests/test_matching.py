@@ -115,6 +115,27 @@ def test_bounds_leave_few_titles_to_align_and_lose_no_match(spark):
     assert all(abs(s - SequenceMatcher(None, keys[i], keys[j]).ratio() - left[i, j]["bonus"]) < 1e-9 for (i, j), s in scored.items())
 
 
+def test_copies_of_a_title_are_compared_once(spark, monkeypatch):
+    rows = [(k, "daylight exposure improves classroom attention", ["Ann Smith"] if k % 2 else []) for k in range(80)] + [(k, "daylight exposure improves classroom attentions", ["Ann Smith"]) for k in range(80, 120)]
+    rows += [(200, "daylight exposure improves bedroom attention", None), (201, "nothing like it anywhere", ["B. C"]), (202, None, [])]
+    docs = spark.createDataFrame(rows, "doc_id long, title string, authors array<string>").repartition(3)
+    new, known, seen, plain = docs.withColumnRenamed("doc_id", "new_id"), docs.withColumnRenamed("doc_id", "known_id"), [], dedup.aligned_pairs
+    monkeypatch.setattr(dedup, "aligned_pairs", lambda pairs: seen.append(pairs.count()) or plain(pairs))
+    got = {x["new_id"]: (x["known_id"], x["confidence"]) for x in dedup.fuzzy_title_matches(new, known, others_only=True).collect()}
+    keys = {x["doc_id"]: (x["k"], set(x["t"])) for x in docs.select("doc_id", N.title_key(F.col("title")).alias("k"), N.key_terms(F.col("title")).alias("t")).collect()}
+    smith = {k for k, _, names in rows if names == ["Ann Smith"]}
+    want = {}
+    for i, (a, t) in keys.items():
+        for j, (b, _) in keys.items():
+            shared = len(t & set(b.split(" ")))
+            if i != j and t and shared >= min(2, len(t)):
+                score = SequenceMatcher(None, a, b).ratio() + (0.1 if i in smith and j in smith else 0.0)
+                if score >= 0.85:
+                    want[i] = min(want.get(i, (0, 0, 0)), (-score, -shared, j))
+    assert {i: (j, round(c, 9)) for i, (j, c) in got.items()} == {i: (j, round(-s if -s >= 0.95 else -s * 0.9, 9)) for i, (s, _, j) in want.items()} and len(got) == 121
+    assert seen[0] < 30
+
+
 def test_hashed_embedding(spark):
     texts = ["one two two", "", None, "Three, three. THREE"]
     rows = taxonomy.embed(spark.createDataFrame([(t,) for t in texts], "t string"), F.col("t"), dim=8).collect()
