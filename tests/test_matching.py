@@ -136,6 +136,22 @@ def test_copies_of_a_title_are_compared_once(spark, monkeypatch):
     assert seen[0] < 30
 
 
+def test_widespread_terms_are_no_key_of_a_shuffle_and_lose_no_pair(spark, monkeypatch):
+    monkeypatch.setattr(dedup, "WIDESPREAD", 5)
+    r = random.Random(3)
+    titles = ["candlelight " + " ".join(r.choice(["dorm", "even", "word", "noise", "thermal", f"own{k}x"]) for _ in range(r.randrange(0, 4))) for k in range(60)]
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(titles)] + [(77, "candlelight")], "doc_id long, title string")
+    new, known = docs.withColumnRenamed("doc_id", "new_id"), docs.where("title <> 'candlelight'").withColumnRenamed("doc_id", "known_id")
+    got = {(x["new_id"], x["known_id"]): x["shared"] for x in dedup.fuzzy_title_pairs(new, known, others_only=True).collect()}
+    keys = {x["doc_id"]: (set(x["k"].split(" ")), set(x["t"])) for x in docs.select("doc_id", N.title_key(F.col("title")).alias("k"), N.key_terms(F.col("title")).alias("t")).collect()}
+    held = {x["known_id"] for x in known.collect()}
+    assert got == {(i, j): len(t & keys[j][0]) for i, (_, t) in keys.items() for j in held if i != j and len(t & keys[j][0]) >= min(2, len(t))} and len(got) > 100
+    sent, plain = [], dedup.small
+    monkeypatch.setattr(dedup, "small", lambda df: sent.append([x["term"] for x in df.select("term").collect()]) or plain(df))
+    dedup.fuzzy_title_pairs(new.where("new_id < 40 and size(split(title, ' ')) > 2"), known).collect()
+    assert "candlelight" in sent[0] and len(sent) == 3
+
+
 def test_hashed_embedding(spark):
     texts = ["one two two", "", None, "Three, three. THREE"]
     rows = taxonomy.embed(spark.createDataFrame([(t,) for t in texts], "t string"), F.col("t"), dim=8).collect()
