@@ -8,7 +8,7 @@ token lies in all files and row groups are skipped by token. ``vocabulary`` has
 
 A query meets the vocabulary by equality of substrings of the lengths it asks for, then the postings of its rarest piece alone: a
 phrase of one piece is answered by them; of the others only the texts that have the rarest piece are read and compared, so no
-widespread piece is ever looked up.
+widespread piece is ever looked up. Phrases that must all stand in a text are one query, so none of them is looked up by itself.
 
 Defined results: null fields are not indexed; rows with one id count as one; a phrase that is null, empty or
 of spaces alone finds nothing. An empty table gives an empty index.
@@ -50,13 +50,17 @@ def build(df: DataFrame, *, id_col: str, fields: list[str]) -> TextIndex:
     return TextIndex(postings, materialise(postings.groupBy("token").agg(F.count("*").alias("rows")), "vocabulary"), texts)
 
 
-def _pieces(queries: DataFrame, phrase: str) -> DataFrame:
-    """(q, last, n, i, kind, piece): the pieces of each phrase that are not empty, or stand between others."""
-    cut = queries.select("q", F.split(F.lower(phrase), " ", -1).alias("w")).where(F.length(F.trim(F.array_join("w", " "))) > 0)
-    cut = cut.withColumn("last", F.size("w") - 1).select("q", "last", F.posexplode("w").alias("i", "piece"))
+def _pieces(queries: DataFrame) -> DataFrame:
+    """(q, last, n, i, kind, piece): the pieces of each query's phrases that are not empty, or stand between others; n counts them all.
+
+    A query of a phrase that is null or blank has none. Pieces in the middle of a token are left out where a query has others.
+    """
+    asked = queries.where(F.forall("phrases", lambda p: F.coalesce(F.trim(p) != "", F.lit(False)))).select("q", F.posexplode("phrases").alias("of", "p"))
+    cut = asked.select("q", "of", F.split(F.lower("p"), " ", -1).alias("w")).withColumn("last", F.size("w") - 1).select("q", "of", "last", F.posexplode("w").alias("i", "piece"))
     kind = F.when(F.col("last") == 0, "in").when(F.col("i") == 0, "end").when(F.col("i") == F.col("last"), "start").otherwise("whole")
     held = cut.withColumn("kind", kind).where((F.col("piece") != "") | (F.col("kind") == "whole"))
-    return held.join(held.groupBy(F.col("q").alias("of")).agg(F.count("*").alias("n")), F.col("q") == F.col("of")).drop("of")
+    sized = held.groupBy(F.col("q").alias("has")).agg(F.count("*").alias("n"), F.count_if(F.col("kind") != "in").alias("sided"))
+    return held.join(sized, F.col("q") == F.col("has")).where("kind <> 'in' or sided = 0").drop("has", "of", "sided")
 
 
 def _lengths(pieces: DataFrame, kind: str) -> list[int]:
@@ -65,26 +69,27 @@ def _lengths(pieces: DataFrame, kind: str) -> list[int]:
 
 
 def matching_tokens(index: TextIndex, pieces: DataFrame) -> DataFrame:
-    """(kind, piece, token, rows): the tokens of the vocabulary that match a piece, by equality of the parts of a token that are as long."""
-    token, parts = F.col("token"), []
-    for kind in ("in", "end", "start"):
-        for n in _lengths(pieces, kind):
-            long = index.vocabulary.where(F.length("token") >= n)
-            if kind == "in":
-                some = long.select(F.lit(kind).alias("kind"), F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("token") - n + 1), lambda k: F.substr(token, k, F.lit(n))))).alias("piece"), "token", "rows")
-            else:
-                some = long.select(F.lit(kind).alias("kind"), (F.right(token, F.lit(n)) if kind == "end" else F.left(token, F.lit(n))).alias("piece"), "token", "rows")
-            parts.append(some)
-    parts.append(index.vocabulary.select(F.lit("whole").alias("kind"), F.col("token").alias("piece"), "token", "rows"))
-    all_parts = parts[0]
-    for more in parts[1:]:
-        all_parts = all_parts.unionAll(more)
-    return all_parts.join(pieces.select("kind", "piece").distinct(), ["kind", "piece"])
+    """(kind, piece, token, rows): the tokens of the vocabulary that match a piece, by equality of the parts of a token that are as long. One pass for all ends, another for middles if any are asked for."""
+    token = F.col("token")
+    ends = [F.struct(F.lit(kind).alias("kind"), F.lit(n).alias("n")) for kind in ("end", "start") for n in _lengths(pieces, kind)]
+    cut = index.vocabulary.select("token", "rows", F.explode(F.array(*ends, F.struct(F.lit("whole").alias("kind"), F.lit(0).alias("n")))).alias("x")).select("token", "rows", "x.kind", "x.n").where(F.length("token") >= F.col("n"))
+    part = F.when(F.col("kind") == "end", F.right(token, F.col("n"))).when(F.col("kind") == "start", F.left(token, F.col("n"))).otherwise(token)
+    all_parts = cut.select("kind", part.alias("piece"), "token", "rows")
+    for n in _lengths(pieces, "in"):
+        long = index.vocabulary.where(F.length("token") >= n)
+        inner = F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("token") - n + 1), lambda k: F.substr(token, k, F.lit(n)))))  # noqa: B023
+        all_parts = all_parts.unionAll(long.select(F.lit("in").alias("kind"), inner.alias("piece"), "token", "rows"))
+    return all_parts.join(small(pieces.select("kind", "piece").distinct()), ["kind", "piece"])
 
 
 def find(index: TextIndex, queries: DataFrame, *, phrase: str = "phrase") -> DataFrame:
     """(q, id) for every id one of whose fields has the phrase of ``queries`` (q, phrase) as a substring, case ignored."""
-    pieces = materialise(_pieces(queries, phrase), "pieces")
+    return find_all(index, queries.select("q", F.array(phrase).alias("phrases")))
+
+
+def find_all(index: TextIndex, queries: DataFrame) -> DataFrame:
+    """(q, id) for every id whose fields have all ``phrases`` of ``queries`` (q, phrases), each in one of them: one piece of them all is looked up."""
+    pieces = materialise(_pieces(queries), "pieces")
     tokens = materialise(matching_tokens(index, pieces), "tokens")
     spread = tokens.groupBy("kind", "piece").agg(F.sum("rows").alias("rows"))
     behind, before = F.col("i") > 0, F.col("i") < F.col("last")
@@ -96,15 +101,15 @@ def find(index: TextIndex, queries: DataFrame, *, phrase: str = "phrase") -> Dat
     postings = index.postings.where(F.col("token").isin(few)) if len(few) <= PUSHED else index.postings
     met = postings.join(small(wanted), "token").where(F.col("sides").bitwiseAND(F.col("need")) != 0)
     single = met.where("n = 1").select("q", "id").distinct()
-    return single.unionAll(_holding(index, met.where("n > 1").select("q", "id").distinct(), queries, phrase))
+    return single.unionAll(_holding(index, met.where("n > 1").select("q", "id").distinct(), queries))
 
 
-def _holding(index: TextIndex, candidates: DataFrame, queries: DataFrame, phrase: str) -> DataFrame:
-    """The candidates (q, id) one of whose texts has the phrase. Texts meet their candidates by id, so each is moved once at most."""
-    asked = queries.select(F.col("q").alias("of"), F.lower(phrase).alias("p"))
+def _holding(index: TextIndex, candidates: DataFrame, queries: DataFrame) -> DataFrame:
+    """The candidates (q, id) whose texts have all phrases of q. Texts meet their candidates by id, so each is moved once at most."""
+    asked = queries.select(F.col("q").alias("of"), F.transform("phrases", F.lower).alias("ps"))
     near = small(materialise(candidates, "candidates")).withColumnRenamed("id", "c__")
     met = index.texts.join(near, F.col("id").eqNullSafe(F.col("c__"))).join(small(asked), F.col("q") == F.col("of"))
-    return met.where(F.exists("fields", lambda f: F.coalesce(F.contains(f, F.col("p")), F.lit(False)))).select("q", "id").distinct()
+    return met.where(F.forall("ps", lambda p: F.exists("fields", lambda f: F.coalesce(F.contains(f, p), F.lit(False))))).select("q", "id").distinct()
 
 
 def counts(found: DataFrame, queries: DataFrame) -> DataFrame:
@@ -138,8 +143,7 @@ def theory_counts(scored: DataFrame, index: TextIndex) -> DataFrame:
 def cell_counts(scored: DataFrame, index: TextIndex) -> DataFrame:
     """``scored`` (factor_id, outcome_id, paper_count) with the papers that have both terms where none is scored."""
     none = materialise(scored.where("paper_count = 0").select("factor_id", "outcome_id").distinct(), "cells")
-    nodes = none.select(F.col("factor_id").alias("q")).unionAll(none.select("outcome_id")).distinct()
-    found = materialise(find(index, nodes.select("q", node_term(F.col("q")).alias("phrase"))), "found")
-    of = none.join(found.select(F.col("q").alias("factor_id"), "id"), "factor_id")
-    both = of.join(found.select(F.col("q").alias("outcome_id"), "id"), ["outcome_id", "id"]).groupBy("factor_id", "outcome_id").agg(F.count("*").alias("n"))
+    key = F.to_json(F.struct("factor_id", "outcome_id"))
+    found = find_all(index, none.select(key.alias("q"), F.array(node_term(F.col("factor_id")), node_term(F.col("outcome_id"))).alias("phrases")))
+    both = none.withColumn("q", key).join(found.groupBy("q").agg(F.count("*").alias("n")), "q").drop("q")
     return scored.join(both, ["factor_id", "outcome_id"], "left").withColumn("paper_count", F.coalesce("n", "paper_count")).drop("n")

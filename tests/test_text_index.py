@@ -59,3 +59,15 @@ def test_index_is_written_without_a_shuffle_and_widespread_pieces_are_not_looked
         X._holding = seen
     want = {q: sum(p in t for _, t in rows) for q, p in ((1, "e end of it the 7"), (2, "of word3 t"))}
     assert {r["q"]: r["count"] for r in got} == want and held[0] <= 11 + 10
+
+
+def test_cells_are_one_query_of_two_phrases(spark, monkeypatch):
+    texts = [(0, "Visual cortex and soft fascination"), (1, "soft fascinations; no cortical term"), (2, "SOFT FASCINATION cortex"), (3, None), (4, "cortex alone"), (5, "unsoft fascination, cortex")]
+    index = X.build(spark.createDataFrame(texts, "id long, text string"), id_col="id", fields=["text"])
+    cells = [("theory.soft_fascination", "out.cortex", 0), ("theory.soft_fascination", "out.cort", 0), ("theory.cortex", "out.soft", 0), ("theory.cortex", "out.soft", 0), ("theory.none_such", "out.cortex", 0), ("a.cortex", "a.", 0), ("a.b", "a.c", 7)]
+    asked, plain = [], X.matching_tokens
+    monkeypatch.setattr(X, "matching_tokens", lambda i, pieces: asked.extend(r["kind"] for r in pieces.where("q like '%soft_fascination%'").collect()) or plain(i, pieces))
+    got = {(r["factor_id"], r["outcome_id"]): r["paper_count"] for r in X.cell_counts(spark.createDataFrame(cells, "factor_id string, outcome_id string, paper_count long"), index).collect()}
+    has = lambda *terms: sum(t is not None and all(x in t.lower() for x in terms) for _, t in texts)
+    assert got == {cells[0][:2]: has("soft fascination", "cortex"), cells[1][:2]: has("soft fascination", "cort"), cells[2][:2]: has("cortex", "soft"), cells[4][:2]: 0, ("a.cortex", "a."): 0, ("a.b", "a.c"): 7}
+    assert set(asked) == {"end", "start"}  # a widespread term of the other side is not looked up
