@@ -106,12 +106,12 @@ class Span(InputPartition):
     """Items from ``first`` to before ``last`` (None: to the end) of a query; with a cursor, the chain from there."""
 
     def __init__(self, query: str, first: int, last: int | None, cursor: str | None = None):
-        self.query, self.first, self.last, self.cursor, self.tasks = query, first, last, cursor, 1
+        self.query, self.first, self.last, self.cursor, self.tasks, self.at_once = query, first, last, cursor, 1, 1
 
 
-def _together(spans: list[Span]) -> list[Span]:
+def _together(spans: list[Span], at_once: int | None) -> list[Span]:
     for span in spans:
-        span.tasks = len(spans)
+        span.tasks, span.at_once = len(spans), min(len(spans), at_once or len(spans))
     return spans
 
 
@@ -127,12 +127,13 @@ class _Pages:
         self.extra, self.key = json.loads(o.get("params", "{}")), o.get("apikey")
         self.cursors = json.loads(o.get("cursors", "{}"))
         self.paging = o.get("paging", "cursor" if self.api.cursor else "offset")
+        self.at_once = int(o["tasksatonce"]) if "tasksatonce" in o else None
         self.client_options = {"rate": float(o.get("rate", 10)), "timeout": float(o.get("timeout", 30)), "attempts": int(o.get("attempts", 4)), "pause": float(o.get("pause", 0.5)), "budget": int(o["budget"]) if "budget" in o else None}
 
-    def client(self, tasks: int = 1) -> Client:
-        """Rate and budget are those of the whole read, shared out among its tasks."""
+    def client(self, tasks: int = 1, at_once: int | None = None) -> Client:
+        """Rate and budget are those of the whole read: the budget is shared out among its tasks, the rate among those that can run at once."""
         o = dict(self.client_options)
-        o["rate"] /= max(tasks, 1)
+        o["rate"] /= max(at_once or tasks, 1)
         o["budget"] = None if o["budget"] is None else max(1, o["budget"] // max(tasks, 1))
         return Client(**o, headers={"x-api-key": self.key} if self.key and self.api.key_header else {})
 
@@ -145,7 +146,7 @@ class _Pages:
         return client.get(url(params))
 
     def read_span(self, part: Span) -> Iterator[tuple]:
-        client, at, cursor, chained = self.client(part.tasks), part.first, part.cursor, self.paging == "cursor"
+        client, at, cursor, chained = self.client(part.tasks, part.at_once), part.first, part.cursor, self.paging == "cursor"
         while part.last is None or at < part.last:
             size = self.size if chained or part.last is None else min(self.size, part.last - at)
             page, attempts, error = self.page(client, part.query, size, at, cursor)
@@ -169,7 +170,7 @@ class _Reader(DataSourceReader, _Pages):
     def partitions(self) -> list[Span]:
         most = None if self.most is None else self.most * self.size
         if self.paging == "cursor":
-            return _together([Span(q, 0, most, self.cursors.get(q)) for q in self.queries])
+            return _together([Span(q, 0, most, self.cursors.get(q)) for q in self.queries], self.at_once)
         spans, client = [], self.client()
         for q in self.queries:
             page, _, _ = self.page(client, q, 1, 0, None)  # only the total is of interest
@@ -177,7 +178,7 @@ class _Reader(DataSourceReader, _Pages):
             end = min(x for x in (total, most) if x is not None) if (total, most) != (None, None) else None
             step = self.size * self.span
             spans += [Span(q, lo, min(lo + step, end)) for lo in range(0, end, step)] if end is not None else [Span(q, 0, None)]
-        return _together(spans)
+        return _together(spans, self.at_once)
 
     def read(self, partition: Span) -> Iterator[tuple]:
         return self.read_span(partition) if partition else iter(())  # Spark reads None where there are no partitions
@@ -204,7 +205,7 @@ class _Stream(DataSourceStreamReader, _Pages):
 
     def partitions(self, start: dict, end: dict) -> list[Span]:
         step = self.size * self.span
-        return _together([Span(q, lo, min(lo + step, end[str(k)])) for k, q in enumerate(self.queries) for lo in range(start.get(str(k), 0), end[str(k)], step)])
+        return _together([Span(q, lo, min(lo + step, end[str(k)])) for k, q in enumerate(self.queries) for lo in range(start.get(str(k), 0), end[str(k)], step)], self.at_once)
 
     def read(self, partition: Span) -> Iterator[tuple]:
         return self.read_span(partition)
@@ -219,7 +220,7 @@ class _Stream(DataSourceStreamReader, _Pages):
 class WebApi(DataSource):
     """Options: endpoint, api (openalex, crossref, semantic_scholar), queries (JSON list), paging (offset, cursor), pageSize,
     pagesPerPartition, maxPages, params (JSON), apiKey, cursors (JSON: query -> where to go on), rate (requests a second, all tasks),
-    timeout, attempts, pause (seconds, doubled each time), budget (requests, all tasks)."""
+    timeout, attempts, pause (seconds, doubled each time), budget (requests, all tasks), tasksAtOnce (tasks that can run at once, among which the rate is shared out; all of them where it is not given)."""
 
     @classmethod
     def name(cls) -> str:
@@ -235,7 +236,20 @@ class WebApi(DataSource):
         return _Stream(self.options)
 
 
-def _options(endpoint: str, queries: list[str], options: dict) -> dict[str, str]:
+def tasks_at_once(spark: SparkSession) -> int | None:
+    """How many tasks can run at once; None where more executors may come or the default parallelism says something else."""
+    given = spark.sparkContext.getConf()
+    if given.get("spark.dynamicAllocation.enabled", "false") == "true":
+        return None
+    instances, cores = given.get("spark.executor.instances"), given.get("spark.executor.cores")
+    if instances and cores and not spark.sparkContext.master.startswith("local"):
+        return int(instances) * int(cores)
+    return None if given.contains("spark.default.parallelism") else spark.sparkContext.defaultParallelism
+
+
+def _options(spark: SparkSession, endpoint: str, queries: list[str], options: dict) -> dict[str, str]:
+    at_once = tasks_at_once(spark)
+    options = ({"tasksAtOnce": at_once} if at_once else {}) | options
     plain = {k: json.dumps(v) if isinstance(v, (dict, list)) else str(v) for k, v in options.items()}
     return plain | {"endpoint": endpoint, "queries": json.dumps(queries)}
 
@@ -243,13 +257,13 @@ def _options(endpoint: str, queries: list[str], options: dict) -> dict[str, str]
 def read_api(spark: SparkSession, endpoint: str, queries: list[str], **options) -> DataFrame:
     """Rows of SCHEMA for all pages of ``queries``; options as in ``WebApi``."""
     spark.dataSource.register(WebApi)
-    return spark.read.format("web_api").options(**_options(endpoint, queries, options)).load()
+    return spark.read.format("web_api").options(**_options(spark, endpoint, queries, options)).load()
 
 
 def stream_api(spark: SparkSession, endpoint: str, queries: list[str], **options) -> DataFrame:
     """The same as a stream: each batch has the items that came since the last one."""
     spark.dataSource.register(WebApi)
-    return spark.readStream.format("web_api").options(**_options(endpoint, queries, options)).load()
+    return spark.readStream.format("web_api").options(**_options(spark, endpoint, queries, options)).load()
 
 
 def next_cursors(rows: DataFrame) -> dict[str, str]:
