@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 import threading
 import urllib.parse
-from collections import Counter
+from collections import Counter, OrderedDict
 from collections.abc import Iterator
 from contextlib import contextmanager
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
@@ -19,13 +19,16 @@ from corpusloom.sources import web
 from corpusloom.workspace import drop, materialise, scratch
 
 PAGE = 50
+#: Pages of a file, and files that the endpoint keeps at a time.
+SHELF, KEPT = 128, 48
 
 
 def write_pages(items: DataFrame, key: str, path: str) -> None:
-    """A text file for every page of ``PAGE`` keys (key div PAGE): the page's items as a JSON list. A page bounds its group."""
+    """A line for every page of ``PAGE`` keys (key div PAGE): its number, a tab, the page's items as a JSON list. A file for every ``SHELF`` pages. A page bounds its group."""
     record = F.struct(*items.columns)
-    pages = items.groupBy(F.floor(F.col(key) / PAGE).cast("long").alias("page")).agg(F.to_json(F.sort_array(F.collect_list(record))).alias("value"))
-    pages.write.partitionBy("page").text(path)
+    pages = items.groupBy(F.floor(F.col(key) / PAGE).cast("long").alias("page")).agg(F.to_json(F.sort_array(F.collect_list(record))).alias("items"))
+    lines = pages.select(F.concat(F.col("page").cast("string"), F.lit("\t"), "items").alias("value"), F.floor(F.col("page") / SHELF).cast("long").alias("shelf"))
+    lines.repartition("shelf").write.partitionBy("shelf").text(path)
 
 
 @contextmanager
@@ -36,16 +39,27 @@ def endpoint(spark: SparkSession, path: str, pages: int, *, refuse=lambda page,
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     fs = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
 
-    def body(page: int) -> list:
-        where = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/page={page}/part-*")
-        found = fs.globStatus(where)
-        if not found:
-            return []
-        stream = fs.open(found[0].getPath())
-        try:
-            return json.loads(bytes(spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)))
-        finally:
-            stream.close()
+    shelves: OrderedDict[int, dict[int, bytes]] = OrderedDict()
+    reading = threading.Lock()
+
+    def shelf(number: int) -> dict[int, bytes]:
+        with reading:
+            if number not in shelves:
+                lines = []
+                for file in fs.globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/shelf={number}/part-*")) or []:
+                    stream = fs.open(file.getPath())
+                    try:
+                        lines += bytes(spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).split(b"\n")
+                    finally:
+                        stream.close()
+                shelves[number] = {int(page): items for page, _, items in (line.partition(b"\t") for line in lines if line)}
+                while len(shelves) > KEPT:
+                    shelves.popitem(last=False)
+            shelves.move_to_end(number)
+            return shelves[number]
+
+    def body(page: int) -> bytes:
+        return shelf(page // SHELF).get(page, b"[]")
 
     class Handler(BaseHTTPRequestHandler):
         def do_GET(self):  # noqa: N802
@@ -54,15 +68,16 @@ def endpoint(spark: SparkSession, path: str, pages: int, *, refuse=lambda page,
             at = int(asked["offset"]) if "offset" in asked else 0 if asked["cursor"] == "*" else int(asked["cursor"])
             page = at // PAGE
             if size == 1:  # only the total is asked for
-                status, answer = None, {"meta": {"count": pages * PAGE}, "total": pages * PAGE, "results": []}
+                status, data = None, json.dumps({"meta": {"count": pages * PAGE}, "total": pages * PAGE, "results": []}).encode()
             else:
                 with lock:
                     seen[page] += 1
                     status = refuse(page, seen[page])
                 if not status:
                     items = body(page)
-                    answer = {"meta": {"count": pages * PAGE, "next_cursor": str(at + PAGE) if page + 1 < pages else None}, "results": items, "data": items, "total": pages * PAGE}
-            data = b"" if status else json.dumps(answer).encode()
+                    rest = json.dumps({"meta": {"count": pages * PAGE, "next_cursor": str(at + PAGE) if page + 1 < pages else None}, "total": pages * PAGE}).encode()
+                    data = b'{"results": ' + items + b', "data": ' + items + b", " + rest[1:]
+            data = b"" if status else data
             self.send_response(status or 200)
             self.send_header("Content-Length", str(len(data)))
             self.end_headers()

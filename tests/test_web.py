@@ -100,3 +100,31 @@ def test_stream_goes_on_where_it_stopped(spark, tmp_path):
     ids = [r[0] for r in spark.read.parquet(f"{tmp_path}/out").select("doc_id").collect()]
     assert sorted(ids) == list(range(300))
 
+
+
+def test_rate_is_shared_among_the_tasks_that_run_at_once(spark):
+    from corpusloom.sources import web
+
+    options = {"endpoint": "http://none", "api": "semantic_scholar", "rate": "80", "budget": "4000"}
+    spans = lambda o: web._Stream(o).partitions({}, {"0": 50 * 20 * 400})
+    few, all_ = spans(options | {"tasksAtOnce": "8"}), spans(options)
+    pages = web._Pages(options)
+    client = lambda part: pages.client(part.tasks, part.at_once)
+    assert len(few) == len(all_) == 400 and (client(few[0]).rate, client(few[0]).budget) == (10, 10) and (client(all_[0]).rate, client(all_[0]).budget) == (0.2, 10)
+    assert web.tasks_at_once(spark) == spark.sparkContext.defaultParallelism
+
+
+def test_many_pages_lie_in_few_files(spark, tmp_path, monkeypatch):
+    from corpusloom.plans import web_queries
+
+    monkeypatch.setattr(web_queries, "KEPT", 1)
+    path, n = f"file://{tmp_path}/p", 50 * 300
+    web_queries.write_pages(spark.range(n).selectExpr("id AS doc_id", "'\t\n' AS s"), "doc_id", path)
+    assert len(list(tmp_path.glob("p/shelf=*/part-*"))) == 3
+    with web_queries.endpoint(spark, path, 300) as (url, seen):
+        import json
+        import urllib.request
+
+        for page in (0, 299, 127, 128, 5):
+            got = json.loads(urllib.request.urlopen(f"{url}?limit=50&offset={page * 50}").read())
+            assert [x["doc_id"] for x in got["data"]] == list(range(page * 50, page * 50 + 50)) and got["results"] == got["data"] and got["data"][0]["s"] == "\t\n"
