@@ -63,3 +63,18 @@ def test_odd_vectors(spark):
     none = df.where("vec_id = 3")
     empty = V.build(none, id_col="vec_id")
     assert V.search(empty, df, k=2, id_col="vec_id").count() == 0 and V.range_pairs(empty, none, least=0.9, id_col="vec_id").count() == 0
+
+
+def test_pairs_are_not_shuffled_once_they_are_found(spark):
+    r = np.random.default_rng(4)
+    x = r.normal(size=(60, 5))
+    rows = [(f"k{i}", v.tolist(), i % 3) for i, v in enumerate(x)] + [(None, x[0].tolist(), 1), ("é", x[1].tolist(), 2)]
+    df = spark.createDataFrame(rows, "vec_id string, embedding array<double>, part int")
+    index = V.build(df, id_col="vec_id", differ="part", cells=4)
+    pairs = V.range_pairs(index, df, least=0.5, id_col="vec_id", differ="part")
+    plan = pairs._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1  # visits meet tiles; what comes of it meets nothing
+    y = {i: np.array(v) / np.linalg.norm(v) for i, v, _ in rows if i}
+    part = {i: p for i, _, p in rows}
+    got = {(row["id_a"], row["id_b"]) for row in pairs.collect()}
+    assert got == {(a, b) for a in y for b in y if a < b and part[a] != part[b] and y[a] @ y[b] >= 0.5} and len(got) > 20
