@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import normalize as N
 from corpusloom.functions import similarity as SIM
-from corpusloom.operators import dedup, graph, setmatch, taxonomy, vector
+from corpusloom.operators import dedup, graph, setmatch, sized, taxonomy, vector
 
 
 def test_clusters_equal_a_plain_reckoning(spark):
@@ -177,3 +177,13 @@ def test_claim_keys_and_citations_are_dealt_out(spark, sf):
     df = spark.range(3 * FEW_ROWS + 1)
     assert dealt(df, "id").rdd.getNumPartitions() == 4 and HELD_ROWS <= 1_000_000 and dealt(df.limit(0), "id").rdd.getNumPartitions() == 1
     assert "Repartition" in citation_parse(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_titles_of_one_file_are_dealt_out_before_their_keys_are_made(spark, monkeypatch):
+    monkeypatch.setattr(sized.spread, "__kwdefaults__", {"each": 50})
+    docs = spark.range(200).coalesce(1).select(F.col("id").alias("known_id"), F.concat(F.lit("candlelight own"), F.translate(F.col("id").cast("string"), "0123456789", "abcdefghij"), F.lit(" evening")).alias("title"), F.array().cast("array<string>").alias("authors"))
+    tasks, plain = {}, dedup.materialise
+    monkeypatch.setattr(dedup, "materialise", lambda df, tag: tasks.setdefault(tag, []).append(df.rdd.getNumPartitions()) or plain(df, tag))
+    got = dedup.fuzzy_title_matches(docs.withColumnRenamed("known_id", "new_id"), docs).collect()
+    assert len(got) == 200 and all(x["known_id"] == x["new_id"] and x["confidence"] == 1.0 for x in got)
+    assert tasks["titles"] == [4, 4]
