@@ -12,6 +12,8 @@ from corpusloom.functions import parse as P
 from corpusloom.functions import similarity as SIM
 from corpusloom.operators import dedup
 from corpusloom.operators.audit import filled
+from corpusloom.operators.sized import spread
+from corpusloom.workspace import materialise
 
 
 def preview(df: DataFrame, n: int = 5) -> tuple[dict[str, str], DataFrame]:
@@ -62,8 +64,9 @@ def match_library(items: DataFrame, papers: DataFrame) -> DataFrame:
 
 
 def match_files(files: DataFrame, papers: DataFrame) -> DataFrame:
-    """Files matched to papers by what their names say. ``files``: path; ``papers`` as ``known`` of check_duplicates."""
-    n = files.select("path", P.parse_filename(F.element_at(F.split("path", "/"), -1)).alias("m"))
+    """Files matched to papers by what their names say. ``files``: path; ``papers`` as ``known`` of check_duplicates. Names are parsed once, dealt out."""
+    n = spread(files.select("path"), "path").select("path", P.parse_filename(F.element_at(F.split("path", "/"), -1)).alias("m"))
+    n = materialise(n, "names")
     return dedup.check_duplicates(n.select(F.col("path").alias("new_id"), "m.doi", "m.title", "m.authors"), papers).withColumnRenamed("new_id", "path")
 
 

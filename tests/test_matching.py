@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import normalize as N
 from corpusloom.functions import similarity as SIM
-from corpusloom.operators import dedup, graph, setmatch, sized, taxonomy, vector
+from corpusloom.operators import dedup, graph, ingest, setmatch, sized, taxonomy, vector
 
 
 def test_clusters_equal_a_plain_reckoning(spark):
@@ -187,3 +187,35 @@ def test_titles_of_one_file_are_dealt_out_before_their_keys_are_made(spark, monk
     got = dedup.fuzzy_title_matches(docs.withColumnRenamed("known_id", "new_id"), docs).collect()
     assert len(got) == 200 and all(x["known_id"] == x["new_id"] and x["confidence"] == 1.0 for x in got)
     assert tasks["titles"] == [4, 4]
+
+
+def test_names_of_files_are_parsed_once_and_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr(sized.spread, "__kwdefaults__", {"each": 50})
+    word = F.translate(F.col("id").cast("string"), "0123456789", "abcdefghij")
+    rows = spark.range(200).coalesce(1).select("id", F.concat(F.lit("Candlelight own"), word, F.lit(" Evening")).alias("title"))
+    files = rows.select(F.concat(F.lit("/in/Smith_2001_"), F.replace("title", F.lit(" "), F.lit("_")), F.lit(".pdf")).alias("path"))
+    known = rows.select(F.col("id").alias("known_id"), F.lit(None).cast("string").alias("doi"), "title", F.array().cast("array<string>").alias("authors"), F.col("id").alias("seq"))
+    tasks, plans, plain = {}, {}, dedup.materialise
+
+    def seen(df, tag):
+        tasks[tag], plans[tag] = df.rdd.getNumPartitions(), df._jdf.queryExecution().optimizedPlan().toString()
+        return plain(df, tag)
+
+    monkeypatch.setattr(dedup, "materialise", seen)
+    monkeypatch.setattr(ingest, "materialise", seen, raising=False)
+    got = {x["path"]: (x["known_id"], x["match_type"]) for x in ingest.match_files(files, known).collect()}
+    assert got == {f"/in/Smith_2001_{x['title'].replace(' ', '_')}.pdf": (x["id"], "title_exact") for x in rows.collect()}
+    assert [tasks[t] for t in ("names", "new", "known")] == [4, 4, 4] and "Smith" in plans["names"] and "regexp_extract" not in plans["exact"]
+
+
+def test_rows_without_a_key_are_not_one_tasks(spark, monkeypatch):
+    rows = [(f"n{k}", None if k % 3 else "", None if k % 2 else "The of", None) for k in range(60)] + [("x", "10.1/A", None, None), ("y", None, "daylight indoors", None)]
+    new = spark.createDataFrame(rows, "new_id string, doi string, title string, authors array<string>")
+    known = spark.createDataFrame([("a", "10.1/a", "the of", None, 1), ("b", "", "Indoors: daylight", None, 2), ("n1", None, None, None, 3)], "known_id string, doi string, title string, authors array<string>, seq int")
+    plans, plain = {}, dedup.materialise
+    monkeypatch.setattr(dedup, "materialise", lambda df, tag: plans.setdefault(tag, df) is None or plain(df, tag))
+    got = {x["new_id"]: (x["known_id"], x["match_type"]) for x in dedup.check_duplicates(new, known).collect()}
+    assert got == {r[0]: (None, None) for r in rows[:60]} | {"x": ("a", "doi"), "y": ("b", "title_exact")}
+    assert "title_key" not in plans["exact"].columns and "regexp_replace" not in plans["exact"]._jdf.queryExecution().optimizedPlan().toString()
+    everything = dedup.check_duplicates(new.where("new_id in ('x', 'y')"), known)
+    assert {x["new_id"]: x["confidence"] for x in everything.collect()} == {"x": 1.0, "y": 0.95}
