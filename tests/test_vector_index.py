@@ -78,3 +78,15 @@ def test_pairs_are_not_shuffled_once_they_are_found(spark):
     part = {i: p for i, _, p in rows}
     got = {(row["id_a"], row["id_b"]) for row in pairs.collect()}
     assert got == {(a, b) for a in y for b in y if a < b and part[a] != part[b] and y[a] @ y[b] >= 0.5} and len(got) > 20
+
+
+def test_products_get_few_blocks_at_once(spark, monkeypatch):
+    rows, plain = {}, V.materialise
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    monkeypatch.setattr(V, "materialise", lambda df, tag: rows.setdefault(tag, spark.conf.get(key)) and plain(df, tag))
+    x = np.random.default_rng(9).normal(size=(200, 4))
+    df = _table(spark, x)
+    got = V.search(V.build(df, id_col="vec_id", cells=6), df.where("vec_id % 20 = 0"), k=3, id_col="vec_id").collect()
+    assert len(got) == 30 and spark.conf.get(key) == before
+    assert int(rows["home"]) <= 8 and int(rows["far"]) <= 8 and rows["queries"] == rows["visits"] == before
