@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from corpusloom.operators.sized import small
 from corpusloom.operators.taxonomy import flatten_tree
 from corpusloom.schemas import FACET_NODES
+from corpusloom.sources.sinks import bundle_shard
 
 
 def sniff_separator(spark: SparkSession, path: str) -> str:
@@ -55,6 +56,14 @@ def read_bundles(spark: SparkSession, glob: str, schema: str) -> DataFrame:
     return df.withColumn("bundle", F.regexp_extract("path", "([^/]+)/[^/]+$", 1))
 
 
+def read_job_bundles(spark: SparkSession, path: str, names: list[str] | None = None) -> DataFrame:
+    """(bundle, payload) as ``sinks.write_bundles`` left them; with ``names`` only these, of which only their directories are read."""
+    df = spark.read.schema("bundle string, payload string, shard int").json(path)
+    if names is not None:
+        df = df.where(F.col("shard").isin(sorted({bundle_shard(n) for n in names})) & F.col("bundle").isin(names))
+    return df.select("bundle", "payload")
+
+
 def read_files(spark: SparkSession, path: str, pattern: str = "*.pdf") -> DataFrame:
     """path, length, modificationTime, sha256 of files; the bytes are hashed where they are read."""
     df = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path)

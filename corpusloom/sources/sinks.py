@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -41,8 +42,18 @@ def bundle_records(papers: DataFrame) -> DataFrame:
     return papers.select("paper_id", F.concat(F.lit("job_"), safe_filename(F.col("paper_id"))).alias("bundle"), body.alias("payload"), F.sha2(body, 256).alias("payload_sha256"), missing_fields(papers, ["paper_id", "title", "pdf_path"]).alias("problems"))
 
 
+#: Directories that bundles are dealt over by the CRC of their name. A directory to a bundle costs the file system several calls a paper, and the driver one.
+SHARDS = 64
+
+
+def bundle_shard(name: str) -> int:
+    return zlib.crc32(name.encode()) % SHARDS
+
+
 def write_bundles(papers: DataFrame, path: str) -> None:
-    bundle_records(papers).where(F.size("problems") == 0).select("bundle", F.col("payload").alias("value")).write.partitionBy("bundle").mode("append").text(path)
+    """Bundles without problems as JSON lines (bundle, payload), payload as it is; a bundle's directory follows from its name (``readers.read_job_bundles``)."""
+    kept = bundle_records(papers).where(F.size("problems") == 0).select("bundle", "payload", (F.crc32("bundle") % SHARDS).cast("int").alias("shard"))
+    kept.repartition("shard").write.partitionBy("shard").mode("append").json(path)
 
 
 def append_log(records: DataFrame, path: str, ts: str = "started_at") -> None:

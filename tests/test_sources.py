@@ -54,6 +54,24 @@ def test_exports(spark, tmp_path):
     assert spark.read.parquet(sinks.write_snapshot(p, str(tmp_path / "snap"))).count() == 1
 
 
+def test_bundles_are_packed_and_found_by_name(spark, tmp_path):
+    path, odd = str(tmp_path / "bundles"), ["doi:10.1/ä", 'doi:"q"\n', "doi:10.1/Ä ", "x" * 120]
+    ids = spark.createDataFrame([(i,) for i in [*odd, *(f"p{k}" for k in range(2 * sinks.SHARDS))]], "paper_id string")
+    p = ids.select("paper_id", F.lit(None).cast("string").alias("doi"), F.concat(F.lit("T\n"), "paper_id").alias("title"), F.array(F.lit("A")).alias("authors"), F.lit(2000).alias("year"), F.lit("V").alias("venue"), F.lit("a").alias("abstract"), F.lit("review").alias("triage_decision"), F.lit(0.5).alias("triage_score"), F.when(F.col("paper_id") != "p7", "/x.pdf").alias("pdf_path"), F.lit("s").alias("pdf_sha256"))
+    sinks.write_bundles(p, path)
+    want = {r["bundle"]: r["payload"] for r in sinks.bundle_records(p).where("paper_id <> 'p7'").collect()}
+    assert len(list((tmp_path / "bundles").glob("**/*.json"))) <= sinks.SHARDS < len(want) == ids.count() - 1
+    assert sorted(map(tuple, readers.read_job_bundles(spark, path).collect())) == sorted(want.items())
+    asked = ["job_p3", "job_p7", *(n for n in want if not n.startswith("job_p"))]
+    some = readers.read_job_bundles(spark, path, asked)
+    assert {r["bundle"]: r["payload"] for r in some.collect()} == {n: want[n] for n in asked if n in want} and len(want) > some.count() == len(asked) - 1
+    assert "PartitionFilters: [shard" in some._jdf.queryExecution().executedPlan().toString()
+    sinks.write_bundles(p.where("paper_id = 'p3'"), path)
+    assert readers.read_job_bundles(spark, path, ["job_p3"]).count() == 2
+    sinks.write_bundles(p.limit(0), str(tmp_path / "none"))
+    assert readers.read_job_bundles(spark, str(tmp_path / "none")).count() == 0 == readers.read_job_bundles(spark, str(tmp_path / "none"), ["job_p3"]).count()
+
+
 def test_embedding_cache(spark, tmp_path):
     import pandas as pd
 
