@@ -165,8 +165,7 @@ def parent_trees(spark: SparkSession, sf: str) -> DataFrame:
     parent = F.expr(_PARENT.replace("//", "div"))
     n = load(spark, sf, "customer").select(F.md5(F.col("c_custkey").cast("string")).alias("id"), F.md5(parent.cast("string")).alias("parent"), "c_nationkey")
     t = tree.build(n, id_col="id", parent_col="parent")
-    sizes = tree.rolled_up(t, n.withColumn("one", F.lit(1)), "id", "one").withColumnRenamed("total", "size")
-    known = tree.levels(t).join(tree.rolled_up(t, n, "id", "c_nationkey"), "node").join(sizes, "node")
+    known = tree.levels(t).join(tree.rolled_up(t, n.withColumn("size", F.lit(1)), "id", "c_nationkey", "size"), "node")
     return known.select("node", "level", "root", "total", "size").unionByName(t.cyclic, allowMissingColumns=True)
 
 

@@ -2,6 +2,8 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 from corpusloom.operators import tree as T
 
 
@@ -36,3 +38,18 @@ def test_forest_equals_a_walk(spark):
 def test_empty_tree(spark):
     tree = T.build(spark.createDataFrame([], "id long, parent long"), id_col="id", parent_col="parent")
     assert tree.closure.count() == tree.cyclic.count() == 0
+
+
+def test_sums_and_cycles_in_rows_of_the_order_of_the_nodes(spark):
+    n = 500
+    rows = [(k, k - 1 if k else None, k % 7) for k in range(n)] + [(n + k, n + (k + 1) % 3, 1) for k in range(3)] + [(n + 3, n, 1), (n + 4, n + 3, 1)]
+    values = spark.createDataFrame(rows, "id long, parent long, v int").withColumns({"one": F.lit(1), "d": F.col("v").cast("decimal(12,2)")})
+    tree = T.build(values, id_col="id", parent_col="parent")
+    assert {x["node"] for x in tree.cyclic.collect()} == {n, n + 1, n + 2, n + 3, n + 4}
+    assert [s.count() for s in tree.steps] == [n - (1 << k) + 5 for k in range(9)]
+    assert sorted(map(tuple, T.levels(tree).collect())) == [(k, k + 1, 0) for k in range(n)]
+    got = T.rolled_up(tree, values, "id", "v", "one", "d").collect()
+    assert sorted((x["node"], x["total"], x["one"], int(x["d"])) for x in got) == [(k, t := sum(j % 7 for j in range(k, n)), n - k, t) for k in range(n)]
+    only = spark.createDataFrame([("c1", "c2"), ("c2", "c1")], "id string, parent string")
+    alone = T.build(only, id_col="id", parent_col="parent")
+    assert alone.cyclic.count() == 2 and T.levels(alone).count() == T.rolled_up(alone, only.withColumn("one", F.lit(1)), "id", "one").count() == alone.closure.count() == 0
