@@ -263,3 +263,20 @@ def test_constructs_and_edges_without_meeting_papers(spark):
         corpora = [nlquery.Corpus(graph.nodes(papers, claims), graph.edges(papers, claims, carry=carry), narrow) for carry in ((), nlquery.CARRIED)]
         plain, carried = (rows(nlquery.answer(c, question)[2]) for c in corpora)
         assert sorted(map(str, plain)) == sorted(map(str, carried)) and plain, question
+
+
+def test_all_contradictions_beyond_the_page(spark):
+    way = ["positive"] * 70 + ["negative"] * 60 + ["null"] * 9 + ["unknown"] * 5
+    told = [(f"c{i:03}", "p", "null" if w == "null" else "causal", {"positive": "will increase", "negative": "may reduce"}.get(w, "meets"), 0.1) for i, w in enumerate(way)]
+    k = "array<struct<id:string,role:string,direction:string>>"
+    claims = spark.createDataFrame(told, "claim_id string, paper_id string, claim_type string, statement string, effect double").withColumns({c: F.array().cast(k) for c in ("outcomes", "mediators", "moderators")})
+    claims = claims.withColumn("environment_factors", F.array(F.struct(F.lit("day").alias("id"), F.lit("r").alias("role"), F.lit("d").alias("direction"))).cast(k))
+    papers = spark.createDataFrame([("p", "t")], "paper_id string, title string")
+    corpus = nlquery.Corpus(graph.nodes(papers, claims), graph.edges(papers, claims), claims.select("claim_id", *nlquery.CARRIED))
+    question = "Are there contradictions about day?"
+    got = rows(nlquery.answer(corpus, question, whole=True)[2])
+    n = {"positive": (60, 9), "negative": (70, 9), "null": (0, 130)}
+    assert sorted((r["claim_id"], r["way"], r["n_conflicts"], r["n_against_null"]) for r in got) == [(f"c{i:03}", w, *n[w]) for i, w in enumerate(way) if w in n]
+    assert len(rows(nlquery.answer(corpus, "Show all claims about day", whole=True)[2])) == len(way) > len(rows(nlquery.answer(corpus, "Show all claims about day")[2])) == 50
+    d = spark.createDataFrame([(1, 1, "positive"), (1, 2, "null"), (2, 3, "positive"), (2, 4, "positive"), (None, 5, "negative"), (None, 6, "positive")], "k int, id int, w string")
+    assert sorted((r["id"], r["n_conflicts"], r["n_against_null"]) for r in rows(synthesis.opposed(d, "k", "id", "w"))) == [(1, 0, 1), (2, 0, 1), (5, 1, 0), (6, 1, 0)]
